@@ -3,8 +3,9 @@
 The incidence of documents and n-grams is multiplied with itself block by block (a block is the rows of an n-gram), but
 only over each document's rarest n-grams: a pair that reaches the threshold shares one of them. Overlap counts are
 accumulated for each pair, pairs below the bounds that the sizes give are discarded, and the rest are counted in full.
-Equal sets are one vertex. A first product links each block's rows to one of them; blocks that then lie in one
-component need no further pairs, so a large group of near copies costs a number of pairs in proportion to its size.
+Equal sets are one vertex. First, rounds link each block's rows to one row of it; blocks that then lie in one component
+need no further pairs, so a large group of near copies costs a number of pairs in proportion to its size. The full
+product of what is left follows, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import byte_values, chunks, components, cut, in_filter, key_filter_array, mix, prefix_hash, span_hash, table
+from quarrygraph.llm.common import byte_values, chunks, components, cut, in_filter, key_filter_array, mix, prefix_hash, span_hash, table, with_filter
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -25,6 +26,14 @@ _SPACE[[32, *range(9, 14)]] = True
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 #: N-grams that one task must see so often before they count as frequent, and how many frequent ones are kept. Both only set the order in which n-grams are tried, never the result.
 FREQUENT, MAX_FREQUENT = 3, 500_000
+#: Columns of a set's 256-bit parity map. Two sets differ in at least as many n-grams as their maps do in bits: a bound that discards pairs before they are formed.
+MAPS = ("m0", "m1", "m2", "m3")
+#: Pairs that are formed meet the same bound on maps of 2^WIDE bits, which tells sets of tens of thousands apart, before sets are compared.
+WIDE = 12
+#: How many blocks' partners a document tries in each round before all pairs of different components are formed, and how many rounds.
+TRIES, ROUNDS = 2, 3
+#: Rows of a block whose pairs are all formed at once; bits of the filter of n-grams that more than one document tries.
+SMALL, SHARED_BITS = 8, 1 << 26
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -91,21 +100,36 @@ def _frequent(n: int):
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams that tasks see often, sorted, and about how often: at most MAX_FREQUENT."""
     k = docs.select("doc_id", "text").mapInArrow(_frequent(n), "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
-    got = k.orderBy(F.desc("k"), "h").limit(MAX_FREQUENT).toPandas()
+    k = cut(k, "jaccard-frequent")
+    least, held = 1, 0  # the counts' histogram tells from which count on at most MAX_FREQUENT are kept
+    for r in k.groupBy(F.least("k", F.lit(10_000)).alias("k")).count().orderBy(F.desc("k")).collect():
+        held += r["count"]
+        if held > MAX_FREQUENT:
+            least = r.k + 1
+            break
+    got = k.where(F.col("k") >= least).toPandas() if least <= 10_000 else k.limit(0).toPandas()
     h = got.h.to_numpy(np.int64).view(np.uint64) if len(got) else np.zeros(0, np.uint64)
     order = np.argsort(h)
     return h[order], got.k.to_numpy(np.int64)[order] if len(got) else np.zeros(0, np.int64)
 
 
+def _parity(mixed: np.ndarray, bits: int) -> np.ndarray:
+    """The set's parity map of 2^bits bits: how often each place is hit, modulo 2."""
+    hit = np.bincount((mixed >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.packbits(hit.astype(np.uint8) & 1).view(np.int64)
+
+
 def _rows(n: int, percent: int, often):
     def run(batches):
         values, counts = often.value
         for batch, data, offs in chunks(batches):
             sets = list(shingle_sets(data, offs, n))
-            size, sig1, sig2, heads = [], [], [], []
+            size, sig1, sig2, heads, maps, wide = [], [], [], [], [], []
             for x in sets:
                 size.append(len(x))
                 m = mix(x)
+                maps.append(_parity(m, 8))
+                wide.append(_parity(m, WIDE))
                 sig1.append(int(np.bitwise_xor.reduce(m).view(np.int64)) if len(x) else 0)
                 sig2.append(int(m.sum(dtype=np.uint64).view(np.int64)) if len(x) else 0)
                 take = len(x) - -(-percent * len(x) // 100) + 1 if len(x) else 0
@@ -113,7 +137,7 @@ def _rows(n: int, percent: int, often):
                     at = np.minimum(np.searchsorted(values, x), len(values) - 1)
                     x = x[np.lexsort((x, np.where(values[at] == x, counts[at], 0)))]
                 heads.append(x[:take])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig1, pa.int64()), pa.array(sig2, pa.int64()), _lists(heads)], names=["doc_id", "n", "sig1", "sig2", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig1, pa.int64()), pa.array(sig2, pa.int64()), _lists(heads), *(pa.array(c) for c in np.array(maps, np.int64).reshape(-1, 4).T.copy()), pa.array([w.tolist() for w in wide], pa.list_(pa.int64()))], names=["doc_id", "n", "sig1", "sig2", "head", *MAPS, "wide"])
 
     return run
 
@@ -132,17 +156,35 @@ def _sets(n: int, wanted):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold; only documents whose id may be in a pair send their sets."""
-    ids = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    maps = rows.select("doc_id", "n", "wide").join(ids, F.col("doc_id") == F.col("v"), "left_semi")
+    side = lambda e: maps.select(F.col("doc_id").alias(e), F.col("n").alias("n" + e), F.col("wide").alias("w" + e))
+    differ = "aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(f"(100 + {percent}) * {differ} <= (100 - {percent}) * (na + nb)").select("a", "b")
+    pairs = cut(pairs.distinct(), name + "-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("v"))
     wanted = docs.sparkSession.sparkContext.broadcast(key_filter_array(ids, "v"))  # of fixed size
-    sets = docs.mapInArrow(_sets(n, wanted), "doc_id long, s array<long>").join(ids, F.col("doc_id") == F.col("v"), "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(sets, name + "-sets")
+    sets = cut(docs.mapInArrow(_sets(n, wanted), "doc_id long, s array<long>"), name + "-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("k"))
     return cut(both.where(F.expr(f"100 * k >= {percent} * (na + nb - k)")).select("a", "b"), name)
 
 
+def _close(percent: int) -> str:
+    """What two entries (suffixes a, b) must meet: sizes within the threshold; room for the overlap before and behind the shared n-gram; parity maps that differ in no more bits than the threshold lets the sets differ."""
+    differ = " + ".join(f"bit_count({m}a ^ {m}b)" for m in MAPS)
+    return f"""100 * least(na, nb) >= {percent} * greatest(na, nb)
+        and (100 + {percent}) * (least(pa, pb) + least(na - pa, nb - pb)) >= {percent} * (na + nb)
+        and (100 + {percent}) * ({differ}) <= (100 - {percent}) * (na + nb)"""
+
+
+def _accumulated(x: DataFrame) -> DataFrame:
+    """One row (a, b) for each pair with a shared n-gram that leaves room for the threshold; each such n-gram has met the bounds of _close."""
+    return x.groupBy("va", "vb").agg(F.count(F.lit(1)).alias("k")).select(F.col("va").alias("a"), F.col("vb").alias("b"))
+
+
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
 
@@ -155,37 +197,52 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     whole = docs.where("doc_id is not null")
     often = spark.sparkContext.broadcast(frequent(whole, n))  # at most MAX_FREQUENT entries
-    rows = cut(docs.mapInArrow(_rows(n, percent, often), "doc_id long, n long, sig1 long, sig2 long, head array<long>"), "jaccard-rows")
+    rows = cut(docs.mapInArrow(_rows(n, percent, often), "doc_id long, n long, sig1 long, sig2 long, head array<long>, " + ", ".join(f"{m} long" for m in MAPS) + ", wide array<long>"), "jaccard-rows")
     key = ["n", "sig1", "sig2"]
-    classes = cut(rows.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", "head")).alias("x")).select(*key, F.col("x.doc_id").alias("v"), F.col("x.head").alias("head")), "jaccard-classes")
+    one = F.min(F.struct("doc_id", "head", *MAPS)).alias("x")
+    classes = cut(rows.where("n > 0 and doc_id is not null").groupBy(*key).agg(one).select(*key, F.col("x.doc_id").alias("v"), "x.head", *[f"x.{m}" for m in MAPS]), "jaccard-classes")
+    # n-grams that no other document tries leave as bits of a filter, before their rows take anything along
+    tried = classes.select(F.explode("head").alias("h")).groupBy("h").count().where("count > 1")
+    tried = cut(tried.select("h"), "jaccard-tried")
+    entries = with_filter(classes.select("v", "n", *MAPS, F.posexplode("head").alias("p", "h")), tried, "h", "maybe", SHARED_BITS).where("maybe").drop("maybe")
+    entries = cut(entries.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("k > 1").withColumn("c", F.col("v")), "jaccard-entries")
+    close, columns = _close(percent), ("v", "n", "p", "c", *MAPS)
+    # small blocks: all pairs at once, a bounded number for each row
+    lists = entries.where(f"k <= {SMALL}").groupBy("h").agg(F.collect_list(F.struct(*columns)).alias("l"))
+    two = F.explode(F.expr("flatten(transform(l, x -> transform(filter(l, y -> y.v > x.v), y -> struct(x, y))))")).alias("t")
+    x = lists.select(two).select(*[F.col(f"t.{q}.{c}").alias(c + e) for q, e in (("x", "a"), ("y", "b")) for c in columns]).where(close)
+    links = _verified(whole, rows, cut(_accumulated(x), "jaccard-small"), n, percent, "jaccard-links")
+    # large blocks
+    large = cut(entries.where(f"k > {SMALL}"), "jaccard-large")
+    for turn in range(ROUNDS):  # blocks' rows to one row of the block, another in each round
+        label = cut(components(links, "jaccard-cc"), "jaccard-labels")
+        e = large.drop("c").join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
+        block = Window.partitionBy("h")  # blocks of one component are done
+        pivot = F.min_by(F.struct(*columns), F.struct(F.xxhash64("v", F.lit(turn)), "v")).over(block)
+        e = e.withColumns({"lo": F.min("c").over(block), "hi": F.max("c").over(block), "o": pivot}).where("lo <> hi").drop("lo", "hi")
+        large = cut(e, "jaccard-mixed")
+        x = large.select("h", *[F.col(c).alias(c + "a") for c in columns], *[F.col(f"o.{c}").alias(c + "b") for c in columns]).where("ca <> cb").where(close)
+        mine = Window.partitionBy("va").orderBy(F.xxhash64("h", F.lit(turn)), "vb")
+        x = x.groupBy("va", "vb").agg(F.min("h").alias("h")).withColumn("t", F.row_number().over(mine)).where(f"t <= {TRIES}")
+        large = large.drop("o")
+        pairs = cut(x.select(F.col("va").alias("a"), F.col("vb").alias("b")), "jaccard-stars")
+        if not pairs.limit(1).count():
+            break
+        links = links.union(_verified(whole, rows, pairs, n, percent, "jaccard-links"))
+    label = cut(components(links, "jaccard-cc"), "jaccard-labels")
+    e = large.drop("c").join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
     block = Window.partitionBy("h")
-    entries = classes.select("v", "n", F.posexplode("head").alias("p", "h")).withColumn("k", F.count(F.lit(1)).over(block)).withColumn("pivot", F.min(F.struct("n", "v")).over(block))
-    entries = cut(entries.where("k > 1").select("h", "v", "n", "p", "pivot"), "jaccard-entries")
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    stars = entries.select(F.col("pivot.v").alias("a"), F.col("v").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb")).where(f"a <> b and {fits}").groupBy("a", "b").count().select("a", "b")
-    first = _verified(whole, cut(stars, "jaccard-stars"), n, percent, "jaccard-first")
-    label = cut(components(first, "jaccard-cc"), "jaccard-labels")
-    e = entries.join(label, "v", "left").withColumn("c", F.coalesce("c", "v")).drop("pivot")
-    mixed = e.groupBy("h").agg((F.min("c") != F.max("c")).alias("m")).where("m").select("h")
-    e = cut(e.join(mixed, "h", "left_semi"), "jaccard-mixed")
-    x, y = (e.select("h", *[F.col(k).alias(k + s) for k in ("v", "n", "p", "c")]) for s in ("a", "b"))
-    x = x.join(y, (x.h == y.h) & (F.col("va") < F.col("vb")) & (F.col("ca") != F.col("cb")) & F.expr(fits))
-    k = x.groupBy("va", "vb", "na", "nb").agg(F.count(F.lit(1)).alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    bound = F.expr(f"(100 + {percent}) * (k + least(na - pa - 1, nb - pb - 1)) >= {percent} * (na + nb)")
-    pairs = cut(k.where(bound).select(F.col("va").alias("a"), F.col("vb").alias("b")).join(stars_done(entries, fits), ["a", "b"], "left_anti"), "jaccard-pairs")
-    second = _verified(whole, pairs, n, percent, "jaccard-second")
-    label = components(first.union(second), "jaccard-cc")
+    entries = cut(e.withColumns({"lo": F.min("c").over(block), "hi": F.max("c").over(block)}).where("lo <> hi").drop("lo", "hi"), "jaccard-rest")
+    x, y = (entries.select("h", *[F.col(c).alias(c + s) for c in columns]) for s in ("a", "b"))
+    x = x.join(y.withColumnRenamed("h", "g"), (F.col("h") == F.col("g")) & (F.col("va") < F.col("vb")) & (F.col("ca") != F.col("cb")) & F.expr(close))
+    pairs = cut(_accumulated(x), "jaccard-pairs")
+    second = _verified(whole, rows, pairs, n, percent, "jaccard-last")
+    label = components(links.union(second), "jaccard-cc")
     group = classes.select(*key, "v").join(label, "v", "left").select(*key, F.coalesce("c", "v").alias("component"))
     out = rows.join(cut(group, "jaccard-groups"), key, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def stars_done(entries: DataFrame, fits: str) -> DataFrame:
-    """Pairs that the first product has counted already, smaller vertex first."""
-    s = entries.select(F.col("pivot.v").alias("x"), F.col("v").alias("y"), F.col("pivot.n").alias("na"), F.col("n").alias("nb")).where(f"x <> y and {fits}")
-    return s.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), 3, 90)
