@@ -1,0 +1,183 @@
+"""Graph operators over edges (src, dst): driver loops over DataFrames, cut by tables in the shared folder; only the sequential ones group into pandas."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Lineage ends at a table in the folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="quarrygraph-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(v, component): smallest vertex reachable when directions are ignored; vertices are nodes (v) and all ends of edges.
+
+    Labels fall to the least label next to them and then to their label's label, so rounds grow with the logarithm of the diameter on paths.
+    """
+    both = edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")).distinct()
+    both = _cut(both)
+    every = edges.select(F.explode(F.array("src", "dst")).alias("v"))
+    label = _cut((every if nodes is None else every.union(nodes.select("v"))).distinct().withColumn("c", F.col("v")))
+    while True:
+        near = both.join(label, F.col("dst") == F.col("v")).groupBy("src").agg(F.min("c").alias("m"))
+        x = label.join(near, F.col("v") == F.col("src"), "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
+        up = label.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+        x = _cut(x.join(up, "c").select("v", "old", F.least("c", "cc").alias("c")))
+        label = x.select("v", "c")
+        if not x.where("c <> old").limit(1).count():
+            return label.select("v", F.col("c").alias("component"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(v, component): components of more than one vertex or with a loop, named by their smallest vertex.
+
+    Vertices without a way in or out are trimmed until none is left; then colours (smallest vertex that reaches) spread
+    forwards, and what reaches a colour's root backwards within the colour is a component; repeat on the rest.
+    """
+    loops = edges.where("src = dst").select(F.col("src").alias("v")).distinct()
+    e = _cut(edges.where("src <> dst").select("src", "dst").distinct())
+    found = loops.withColumn("component", F.col("v")).limit(0)
+    while True:
+        while True:  # trim
+            n = e.count()
+            e = _cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            if e.count() == n:
+                break
+        if not n:
+            break
+        colour = _cut(e.select(F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("c", F.col("v")))
+        while True:
+            into = e.join(colour, F.col("src") == F.col("v")).groupBy("dst").agg(F.min("c").alias("m"))
+            x = _cut(colour.join(into, F.col("v") == F.col("dst"), "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))
+            colour = x.select("v", "c")
+            if not x.where("c <> old").limit(1).count():
+                break
+        inner = e.join(colour.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
+        inner = _cut(inner.select("src", "dst", F.col("cs").alias("c")))
+        reach = _cut(colour.where("v = c"))
+        while True:
+            more = inner.join(reach.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"), "c").distinct().join(reach, ["v", "c"], "left_anti")
+            more = _cut(more)
+            if not more.limit(1).count():
+                break
+            reach = _cut(reach.union(more))
+        found = _cut(found.union(reach.select("v", F.col("c").alias("component"))))
+        done = reach.select("v")
+        e = _cut(e.join(done.select(F.col("v").alias("src")), "src", "left_anti").join(done.select(F.col("v").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    sized = found.join(found.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("v", "component")
+    return sized.union(loops.join(sized, "v", "left_anti").withColumn("component", F.col("v")))
+
+
+def is_acyclic(edges: DataFrame) -> bool:
+    """Whether peeling vertices without a way in leaves no edge."""
+    e = _cut(edges.select("src", "dst").distinct())
+    while True:
+        n = e.count()
+        if not n:
+            return True
+        e = _cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        if e.count() == n:
+            return False
+
+
+def bounded_levels(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, v, level): vertices by the level at which each root first reaches them, to a depth; all roots at once."""
+    seen = _cut(roots.select(F.col("v").alias("root"), "v", F.lit(0).alias("level")))
+    last = seen
+    for level in range(1, depth + 1):
+        step = last.join(edges.select(F.col("src").alias("v"), "dst"), "v").select("root", F.col("dst").alias("v")).distinct()
+        last = _cut(step.join(seen, ["root", "v"], "left_anti").withColumn("level", F.lit(level)).select("root", "v", "level"))
+        if not last.limit(1).count():
+            break
+        seen = _cut(seen.union(last))
+    return seen
+
+
+def _spread(pdf: pd.DataFrame, rounds: int) -> dict:
+    """Labels of one component: vertices in order, each at once to the smallest of the most frequent labels beside it if that is more frequent than its own."""
+    near: dict = {}
+    for a, b in zip(pdf.src, pdf.dst, strict=True):
+        if a != b:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    label = {v: v for v in sorted({*pdf.src, *pdf.dst})}
+    for _ in range(rounds):
+        moved = False
+        for v in label:
+            tally: dict = {}
+            for u in near.get(v, ()):
+                tally[label[u]] = tally.get(label[u], 0) + 1
+            if tally:
+                best = min(tally, key=lambda x: (-tally[x], x))
+                if tally[best] > tally.get(label[v], 0):
+                    label[v], moved = best, True
+        if not moved:
+            break
+    return label
+
+
+def label_communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """(v, community): asynchronous label propagation, exact because updates never leave a component; each component is one group, distinct edges only."""
+    comp = weak_components(edges)
+    x = edges.select("src", "dst").distinct().join(comp, F.col("src") == F.col("v")).select("component", "src", "dst")
+    kind = dict(edges.dtypes)["src"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = _spread(pdf, rounds)
+        return pd.DataFrame({"v": list(label), "community": list(label.values())})
+
+    return x.groupBy("component").applyInPandas(run, f"v {kind}, community {kind}")
+
+
+def first_fit(groups: DataFrame, size: int) -> DataFrame:
+    """(grp, bin): groups (grp, members) by falling size, cut above size, each into the first bin with room. Sequential by definition: only one row a group goes to the one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        room, out = [], []
+        pieces = [(min(size, n - k), g, k) for g, n in zip(pdf.grp, pdf.members, strict=True) for k in range(0, n, size)]
+        for n, g, k in sorted(pieces, key=lambda p: (-p[0], p[1], p[2])):
+            b = next((i for i, r in enumerate(room) if r >= n), None)
+            if b is None:
+                b = len(room)
+                room.append(size)
+            room[b] -= n
+            out.append((g, k, n, b))
+        return pd.DataFrame(out, columns=["grp", "start", "members", "bin"])
+
+    kind = dict(groups.dtypes)["grp"]
+    return groups.select("grp", "members", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, f"grp {kind}, start long, members long, bin long")
+
+
+def quotient_fallback(edges: DataFrame, weak: str) -> DataFrame:
+    """(a, b, weak): strong pairs, and weak pairs that no strong edge links in either direction; of two mutual weak pairs only the smaller way stays."""
+    strong = edges.where(F.col("kind") != weak).where("a <> b").select("a", "b").distinct()
+    soft = edges.where(F.col("kind") == weak).where("a <> b").select("a", "b").distinct()
+    linked = strong.union(strong.select("b", "a")).distinct()
+    left = soft.join(linked, ["a", "b"], "left_anti")
+    twin = left.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("t"))
+    left = left.join(twin, ["a", "b"], "left").where("t is null or a < b").select("a", "b")
+    return strong.withColumn("weak", F.lit(False)).union(left.withColumn("weak", F.lit(True)))
+
+
+def functional_graph(edges: DataFrame) -> DataFrame:
+    """(src, dst): each source's heaviest target (ties: smallest) of (src, dst, weight)."""
+    return edges.groupBy("src").agg(F.min_by("dst", F.struct(-F.col("weight"), "dst")).alias("dst"))
+
+
+def capped(rows: DataFrame, part: list[str], order: list, cap: int) -> DataFrame:
+    """Rows with slot (0-based in its part) and whether it is within the cap."""
+    slot = F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1
+    return rows.withColumn("slot", slot).withColumn("kept", F.col("slot") < cap)
