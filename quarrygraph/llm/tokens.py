@@ -15,11 +15,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard as zstd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import chunks, fresh_path, mix, prefix_hash, span_hash, table
+from quarrygraph.llm.common import chunks, cut, fresh_path, mix, prefix_hash, span_hash, table
 
 OTHER, LETTER, NUMBER, SPACE, UNSURE = range(5)
 #: What the pre-tokenizer's pattern calls white space.
@@ -196,61 +197,91 @@ def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-def _counts(path: str, end_id: int):
+def _encode_shard(out: str, path: str, end_id: int):
+    """Encode a partition once: ids of each document to a compressed file, the partition's counts of ids as rows."""
+
     def run(batches):
-        total = None
-        for _, docs in encoded(batches, path, end_id):
-            for ids in docs:
-                got = np.bincount(ids, minlength=max(encoder(path).vocab, end_id + 1))
-                total = got if total is None else total + got
-        if total is not None:
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
+        task, enc = TaskContext.get(), encoder(path)
+        wide = "<u2" if max(enc.vocab, end_id + 1) <= 1 << 16 else "<u4"
+        fs, root = _fs(out)
+        name = f"{root}/shard-{task.partitionId():06d}"
+        n_docs = n_ids = 0
+        total = np.zeros(max(enc.vocab, end_id + 1), np.int64)
+        with fs.open_output_stream(tmp := f"{name}.{task.taskAttemptId()}.ids") as f, zstd.ZstdCompressor(level=1).stream_writer(f, closefd=False) as z:
+            for keys, docs in encoded(batches, path, end_id):
+                for key, ids in zip(keys, docs, strict=True):
+                    z.write(np.array([key or 0, key is None, len(ids)], "<i8").tobytes() + ids.astype(wide).tobytes())
+                    n_docs, n_ids = n_docs + 1, n_ids + len(ids)
+                total += np.bincount(np.concatenate(docs), minlength=len(total))
+        fs.move(tmp, f"{name}.ids")
+        seen = np.flatnonzero(total)
+        first = np.zeros(len(seen) + 1, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(first + task.partitionId(), pa.int32()), pa.array(first + n_docs), pa.array(first + n_ids), pa.array([None, *seen.tolist()], pa.int64()), pa.array([0, *total[seen].tolist()], pa.int64())],
+            names=["shard", "docs", "ids", "id", "n"],
+        )
+
+    return run
+
+
+def _rank_shard(out: str, path: str, end_id: int, ranks):
+    """Turn a shard's compressed ids into the file format. If a task runs again, the shard may have its name already."""
+
+    def run(batches):
+        fs, root = _fs(out)
+        rank_of = np.zeros(int(ranks.value.max(initial=0)) + 1, np.uint32)
+        rank_of[ranks.value] = np.arange(len(ranks.value), dtype=np.uint32)
+        wide = "<u2" if max(encoder(path).vocab, end_id + 1) <= 1 << 16 else "<u4"
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                name = f"{root}/shard-{shard:06d}"
+                if fs.get_file_info(f"{name}.ids").type != pafs.FileType.NotFound:
+                    tmp = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
+                    with fs.open_output_stream(tmp) as f, fs.open_input_stream(f"{name}.ids") as g, zstd.ZstdDecompressor().stream_reader(g) as z:
+                        f.write(MAGIC)
+                        while head := _exactly(z, 24):
+                            key, null, count = np.frombuffer(head, "<i8").tolist()
+                            control, data = pack_ranks(rank_of[np.frombuffer(_exactly(z, count * int(wide[2])), wide)])
+                            f.write(np.array([key, null, count, len(control), len(data)], "<i8").tobytes() + control + data)
+                    fs.move(tmp, f"{name}.qgt")
+                    fs.delete_file(f"{name}.ids")
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
 
     return run
 
 
-def frequency_ranks(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """Ids by falling count over all documents, then by id; at most one row for each id of the vocabulary reaches the driver."""
-    got = docs.mapInArrow(_counts(path, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    return np.array([r.id for r in sorted(got, key=lambda r: (-r.n, r.id))], np.uint32)
+def _exactly(stream, n: int) -> bytes:
+    parts = []
+    while n and (got := stream.read(n)):
+        parts.append(got)
+        n -= len(got)
+    return b"".join(parts)
 
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, shards: int | None = None) -> list[dict]:
     """Write all documents (doc_id, text) in ascending doc_id order as shards under the URI out; return one entry a shard.
 
     Null text is empty (only the end id), null doc_id sorts first, rows with one doc_id stay together, an empty table
-    writes the rank table alone. A shard is written under a name of its attempt and then moved, so a task may run again.
+    writes the rank table alone. Files are written under a name of the attempt and then moved, so a task may run again.
+    Ids get ranks by falling count over all documents, then by id; at most one row for each id of the vocabulary and one
+    for each shard reach the driver.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    by_rank = frequency_ranks(docs, path, end_id)
     fs, root = _fs(out)
     fs.create_dir(root, recursive=True)
+    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_docs = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    counts = cut(sorted_docs.mapInArrow(_encode_shard(out, path, end_id), "shard int, docs long, ids long, id long, n long"), "token-counts")
+    got = [r.asDict() for r in counts.where("id is null and docs > 0").select("shard", "docs", "ids").orderBy("shard").collect()]
+    top = counts.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    by_rank = np.array([r.id for r in sorted(top, key=lambda r: (-r.n, r.id))], np.uint32)
     with fs.open_output_stream(f"{root}/ranks.u4") as f:
         f.write(by_rank.astype("<u4").tobytes())
     ranks = spark.sparkContext.broadcast(by_rank)  # at most one entry for each id of the vocabulary
-
-    def run(batches):
-        rank_of = np.zeros(int(ranks.value.max(initial=0)) + 1, np.uint32)
-        rank_of[ranks.value] = np.arange(len(ranks.value), dtype=np.uint32)
-        task = TaskContext.get()
-        fs, root = _fs(out)
-        name = f"{root}/shard-{task.partitionId():06d}"
-        n_docs = n_ids = 0
-        with fs.open_output_stream(tmp := f"{name}.{task.taskAttemptId()}.tmp") as f:
-            f.write(MAGIC)
-            for keys, docs in encoded(batches, path, end_id):
-                for key, ids in zip(keys, docs, strict=True):
-                    control, data = pack_ranks(rank_of[ids])
-                    f.write(np.array([key or 0, key is None, len(ids), len(control), len(data)], "<i8").tobytes() + control + data)
-                    n_docs, n_ids = n_docs + 1, n_ids + len(ids)
-        fs.move(tmp, f"{name}.qgt")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "docs": pa.array([n_docs], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
-
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    got = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "shard int, docs long, ids long").collect()
-    return [r.asDict() | {"file": f"shard-{r.shard:06d}.qgt"} for r in sorted(got, key=lambda r: r.shard)]
+    if got:
+        spark.createDataFrame([(r["shard"],) for r in got], "shard int").repartition(len(got), "shard").mapInArrow(_rank_shard(out, path, end_id, ranks), "shard int").count()
+    return [r | {"file": f"shard-{r['shard']:06d}.qgt"} for r in got]
 
 
 def read_token_files(spark: SparkSession, at: str, shards: list[dict]) -> DataFrame:
