@@ -88,7 +88,7 @@ def _frequent(n: int):
                     seen.add(key)
                     held.append(x)
                     total += len(x)
-                if total >= 8_000_000:
+                if total >= 4_000_000:
                     yield count()
                     held, total, seen = [], 0, set()
         if held:
@@ -173,10 +173,10 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percen
 
 
 def _close(percent: int) -> str:
-    """What two entries (suffixes a, b) must meet: sizes within the threshold; room for the overlap before and behind the shared n-gram; parity maps that differ in no more bits than the threshold lets the sets differ."""
+    """What two entries (suffixes a, b) must meet: sizes within the threshold; room for the overlap from the shared n-gram on, as the first n-gram that a pair shares leaves it; parity maps that differ in no more bits than the threshold lets the sets differ."""
     differ = " + ".join(f"bit_count({m}a ^ {m}b)" for m in MAPS)
     return f"""100 * least(na, nb) >= {percent} * greatest(na, nb)
-        and (100 + {percent}) * (least(pa, pb) + least(na - pa, nb - pb)) >= {percent} * (na + nb)
+        and (100 + {percent}) * least(na - pa, nb - pb) >= {percent} * (na + nb)
         and (100 + {percent}) * ({differ}) <= (100 - {percent}) * (na + nb)"""
 
 
