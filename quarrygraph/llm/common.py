@@ -42,9 +42,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def text_arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, end to end, and their n + 1 offsets; null is empty."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    col = col.fill_null("").cast(pa.large_string())
-    _, offs, data = col.buffers()
-    offs = np.frombuffer(offs, np.int64, len(col) + 1, 8 * col.offset) if len(col) else np.zeros(1, np.int64)
+    if col.null_count:
+        col = col.fill_null("")
+    wide = pa.types.is_large_string(col.type)
+    if not wide and not pa.types.is_string(col.type):
+        col, wide = col.cast(pa.large_string()), True
+    _, offs, data = col.buffers()  # no copy of the bytes
+    kind = np.int64 if wide else np.int32
+    offs = np.frombuffer(offs, kind, len(col) + 1, kind().itemsize * col.offset).astype(np.int64) if len(col) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
     return data, offs - offs[0]
 

@@ -88,7 +88,7 @@ def _frequent(n: int):
                     seen.add(key)
                     held.append(x)
                     total += len(x)
-                if total >= 4_000_000:
+                if total >= 2_000_000:
                     yield count()
                     held, total, seen = [], 0, set()
         if held:

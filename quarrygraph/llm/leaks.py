@@ -54,7 +54,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share, slots, agreeing) for each document that holds a benchmark item, verbatim or re-parameterised.
 
     share: of the item's distinct template windows, those in the document, at least SHARE. Of the item's placeholder
-    values in shared windows (slots), at least AGREE became one value in the document each. Null and empty texts hold
+    values in shared windows (slots), at least AGREE became one value in the document each, or stayed what they are. Null and empty texts hold
     nothing and are held by nothing; so are items of fewer than SHINGLE words. Rows that repeat an id are taken
     together; rows with null ids are not reported. Empty tables give no rows; other columns are not read.
     """
@@ -75,7 +75,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     both = pairs.join(ww, "item_id").join(dw, ["doc_id", "h"])
     both = cut(both, "leaks-shared")
     share = both.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("k")).join(total, "item_id").withColumn("share", F.col("k") / F.col("all"))
-    slot = both.select("doc_id", "item_id", F.explode(F.arrays_zip("iv", "dv")).alias("x")).where("x.iv <> ''").groupBy("doc_id", "item_id", "x.iv").agg((F.countDistinct("x.dv") == 1).alias("one"))
+    slot = both.select("doc_id", "item_id", F.explode(F.arrays_zip("iv", "dv")).alias("x")).where("x.iv <> ''").groupBy("doc_id", "item_id", "x.iv").agg(((F.countDistinct("x.dv") == 1) | F.bool_or(F.col("x.dv") == F.col("x.iv"))).alias("one"))
     slot = slot.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("slots"), F.count_if("one").alias("agreeing"))
     out = share.where(F.col("share") >= SHARE).join(slot, ["doc_id", "item_id"], "left").fillna(0, ["slots", "agreeing"])
     return out.where(F.col("agreeing") >= AGREE * F.col("slots")).select("doc_id", "item_id", "share", "slots", "agreeing")
