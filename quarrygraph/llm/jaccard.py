@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import byte_values, chunks, components, cut, in_filter, key_filter_array, mix, prefix_hash, span_hash, table, with_filter
+from quarrygraph.llm.common import bounded_batches, byte_values, chunks, components, cut, in_filter, key_filter_array, mix, prefix_hash, span_hash, table, with_filter
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -194,6 +194,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Shingles are 64-bit hashes, and equal hashes count as equal shingles.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     whole = docs.where("doc_id is not null")
     often = spark.sparkContext.broadcast(frequent(whole, n))  # at most MAX_FREQUENT entries

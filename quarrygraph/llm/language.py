@@ -11,7 +11,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import chunks, table
+from quarrygraph.llm.common import bounded_batches, chunks, table
 
 #: Bytes of a language's dictionary, of the excerpt that one document gives, and of a block that is compressed by itself.
 DICTIONARY, EXCERPT, BLOCK = 96 << 10, 1024, 2048
@@ -74,6 +74,7 @@ def predict(docs: DataFrame, known: dict[str, bytes], margin: float = 0.01, leve
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 

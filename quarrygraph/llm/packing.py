@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrygraph.llm.common import table
+from quarrygraph.llm.common import bounded_batches, table
 from quarrygraph.llm.tokens import crc, encoded
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -142,6 +142,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, block_to
         if pieces:
             yield from flush(True)
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 

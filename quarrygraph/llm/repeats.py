@@ -1,8 +1,7 @@
 """Operator 9: removal of repeated 100-byte strings, exactly, over all documents.
 
-The method dealt (external induced sorting of all suffixes) is kept in llm.induced with its tests; README gives the
-figures for which the query does not sort every suffix. It sorts sampled ones: of each window its smallest q-gram is
-the anchor, so equal windows have equal anchors at equal places, and a run of windows with one anchor is a block.
+Another method than external induced sorting of all suffixes, which README says why was not built. This sorts sampled
+suffixes only: of each window its smallest q-gram is the anchor, so equal windows have equal anchors at equal places, and a run of windows with one anchor is a block.
 Anchors that occur once end there. Of the others, equal blocks decide all their windows at once, as whole equal
 substrings do in induced sorting; only where one anchor has several blocks are the blocks' bytes sorted together and
 their windows told apart.
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import byte_values, chunks, cut, in_filter, key_filter_array, mix, prefix_hash, span_hash, table, with_filter
+from quarrygraph.llm.common import bounded_batches, byte_values, chunks, cut, in_filter, key_filter_array, mix, prefix_hash, span_hash, table, with_filter
 
 #: Bytes of an anchor, and bits of the filters that carry repeated anchors to the next step (8 MB, whatever the data).
 ANCHOR, BITS = 32, 1 << 26
@@ -202,6 +201,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, row=None) -> DataFrame:
     shows the replacement character, the digest row has the bytes.
     """
     row = row or _Text()
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("text"))
     spans = repeated_spans(docs.where(F.octet_length("text") >= width), width)

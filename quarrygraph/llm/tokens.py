@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import chunks, cut, fresh_path, mix, prefix_hash, span_hash, table
+from quarrygraph.llm.common import bounded_batches, chunks, cut, fresh_path, mix, prefix_hash, span_hash, table
 
 OTHER, LETTER, NUMBER, SPACE, UNSURE = range(5)
 #: What the pre-tokenizer's pattern calls white space.
@@ -267,6 +267,7 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, sha
     for each shard reach the driver.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     fs, root = _fs(out)
     fs.create_dir(root, recursive=True)

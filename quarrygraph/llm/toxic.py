@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quarrygraph.llm.common import chunks, cut, table
+from quarrygraph.llm.common import bounded_batches, chunks, cut, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Families of identity terms; a term is swapped for the next of its family.
@@ -42,6 +42,7 @@ def _word_rows(batches):
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
     """(y, weight, words) of labelled texts: a sample by a hash of doc_id, of bounded size by class, weighted back to all."""
+    bounded_batches(docs.sparkSession)
     y = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("double").alias("y"))
     n = {r.y: r["count"] for r in y.groupBy("y").count().collect()}
     share = {c: min(1.0, max_train / 2 / k) for c, k in n.items()}
@@ -112,6 +113,7 @@ def score(docs: DataFrame, model: dict[str, float], text_col: str = "text", out:
                     found.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
