@@ -129,17 +129,22 @@ def _spread(pdf: pd.DataFrame, rounds: int) -> dict:
     return label
 
 
-def label_communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(v, community): asynchronous label propagation, exact because updates never leave a component; each component is one group, distinct edges only."""
+def label_communities(edges: DataFrame, rounds: int = 20, size: int = 25) -> DataFrame:
+    """(v, community): asynchronous label propagation, exact because updates never leave a component; each component is one group, distinct edges only.
+
+    Communities beyond size are cut into runs of that many members in order; a community is named by its first member.
+    """
     comp = weak_components(edges)
     x = edges.select("src", "dst").distinct().join(comp, F.col("src") == F.col("v")).select("component", "src", "dst")
     kind = dict(edges.dtypes)["src"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         label = _spread(pdf, rounds)
-        return pd.DataFrame({"v": list(label), "community": list(label.values())})
+        return pd.DataFrame({"v": list(label), "label": list(label.values())})
 
-    return x.groupBy("component").applyInPandas(run, f"v {kind}, community {kind}")
+    got = x.groupBy("component").applyInPandas(run, f"v {kind}, label {kind}")
+    got = got.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("v")) - 1) / size))
+    return got.select("v", F.min("v").over(Window.partitionBy("label", "part")).alias("community"))
 
 
 def first_fit(groups: DataFrame, size: int) -> DataFrame:
