@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step holds as arrays at once; longer single texts are taken alone.
 CHUNK_BYTES = 1 << 20
+#: Bytes of text after which a Python step gives freed memory back to the system.
+RELEASE_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,15 +64,34 @@ def text_arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, or nothing where the C library has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Give freed memory back: workers serve many tasks and stages, and both allocators would keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of at most limit bytes of text (one text at least), each with its bytes and offsets."""
+    release()
+    done = 0
     for batch in batches:
         data, offs = text_arrays(batch.column(batch.schema.get_field_index(text)))
+        done += len(data)
+        if done >= RELEASE_BYTES:
+            release()
+            done = 0
         i, n = 0, len(offs) - 1
         while i < n:
             j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             i = j
+    release()
 
 
 # ---- hashing -------------------------------------------------------------------------------------------------

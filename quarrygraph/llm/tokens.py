@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -47,6 +48,7 @@ class Encoder:
     """Ids by the tokenizer file at path, special tokens neither added nor read."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
