@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
 
@@ -106,6 +107,34 @@ def bounded_levels(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def bounded_trace(edges: DataFrame, roots: DataFrame, depth: int, cap: int, leaves: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first traces of edges (src, dst, kind, at) from all roots (v) at once: nodes and edges.
+
+    Nodes (root, v, level, place, open): in the order of a queue, children by at and then dst, no deeper than depth and at
+    most cap a root. A node first reached by a kind in leaves is not open and is never followed, even if another kind
+    reaches it later. Edges (root, src, dst, kind, cut): those that leave followed nodes; cut is null, or "size" where the
+    cap and "depth" where the depth kept dst out.
+    """
+    spread = edges.select(F.col("src").alias("v"), "dst", "kind", "at")
+    seen = _cut(roots.select(F.col("v").alias("root"), "v", F.lit(0).alias("level"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("open")))
+    last = seen
+    for level in range(1, depth + 1):
+        near = last.where("open").join(spread, "v").join(seen.select("root", F.col("v").alias("dst")), ["root", "dst"], "left_anti")
+        first = near.groupBy("root", "dst").agg(F.min(F.struct("place", "at", "kind")).alias("f"))
+        held = seen.groupBy("root").agg(F.count(F.lit(1)).alias("held"))
+        row = F.row_number().over(Window.partitionBy("root").orderBy("f.place", "f.at", "dst"))
+        new = first.join(held, "root").withColumn("place", row + F.col("held") - 1).where(F.col("place") < cap)
+        opens = ~F.col("f.kind").isin(list(leaves)) if leaves else F.lit(True)
+        last = _cut(new.select("root", F.col("dst").alias("v"), F.lit(level).alias("level"), F.col("place").cast("long").alias("place"), opens.alias("open")))
+        if not last.limit(1).count():
+            break
+        seen = _cut(seen.union(last))
+    ends = seen.select("root", F.col("v").alias("dst"), F.lit(True).alias("__in"))
+    out = seen.where("open").join(spread, "v").join(ends, ["root", "dst"], "left")
+    why = F.when(F.col("__in").isNull(), F.when(F.col("level") >= depth, "depth").otherwise("size"))
+    return seen, out.select("root", F.col("v").alias("src"), "dst", "kind", why.alias("cut"))
+
+
 def _spread(pdf: pd.DataFrame, rounds: int) -> dict:
     """Labels of one component: vertices in order, each at once to the smallest of the most frequent labels beside it if that is more frequent than its own."""
     near: dict = {}
@@ -133,6 +162,8 @@ def label_communities(edges: DataFrame, rounds: int = 20, size: int = 25) -> Dat
     """(v, community): asynchronous label propagation, exact because updates never leave a component; each component is one group, distinct edges only.
 
     Communities beyond size are cut into runs of that many members in order; a community is named by its first member.
+    Those of one or two members then join, largest first, the currently smallest community if it has room. That fold is
+    sequential by definition: one row a community, not its members, goes to its one task.
     """
     comp = weak_components(edges)
     x = edges.select("src", "dst").distinct().join(comp, F.col("src") == F.col("v")).select("component", "src", "dst")
@@ -144,7 +175,28 @@ def label_communities(edges: DataFrame, rounds: int = 20, size: int = 25) -> Dat
 
     got = x.groupBy("component").applyInPandas(run, f"v {kind}, label {kind}")
     got = got.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("v")) - 1) / size))
-    return got.select("v", F.min("v").over(Window.partitionBy("label", "part")).alias("community"))
+    got = _cut(got.select("v", F.min("v").over(Window.partitionBy("label", "part")).alias("community")))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["n", "community"], ascending=[False, True])
+        heap = [(n, i, c) for i, (c, n) in enumerate(zip(rows.community, rows.n, strict=True)) if n > 2]
+        heapq.heapify(heap)
+        into = {c: c for _, _, c in heap}
+        for i, (c, n) in enumerate(zip(rows.community, rows.n, strict=True)):
+            if n > 2:
+                continue
+            if heap and heap[0][0] + n <= size:
+                m, j, d = heapq.heappop(heap)
+                into[c] = d
+                heapq.heappush(heap, (m + n, j, d))
+            else:
+                into[c] = c
+                heapq.heappush(heap, (n, i, c))
+        return pd.DataFrame({"community": list(into), "target": list(into.values())})
+
+    sizes = got.groupBy("community").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(1))
+    target = sizes.groupBy("all").applyInPandas(fold, f"community {kind}, target {kind}")
+    return got.join(target, "community").select("v", F.col("target").alias("community"))
 
 
 def first_fit(groups: DataFrame, size: int) -> DataFrame:
