@@ -18,7 +18,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from quarrygraph.plans import flagship, relational, wider  # noqa: F401
+    from quarrygraph.plans import flagship, model, relational, wider  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
