@@ -1,6 +1,6 @@
 """Operator 1: sequences of a fixed length from pieces of documents by minimum bin slack.
 
-Each task packs what it reads, block by block, and needs no shuffle: a block of some millions of tokens holds enough
+Each task packs what it reads, block by block, and needs no shuffle: a block of a million tokens holds enough
 lengths to fill every window, and what is left of the last window goes on to the next block.
 """
 
@@ -17,8 +17,9 @@ from quarrygraph.llm.common import bounded_batches, table
 from quarrygraph.llm.tokens import crc, encoded
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Tokens that a task gathers before it packs them; bounds its memory, whatever the partition holds.
-BLOCK_TOKENS = 8 << 20
+#: Tokens that a task gathers before it packs them, and bytes of text that it encodes at once; both bound its memory, whatever the partition holds.
+BLOCK_TOKENS = 1 << 20
+ENCODE_BYTES = 1 << 19
 
 
 def best_fill(room: int, lengths: list[int], counts: list[int]) -> dict[int, int]:
@@ -132,7 +133,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, block_to
             keep = {doc for doc, _, _ in pieces}
             keys, docs, held = {d: keys[d] for d in keep}, {d: docs[d] for d in keep}, 0
 
-        for got, parts in encoded(batches, path, end_id):
+        for got, parts in encoded(batches, path, end_id, ENCODE_BYTES):
             for key, ids in zip(got, parts, strict=True):
                 keys[n], docs[n] = key, ids
                 pieces.append((n, 0, len(ids)))

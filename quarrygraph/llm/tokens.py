@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import bounded_batches, chunks, cut, fresh_path, mix, prefix_hash, span_hash, table
+from quarrygraph.llm.common import CHUNK_BYTES, bounded_batches, chunks, cut, fresh_path, mix, prefix_hash, span_hash, table
 
 OTHER, LETTER, NUMBER, SPACE, UNSURE = range(5)
 #: What the pre-tokenizer's pattern calls white space.
@@ -153,10 +153,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list[np.ndarray]]]:
     """doc_ids and each document's ids with end_id behind them, a chunk of text at a time."""
     enc = encoder(path)
-    for batch, data, offs in chunks(batches):
+    for batch, data, offs in chunks(batches, limit=limit):
         ids, counts = enc.encode(data, offs)
         at = np.concatenate([[0], np.cumsum(counts)])
         yield batch.column(0).to_pylist(), [np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)) for i in range(len(counts))]
