@@ -46,12 +46,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return z.withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col))).drop("__len", "__more", "__head", "__same", "__key", "__keep", "__n")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' own columns."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs that stay, with docs' own columns.
+
+    Only ids and hashes of rows that go are gathered; a row whose id cannot be among them stays without any join, so its
+    text is not shuffled. A row goes if its id and its text's hash both are those of a row that goes.
+    """
     own = [c for c in docs.columns]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(own)])
-    at = {c: f"__c{i}" for i, c in enumerate(own)}
-    return exact_groups(inner, at[id_col], at[text_col]).where("kept").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(own)])
+    key, text = (f"__c{own.index(c)}" for c in (id_col, text_col))
+    gone = exact_groups(inner.select(key, text), key, text, bits=bits).where("not kept").select(F.col(key).alias("__id"), F.col("__sha").alias("__s"))
+    gone = cut(gone.distinct().withColumn("__h", F.xxhash64("__id")), "exact-gone")
+    x = with_filter(inner.withColumn("__h", F.xxhash64(key)), gone.select("__h"), "__h", "__may", bits)
+    y = gone.select("__id", "__s")
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.sha2(normalised(F.col(text)), 256) == F.col("__s"))
+    stay = x.where("not __may").select(*inner.columns).union(x.where("__may").join(y, same, "left_anti").select(*inner.columns))
+    return stay.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(own)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

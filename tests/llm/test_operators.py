@@ -256,3 +256,15 @@ def test_pipeline_stages(spark, tmp_path):
             assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in docs_next.collect()} == {500}
         docs = docs_next
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_deduplicate_decides_by_id_and_text(spark):
+    from quarrygraph.llm import exact
+
+    rows = [(1, "A"), (2, "a"), (2, "a"), (2, "own"), (1, "b"), (1, "own too"), (None, "c"), (None, "C"), (None, "a"), (3, None), (4, ""), (5, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "text as __s", "doc_id as __id")
+    key = lambda x: sorted(map(str, x.collect()))
+    want = exact.exact_groups(df).where("kept").select(df.columns)
+    for bits in (1 << 15, exact.FILTER_BITS):
+        assert key(exact.deduplicate(df, bits=bits)) == key(want)
+    assert exact.deduplicate(df.where("false")).columns == df.columns and exact.deduplicate(df.where("false")).count() == 0
