@@ -158,24 +158,58 @@ def _spread(pdf: pd.DataFrame, rounds: int) -> dict:
     return label
 
 
-def label_communities(edges: DataFrame, rounds: int = 20, size: int = 25) -> DataFrame:
-    """(v, community): asynchronous label propagation, exact because updates never leave a component; each component is one group, distinct edges only.
+def _spread_wide(x: DataFrame, rounds: int) -> DataFrame:
+    """(v, label) as _spread gives them, without a component in one task: within a round every vertex is computed again
+    from its smaller neighbours' new and its larger neighbours' old labels until nothing moves, which is the sequential
+    order's only fixed point. A round takes as many steps as a change passes on along rising vertices, and one more."""
+    e = x.where("src <> dst").select("src", "dst")
+    near = _cut(e.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(e.select("dst", "src")).groupBy("v", "u").agg(F.count(F.lit(1)).alias("n")))
+    state = _cut(x.select(F.explode(F.array("src", "dst")).alias("v")).distinct().select("v", F.col("v").alias("old"), F.col("v").alias("new")))
+    for _ in range(rounds):
+        while True:
+            seen = near.join(state.select(F.col("v").alias("u"), F.col("old").alias("o"), F.col("new").alias("w")), "u")
+            tally = seen.groupBy("v", F.when(F.col("u") < F.col("v"), F.col("w")).otherwise(F.col("o")).alias("l")).agg(F.sum("n").alias("n"))
+            best = tally.join(state.select("v", "old"), "v").groupBy("v").agg(F.min(F.struct((-F.col("n")).alias("n"), "l")).alias("b"), F.coalesce(F.max(F.when(F.col("l") == F.col("old"), F.col("n"))), F.lit(0)).alias("own"))
+            step = state.join(best, "v", "left").select("v", "old", F.col("new").alias("last"), F.when(-F.col("b.n") > F.col("own"), F.col("b.l")).otherwise(F.col("old")).alias("new"))
+            step = _cut(step)
+            state = step.select("v", "old", "new")
+            if not step.where("new <> last").limit(1).count():
+                break
+        if not state.where("new <> old").limit(1).count():
+            break
+        state = state.select("v", F.col("new").alias("old"), "new")
+    return state.select("v", F.col("new").alias("label"))
+
+
+def _runs(got: DataFrame, size: int) -> DataFrame:
+    """(v, label, part): each label's members in order in runs of size; ranges of members are ranked apart, so no task orders a whole label."""
+    x = _cut(got.select("v", "label").repartitionByRange("label", "v").withColumn("range", F.spark_partition_id()))
+    ahead = Window.partitionBy("label").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    held = x.groupBy("label", "range").agg(F.count(F.lit(1)).alias("n")).select("label", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("label", "range").orderBy("v")) - 1
+    return x.join(held, ["label", "range"]).select("v", "label", F.floor(place / size).alias("part"))
+
+
+def label_communities(edges: DataFrame, rounds: int = 20, size: int = 25, group: int = 50_000) -> DataFrame:
+    """(v, community): asynchronous label propagation, exact because updates never leave a component; distinct edges only. Components of up to group edges are one group each, larger ones spread over all tasks.
 
     Communities beyond size are cut into runs of that many members in order; a community is named by its first member.
     Those of one or two members then join, largest first, the currently smallest community if it has room. That fold is
     sequential by definition: one row a community, not its members, goes to its one task.
     """
     comp = weak_components(edges)
-    x = edges.select("src", "dst").distinct().join(comp, F.col("src") == F.col("v")).select("component", "src", "dst")
+    x = _cut(edges.select("src", "dst").distinct().join(comp, F.col("src") == F.col("v")).select("component", "src", "dst"))
     kind = dict(edges.dtypes)["src"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         label = _spread(pdf, rounds)
         return pd.DataFrame({"v": list(label), "label": list(label.values())})
 
-    got = x.groupBy("component").applyInPandas(run, f"v {kind}, label {kind}")
-    got = got.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("v")) - 1) / size))
-    got = _cut(got.select("v", F.min("v").over(Window.partitionBy("label", "part")).alias("community")))
+    large = _cut(x.groupBy("component").count().where(F.col("count") > group).select("component"))
+    got = x.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, f"v {kind}, label {kind}")
+    if large.limit(1).count():
+        got = got.union(_spread_wide(x.join(large, "component", "left_semi"), rounds))
+    got = _cut(_runs(got, size).select("v", F.min("v").over(Window.partitionBy("label", "part")).alias("community")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["n", "community"], ascending=[False, True])
