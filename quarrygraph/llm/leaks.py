@@ -1,7 +1,9 @@
 """Operator 4: benchmark decontamination by template canonicalisation, in built-in functions only.
 
 Numbers, units behind numbers, and names (capitalised words inside a sentence) become typed placeholders; other words
-lose case and punctuation. Windows of the template are hashed, and documents' windows are joined with the benchmark's.
+lose case and punctuation. A capitalised word at the beginning of a sentence may be a name or not: one form of the
+template has it as a word, so that case may change, and one as a name unless it is a function word. Windows of both
+forms are hashed, and documents' windows, one at each word, are joined with the benchmark's.
 For the few pairs that meet, all shorter windows of both texts are compared, and slots are checked: what one value of
 the item's placeholder became in the document must be one value throughout, as in a re-parameterised question.
 """
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quarrygraph.llm.common import cut, table, with_filter
 
-#: Words of a window that joins, and the step between a document's windows: a shared passage of WINDOW + STEP - 1 words always has one.
-WINDOW, STEP = 8, 4
+#: Words of a window that joins; items of fewer than SHORT words are joined by the shorter windows that are then compared, as one changed word may leave them no longer passage.
+WINDOW, SHORT = 8, 16
 #: Words of the windows that are then compared, the share of an item's windows that a document must have, and of slots that must agree.
 SHINGLE, SHARE, AGREE = 5, 0.5, 0.8
 #: The benchmark's windows are broadcast up to so many; beyond, the join shuffles.
@@ -22,6 +24,9 @@ MAX_BROADCAST = 500_000
 UNITS = "mm cm km m kg mg g lbs lb oz ml l inches inch feet foot miles mile meters metres meter metre seconds second minutes minute hours hour days day weeks week years year dollars euros cents percent".split()
 _NUMBER = r"[0-9][0-9.,:/]*"
 _NAME = r"(?<=[\p{Ll},] )\p{Lu}\p{Ll}+"
+#: Words that begin sentences and are no names.
+FUNCTION = "A An The This That These Those He She It We You They I His Her Its Our Your Their My There Here If When While What Which Who Whom Whose Why Where How And But Or So Then Than As At By For From In Into Of On To With Without After Before Because Since Until Each Every All Some Any No Not One Both Is Are Was Were Do Does Did Has Have Had Can Could Should Would May Might Must".split()
+_FIRST = rf"(?<![\p{{L}}\u0001])(?!(?:{'|'.join(FUNCTION)})(?!\p{{L}}))(\p{{Lu}}\p{{Ll}}+)"
 
 
 def _marked(text: Column, values: bool) -> Column:
@@ -29,31 +34,41 @@ def _marked(text: Column, values: bool) -> Column:
     v = "\u0001$0\u0002" if values else ""
     x = F.coalesce(text, F.lit(""))
     x = F.regexp_replace(F.regexp_replace(x, "[\u0001\u0002]", " "), _NAME, f" qname{v} ")
+    x = F.regexp_replace(x, _FIRST, " qstart\u0001$1\u0002 " if values else " qstartx$1 ")
     x = F.regexp_replace(x, rf"({_NUMBER}) ?({'|'.join(UNITS)})\b", "$1 qunit ")
     return F.regexp_replace(x, _NUMBER, f" qnum{v} ")
 
 
 def words(text: Column) -> Column:
-    """The template tokens of a text."""
+    """The template tokens of a text; qstartx and a word where a sentence begins with what may be a name."""
     return F.filter(F.split(F.lower(_marked(text, False)), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def words_and_values(text: Column) -> Column:
-    """The same tokens as structs (w, v), v a placeholder's value or empty."""
+def forms(tokens: Column) -> list[Column]:
+    """Both forms of the template as the words' hashes: words that begin sentences as words, and as names."""
+    first = lambda w: w.startswith("qstartx")
+    return [F.transform(tokens, lambda w: F.xxhash64(F.when(first(w), F.substring(w, 8, 1 << 30)).otherwise(w))), F.transform(tokens, lambda w: F.xxhash64(F.when(first(w), "qname").otherwise(w)))]
+
+
+def words_and_values(text: Column) -> list[Column]:
+    """Both forms as structs (w, v), v a placeholder's value or empty."""
     tokens = F.regexp_extract_all(F.lower(_marked(text, True)), F.lit("(q[a-z]+\u0001[^\u0002]*\u0002|\\p{L}+)"), F.lit(1))
-    return F.transform(tokens, lambda t: F.struct(F.split_part(t, F.lit("\u0001"), F.lit(1)).alias("w"), F.regexp_extract(t, "\u0001([^\u0002]*)", 1).alias("v")))
+    w, v = lambda t: F.split_part(t, F.lit("\u0001"), F.lit(1)), lambda t: F.regexp_extract(t, "\u0001([^\u0002]*)", 1)
+    first = lambda t: t.startswith("qstart\u0001")
+    as_word = F.transform(tokens, lambda t: F.struct(F.when(first(t), v(t)).otherwise(w(t)).alias("w"), F.when(first(t), "").otherwise(v(t)).alias("v")))
+    return [as_word, F.transform(tokens, lambda t: F.struct(F.when(first(t), "qname").otherwise(w(t)).alias("w"), v(t).alias("v")))]
 
 
-def windows(tokens: Column, size: int, step: int = 1) -> Column:
-    """Hashes of the windows of an array of words."""
+def windows(tokens: Column, size: int) -> Column:
+    """Hashes of the windows of an array of words or their hashes."""
     n = F.size(tokens)
-    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1, F.lit(step)), lambda i: F.xxhash64(F.slice(tokens, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(tokens, i, size)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share, slots, agreeing) for each document that holds a benchmark item, verbatim or re-parameterised.
 
-    share: of the item's distinct template windows, those in the document, at least SHARE. Of the item's placeholder
+    share: of the item's distinct template windows, those in the document, at least SHARE, in the form that shares more. Of the item's placeholder
     values in shared windows (slots), at least AGREE became one value in the document each, or stayed what they are. Null and empty texts hold
     nothing and are held by nothing; so are items of fewer than SHINGLE words. Rows that repeat an id are taken
     together; rows with null ids are not reported. Empty tables give no rows; other columns are not read.
@@ -62,40 +77,44 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item_id is not null")
     iw = items.withColumn("t", words(F.col("item"))).withColumn("n", F.size("t")).where(f"n >= {SHINGLE}")
     iw = cut(iw, "leaks-items")
-    pairs = _meet(docs, iw.where(f"n >= {WINDOW + STEP - 1}"), WINDOW, STEP)
-    short = iw.where(f"n < {WINDOW + STEP - 1}")
-    if short.limit(1).count():
-        pairs = pairs.union(_meet(docs, short, SHINGLE, 1))
-    pairs = cut(pairs.distinct(), "leaks-pairs")
+    pairs = cut(_meet(docs, iw).distinct(), "leaks-pairs")
     found = with_filter(docs, pairs.select("doc_id"), "doc_id", "maybe", 1 << 23).where("maybe").select("doc_id", "text")
     found = found.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    dw = cut(_slots(found, "doc_id", "text", "dv"), "leaks-windows")
     ww = cut(_slots(iw.select("item_id", "item"), "item_id", "item", "iv"), "leaks-item-windows")
-    total = ww.groupBy("item_id").agg(F.countDistinct("h").alias("all"))
-    both = pairs.join(ww, "item_id").join(dw, ["doc_id", "h"])
+    dw = cut(_slots(found, "doc_id", "text", "dv").join(ww.select("form", "h").distinct(), ["form", "h"], "left_semi"), "leaks-windows")
+    total = ww.groupBy("item_id", "form").agg(F.countDistinct("h").alias("all"))
+    both = pairs.join(ww, "item_id").join(dw, ["doc_id", "form", "h"])
     both = cut(both, "leaks-shared")
-    share = both.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("k")).join(total, "item_id").withColumn("share", F.col("k") / F.col("all"))
-    slot = both.select("doc_id", "item_id", F.explode(F.arrays_zip("iv", "dv")).alias("x")).where("x.iv <> ''").groupBy("doc_id", "item_id", "x.iv").agg(((F.countDistinct("x.dv") == 1) | F.bool_or(F.col("x.dv") == F.col("x.iv"))).alias("one"))
-    slot = slot.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("slots"), F.count_if("one").alias("agreeing"))
-    out = share.where(F.col("share") >= SHARE).join(slot, ["doc_id", "item_id"], "left").fillna(0, ["slots", "agreeing"])
-    return out.where(F.col("agreeing") >= AGREE * F.col("slots")).select("doc_id", "item_id", "share", "slots", "agreeing")
-
-
-def _meet(docs: DataFrame, items: DataFrame, size: int, step: int) -> DataFrame:
-    known = cut(items.select("item_id", F.explode(F.array_distinct(windows(F.col("t"), size))).alias("h")), "leaks-join")
+    share = both.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("h").alias("k")).join(total, ["item_id", "form"]).withColumn("share", F.col("k") / F.col("all"))
+    slot = both.select("doc_id", "item_id", "form", F.explode(F.arrays_zip("iv", "dv")).alias("x")).where("x.iv <> ''").groupBy("doc_id", "item_id", "form", "x.iv").agg(((F.countDistinct("x.dv") == 1) | F.bool_or(F.col("x.dv") == F.col("x.iv"))).alias("one"))
+    slot = slot.groupBy("doc_id", "item_id", "form").agg(F.count(F.lit(1)).alias("slots"), F.count_if("one").alias("agreeing"))
+    out = share.where(F.col("share") >= SHARE).join(slot, ["doc_id", "item_id", "form"], "left").fillna(0, ["slots", "agreeing"])
+    out = out.where(F.col("agreeing") >= AGREE * F.col("slots")).groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "slots", "agreeing")).alias("b"))
+    return out.select("doc_id", "item_id", "b.share", "b.slots", "b.agreeing")
+
+
+def _meet(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) with a window in common."""
+    items = items.withColumn("t", F.explode(F.array(*forms(F.col("t")))))
+    of = F.when(F.col("n") < SHORT, windows(F.col("t"), SHINGLE)).otherwise(windows(F.col("t"), WINDOW))
+    known = cut(items.select("item_id", F.explode(of).alias("h")).distinct(), "leaks-join")
+    sizes = [WINDOW, SHINGLE] if items.where(f"n < {SHORT}").limit(1).count() else [WINDOW]
     if known.count() <= MAX_BROADCAST:
         known = F.broadcast(known)
-    return docs.select("doc_id", words(F.col("text")).alias("t")).select("doc_id", F.explode(windows(F.col("t"), size, step)).alias("h")).join(known, "h").select("doc_id", "item_id")
+    a, b = forms(F.col("t"))
+    x = docs.select("doc_id", words(F.col("text")).alias("t")).select("doc_id", a.alias("a"), b.alias("b"))
+    every = F.array_distinct(F.concat(*[windows(F.col(c), n) for n in sizes for c in "ab"]))
+    return x.select("doc_id", F.explode(every).alias("h")).join(known, "h").select("doc_id", "item_id")
 
 
 def _slots(df: DataFrame, key: str, text: str, values: str) -> DataFrame:
-    """(key, h, values) of each distinct window with its placeholders' values."""
-    x = df.select(key, words_and_values(F.col(text)).alias("t"))
+    """(key, form, h, values) of each distinct window with its placeholders' values."""
+    x = df.select(key, F.posexplode(F.array(*words_and_values(F.col(text)))).alias("form", "t"))
     n = F.size("t")
     at = F.when(n >= SHINGLE, F.sequence(F.lit(1), n - SHINGLE + 1)).otherwise(F.array().cast("array<int>"))
-    part = F.slice("t", F.col("i"), F.lit(SHINGLE))
-    x = x.withColumn("i", F.explode(at)).select(key, part.alias("p"))
-    return x.select(key, F.xxhash64(F.transform("p", lambda t: t["w"])).alias("h"), F.transform("p", lambda t: t["v"]).alias(values)).distinct()
+    part = lambda i, field: F.transform(F.slice("t", i, SHINGLE), lambda t: t[field])
+    x = x.select(key, "form", F.explode(F.transform(at, lambda i: F.struct(F.xxhash64(part(i, "w")).alias("h"), part(i, "v").alias(values)))).alias("p"))
+    return x.select(key, "form", "p.h", f"p.{values}").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

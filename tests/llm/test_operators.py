@@ -166,6 +166,19 @@ def test_leaks(spark, empty):
     assert leaks.contaminated(empty, items).count() == 0
 
 
+def test_leaks_of_renamed_short_sentences(spark):
+    """Names that begin sentences, at each offset in the document; short items with a changed word; changed case."""
+    one = "{} has {} red pens. {} has {} blue pens. {} buys {} green pens. {} loses {} old pens. How many pens do they have?"
+    two = "{} owns {} goats. {} sold {} sheep. {} fed {} hens. {} lost {} cows. How many animals remain on the farm?"
+    first, other = ("Tom", 5, "Ann", 3, "Sam", 7, "Kim", 2), ("Eva", 14, "Max", 26, "Joe", 31, "Liz", 48)
+    short = "seven quick foxes jumped over many wooden gates while three sleepy hounds watched them run"
+    items = spark.createDataFrame([(1, one.format(*first)), (2, two.format(*first)), (3, short)], "item_id long, text string")
+    rows = [(100 * i + k, f"{prose(20 + k)}. {q.format(*other)} {prose(9)}") for i, q in ((1, one), (2, two)) for k in range(8)]
+    rows += [(300, f"{prose(9)} {short.replace('gates', 'walls')} {prose(9)}"), (900, f"{prose(9)} {one.format(*first).lower()}"), (0, prose(90))]
+    got = {(r.doc_id, r.item_id) for r in leaks.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(d, 1 if d == 900 else d // 100) for d, _ in rows if d}
+
+
 def test_toxicity(spark, empty):
     rows, labels = [], []
     for i in range(600):
