@@ -45,15 +45,15 @@ def _classes() -> np.ndarray:
 
 
 class Encoder:
-    """Ids by the tokenizer file at path, special tokens neither added nor read."""
+    """Ids by the tokenizer file at path, no special tokens added; texts that contain an added token's content go to the library whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         spec = json.loads(self.tok.to_str())
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
         self.plain = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
@@ -75,7 +75,10 @@ class Encoder:
         if not len(cp):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         cls = _classes()[cp]
-        unsure = np.unique(np.searchsorted(ends, np.flatnonzero(cls == UNSURE), "right")) if self.plain else np.arange(len(texts))
+        unsure = np.arange(len(texts))
+        if self.plain:
+            special = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+            unsure = np.union1d(np.searchsorted(ends, np.flatnonzero(cls == UNSURE), "right"), np.array(special, np.int64))
         starts = self._starts(cp, cls, ends - size, size)
         ids, per_word, words = self._words(cp, starts, texts, ends, size)
         doc = np.searchsorted(ends, starts, "right")

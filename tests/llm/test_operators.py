@@ -111,6 +111,22 @@ def test_encoder_equals_library():
         at += k
 
 
+def test_added_tokens_in_texts(spark):
+    """Against the file as the library reads it by itself."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(P)
+    rows = list(enumerate(["a <|endoftext|> b", "plain <|endoftext |> text", "<|endoftext|><|endoftext|>", "", "after it"]))
+    want = {i: fresh.encode(t, add_special_tokens=False).ids for i, t in rows}
+    assert 50256 in want[0]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    at = common.fresh_path(spark, "tokens")
+    got = {r.doc_id: r for r in tokens.read_token_files(spark, at, tokens.write_token_files(df, at, P, 2, 2)).collect()}
+    assert [list(got[i].ids) for i, _ in rows] == [[*want[i], 2] for i, _ in rows]
+    assert [got[i].start for i, _ in rows] == [sum(len(want[j]) + 1 for j in range(i)) for i, _ in rows]
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(df, P).collect()} == {i: len(x) + 1 for i, x in want.items()}
+
+
 def test_token_files(spark, docs, empty):
     at = common.fresh_path(spark, "tokens")
     shards = tokens.write_token_files(docs, at, P, 2, 3)
