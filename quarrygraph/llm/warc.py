@@ -81,7 +81,7 @@ class Reader(DataSourceReader):
         own = {"record_type", "record_id", "page_id", "payload_digest", "target_uri", "refers_to"}
         for f in filters:
             if isinstance(f, EqualTo | In) and len(f.attribute) == 1 and f.attribute[0] in own:
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                values = ({f.value} if isinstance(f, EqualTo) else set(f.value)) - {None}  # null equals nothing
                 at = f.attribute[0]
                 self.tests[at] = self.tests[at] & values if at in self.tests else values
             elif not isinstance(f, IsNotNull) or f.attribute != ("record_type",):
@@ -110,7 +110,7 @@ class Reader(DataSourceReader):
                 head, more = _head(inflate, member)
                 page, refers = _id(head["WARC-Record-ID"]), _id(head.get("WARC-Refers-To"))
                 digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                row = {"record_id": head["WARC-Record-ID"], "record_type": head["WARC-Type"], "target_uri": head["WARC-Target-URI"], "page_id": page, "payload_digest": digest, "refers_to": head.get("WARC-Refers-To")}
+                row = {"record_id": head["WARC-Record-ID"], "record_type": head["WARC-Type"], "target_uri": head["WARC-Target-URI"], "page_id": page, "payload_digest": digest, "refers_to": None if refers is None else str(refers)}
                 if any(row[k] not in v for k, v in self.tests.items()):
                     continue
                 payload = None
@@ -119,7 +119,7 @@ class Reader(DataSourceReader):
                     payload = block.partition(b"\r\n\r\n")[2]
                     if hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"{row['record_id']}: the payload does not have its digest")
-                yield (row["record_id"], row["record_type"], row["target_uri"], page, int(head["X-Payload-Length"]), digest, str(refers) if refers is not None else None, payload)
+                yield (row["record_id"], row["record_type"], row["target_uri"], page, int(head["X-Payload-Length"]), digest, row["refers_to"], payload)
 
     @staticmethod
     def _next(f, at: int, size: int) -> int:

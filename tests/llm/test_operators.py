@@ -263,6 +263,20 @@ def test_warc(spark):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), none)
 
 
+def test_warc_pushed_predicates(spark):
+    """Every column whose predicates the reader claims, by the values that it returns."""
+    html = "<p>" + "x" * 200
+    at = common.fresh_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame([(1, "http://a/1", html), (2, "http://a/2", html), (3, None, "small"), (None, "u", "own")], "page_id long, url string, html string"), at)
+    rows = warc.read_warc(spark, at).collect()
+    assert [r.refers_to for r in rows if r.page_id == 2] == ["1"]
+    for c in ("record_type", "record_id", "page_id", "payload_digest", "target_uri", "refers_to"):
+        for v in {r[c] for r in rows} - {None}:
+            want = sorted(r.record_id for r in rows if r[c] == v)
+            for cond in (F.col(c) == v, F.col(c).isin(v, None)):
+                assert sorted(r.record_id for r in warc.read_warc(spark, at).where(cond).collect()) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     item = " ".join(f"w{i}q" for i in range(30)).replace("0", "a").replace("1", "b").replace("2", "c")
