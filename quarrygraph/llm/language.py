@@ -19,27 +19,27 @@ UNKNOWN = "und"
 
 
 def dictionaries(docs: DataFrame, size: int = DICTIONARY) -> dict[str, bytes]:
-    """Excerpts of documents (text, lang) chosen by a hash of the text, as many as fill size bytes a language.
+    """Excerpts of distinct texts of documents (text, lang) chosen by a hash of the text, as many as fill size bytes a language; shorter ones are repeated to the longest's size.
 
-    The sample is bounded by a documented parameter; counts by language set its share, so no language's rows are sorted
-    whole. Rows with null language, null or empty text, or a text without a letter teach nothing.
+    The sample is bounded by a documented parameter; counts of distinct texts by language (sketches, for a share with
+    room to spare) set its share, so no language's rows are sorted whole. Rows with null language, null or empty text, or a text without a letter teach nothing.
     """
     x = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     want = 2 * size // EXCERPT + 20
-    n = {r.lang: r["count"] for r in x.groupBy("lang").count().collect()}  # one row a language
+    h = F.xxhash64("text", F.lit(6))
+    n = {r.lang: max(1, r.n) for r in x.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).collect()}  # one row a language
     if not n:
         return {}
     share = F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, 3.0 * want / c))])
-    h = F.xxhash64("text", F.lit(6))
     x = x.withColumn("h", h).where(F.pmod("h", F.lit(1 << 24)) / F.lit(float(1 << 24)) <= share[F.col("lang")])
     begin = 1 + F.pmod(F.shiftright("h", 24), F.greatest(F.lit(1), F.length("text") - EXCERPT))
-    x = x.select("lang", "h", F.lower(F.substring("text", begin.cast("int"), F.lit(EXCERPT))).alias("t"))
+    x = x.select("lang", "h", F.lower(F.substring("text", begin.cast("int"), F.lit(EXCERPT))).alias("t")).groupBy("lang", "h").agg(F.min("t").alias("t"))
     top = x.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= want).orderBy("lang", "k")
     out: dict[str, bytes] = {}
     for r in top.collect():
         out[r.lang] = (out.get(r.lang, b"") + b"\n" + r.t.encode())[:size]
-    least = min(map(len, out.values()))  # the same room for all: none wins by size
-    return {k: v[:least] for k, v in out.items()}
+    most = max(map(len, out.values()), default=0)  # the same size for all, none cut: a rare language takes nothing from others
+    return {k: (v * -(-most // len(v)))[:most] for k, v in out.items()}
 
 
 def predict(docs: DataFrame, known: dict[str, bytes], margin: float = 0.01, level: int = 3) -> DataFrame:

@@ -223,6 +223,15 @@ def test_language(spark, empty):
     assert language.predict(empty, {}).count() == 0 and language.predict(docs, {}).where("lang_pred = 'und'").count() == len(rows)
 
 
+def test_language_dictionaries_keep_their_texts(spark):
+    """A rare language cuts no other, and copies leave no text out."""
+    some = [" ".join(rng.choice(VOCAB) for _ in range(6)) for _ in range(25)]
+    rows = [(t, "en") for t in some] + [(t, "fr") for t in some] + [(t, "fr") for t in some[:2] for _ in range(1500)] + [("rare text", "xx")]
+    got = language.dictionaries(spark.createDataFrame(rows, "text string, lang string"), 4096)
+    assert all(t.encode() in got[k] for t in some for k in ("en", "fr"))
+    assert len({len(v) for v in got.values()}) == 1 and b"rare text" in got["xx"]
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_jaccard(docs, empty, n, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs, n, percent).collect()}
