@@ -30,9 +30,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new temporary one only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a new temporary one only where that is unset and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quarrygraph-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -140,10 +142,15 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTES[data]
 
 
-# ---- fixed-size key filters ----------------------------------------------------------------------------------
+# ---- key filters ---------------------------------------------------------------------------------------------
 
-#: Bits of a key filter. Its size does not grow with the data: 2^23 bits are 1 MB. A fuller filter lets more keys through, never fewer.
-FILTER_BITS = 1 << 23
+#: Bits of a key filter: at least 2^23 (1 MB), 16 for each key up to 2^27 (16 MB, the most that is ever broadcast).
+FILTER_BITS, MOST_BITS = 1 << 23, 1 << 27
+
+
+def bits_for(count: int, least: int = FILTER_BITS, most: int = MOST_BITS) -> int:
+    """Bits of a filter of count keys. A filter at its largest lets more keys through, never fewer."""
+    return min(most, max(least, 1 << (16 * max(count, 1) - 1).bit_length()))
 
 
 def bit_of(key: Column, bits: int = FILTER_BITS) -> Column:
@@ -180,6 +187,28 @@ def with_filter(df: DataFrame, keys: DataFrame, key: str, flag: str, bits: int)
     return joined.withColumn(flag, F.coalesce(on, F.lit(False))).drop("__b", "__m", "__y")
 
 
+# ---- hot keys ------------------------------------------------------------------------------------------------
+
+#: A key is hot from this many rows on, if they are also more than one in HOT_SHARE of all: under HOT_SHARE keys can be.
+HOT_ROWS, HOT_SHARE = 500, 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, counts: DataFrame, total: int) -> DataFrame:
+    """left with right's columns by the key on (right has one row a key; rows without one get nulls).
+
+    counts (on, n) tells left's rows of each key, of total rows. Hot keys, fewer than HOT_SHARE by their definition, get
+    right's row by broadcast; only the others' rows are shuffled, so no task takes a hot key's rows.
+    """
+    others = [c for c in right.columns if c != on]
+    row = right.select(on, F.struct(*others).alias("__r"))
+    hot = counts.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select(on)
+    hot = F.broadcast(row.join(F.broadcast(hot), on, "left_semi").withColumn("__hot", F.lit(True)))
+    x = left.join(hot, on, "left")
+    cold = x.where("__hot is null").select(*left.columns).join(row, on, "left")
+    both = x.where("__hot").select(*left.columns, "__r").union(cold.select(*left.columns, "__r"))
+    return both.select(*left.columns, *[F.col(f"__r.{c}").alias(c) for c in others])
+
+
 # ---- components ----------------------------------------------------------------------------------------------
 
 
@@ -189,15 +218,16 @@ def components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFram
     Large-star and small-star contraction: each round replaces the links by links to the smallest neighbour and
     writes them to the shared folder; it ends once every link is a star's. Links and labels never reach the driver.
     """
-    spark = edges.sparkSession
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     for _ in range(rounds):
+        total = 2 * e.count()
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.where("a <> b").distinct()
-        low2 = small.groupBy("a").agg(F.min("b").alias("m"))
-        nxt = small.join(low2, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), name)
+        large = hot_join(both, low.select("a", "m"), "a", low, total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = cut(large.where("a <> b").distinct(), name)
+        low = cut(small.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), name)
+        nxt = hot_join(small, low.select("a", "m"), "a", low, total)
+        nxt = nxt.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         nxt = cut(nxt, name)
         multi = nxt.groupBy("a").count().where("count > 1").limit(1).count()
         inner = nxt.join(nxt.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count() if not multi else 1

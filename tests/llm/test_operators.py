@@ -249,6 +249,65 @@ def test_jaccard_of_large_groups(spark):
     assert got == brute.jaccard(rows, 3, 90)
 
 
+def test_jaccard_slices_lose_no_pair():
+    """Two sets at the threshold agree in more slices than each may leave out."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for percent in (80, 90):
+        for size in (5, 9, 10, 19, 20, 21, 60, 333, 1500):
+            for _ in range(30):
+                a = common.mix(draw.integers(0, 1 << 62, size).astype(np.uint64))
+                swap = int(draw.integers(0, size // 8 + 2))
+                grow = int(draw.integers(0, size // 8 + 2))
+                b = np.concatenate([a[swap:], common.mix(draw.integers(0, 1 << 62, int(draw.choice([swap, grow, 0]))).astype(np.uint64))])
+                k = len(np.intersect1d(a, b))
+                if 100 * k < percent * (len(a) + len(b) - k) or k == len(a) == len(b):
+                    continue
+                left, right = ([set(k.tolist()) for _, k in jaccard.slice_keys(np.unique(x), percent)] for x in (a, b))
+                spare = [e for x in (a, b) for _, _, e in jaccard.slices(len(np.unique(x)), percent)]
+                assert max(len(x & y) for x in left for y in right) > min(spare)
+
+
+def test_jaccard_overlaps_discard_only_what_falls_short():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    for _ in range(40):
+        pivot = np.unique(common.mix(np.arange(int(draw.integers(1, 200)), dtype=np.uint64)))
+        sets = [np.unique(np.concatenate([draw.choice(pivot, int(draw.integers(1, len(pivot) + 1))), common.mix(draw.integers(1000, 5000, int(draw.integers(0, 9))).astype(np.uint64))])) for _ in range(20)]
+        got = jaccard.overlaps(pivot, np.concatenate(sets), np.repeat(np.arange(20), [len(x) for x in sets]), 20, 80)
+        for x, k in zip(sets, got.tolist(), strict=True):
+            true = len(np.intersect1d(x, pivot))
+            assert k == true or (k == -1 and 100 * true < 80 * (len(x) + len(pivot) - true))
+
+
+def test_jaccard_families(spark):
+    """Families of near copies about the threshold, a very common passage, repeated ids, null ids and equal sets."""
+    common_part, rows, i = prose(12), [], 0
+    for size, change in ((25, 0.03), (25, 0.015), (12, 0.08)):
+        base = prose(rng.randint(30, 90)).split()
+        for _ in range(size):
+            rows.append((i, " ".join(w if rng.random() > change else rng.choice(VOCAB) for w in base)))
+            i += 1
+    rows += [(i + k, f"{prose(6)} {common_part} {prose(6)}") for k in range(40)] + [(i + 40, "  ".join(rows[0][1].upper().split()))]
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (None, None)], "doc_id long, text string").repartition(5)
+    for n, percent in ((3, 90), (5, 80), (2, 70)):
+        got = jaccard.similar_groups(df, n, percent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == brute.jaccard(rows, n, percent)
+        assert [r.component_id for r in got if r.doc_id is None] == [None, None]
+    twice = spark.createDataFrame([(7, rows[0][1]), (7, rows[0][1]), (7, prose(30)), (9, rows[0][1])], "doc_id long, text string")
+    assert [(r.doc_id, r.component_id) for r in jaccard.similar_groups(twice, 3, 90).orderBy("doc_id").collect()] == [(7, 7), (7, 7), (7, 7), (9, 7)]
+
+
+def test_hot_join(spark):
+    """Keys above and below the bound, keys without a row, null keys."""
+    left = spark.range(3000).selectExpr("case when id < 1200 then 7 when id < 1900 then 8 when id < 1905 then null else id end as key", "id")
+    right = spark.createDataFrame([(7, "a"), (2500, "b"), (99999, "c")], "key long, w string")
+    got = common.hot_join(left, right, "key", left.groupBy("key").agg(F.count("*").alias("n")), 3000)
+    assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "key", "left").select("key", "id", "w").collect()))
+
+
 def test_repeats(docs, empty):
     got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(docs, 100, repeats._Digest()).collect()}
     assert got == brute.repeats(DOCS)
