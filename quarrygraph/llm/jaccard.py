@@ -31,7 +31,7 @@ _STEP = np.uint64(0x2545F4914F6CDD1D)
 #: Columns of a set's 256-bit parity map. Two sets differ in at least as many n-grams as their maps do in bits: a bound that discards pairs before they are multiplied.
 MAPS = ("m0", "m1", "m2", "m3")
 #: Rows of a block whose pairs are all formed at once, and rounds of pivots for larger ones before all remaining pairs of different components are formed.
-SMALL, ROUNDS = 8, 3
+SMALL, ROUNDS = 8, 2
 #: Rows that one task multiplies with a pivot, and rows of a block from which its remaining pairs are spread over tasks.
 STRIP = 256
 #: Column slices of a product, after each of which rows are discarded (a power of two).
@@ -207,6 +207,12 @@ def _product(percent: int):
     return run
 
 
+def _close(percent: int) -> str:
+    """What the sets a and b must meet: sizes within the threshold, and parity maps that differ in no more bits than it lets the sets differ."""
+    differ = " + ".join(f"bit_count({m}a ^ {m}b)" for m in MAPS)
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * ({differ}) <= (100 - {percent}) * (na + nb)"
+
+
 def _multiplied(pairs: DataFrame, attributes: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """The pairs (p, v) that link, as (a, b, overlap), by products of strips of rows with their pivot p."""
     pairs = cut(pairs.distinct(), "jaccard-pairs")
@@ -215,9 +221,7 @@ def _multiplied(pairs: DataFrame, attributes: DataFrame, sets: DataFrame, percen
     side = lambda k, e: attributes.select(F.col("v").alias(k), *[F.col(c).alias(c + e) for c in names])
     of_pivot = per.select("p", F.ceil(F.col("n") / STRIP).alias("strips")).join(side("p", "a"), "p")
     x = hot_join(pairs.join(side("v", "b"), "v").select("p", "v", *[c + "b" for c in names]), of_pivot, "p", per, pairs.count())
-    differ = " + ".join(f"bit_count({m}a ^ {m}b)" for m in MAPS)
-    x = x.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * ({differ}) <= (100 - {percent}) * (na + nb)")
-    x = cut(x.select("p", F.pmod(F.xxhash64("v"), "strips").alias("salt"), "v"), "jaccard-strips")
+    x = cut(x.where(_close(percent)).select("p", F.pmod(F.xxhash64("v"), "strips").alias("salt"), "v"), "jaccard-strips")
     rows = x.join(sets, "v").select("p", "salt", F.lit(1).alias("role"), "v", "s")
     heads = x.select("p", "salt").distinct().join(sets.withColumnRenamed("v", "p"), "p").select("p", "salt", F.lit(0).alias("role"), F.col("p").alias("v"), "s")
     strips = heads.union(rows).repartition(parts, "p", "salt").sortWithinPartitions("p", "salt", "role")
@@ -226,12 +230,13 @@ def _multiplied(pairs: DataFrame, attributes: DataFrame, sets: DataFrame, percen
 
 def _labelled(entries: DataFrame, links: DataFrame) -> DataFrame:
     label = components(links.select("a", "b"), "jaccard-cc")
-    return entries.select("h", "v").join(label, "v", "left").select("h", "v", F.coalesce("c", "v").alias("c"))
+    return entries.select("h", "v", "s").join(label, "v", "left").select("h", "v", "s", F.coalesce("c", "v").alias("c"))
 
 
 def _blocks(entries: DataFrame, turn: int, name: str) -> DataFrame:
-    """entries (h, v, c) of blocks that span several components, with their block's rows k and its pivot o, oc of this turn."""
-    pivot = F.min_by(F.struct("v", "c"), F.struct(F.xxhash64("v", F.lit(turn)), "v")).alias("o")
+    """entries (h, v, s, c) of blocks that span several components, with their block's rows k and its pivot o, oc of this turn: first the set that shares most slices, later any."""
+    order = [-F.col("s"), "v"] if turn == 0 else [F.xxhash64("v", F.lit(turn)), "v"]
+    pivot = F.min_by(F.struct("v", "c"), F.struct(*order)).alias("o")
     stats = entries.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), pivot)
     stats = cut(stats.where("lo <> hi").select("h", "n", F.col("o.v").alias("o"), F.col("o.c").alias("oc")), name + "-blocks")
     x = hot_join(entries, stats.withColumn("k", F.col("n")).drop("n"), "h", stats.select("h", "n"), entries.count())
@@ -239,7 +244,7 @@ def _blocks(entries: DataFrame, turn: int, name: str) -> DataFrame:
 
 
 def shared_slices(rows: DataFrame) -> DataFrame:
-    """(h, v): the keys of slices in which another set may agree, without those that each set may leave out."""
+    """(h, v, s): the keys h of slices in which another set may agree, without those that set v may leave out, of s shared ones."""
     tags = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col(f"e{i}").alias("e"), F.col(f"k{i}").alias("k")) for i in (1, 2)])).alias("x")
     keys = rows.select("v", tags).select("v", "x.t", "x.e", F.explode("x.k").alias("h"))
     counts = cut(keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-keys")
@@ -247,7 +252,8 @@ def shared_slices(rows: DataFrame) -> DataFrame:
     keys = with_filter(keys, counts, "h", "maybe", bits_for(held[0])).where("maybe").drop("maybe")
     keys = hot_join(keys, counts.withColumn("k", F.col("n")).drop("n"), "h", counts, held[1] or 0).where("k is not null")
     lists = keys.groupBy("v", "t", "e").agg(F.sort_array(F.collect_list(F.struct("k", "h")), asc=False).alias("l")).where("size(l) > e")
-    return lists.select("v", F.explode(F.expr("slice(l, e + 1, size(l) - e)")).alias("x")).select(F.col("x.h").alias("h"), "v")
+    left = F.expr("slice(l, e + 1, size(l) - e)")
+    return lists.select("v", F.size("l").cast("long").alias("s"), F.explode(left).alias("x")).select(F.col("x.h").alias("h"), "v", "s")
 
 
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -297,12 +303,13 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rest = _blocks(_labelled(entries, links), ROUNDS, "jaccard-rest")
     if rest.limit(1).count():
         spread = F.ceil(F.col("k") / STRIP).cast("int")
-        x = rest.select("h", "v", "c", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
+        # one side lies outside the pivot's component, which may hold nearly all of a block
+        x = rest.where("c <> oc").select("h", "v", "c", "oc", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
         y = rest.select(F.col("h").alias("g"), F.col("v").alias("w"), F.col("c").alias("d"), F.pmod(F.xxhash64("v"), spread).cast("int").alias("at"))
-        size = attributes.select("v", "n")
-        x, y = x.join(size, "v"), y.join(size.select(F.col("v").alias("w"), F.col("n").alias("m")), "w")
-        on = (F.col("h") == F.col("g")) & (F.col("salt") == F.col("at")) & (F.col("v") < F.col("w")) & (F.col("c") != F.col("d"))
-        pairs = x.join(y, on & F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")).select(F.col("v").alias("p"), F.col("w").alias("v"))
+        side = lambda k, e: attributes.select(F.col("v").alias(k), *[F.col(c).alias(c + e) for c in ("n", *MAPS)])
+        x, y = x.join(side("v", "a"), "v"), y.join(side("w", "b"), "w")
+        on = (F.col("h") == F.col("g")) & (F.col("salt") == F.col("at")) & (F.col("c") != F.col("d")) & ((F.col("d") == F.col("oc")) | (F.col("v") < F.col("w")))
+        pairs = x.join(y, on & F.expr(_close(percent))).select(F.col("v").alias("p"), F.col("w").alias("v"))
         links = links.union(_multiplied(pairs, attributes, sets, percent, parts))
     label = components(links.select("a", "b"), "jaccard-cc")
     group = firsts.join(label, "v", "left").select("v", "doc", F.col("n").alias("size"), F.coalesce("c", "v").alias("c"))

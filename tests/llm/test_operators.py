@@ -314,6 +314,61 @@ def test_repeats(docs, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("memory", [1 << 22, 16, 5])
+def test_induced_sorting(memory):
+    """Order, common prefixes and repeated strings against plain sorting; small memories make queues spill and names recur."""
+    import numpy as np
+
+    from quarrygraph.llm import induced
+
+    for trial in range(60):
+        letters = rng.choice([b"ab", b"abc", b"a", bytes(range(256))])
+        strings = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 10))]
+        strings += [strings[0] + b"x", b"y" + strings[0], strings[0]] if trial % 3 == 0 else []
+        data, offs = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0] + [len(x) for x in strings])
+        t, start = induced.joined(data, offs)
+        cap, got = rng.choice([3, 7, 100]), []
+        for pos, lcp in induced.sorted_suffixes(t, cap, memory):
+            got += zip(pos.tolist(), lcp.tolist(), strict=True)
+        want = sorted(((x[k:], j, int(start[j]) + k) for j, x in enumerate(strings) for k in range(len(x))), key=lambda s: ([c + 1 for c in s[0]] + [0], s[1]), reverse=True)
+        shared = [0] + [min(cap, next((k for k, (a, b) in enumerate(zip(x[0], y[0], strict=False)) if a != b), min(len(x[0]), len(y[0])))) for x, y in zip(want, want[1:], strict=False)]
+        assert got == [(w[2], s) for w, s in zip(want, shared, strict=True)]
+        place = np.random.default_rng(trial).permutation(len(data))
+        width, seen = rng.choice([3, 5, 8]), {}
+        for j, x in enumerate(strings):
+            for k in range(len(x) - width + 1):
+                seen.setdefault(x[k : k + width], []).append(int(offs[j]) + k)
+        later = {i for ps in seen.values() for i in ps if place[i] > min(place[p] for p in ps)}
+        assert set(np.flatnonzero(induced.repeated(data, offs, place, width, memory)).tolist()) == later
+
+
+def test_repeats_of_hot_anchors(spark, monkeypatch):
+    """A passage in most documents, split by what its windows share; null and repeated ids; texts in several pieces."""
+    monkeypatch.setattr(repeats, "HOT_ROWS", 6)
+    monkeypatch.setattr(repeats, "HOT_SHARE", 10**9)
+    passage, rows = prose(40), []
+    for i in range(40):
+        rows.append((i, f"{prose(rng.randint(1, 12))}{passage[rng.randint(0, 60) : rng.randint(130, 240)]}{prose(9)}"))
+    rows += [(50, "é" * 150 + passage), (51, rows[3][1]), (52, "b" + "a" * 400), (53, None), (54, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(df, 100, repeats._Digest()).collect()}
+    assert got == brute.repeats(rows)
+    odd = [(None, rows[0][1]), (1, rows[0][1]), (1, rows[0][1]), (2, rows[0][1] + "x")]
+    got = repeats.remove_repeats(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    size = len(rows[0][1].encode())
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, size), (1, size), (2, size)]
+
+
+def test_repeats_in_texts_of_several_pieces(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "_PIECE", 700)
+    passage = prose(60)
+    rows = [(1, prose(300) + passage + prose(100)), (2, prose(90)), (3, prose(50) + passage + prose(200) + passage)]
+    blocks = list(repeats._pieces(iter([]), 100))
+    assert not blocks
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 100, repeats._Digest()).collect()}
+    assert got == brute.repeats(rows)
+
+
 def test_warc(spark):
     html = "<p>" + "x" * 200
     rows = [(3, "http://a/1", html), (1, "http://a/2", html), (2, None, html), (4, "u", None), (5, "u", ""), (6, "u", "small"), (7, "u", "small"), (8, "ü\n", "é" * 60)]
