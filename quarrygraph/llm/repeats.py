@@ -1,10 +1,11 @@
-"""Operator 9: removal of repeated 100-byte strings, exactly, over all documents.
-
-Another method than external induced sorting of all suffixes, which README says why was not built. This sorts sampled
-suffixes only: of each window its smallest q-gram is the anchor, so equal windows have equal anchors at equal places, and a run of windows with one anchor is a block.
-Anchors that occur once end there. Of the others, equal blocks decide all their windows at once, as whole equal
-substrings do in induced sorting; only where one anchor has several blocks are the blocks' bytes sorted together and
-their windows told apart.
+"""Operator 9: removal of repeated 100-byte strings, exactly, over all documents, by external induced sorting of suffixes.
+
+Shards: of each window of 100 bytes its smallest 32-gram is the anchor, so equal windows have equal anchors at equal
+places, and a run of windows with one anchor is a block of at most 168 bytes. Blocks whose anchor occurs once hold no
+repeat. Equal blocks are one row before anything is sorted (the later ones go whole), and the distinct blocks of an
+anchor go to one shard; an anchor with very many is split by the bytes that its windows share. Each task then sorts all
+suffixes of its shards' blocks (induced.py): suffixes whose common prefix with the one before reaches 100 bytes form a
+class, of which the earliest window stays.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import bounded_batches, byte_values, chunks, cut, in_filter, key_filter_array, mix, prefix_hash, span_hash, table, with_filter
-
-#: Bytes of an anchor, and bits of the filters that carry repeated anchors to the next step (8 MB, whatever the data).
-ANCHOR, BITS = 32, 1 << 26
-_PIECE = 4 << 20
+from quarrygraph.llm.common import HOT_ROWS, HOT_SHARE, bits_for, bounded_batches, byte_values, chunks, cut, hot_join, in_filter, key_filter_array, mix, prefix_hash, span_hash, table, with_filter
+from quarrygraph.llm.induced import repeated
 
+#: Bytes of an anchor; bytes of a text that are looked at together; bytes of blocks that are sorted together (more only where one key holds more).
+ANCHOR, _PIECE, SHARD = 32, 4 << 20, 4 << 20
+#: Places of the anchor in a window that go together where an anchor is split.
+PLACES = 9
 
 def blocks(data: np.ndarray, offs: np.ndarray, width: int = 100, q: int = ANCHOR):
     """(document, first window's start in it, windows, anchor's place in the first window, anchor hash, block hash, absolute start), all arrays."""
@@ -78,80 +80,154 @@ def _anchors(width):
     return run
 
 
-def _blocks(width, wanted, with_bytes):
+def _places(ids, rids, doc, start):
+    """A 64-bit number of each (document, text hash, start)."""
+    i = ids.take(pa.array(doc)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    r = rids.take(pa.array(doc)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return mix(mix(mix(i) ^ r) + start.astype(np.uint64))
+
+
+def _blocks(width, wanted, bits):
+    """Blocks with a repeated anchor: the anchor, the block's hash (of bytes and anchor's place), where it is, its windows."""
+
+    def run(batches):
+        for ids, rids, data, offs, base in _pieces(batches, width):
+            doc, start, count, _, key, block, _ = blocks(data, offs, width)
+            on = in_filter(wanted.value, key, bits)
+            doc, start, count, key, block = (v[on] for v in (doc, start, count, key, block))
+            start = start + base[doc]
+            at = pa.array(doc)
+            cols = [pa.array(key.view(np.int64)), pa.array(block.view(np.int64)), ids.take(at), rids.take(at), pa.array(start), pa.array(count, pa.int32()), pa.array(_places(ids, rids, doc, start).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "block", "doc", "rid", "s", "n", "w"])
+
+    return run
+
+
+def _bytes(width, wanted, bits, hot):
+    """The bytes of the wanted blocks, by shard key: the anchor, or where it is hot also some of its places and the bytes that windows with these places share."""
+
     def run(batches):
         for ids, rids, data, offs, base in _pieces(batches, width):
             doc, start, count, place, key, block, lo = blocks(data, offs, width)
-            on = in_filter(wanted.value, key, BITS)
+            on = in_filter(wanted.value, _places(ids, rids, doc, start + base[doc]), bits)
             doc, start, count, place, key, block, lo = (v[on] for v in (doc, start, count, place, key, block, lo))
-            cols = {"h": pa.array(key.view(np.int64)), "doc": ids.take(pa.array(doc)), "rid": rids.take(pa.array(doc)), "s": pa.array(start + base[doc] if len(doc) else start), "n": pa.array(count, pa.int32()), "place": pa.array(place, pa.int32())}
-            if with_bytes:
-                end = lo + count - 1 + width
-                total = end - lo
-                begin = np.cumsum(total) - total
-                flat = data[np.arange(int(total.sum())) + np.repeat(lo - begin, total)]
-                cols["bytes"] = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.append(begin, total.sum()).astype(np.int32)), pa.py_buffer(flat)])
-            else:
-                cols["block"] = pa.array(block.view(np.int64))
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            split = np.isin(key, hot.value)
+            if split.any():
+                # window k of a block has its anchor at place - k; windows of one group of places lie together
+                first = place // PLACES
+                parts = np.where(split, first - (place - count + 1) // PLACES + 1, 1)
+                row = np.repeat(np.arange(len(doc)), parts)
+                g = first[row] - (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+                on = split[row]
+                begin = np.where(on, np.maximum(place[row] - (g * PLACES + PLACES - 1), 0), 0)
+                stop = np.where(on, np.minimum(place[row] - g * PLACES, count[row] - 1), count[row] - 1)
+                h = prefix_hash(byte_values(data))
+                anchor = lo[row] + place[row]
+                core = span_hash(h, np.where(on, anchor - g * PLACES, anchor), np.where(on, anchor - (g * PLACES + PLACES - 1) + width, anchor + ANCHOR))
+                doc, start, lo, count, key, block = doc[row], start[row] + begin, lo[row] + begin, stop - begin + 1, key[row], block[row]
+                key = np.where(on, mix(core + g.astype(np.uint64)), key)
+                own = mix(span_hash(h, lo, lo + count - 1 + width) + (place[row] - begin).astype(np.uint64))
+                block, split = np.where(on, own, block), on
+            total = count - 1 + width
+            begin = np.cumsum(total) - total
+            flat = data[np.arange(int(total.sum())) + np.repeat(lo - begin, total)]
+            at = pa.array(doc)
+            cut_ = pa.py_buffer(np.append(begin, total.sum()).astype(np.int32))
+            held = pa.Array.from_buffers(pa.binary(), len(lo), [None, cut_, pa.py_buffer(flat)])
+            cols = [pa.array(key.view(np.int64)), pa.array(block.view(np.int64)), ids.take(at), rids.take(at), pa.array(start + base[doc]), pa.array(count, pa.int32()), held, pa.array(split)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "block", "doc", "rid", "s", "n", "bytes", "split"])
 
     return run
 
 
-def _tell_apart(width):
-    """Blocks by anchor, document and start: each window that an earlier block of the anchor had, as intervals. Memory holds one batch and one anchor's distinct windows."""
+def _sorted(width):
+    """Blocks by shard key to the intervals of windows that an earlier block of the key has. Memory holds the blocks of one sort, and of these suffixes beyond induced.MEMORY wait on disk."""
+
+    def found(batches):
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        doc, rid, s = (rows.column(i).combine_chunks() for i in (1, 2, 3))
+        col = rows.column(5).combine_chunks()
+        data, offs = np.frombuffer(col.buffers()[2], np.uint8), np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset).astype(np.int64)
+        data, offs = data[offs[0] : offs[-1]], offs - offs[0]
+        where = [x.to_numpy(zero_copy_only=False) for x in (rid, doc.fill_null(0), doc.is_valid())]
+        by = np.lexsort(where)
+        new = np.append(False, np.any([x[by][1:] != x[by][:-1] for x in where], axis=0))[: len(by)]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(new)
+        row = np.repeat(np.arange(len(by)), np.diff(offs))
+        k = np.arange(len(data)) - offs[:-1][row]
+        s = s.to_numpy(zero_copy_only=False)
+        dup = repeated(data, offs, (rank[row] << 40) + s[row] + k, width)
+        edge = np.flatnonzero(dup & ((k == 0) | ~np.append(False, dup[:-1])))
+        stop = np.flatnonzero(dup & np.append(~dup[1:] | (k[1:] == 0), True))
+        r = pa.array(row[edge])
+        return pa.RecordBatch.from_arrays([doc.take(r), rid.take(r), pa.array(s[row[edge]] + k[edge]), pa.array(s[row[edge]] + k[stop] + width)], names=["doc", "rid", "a", "b"])
 
     def run(batches):
-        last, held = None, np.zeros(0, np.uint64)
+        held, size, last = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h = batch.column(0).to_numpy()
-            n, place = batch.column(4).to_numpy().astype(np.int64), batch.column(5).to_numpy().astype(np.int64)
-            col = batch.column(6)
-            data, offs = np.frombuffer(col.buffers()[2], np.uint8), np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset).astype(np.int64)
-            hash_ = prefix_hash(byte_values(data[offs[0] : offs[-1]]))
-            offs = offs - offs[0]
-            begin = np.cumsum(n) - n
-            row = np.repeat(np.arange(len(n)), n)
-            k = np.arange(int(n.sum())) - begin[row]
-            a = offs[:-1][row] + k
-            key = mix(span_hash(hash_, a, a + width) + mix(h.view(np.uint64)[row] + (place[row] - k).astype(np.uint64)))
-            _, first = np.unique(key, return_index=True)
-            dup = np.ones(len(key), bool)
-            dup[first] = False
-            if last == h[0]:
-                dup |= np.isin(key, held)
-            tail = key[h[row] == h[-1]]
-            held = np.unique(np.concatenate([held, tail]) if last == h[-1] else tail)
-            last = h[-1]
-            edge = np.flatnonzero(dup & np.concatenate([[True], ~dup[:-1] | (row[1:] != row[:-1])]))
-            stop = np.flatnonzero(dup & np.concatenate([~dup[1:] | (row[1:] != row[:-1]), [True]]))
-            s = batch.column(3).to_numpy()
-            r = pa.array(row[edge])
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(r), batch.column(2).take(r), pa.array(s[row[edge]] + k[edge]), pa.array(s[row[stop]] + k[stop] + width)], names=["doc", "rid", "a", "b"])
+            key = batch.column(0).to_numpy()
+            change = np.flatnonzero(np.append(last is not None and key[0] != last, key[1:] != key[:-1]))
+            last, j = key[-1], int(change[-1]) if len(change) else 0
+            if len(change) and size + batch.nbytes * j // len(key) >= SHARD:
+                yield found([*held, batch.slice(0, j)])
+                held, size, batch = [], 0, batch.slice(j)
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield found(held)
 
     return run
 
 
+def _later(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """rows with first, the place of the first of their class (block) if it has several."""
+    several = classes.where("m > 1")
+    return hot_join(rows, several.select("block", "first"), "block", several.select("block", F.col("m").alias("n")), total)
+
+
+def _not_first(rows: DataFrame, width: int) -> DataFrame:
+    here = F.struct("doc", "rid", "s").eqNullSafe(F.struct("first.doc", "first.rid", "first.s"))
+    return rows.where(F.col("first").isNotNull() & ~here).select("doc", "rid", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + width).alias("b"))
+
+
 def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     """(doc, rid, a, b): byte intervals of docs (doc_id, rid, text) covered by a string of width bytes that also starts earlier; they may overlap."""
     spark = docs.sparkSession
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "rid", "text")
-    counts = x.mapInArrow(_anchors(width), "h long, k int").groupBy("h").agg(F.sum("k").alias("k")).where("k > 1")
-    wanted = spark.sparkContext.broadcast(key_filter_array(counts, "h", BITS))
-    found = cut(x.mapInArrow(_blocks(width, wanted, False), "h long, doc long, rid long, s long, n int, place int, block long"), "repeats-blocks")
-    by_block = found.groupBy("h", "block").agg(F.min(F.struct("doc", "rid", "s")).alias("first"), F.count(F.lit(1)).alias("m"))
+    counts = x.mapInArrow(_anchors(width), "h long, k int").groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h")
+    counts = cut(counts, "repeats-anchors")
+    bits = bits_for(counts.count())
+    wanted = spark.sparkContext.broadcast(key_filter_array(counts, "h", bits))
+    found = cut(x.mapInArrow(_blocks(width, wanted, bits), "h long, block long, doc long, rid long, s long, n int, w long"), "repeats-blocks")
+    by_block = found.groupBy("block").agg(F.first("h").alias("h"), F.min(F.struct("doc", "rid", "s", "w")).alias("first"), F.count(F.lit(1)).alias("m"))
     by_block = cut(by_block, "repeats-classes")
-    by_anchor = by_block.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("m"))
-    several = spark.sparkContext.broadcast(key_filter_array(by_anchor.where("kinds > 1"), "h", BITS))
-    alone = by_anchor.where("kinds = 1 and m > 1").select("h")
-    firsts = by_block.where("m > 1").join(alone, "h", "left_semi").select("h", "first")
-    whole = found.join(firsts, "h").where(~F.struct("doc", "rid", "s").eqNullSafe(F.col("first"))).select("doc", "rid", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + width).alias("b"))
-    parts = x.mapInArrow(_blocks(width, several, True), "h long, doc long, rid long, s long, n int, place int, bytes binary")
+    total = found.count()
+    several = by_block.where("m > 1").select("block")
+    again = with_filter(found, several, "block", "maybe", bits_for(several.count())).where("maybe").select("block", "doc", "rid", "s", "n")
+    whole = _not_first(_later(again, by_block, total), width)
+    # distinct blocks of anchors that have several
+    kinds = cut(by_block.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeats-kinds")
+    n_kinds = kinds.agg(F.sum("n")).first()[0] or 0
+    hot = [r.h for r in kinds.where(F.col("n") > max(HOT_ROWS, n_kinds // HOT_SHARE)).select("h").collect()]  # fewer than HOT_SHARE
+    mixed = with_filter(by_block, kinds, "h", "maybe", bits_for(kinds.count())).where("maybe").select(F.col("first.w").alias("w"))
+    bits = bits_for(n_kinds)
+    wanted = spark.sparkContext.broadcast(key_filter_array(mixed, "w", bits))
+    hot = spark.sparkContext.broadcast(np.array(hot, np.int64).view(np.uint64))
+    parts = x.mapInArrow(_bytes(width, wanted, bits, hot), "key long, block long, doc long, rid long, s long, n int, bytes binary, split boolean")
+    if len(hot.value):
+        parts = cut(parts, "repeats-parts")
+        again = parts.where("split")
+        classes = cut(again.groupBy("block").agg(F.min(F.struct("doc", "rid", "s")).alias("first"), F.count(F.lit(1)).alias("m")), "repeats-split")
+        again = cut(_later(again, classes, again.count()), "repeats-again")
+        whole = whole.union(_not_first(again, width))
+        firsts = again.where(F.col("first").isNull() | F.struct("doc", "rid", "s").eqNullSafe(F.col("first"))).select(parts.columns)
+        parts = parts.where("not split").union(firsts)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts.dropDuplicates(["h", "doc", "rid", "s"]).repartition(n, "h").sortWithinPartitions("h", "doc", "rid", "s")
-    return whole.union(parts.mapInArrow(_tell_apart(width), "doc long, rid long, a long, b long"))
+    parts = parts.select("key", "doc", "rid", "s", "n", "bytes").repartition(n, "key").sortWithinPartitions("key")
+    return whole.union(parts.mapInArrow(_sorted(width), "doc long, rid long, a long, b long"))
 
 
 def _removed(row):
@@ -206,7 +282,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, row=None) -> DataFrame:
     docs = docs.withColumn("rid", F.xxhash64("text"))
     spans = repeated_spans(docs.where(F.octet_length("text") >= width), width)
     marks = cut(spans.groupBy("doc", "rid").agg(F.collect_list(F.struct("a", "b")).alias("marks")), "repeats-marks")
-    docs = with_filter(docs, marks.select("rid"), "rid", "maybe", BITS // 8)
+    docs = with_filter(docs, marks.select("rid"), "rid", "maybe", bits_for(marks.count()))
     none = F.lit(None).cast("array<struct<a: bigint, b: bigint>>")
     free = docs.where("not maybe").select("doc_id", "text", none.alias("marks"))
     touched = docs.where("maybe").join(marks.withColumnRenamed("rid", "r"), F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("rid")), "left").select("doc_id", "text", "marks")
