@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends at a table in the folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+def cut(df: DataFrame, name: str = "graph") -> DataFrame:
+    """Lineage ends at a table in the folder of spark.checkpoint.dir, which driver and executors share; only where all runs in one process a temporary folder stands in for an unset one."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quarrygraph-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -29,14 +31,14 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
     Labels fall to the least label next to them and then to their label's label, so rounds grow with the logarithm of the diameter on paths.
     """
     both = edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")).distinct()
-    both = _cut(both)
+    both = cut(both)
     every = edges.select(F.explode(F.array("src", "dst")).alias("v"))
-    label = _cut((every if nodes is None else every.union(nodes.select("v"))).distinct().withColumn("c", F.col("v")))
+    label = cut((every if nodes is None else every.union(nodes.select("v"))).distinct().withColumn("c", F.col("v")))
     while True:
         near = both.join(label, F.col("dst") == F.col("v")).groupBy("src").agg(F.min("c").alias("m"))
         x = label.join(near, F.col("v") == F.col("src"), "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
         up = label.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        x = _cut(x.join(up, "c").select("v", "old", F.least("c", "cc").alias("c")))
+        x = cut(x.join(up, "c").select("v", "old", F.least("c", "cc").alias("c")))
         label = x.select("v", "c")
         if not x.where("c <> old").limit(1).count():
             return label.select("v", F.col("c").alias("component"))
@@ -49,61 +51,61 @@ def strong_components(edges: DataFrame) -> DataFrame:
     forwards, and what reaches a colour's root backwards within the colour is a component; repeat on the rest.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("v")).distinct()
-    e = _cut(edges.where("src <> dst").select("src", "dst").distinct())
+    e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found = loops.withColumn("component", F.col("v")).limit(0)
     while True:
         while True:  # trim
             n = e.count()
-            e = _cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             if e.count() == n:
                 break
         if not n:
             break
-        colour = _cut(e.select(F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("c", F.col("v")))
+        colour = cut(e.select(F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("c", F.col("v")))
         while True:
             into = e.join(colour, F.col("src") == F.col("v")).groupBy("dst").agg(F.min("c").alias("m"))
-            x = _cut(colour.join(into, F.col("v") == F.col("dst"), "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))
+            x = cut(colour.join(into, F.col("v") == F.col("dst"), "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))
             colour = x.select("v", "c")
             if not x.where("c <> old").limit(1).count():
                 break
         inner = e.join(colour.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
-        inner = _cut(inner.select("src", "dst", F.col("cs").alias("c")))
-        reach = _cut(colour.where("v = c"))
+        inner = cut(inner.select("src", "dst", F.col("cs").alias("c")))
+        reach = cut(colour.where("v = c"))
         while True:
             more = inner.join(reach.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"), "c").distinct().join(reach, ["v", "c"], "left_anti")
-            more = _cut(more)
+            more = cut(more)
             if not more.limit(1).count():
                 break
-            reach = _cut(reach.union(more))
-        found = _cut(found.union(reach.select("v", F.col("c").alias("component"))))
+            reach = cut(reach.union(more))
+        found = cut(found.union(reach.select("v", F.col("c").alias("component"))))
         done = reach.select("v")
-        e = _cut(e.join(done.select(F.col("v").alias("src")), "src", "left_anti").join(done.select(F.col("v").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        e = cut(e.join(done.select(F.col("v").alias("src")), "src", "left_anti").join(done.select(F.col("v").alias("dst")), "dst", "left_anti").select("src", "dst"))
     sized = found.join(found.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("v", "component")
     return sized.union(loops.join(sized, "v", "left_anti").withColumn("component", F.col("v")))
 
 
 def is_acyclic(edges: DataFrame) -> bool:
     """Whether peeling vertices without a way in leaves no edge."""
-    e = _cut(edges.select("src", "dst").distinct())
+    e = cut(edges.select("src", "dst").distinct())
     while True:
         n = e.count()
         if not n:
             return True
-        e = _cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
         if e.count() == n:
             return False
 
 
 def bounded_levels(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, v, level): vertices by the level at which each root first reaches them, to a depth; all roots at once."""
-    seen = _cut(roots.select(F.col("v").alias("root"), "v", F.lit(0).alias("level")))
+    seen = cut(roots.select(F.col("v").alias("root"), "v", F.lit(0).alias("level")))
     last = seen
     for level in range(1, depth + 1):
         step = last.join(edges.select(F.col("src").alias("v"), "dst"), "v").select("root", F.col("dst").alias("v")).distinct()
-        last = _cut(step.join(seen, ["root", "v"], "left_anti").withColumn("level", F.lit(level)).select("root", "v", "level"))
+        last = cut(step.join(seen, ["root", "v"], "left_anti").withColumn("level", F.lit(level)).select("root", "v", "level"))
         if not last.limit(1).count():
             break
-        seen = _cut(seen.union(last))
+        seen = cut(seen.union(last))
     return seen
 
 
@@ -116,7 +118,7 @@ def bounded_trace(edges: DataFrame, roots: DataFrame, depth: int, cap: int, leav
     cap and "depth" where the depth kept dst out.
     """
     spread = edges.select(F.col("src").alias("v"), "dst", "kind", "at")
-    seen = _cut(roots.select(F.col("v").alias("root"), "v", F.lit(0).alias("level"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("open")))
+    seen = cut(roots.select(F.col("v").alias("root"), "v", F.lit(0).alias("level"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("open")))
     last = seen
     for level in range(1, depth + 1):
         near = last.where("open").join(spread, "v").join(seen.select("root", F.col("v").alias("dst")), ["root", "dst"], "left_anti")
@@ -125,10 +127,10 @@ def bounded_trace(edges: DataFrame, roots: DataFrame, depth: int, cap: int, leav
         row = F.row_number().over(Window.partitionBy("root").orderBy("f.place", "f.at", "dst"))
         new = first.join(held, "root").withColumn("place", row + F.col("held") - 1).where(F.col("place") < cap)
         opens = ~F.col("f.kind").isin(list(leaves)) if leaves else F.lit(True)
-        last = _cut(new.select("root", F.col("dst").alias("v"), F.lit(level).alias("level"), F.col("place").cast("long").alias("place"), opens.alias("open")))
+        last = cut(new.select("root", F.col("dst").alias("v"), F.lit(level).alias("level"), F.col("place").cast("long").alias("place"), opens.alias("open")))
         if not last.limit(1).count():
             break
-        seen = _cut(seen.union(last))
+        seen = cut(seen.union(last))
     ends = seen.select("root", F.col("v").alias("dst"), F.lit(True).alias("__in"))
     out = seen.where("open").join(spread, "v").join(ends, ["root", "dst"], "left")
     why = F.when(F.col("__in").isNull(), F.when(F.col("level") >= depth, "depth").otherwise("size"))
@@ -163,15 +165,15 @@ def _spread_wide(x: DataFrame, rounds: int) -> DataFrame:
     from its smaller neighbours' new and its larger neighbours' old labels until nothing moves, which is the sequential
     order's only fixed point. A round takes as many steps as a change passes on along rising vertices, and one more."""
     e = x.where("src <> dst").select("src", "dst")
-    near = _cut(e.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(e.select("dst", "src")).groupBy("v", "u").agg(F.count(F.lit(1)).alias("n")))
-    state = _cut(x.select(F.explode(F.array("src", "dst")).alias("v")).distinct().select("v", F.col("v").alias("old"), F.col("v").alias("new")))
+    near = cut(e.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(e.select("dst", "src")).groupBy("v", "u").agg(F.count(F.lit(1)).alias("n")))
+    state = cut(x.select(F.explode(F.array("src", "dst")).alias("v")).distinct().select("v", F.col("v").alias("old"), F.col("v").alias("new")))
     for _ in range(rounds):
         while True:
             seen = near.join(state.select(F.col("v").alias("u"), F.col("old").alias("o"), F.col("new").alias("w")), "u")
             tally = seen.groupBy("v", F.when(F.col("u") < F.col("v"), F.col("w")).otherwise(F.col("o")).alias("l")).agg(F.sum("n").alias("n"))
             best = tally.join(state.select("v", "old"), "v").groupBy("v").agg(F.min(F.struct((-F.col("n")).alias("n"), "l")).alias("b"), F.coalesce(F.max(F.when(F.col("l") == F.col("old"), F.col("n"))), F.lit(0)).alias("own"))
             step = state.join(best, "v", "left").select("v", "old", F.col("new").alias("last"), F.when(-F.col("b.n") > F.col("own"), F.col("b.l")).otherwise(F.col("old")).alias("new"))
-            step = _cut(step)
+            step = cut(step)
             state = step.select("v", "old", "new")
             if not step.where("new <> last").limit(1).count():
                 break
@@ -183,7 +185,7 @@ def _spread_wide(x: DataFrame, rounds: int) -> DataFrame:
 
 def _runs(got: DataFrame, size: int) -> DataFrame:
     """(v, label, part): each label's members in order in runs of size; ranges of members are ranked apart, so no task orders a whole label."""
-    x = _cut(got.select("v", "label").repartitionByRange("label", "v").withColumn("range", F.spark_partition_id()))
+    x = cut(got.select("v", "label").repartitionByRange("label", "v").withColumn("range", F.spark_partition_id()))
     ahead = Window.partitionBy("label").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     held = x.groupBy("label", "range").agg(F.count(F.lit(1)).alias("n")).select("label", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     place = F.col("ahead") + F.row_number().over(Window.partitionBy("label", "range").orderBy("v")) - 1
@@ -198,18 +200,18 @@ def label_communities(edges: DataFrame, rounds: int = 20, size: int = 25, group:
     sequential by definition: one row a community, not its members, goes to its one task.
     """
     comp = weak_components(edges)
-    x = _cut(edges.select("src", "dst").distinct().join(comp, F.col("src") == F.col("v")).select("component", "src", "dst"))
+    x = cut(edges.select("src", "dst").distinct().join(comp, F.col("src") == F.col("v")).select("component", "src", "dst"))
     kind = dict(edges.dtypes)["src"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         label = _spread(pdf, rounds)
         return pd.DataFrame({"v": list(label), "label": list(label.values())})
 
-    large = _cut(x.groupBy("component").count().where(F.col("count") > group).select("component"))
+    large = cut(x.groupBy("component").count().where(F.col("count") > group).select("component"))
     got = x.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, f"v {kind}, label {kind}")
     if large.limit(1).count():
         got = got.union(_spread_wide(x.join(large, "component", "left_semi"), rounds))
-    got = _cut(_runs(got, size).select("v", F.min("v").over(Window.partitionBy("label", "part")).alias("community")))
+    got = cut(_runs(got, size).select("v", F.min("v").over(Window.partitionBy("label", "part")).alias("community")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["n", "community"], ascending=[False, True])

@@ -14,14 +14,44 @@ def longest_prefix(rows: DataFrame, key: str, path: str, prefixes: DataFrame, pr
     return x.groupBy(key).agg(F.min_by(value, F.struct(-F.length(prefix), value)).alias(value))
 
 
-def innermost_span(points: DataFrame, point_id: str, at: str, spans: DataFrame, span_id: str, start: str, end: str, on: str) -> DataFrame:
-    """(point_id, span_id, depth): of the spans of the same group that contain the point, the one that starts last (ties: smallest id), and how many contain it."""
-    s = spans.select(F.col(on).alias("__on"), F.col(span_id).alias("__span"), F.col(start).alias("__s"), F.col(end).alias("__e"))
-    x = points.join(s, (F.col(on) == F.col("__on")) & F.col(at).between(F.col("__s"), F.col("__e")))
+def innermost_span(points: DataFrame, point_id: str, at: str, spans: DataFrame, span_id: str, start: str, end: str, on: str, width: int | None = None) -> DataFrame:
+    """(point_id, span_id, depth): of the spans of the same group that contain the point, the one that starts last (ties: smallest id), and how many contain it.
+
+    With width, groups are cut at its multiples and a span takes part in each piece that it touches, so a large group is
+    many keys: choose about the length of a usual span.
+    """
+    piece = lambda c: F.floor(c / F.lit(width)) if width else F.lit(0).cast("long")
+    s = spans.select(F.col(on).alias("__on"), F.col(span_id).alias("__span"), F.col(start).alias("__s"), F.col(end).alias("__e")).where("__e >= __s")
+    s = s.withColumn("__p", F.explode(F.sequence(piece(F.col("__s")), piece(F.col("__e")))))
+    x = points.join(s, (F.col(on) == F.col("__on")) & (piece(F.col(at)) == F.col("__p")) & F.col(at).between(F.col("__s"), F.col("__e")))
     best = F.max_by("__span", F.struct("__s", -F.col("__span")))
     return x.groupBy(point_id).agg(best.alias(span_id), F.count(F.lit(1)).alias("depth"))
 
 
+def contained(rows: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str, words: int = 8) -> DataFrame:
+    """(key, item_key) where the text contains the item, as contains() says; empty and null items are in none.
+
+    An item's words but for its first and last stand whole in a text that contains it, so up to eight of them in a row
+    are the key that both sides join by. Items of one or two words join by their first three characters (one, if they
+    are shorter). Both only find pairs; containment decides.
+    """
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    i = items.select(F.col(item_key).alias("__i"), F.col(item).alias("__t")).where("__t <> ''").withColumn("__w", split(F.col("__t")))
+    inner = i.where("size(__w) > 2").withColumn("__n", F.least(F.size("__w") - 2, F.lit(words)))
+    inner = inner.select("__i", "__n", F.xxhash64(F.array_join(F.slice("__w", 2, F.col("__n")), " ")).alias("__k"))
+    short = i.where("size(__w) <= 2").select("__i", F.substring("__t", 1, F.when(F.length("__t") > 2, 3).otherwise(1)).alias("__k"))
+    d = rows.select(F.col(key).alias("__d"), F.col(text).alias("__x")).where("__x is not null")
+    lengths = F.broadcast(inner.select("__n").distinct())  # at most words rows
+    w = d.select("__d", split(F.col("__x")).alias("__w"))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - F.col("__n") + 1, F.lit(1))), lambda p: F.xxhash64(F.array_join(F.slice("__w", p, F.col("__n")), " ")))
+    long_hits = w.join(lengths, F.size("__w") >= F.col("__n")).select("__d", "__n", F.explode(F.array_distinct(windows)).alias("__k")).join(inner, ["__n", "__k"]).select("__d", "__i")
+    grams = F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__x") - 2, F.lit(1))), lambda p: F.substring(F.col("__x"), p, 3)), F.split("__x", ""))
+    short_hits = d.join(F.broadcast(short.select(F.lit(1).alias("__any")).limit(1))).select("__d", F.explode(F.array_distinct(grams)).alias("__k")).join(short, "__k").select("__d", "__i")
+    hits = long_hits.union(short_hits).distinct()
+    both = hits.join(d, "__d").join(i.select("__i", "__t"), "__i").where("contains(__x, __t)")
+    return both.select(F.col("__d").alias(key), F.col("__i").alias(item_key)).distinct()
+
+
 def asof_or_first(left: DataFrame, right: DataFrame, on: str, at: str, left_id: str, right_id: str) -> DataFrame:
     """(left_id, right_id, matched): the last right row at or before each left row, else the group's first one.
 

@@ -92,15 +92,23 @@ def admission(log: DataFrame, requests: DataFrame, window_s: int = 60, limit: in
     """requests (key, at, need) with their wait in seconds: until the oldest of the calls in the window that stand in the way have left it; infinite beyond the limit.
 
     A request sees only calls of its key in (at - window, at]; calls are dealt to the two windows that they can matter to.
+    Each call carries the limit's number of latest call times, no more, so a busy key makes no long lists.
     """
+    micros = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
     slot = lambda c: F.floor(F.col(c) / window_s)
+    part = Window.partitionBy("key", "__w")
     c = counted(log).select("key", "ts", F.explode(F.array(slot("ts"), slot("ts") + 1)).alias("__w"))
-    r = requests.withColumn("__w", slot("at"))
-    near = r.join(c, ["key", "__w"], "left").withColumn("ts", F.when((F.col("ts") > F.col("at") - window_s) & (F.col("ts") <= F.col("at")), F.col("ts")))
-    t = near.groupBy("key", "at", "need").agg(F.array_sort(F.collect_list("ts")).alias("times"))
-    k = F.size("times") + F.col("need") - limit
-    wait = F.when(F.col("need") > limit, F.lit(float("inf"))).when(k <= 0, 0.0).otherwise(F.get("times", F.greatest(k, F.lit(1)) - 1) + window_s - F.col("at") + 0.01)
-    return t.select("key", "at", "need", F.size("times").alias("used"), wait.alias("wait"))
+    c = c.withColumn("__last", F.collect_list("ts").over(part.orderBy("ts").rowsBetween(1 - limit, 0)))
+    r = requests.select("key", F.col("at").alias("ts"), slot("at").alias("__w"), F.lit(None).cast("array<double>").alias("__last"), "need", F.lit(1).alias("__r"))
+    both = c.select("key", "ts", "__w", "__last", F.lit(None).cast(requests.schema["need"].dataType).alias("need"), F.lit(0).alias("__r")).union(r)
+    both = both.withColumn("__us", micros("ts"))
+    recent = F.last("__last", ignorenulls=True).over(part.orderBy("__us", "__r").rowsBetween(Window.unboundedPreceding, 0))
+    used = F.sum(1 - F.col("__r")).over(part.orderBy("__us").rangeBetween(1 - window_s * 1_000_000, 0))
+    x = both.withColumns({"__seen": recent, "used": F.coalesce(used, F.lit(0)).cast("int")}).where("__r = 1").distinct()
+    k = F.col("used") + F.col("need") - limit
+    nth = F.get("__seen", F.size("__seen") - (limit - F.col("need") + 1))
+    wait = F.when(F.col("need") > limit, F.lit(float("inf"))).when(k <= 0, 0.0).otherwise(nth + window_s - F.col("ts") + 0.01)
+    return x.select("key", F.col("ts").alias("at"), "need", "used", wait.alias("wait"))
 
 
 def remaining(state: DataFrame) -> DataFrame:

@@ -28,10 +28,10 @@ def admit_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.admit(cited, d.where("doc_id % 7 <> 0"), lines).select("id", "reason", "line_start", "line_end")
 
 
-@query("SELECT doc_id, 'ev:' || substr(sha1(concat_ws('|', source, 'None', n_chars, lang, 'doc', '')), 1, 12) AS evidence_id FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+@query("SELECT doc_id, 'ev:' || substr(sha1(concat_ws('|', coalesce(source, ''), 'None', coalesce(CAST(n_chars AS VARCHAR), 'None'), coalesce(lang, ''), 'doc', '')), 1, 12) AS evidence_id FROM documents")
 def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Tables(spark, sf_dir).documents.where("lang is not null and source is not null")
-    return d.select("doc_id", E.evidence_id(F.col("source"), F.lit(None), F.col("n_chars"), F.col("lang"), F.lit("doc"), F.lit("")).alias("evidence_id"))
+    none = lambda c: F.coalesce(c, F.lit(""))
+    return Tables(spark, sf_dir).documents.select("doc_id", E.evidence_id(none("source"), F.lit(None), F.col("n_chars"), none("lang"), F.lit("doc"), F.lit("")).alias("evidence_id"))
 
 
 def _label_sql(rounds: int) -> str:

@@ -91,7 +91,7 @@ ON e.user_id = s.user_id AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 1 DAY GROU
 def innermost_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", "user_id", "us")
     s = e.select("user_id", F.col("event_id").alias("span_id"), F.col("us").alias("s"), (F.col("us") + 86_400_000_000).alias("e"))
-    return joins.innermost_span(e, "event_id", "us", s, "span_id", "s", "e", "user_id")
+    return joins.innermost_span(e, "event_id", "us", s, "span_id", "s", "e", "user_id", width=86_400_000_000)
 
 
 @query("""WITH v AS (SELECT * FROM events WHERE event_type = 'view'), p AS (SELECT * FROM events WHERE event_type = 'purchase')
@@ -122,21 +122,16 @@ def unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.unique_match(p.withColumn("id", F.col("p_partkey")), p.withColumn("hit", F.col("p_partkey")), "id", "hit", ["p_name", "p_brand"], ["p_name", "p_type"])
 
 
-@query("""WITH e AS (SELECT DISTINCT o_custkey AS src, l_partkey AS chan FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_discount < 0.02)
+@query("""WITH e AS (SELECT DISTINCT c_nationkey AS src, l_partkey AS chan FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
 SELECT x.src AS a, y.src AS b, count(*) AS channels FROM e x JOIN e y USING (chan) WHERE x.src <> y.src GROUP BY 1, 2""")
 def channel_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations that bought the same parts; a part is a channel, and at most 25 nations meet in one."""
     t = Tables(spark, sf_dir)
-    e = t.lineitem.where("l_quantity = 50 and l_discount < 0.02").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("chan"))
-    return joins.through_channel(e)
+    x = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return joins.through_channel(x.select(F.col("c_nationkey").alias("src"), F.col("l_partkey").alias("chan")))
 
 
-_SPARSE = "SELECT o_custkey AS c, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_discount < 0.02"
-
-
-def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    x = t.lineitem.where("l_quantity = 50 and l_discount < 0.02").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return x.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+_BOUGHT = "SELECT DISTINCT 'c' || o_custkey AS a, 'p' || l_partkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
 def bought_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,10 +141,15 @@ def bought_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT 'c' || c AS a, 'p' || p AS b FROM ({_SPARSE})), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON r.w = u.a) SELECT v, min(w) AS component FROM r GROUP BY v""")
+def _least_label_sql(rounds: int) -> str:
+    """Components by the smallest label of the neighbours, round by round: as many rounds as the graph's diameter suffice."""
+    steps = [f"l{i} AS (SELECT u.a AS v, min(l.c) AS c FROM u JOIN l{i - 1} l ON u.b = l.v GROUP BY 1)" for i in range(1, rounds + 1)]
+    return f"WITH e AS ({_BOUGHT}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e), l0 AS (SELECT DISTINCT a AS v, a AS c FROM u), {', '.join(steps)} SELECT v, c AS component FROM l{rounds}"
+
+
+@query(_least_label_sql(12))
 def wcc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.weak_components(sparse_edges(spark, sf_dir))
+    return graphs.weak_components(bought_edges(spark, sf_dir))
 
 
 _FUNCTIONAL = f"""SELECT a, min_by(b, (-n, b)) AS b FROM (SELECT a, b, count(*) AS n FROM ({TRADE_SQL}) WHERE a <> b GROUP BY ALL) GROUP BY a"""
@@ -178,10 +178,12 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.bounded_levels(hierarchy(spark, sf_dir), roots, 6)
 
 
-@query("SELECT true AS hierarchy, false AS with_cycle")
+@query(f"""WITH RECURSIVE e AS ({_HIERARCHY}), f AS (SELECT a, b FROM e UNION SELECT 'n0', a FROM e WHERE b = 'n0'),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), q AS (SELECT a, b FROM f UNION SELECT q.a, f.b FROM q JOIN f ON q.b = f.a)
+SELECT NOT EXISTS (SELECT 1 FROM r WHERE a = b) AS hierarchy, NOT EXISTS (SELECT 1 FROM q WHERE a = b) AS with_cycle""")
 def dag_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = hierarchy(spark, sf_dir)
-    back = spark.createDataFrame([("n0", "r0")], "src string, dst string").union(e.where("dst = 'n0'").select("dst", "src"))
+    back = e.where("dst = 'n0'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return spark.createDataFrame([(graphs.is_acyclic(e), graphs.is_acyclic(e.union(back)))], "hierarchy boolean, with_cycle boolean")
 
 
@@ -196,10 +198,10 @@ def first_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.first_fit(sizes, 20)
 
 
-@query(f"""WITH e AS (SELECT DISTINCT 'c' || c AS a, 'p' || p AS b FROM ({_SPARSE})), i AS (SELECT min(a) AS v FROM e),
+@query(f"""WITH e AS ({_BOUGHT}), i AS (SELECT min(a) AS v FROM e),
 n AS (SELECT b AS v FROM e WHERE a IN (FROM i) UNION SELECT a FROM e WHERE b IN (FROM i)) SELECT v FROM n WHERE v NOT IN (FROM i)""")
 def onehop_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = sparse_edges(spark, sf_dir)
+    e = bought_edges(spark, sf_dir)
     return joins.one_hop(e, e.agg(F.min("src").alias("v")))
 
 
@@ -295,10 +297,17 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).nation.select("n_nationkey", T.slug(F.col("n_name")).alias("slug"), F.sha2("n_name", 256).alias("digest"))
 
 
-@query(r"""SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS route FROM (SELECT page_id, regexp_replace(regexp_replace('/' ||
-regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/[0-9]+(/|$)', '/{}\1', 'g'), '/+', '/', 'g'), '/$', '') AS p FROM pages)""")
+_HOLES = ["/users/{id}", "/u/<int:n>/x//y/", "/v/:name?q=1", "/w/${key}"]
+_PATH_SQL = "regexp_replace(url, '^[a-z]+://[^/?#]*', '') || CASE page_id % 4 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HOLES)) + " END"
+
+
+@query(rf"""SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS route FROM (SELECT page_id, regexp_replace(regexp_replace('/' ||
+regexp_replace(regexp_replace({_PATH_SQL}, '\?.*$', ''), '\{{[^}}]*\}}|<[^>]*>|:\w+|\$\{{[^}}]*\}}', '{{}}', 'g'), '/+', '/', 'g'), '/$', '') AS p FROM pages)""")
 def route_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).pages.select("page_id", T.route(F.col("url")).alias("route"))
+    """Paths of all pages, each with a placeholder of one of four forms behind it."""
+    path = F.regexp_replace("url", "^[a-z]+://[^/?#]*", "")
+    hole = F.element_at(F.array(*map(F.lit, _HOLES)), (F.col("page_id") % 4 + 1).cast("int"))
+    return Tables(spark, sf_dir).pages.select("page_id", T.route(F.concat(path, hole)).alias("route"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<!--[^>]*-->', ' ', 'g'), '</?[a-zA-Z][^>]*>|<![^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS plain FROM pages""")
@@ -320,33 +329,24 @@ def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).benchmark.select("item_id", F.round(T.entropy(F.col("text")), 6).alias("entropy"))
 
 
-@query("SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+@query("SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> ''")
 def evidence_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages cited in documents: the items' first eight words are the key, containment the check."""
+    """Benchmark passages cited in documents."""
     t = Tables(spark, sf_dir)
-    split = lambda c: F.split(c, r"\s+")
-    words = lambda c: F.array_join(F.slice(split(c), 1, 8), " ")
-    items = t.benchmark.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("k"))
-    d = t.documents.select("doc_id", "text", split(F.col("text")).alias("w"))
-    n = F.size("w")
-    starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, 8), " "))
-    hits = d.select("doc_id", F.explode(F.array_distinct(starts)).alias("k")).join(items.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
-    return hits.join(d.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id").where("contains(text, item)").select("doc_id", "item_id")
-
-
-@query("""WITH n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
-t AS (SELECT DISTINCT role AS a, nxt AS b FROM n WHERE nxt IS NOT NULL AND k = 1), s AS (SELECT a AS v FROM t UNION SELECT b FROM t)
+    return joins.contained(t.documents, "doc_id", "text", t.benchmark.withColumnRenamed("text", "item"), "item_id", "item")
+
+
+@query("""WITH n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+t AS (SELECT DISTINCT role AS a, nxt AS b FROM n WHERE nxt IS NOT NULL), s AS (SELECT a AS v FROM t UNION SELECT b FROM t)
 SELECT v AS role, v NOT IN (SELECT a FROM t) AS final, (SELECT count(*) FROM n WHERE role = v AND nxt IS NOT NULL) AS transitions FROM s""")
 def role_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States and transitions of all turns; a state that nothing follows is final."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    n = Tables(spark, sf_dir).conversations.withColumns({"nxt": F.lead("role").over(w), "k": F.row_number().over(w)}).where("nxt is not null")
-    t = n.where("k = 1").select("role", "nxt").distinct()
-    states = t.select(F.explode(F.array("role", "nxt")).alias("role")).distinct()
-    out = t.select("role", F.lit(False).alias("f")).distinct()
-    count = n.groupBy("role").agg(F.count(F.lit(1)).alias("transitions"))
-    return states.join(out, "role", "left").join(count, "role", "left").select("role", F.coalesce("f", F.lit(True)).alias("final"), F.coalesce("transitions", F.lit(0)).cast("long").alias("transitions"))
+    n = Tables(spark, sf_dir).conversations.withColumn("nxt", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))).where("nxt is not null")
+    counts = n.groupBy("role", "nxt").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.select(F.explode(F.array(F.struct("role", "n"), F.struct(F.col("nxt").alias("role"), F.lit(0).cast("long").alias("n")))).alias("s")).select("s.*")
+    return ends.groupBy("role").agg((F.sum("n") == 0).alias("final"), F.sum("n").alias("transitions"))
 
 
 @query("""SELECT conv_id, string_agg(role || '->' || length(text), '\n' ORDER BY turn) AS messages, count(*) AS n FROM conversations GROUP BY conv_id""")
@@ -364,10 +364,27 @@ def lint_universal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("doc_id").agg(hit(F.col("line").contains("`"), "backticks"), hit(F.col("line").contains('"'), "quotes"), hit(F.col("line").rlike("<[a-zA-Z/]"), "html"), F.count(F.lit(1)).alias("lines"))
 
 
-_MESSAGES = ["Rate limit hit, retry after 30 seconds", "HTTP 401 unauthorized", "file not found", "connection timed out, try again in 500 ms", "Internal Server Error 503", "all well", "too many requests: retry after 2 minutes"]
+_MESSAGES = ["Rate limit hit, retry after 30 seconds", "HTTP 401 unauthorized", "file not found", "connection timed out, try again in 500 ms", "Internal Server Error 503", "order 14290 ok", "too many requests: Retry-After: 2 minutes", "parse error near line 400", "no such tool", "quota of 12 files", "HTTP 404", "retry-after=7"]
+
+
+def _first_class_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({x}), '{p}') THEN '{k}'" for k, p in T.ERRORS.items()) + " ELSE 'unknown' END"
+
+
+def _wait_sql(x: str) -> str:
+    p = [w.replace("'", "''") for w in T.WAITS]
+    n = [f"TRY_CAST(nullif(regexp_extract(lower({x}), '{w}', 1), '') AS DOUBLE)" for w in p]
+    u = [f"regexp_extract(lower({x}), '{w}', 2)" for w in p]
+    each = [f"CASE WHEN regexp_matches({b}, '^(ms|milli)') THEN {a} / 1000 WHEN starts_with({b}, 'm') THEN {a} * 60 ELSE {a} END" for a, b in zip(n, u, strict=True)]
+    return f"coalesce({', '.join(each)})"
+
+
+_SAID = "list_extract([" + ", ".join("'" + m + "'" for m in _MESSAGES) + f"], CAST(event_id % {len(_MESSAGES)} AS INTEGER) + 1) || ' ' || event_type || ' ' || user_id"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {s})" for i, (k, s) in enumerate([("rate_limit", "30.0::DOUBLE"), ("auth", "NULL"), ("not_found", "NULL"), ("network", "0.5"), ("server", "NULL"), ("unknown", "NULL"), ("rate_limit", "120.0")])) + ") AS t(id, error_class, wait)")
+@query(f"SELECT event_id, {_first_class_sql('m')} AS error_class, {_wait_sql('m')} AS wait FROM (SELECT event_id, {_SAID} AS m FROM events)")
 def classify_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = spark.createDataFrame(list(enumerate(_MESSAGES)), "id int, m string")
-    return x.select("id", T.error_class(F.col("m")).alias("error_class"), T.retry_after(F.col("m")).alias("wait"))
+    """A message for every event, of one of twelve kinds, with what the event says behind it."""
+    kind = F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % len(_MESSAGES) + 1).cast("int"))
+    x = Tables(spark, sf_dir).events.select("event_id", F.concat_ws(" ", kind, "event_type", F.col("user_id").cast("string")).alias("m"))
+    return x.select("event_id", T.error_class(F.col("m")).alias("error_class"), T.retry_after(F.col("m")).alias("wait"))

@@ -7,13 +7,16 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Languages by file extension.
-LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "cs": "csharp", "swift": "swift", "scala": "scala", "sh": "shell", "sql": "sql", "html": "html", "css": "css", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml"}
-#: Folders, extensions and names that are left out.
-EXCLUDED_DIRS = [".git", "node_modules", "__pycache__", "venv", ".venv", "dist", "build", "target"]
-BINARY = ["png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "jar", "so", "dll", "exe", "woff", "woff2", "pyc", "parquet"]
-LOCKFILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Cargo.lock", "go.sum", "uv.lock"]
-TEST_DIRS = ["test", "tests", "__tests__", "spec"]
+# Languages by file extension, and those whose code is analysed.
+LANGUAGES = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "java": "java", "kt": "kotlin", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "swift": "swift", "scala": "scala", "m": "objective-c", "lua": "lua", "r": "r", "jl": "julia", "dart": "dart", "ex": "elixir", "exs": "elixir", "sh": "shell", "bash": "shell", "sql": "sql", "proto": "protobuf", "msg": "ros-interface", "srv": "ros-interface", "action": "ros-interface", "vue": "vue", "svelte": "svelte"}
+ANALYZED = ["python", "javascript", "typescript", "c", "cpp"]
+# Folders, extensions and names that are left out; folders and names of tests.
+EXCLUDED_DIRS = ".git .hg .svn node_modules bower_components vendor third_party __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox .nox .venv venv env .eggs dist build out target .next .nuxt .svelte-kit .turbo .cache coverage htmlcov .gradle .idea .vscode install log .diagram-codebase".split()
+BINARY = "png jpg jpeg gif bmp ico svg webp pdf zip gz tgz bz2 xz 7z tar jar war so dylib dll exe o a lib pyc class bin dat db sqlite sqlite3 pt pth onnx h5 npy npz pkl parquet bag mcap pcd ply mp3 mp4 wav mov avi ttf otf woff woff2".split()
+LOCKFILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Cargo.lock", "uv.lock"]
+GENERATED = ["_pb2.py", "_pb2_grpc.py", ".min.js", ".bundle.js", ".generated."]
+TEST_DIRS = ["test", "tests", "__tests__", "spec", "specs", "testing"]
+TEST_NAMES = r"^test_|(_test\.py|\.test\.js|\.test\.ts|\.test\.tsx|\.spec\.js|\.spec\.ts|_test\.go|_test\.cpp)$|^conftest\.py$"
 
 
 def binary_files(spark: SparkSession, root: str) -> DataFrame:
@@ -65,7 +68,7 @@ def is_test(path: Column) -> Column:
     """A folder above is a test folder, or the name starts or ends as tests' names do."""
     parts = F.split(path, "/")
     folder = F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, TEST_DIRS)))
-    return folder | name(path).rlike(r"^test_|_test\.[^.]+$|\.(test|spec)\.[^.]+$")
+    return folder | name(path).rlike(TEST_NAMES)
 
 
 def left_out(path: Column, size: Column, content: Column, rules: list[str] = (), max_bytes: int = 1_000_000) -> Column:
@@ -76,7 +79,7 @@ def left_out(path: Column, size: Column, content: Column, rules: list[str] = (),
         .when(ignored(path, list(rules)), "excluded by rule")
         .when(extension(path).isin(BINARY), "binary")
         .when(name(path).isin(LOCKFILES), "lockfile")
-        .when(name(path).rlike(r"\.min\.(js|css)$|_pb2\.py$|\.generated\."), "generated")
+        .when(name(path).rlike("|".join(map(re.escape, GENERATED))), "generated")
         .when(content.isNull(), "unreadable")
         .when(size > max_bytes, "too large")
         .when(F.contains(F.substring(content, 1, 8192), F.lit(b"\x00")), "binary")
@@ -84,6 +87,6 @@ def left_out(path: Column, size: Column, content: Column, rules: list[str] = (),
 
 
 def inventory(files: DataFrame, rules: list[str] = (), max_bytes: int = 1_000_000) -> DataFrame:
-    """(path, size, language, test, reason) of files (path, size, content)."""
+    """(path, size, language, analyzed, test, reason) of files (path, size, content)."""
     p = F.col("path")
-    return files.select("path", "size", language(p).alias("language"), is_test(p).alias("test"), left_out(p, F.col("size"), F.col("content"), rules, max_bytes).alias("reason"))
+    return files.select("path", "size", language(p).alias("language"), F.coalesce(language(p).isin(ANALYZED), F.lit(False)).alias("analyzed"), is_test(p).alias("test"), left_out(p, F.col("size"), F.col("content"), rules, max_bytes).alias("reason"))

@@ -28,13 +28,17 @@ volumes:
 """
 
 
-def test_compose():
-    got = {r["name"]: r for r in M.read("a/docker-compose.yml", COMPOSE)}
+def test_compose(spark):
+    df = spark.createDataFrame([("a/docker-compose.yml", COMPOSE), ("compose.yaml", "")], "path string, text string")
+    rows = M.manifests(df).orderBy("line").collect()
+    got = {r["name"]: r for r in rows}
     assert list(got) == ["web", "api", "db"]
     assert (got["web"]["target"], got["web"]["ports"], got["web"]["depends"], got["web"]["line"]) == (".", ["80:80", "81:81"], ["db"], 2)
     assert (got["api"]["image"], got["api"]["depends"]) == ("x/api:1", ["db", "bus"])
     assert (got["db"]["image"], got["db"]["ports"]) == ("postgres:16", ["5432:5432"])
-    assert M.read("compose.yaml", "") == []
+    units, links = M.deployment_units(M.manifests(df))
+    assert {(r.id, r.kind, r.name) for r in units.collect()} == {("deploy:web", "deployment_unit", "web"), ("deploy:api", "deployment_unit", "api"), ("store:postgresql", "datastore", "PostgreSQL")}
+    assert {(r.src, r.dst) for r in links.collect()} == {("deploy:web", "store:postgresql"), ("deploy:api", "store:postgresql")}
 
 
 def test_manifests(spark):
@@ -76,3 +80,16 @@ def test_trees(spark):
     df = spark.createDataFrame([("d", xml), ("e", None)], "doc string, text string")
     got = {r.id: (r.type, r.parent, r.top, r.text) for r in trees.elements(df).collect()}
     assert got == {"s": ("SECTION", None, True, "One & two hi there"), "a": ("STICKY", "s", False, "hi there"), "l": ("LINE", "s", False, ""), "p": ("PAGE", None, False, "t"), "y": ("X", "p", True, "t")}
+
+
+def test_entries_subsystems_and_brief(spark):
+    files = [("pyproject.toml", '[project]\nname = "app"\n[project.scripts]\nrun = "app.cli:main"\nother = "app.none:f"\n'), ("pkg/package.json", '{"name": "w", "main": "i.js"}')]
+    found = M.manifests(spark.createDataFrame(files, "path string, text string"))
+    nodes = spark.createDataFrame([("fn:src/app/cli.py:main", "function"), ("mod:src/app/cli.py", "module"), ("mod:pkg/i.js", "module")], "id string, kind string")
+    assert {(r.name, r.node) for r in M.entry_nodes(found, nodes).collect()} == {("run", "fn:src/app/cli.py:main"), ("main", "mod:pkg/i.js")}
+    paths = spark.createDataFrame([(p,) for p in ["src/a/x.py", "src/a/y.py", "src/b/z.py", "src/b/c/d.py", "pkg/i.js", "pkg/in/j.js"]], "path string")
+    got = {r.path: r.subsystem for r in M.subsystems(paths, found).collect()}
+    assert got == {"src/a/x.py": "src/a", "src/a/y.py": "src/a", "src/b/z.py": "src/b", "src/b/c/d.py": "src/b", "pkg/i.js": "pkg", "pkg/in/j.js": "pkg"}
+    edges = spark.createDataFrame([("mod:pkg/i.js", "mod:src/app/cli.py", "calls"), ("mod:pkg/i.js", "x", "imports")], "src string, dst string, kind string")
+    b = {(r.section, r.name): r.n for r in M.brief(nodes, edges, found).collect()}
+    assert b["node", "module"] == 2 and b["hub", "mod:pkg/i.js"] == 1 and b["build", "pyproject"] == 1
