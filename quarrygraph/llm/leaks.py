@@ -2,52 +2,58 @@
 
 Numbers, units behind numbers, and names (capitalised words inside a sentence) become typed placeholders; other words
 lose case and punctuation. A capitalised word at the beginning of a sentence may be a name or not: one form of the
-template has it as a word, so that case may change, and one as a name unless it is a function word. Windows of both
-forms are hashed, and documents' windows, one at each word, are joined with the benchmark's.
-For the few pairs that meet, all shorter windows of both texts are compared, and slots are checked: what one value of
+template has it as a word, so that case may change, and one as a name unless it is a function word. Windows of five
+words of both forms, one at each word, are hash-joined with the benchmark's, and a pair's shared windows are counted.
+For the few pairs that share enough, the windows are aligned by their places and slots are checked: what one value of
 the item's placeholder became in the document must be one value throughout, as in a re-parameterised question.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import cut, table, with_filter
+from quarrygraph.llm.common import bits_for, cut, table, with_filter
 
-#: Words of a window that joins; items of fewer than SHORT words are joined by the shorter windows that are then compared, as one changed word may leave them no longer passage.
-WINDOW, SHORT = 8, 16
-#: Words of the windows that are then compared, the share of an item's windows that a document must have, and of slots that must agree.
+#: Words of a window, the share of an item's windows that a document must have, and of slots that must agree.
 SHINGLE, SHARE, AGREE = 5, 0.5, 0.8
-#: The benchmark's windows are broadcast up to so many; beyond, the join shuffles.
+#: The benchmark's windows are broadcast up to so many; beyond, documents' windows that may be among them are shuffled to them.
 MAX_BROADCAST = 500_000
 UNITS = "mm cm km m kg mg g lbs lb oz ml l inches inch feet foot miles mile meters metres meter metre seconds second minutes minute hours hour days day weeks week years year dollars euros cents percent".split()
 _NUMBER = r"[0-9][0-9.,:/]*"
-_NAME = r"(?<=[\p{Ll},] )\p{Lu}\p{Ll}+"
+# a capital first, then what stands in front of it: most places fail at once
+_NAME = r"\p{Lu}(?<=[\p{Ll},] \p{Lu})\p{Ll}+"
 #: Words that begin sentences and are no names.
 FUNCTION = "A An The This That These Those He She It We You They I His Her Its Our Your Their My There Here If When While What Which Who Whom Whose Why Where How And But Or So Then Than As At By For From In Into Of On To With Without After Before Because Since Until Each Every All Some Any No Not One Both Is Are Was Were Do Does Did Has Have Had Can Could Should Would May Might Must".split()
-_FIRST = rf"(?<![\p{{L}}\u0001])(?!(?:{'|'.join(FUNCTION)})(?!\p{{L}}))(\p{{Lu}}\p{{Ll}}+)"
+_FIRST = rf"(?=\p{{Lu}})(?<![\p{{L}}\u0001])(?!(?:{'|'.join(FUNCTION)})(?!\p{{L}}))(\p{{Lu}}\p{{Ll}}+)"
 
 
 def _marked(text: Column, values: bool) -> Column:
     """The text with placeholders, which hold their values between control characters if values."""
     v = "\u0001$0\u0002" if values else ""
-    x = F.coalesce(text, F.lit(""))
-    x = F.regexp_replace(F.regexp_replace(x, "[\u0001\u0002]", " "), _NAME, f" qname{v} ")
+    x = F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002", "  ")
+    x = F.regexp_replace(x, _NAME, f" qname{v} ")
     x = F.regexp_replace(x, _FIRST, " qstart\u0001$1\u0002 " if values else " qstartx$1 ")
     x = F.regexp_replace(x, rf"({_NUMBER}) ?({'|'.join(UNITS)})\b", "$1 qunit ")
     return F.regexp_replace(x, _NUMBER, f" qnum{v} ")
 
 
-def words(text: Column) -> Column:
-    """The template tokens of a text; qstartx and a word where a sentence begins with what may be a name."""
-    return F.filter(F.split(F.lower(_marked(text, False)), r"[^\p{L}]+"), lambda w: w != "")
+def _tokens(template: Column) -> Column:
+    return F.array_remove(F.split(template, r"[^\p{L}]+"), "")
 
 
-def forms(tokens: Column) -> list[Column]:
-    """Both forms of the template as the words' hashes: words that begin sentences as words, and as names."""
-    first = lambda w: w.startswith("qstartx")
-    return [F.transform(tokens, lambda w: F.xxhash64(F.when(first(w), F.substring(w, 8, 1 << 30)).otherwise(w))), F.transform(tokens, lambda w: F.xxhash64(F.when(first(w), "qname").otherwise(w)))]
+def _window_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, form, h): hashes of all windows of both forms; form 2 where they are one. No array is looked at by a lambda: windows are zipped slices, hashed once they are rows."""
+    marked = df.select(key, F.lower(_marked(F.col(text), False)).alias("m"))
+    several = F.contains("m", F.lit("qstartx"))
+    as_word = F.replace(F.col("m"), F.lit("qstartx"), F.lit(""))
+    as_name = F.when(several, F.regexp_replace("m", r"qstartx\p{L}*", "qname"))
+    one = marked.select(key, several.alias("two"), F.posexplode(F.array(as_word, as_name)).alias("form", "m")).where("m is not null")
+    t = one.select(key, F.when(F.col("two"), F.col("form")).otherwise(2).alias("form"), _tokens(F.col("m")).alias("t"))
+    n = F.greatest(F.size("t") - (SHINGLE - 1), F.lit(0))
+    zipped = F.arrays_zip(*[F.slice("t", k + 1, n).alias(f"w{k}") for k in range(SHINGLE)])
+    w = t.where(F.size("t") >= SHINGLE).select(key, "form", F.explode(zipped).alias("w"))
+    return w.select(key, "form", F.xxhash64(*[F.col("w").getField(f"w{k}") for k in range(SHINGLE)]).alias("h"))
 
 
 def words_and_values(text: Column) -> list[Column]:
@@ -59,62 +65,63 @@ def words_and_values(text: Column) -> list[Column]:
     return [as_word, F.transform(tokens, lambda t: F.struct(F.when(first(t), "qname").otherwise(w(t)).alias("w"), v(t).alias("v")))]
 
 
-def windows(tokens: Column, size: int) -> Column:
-    """Hashes of the windows of an array of words or their hashes."""
-    n = F.size(tokens)
-    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(tokens, i, size)))).otherwise(F.array().cast("array<bigint>"))
-
-
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share, slots, agreeing) for each document that holds a benchmark item, verbatim or re-parameterised.
 
     share: of the item's distinct template windows, those in the document, at least SHARE, in the form that shares more. Of the item's placeholder
-    values in shared windows (slots), at least AGREE became one value in the document each, or stayed what they are. Null and empty texts hold
+    values in shared windows (slots), at least AGREE became one value in the document each, and no two names one name. Null and empty texts hold
     nothing and are held by nothing; so are items of fewer than SHINGLE words. Rows that repeat an id are taken
     together; rows with null ids are not reported. Empty tables give no rows; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item_id is not null")
-    iw = items.withColumn("t", words(F.col("item"))).withColumn("n", F.size("t")).where(f"n >= {SHINGLE}")
-    iw = cut(iw, "leaks-items")
-    pairs = cut(_meet(docs, iw).distinct(), "leaks-pairs")
-    found = with_filter(docs, pairs.select("doc_id"), "doc_id", "maybe", 1 << 23).where("maybe").select("doc_id", "text")
+    items = cut(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item_id is not null"), "leaks-items")
+    pairs = cut(_meet(docs, items), "leaks-pairs")
+    found = with_filter(docs, pairs.select("doc_id"), "doc_id", "maybe", bits_for(pairs.count())).where("maybe").select("doc_id", "text")
     found = found.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    ww = cut(_slots(iw.select("item_id", "item"), "item_id", "item", "iv"), "leaks-item-windows")
+    ww = cut(_slots(items, "item_id", "item", "iv"), "leaks-item-windows")
     dw = cut(_slots(found, "doc_id", "text", "dv").join(ww.select("form", "h").distinct(), ["form", "h"], "left_semi"), "leaks-windows")
     total = ww.groupBy("item_id", "form").agg(F.countDistinct("h").alias("all"))
-    both = pairs.join(ww, "item_id").join(dw, ["doc_id", "form", "h"])
-    both = cut(both, "leaks-shared")
-    share = both.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("h").alias("k")).join(total, ["item_id", "form"]).withColumn("share", F.col("k") / F.col("all"))
-    slot = both.select("doc_id", "item_id", "form", F.explode(F.arrays_zip("iv", "dv")).alias("x")).where("x.iv <> ''").groupBy("doc_id", "item_id", "form", "x.iv").agg(((F.countDistinct("x.dv") == 1) | F.bool_or(F.col("x.dv") == F.col("x.iv"))).alias("one"))
-    slot = slot.groupBy("doc_id", "item_id", "form").agg(F.count(F.lit(1)).alias("slots"), F.count_if("one").alias("agreeing"))
-    out = share.where(F.col("share") >= SHARE).join(slot, ["doc_id", "item_id", "form"], "left").fillna(0, ["slots", "agreeing"])
+    both = cut(pairs.join(ww.withColumnRenamed("pos", "ip"), "item_id").join(dw.withColumnRenamed("pos", "dp"), ["doc_id", "form", "h"]), "leaks-shared")
+    key = ["doc_id", "item_id", "form"]
+    share = both.groupBy(*key).agg(F.countDistinct("h").alias("k")).join(total, ["item_id", "form"]).withColumn("share", F.col("k") / F.col("all"))
+    # each window of the item at the place in the document that most of its windows lie along with
+    along = both.withColumn("off", F.col("dp") - F.col("ip"))
+    along = along.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*key, "off")))
+    best = along.groupBy(*key, "ip").agg(F.min_by(F.struct("iv", "dv"), F.struct(-F.col("n"), "off")).alias("x"))
+    value = best.select(*key, F.explode(F.arrays_zip("x.iv", "x.dv")).alias("x")).where("x.iv.v <> ''").select(*key, F.col("x.iv.w").alias("kind"), F.col("x.iv.v").alias("iv"), F.col("x.dv.v").alias("dv"))
+    slot = value.groupBy(*key, "kind", "iv").agg(F.min("dv").alias("dv"), (F.countDistinct("dv") == 1).alias("one"))
+    # of several names that became one name, one agrees; numbers may meet
+    agree = F.when(F.col("one"), F.when(F.col("kind") == "qname", F.struct("kind", F.lit("").alias("iv"), "dv")).otherwise(F.struct("kind", "iv", "dv")))
+    slot = slot.groupBy(*key).agg(F.count(F.lit(1)).alias("slots"), F.countDistinct(agree).alias("agreeing"))
+    out = share.where(F.col("share") >= SHARE).join(slot, key, "left").fillna(0, ["slots", "agreeing"])
     out = out.where(F.col("agreeing") >= AGREE * F.col("slots")).groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "slots", "agreeing")).alias("b"))
     return out.select("doc_id", "item_id", "b.share", "b.slots", "b.agreeing")
 
 
 def _meet(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) with a window in common."""
-    items = items.withColumn("t", F.explode(F.array(*forms(F.col("t")))))
-    of = F.when(F.col("n") < SHORT, windows(F.col("t"), SHINGLE)).otherwise(windows(F.col("t"), WINDOW))
-    known = cut(items.select("item_id", F.explode(of).alias("h")).distinct(), "leaks-join")
-    sizes = [WINDOW, SHINGLE] if items.where(f"n < {SHORT}").limit(1).count() else [WINDOW]
-    if known.count() <= MAX_BROADCAST:
+    """(doc_id, item_id) of which one form of the item shares enough windows with the document."""
+    known = _window_rows(items, "item_id", "item").distinct()
+    one = F.when(F.col("form") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array("form"))
+    known = cut(known.select("item_id", F.explode(one).alias("of"), "h").distinct(), "leaks-join")
+    total = known.groupBy("item_id", "of").agg(F.count(F.lit(1)).alias("all"))
+    w, held = _window_rows(docs, "doc_id", "text"), known.count()
+    if held <= MAX_BROADCAST:
         known = F.broadcast(known)
-    a, b = forms(F.col("t"))
-    x = docs.select("doc_id", words(F.col("text")).alias("t")).select("doc_id", a.alias("a"), b.alias("b"))
-    every = F.array_distinct(F.concat(*[windows(F.col(c), n) for n in sizes for c in "ab"]))
-    return x.select("doc_id", F.explode(every).alias("h")).join(known, "h").select("doc_id", "item_id")
+    else:
+        w = with_filter(w, known.select("h"), "h", "maybe", bits_for(held)).where("maybe").drop("maybe")
+    hit = w.join(known, "h").where("form = 2 or form = of").select("doc_id", "item_id", "of", "h").distinct()
+    counted = hit.groupBy("doc_id", "item_id", "of").agg(F.count(F.lit(1)).alias("k")).join(total, ["item_id", "of"])
+    return counted.where(F.col("k") >= SHARE * F.col("all")).select("doc_id", "item_id").distinct()
 
 
 def _slots(df: DataFrame, key: str, text: str, values: str) -> DataFrame:
-    """(key, form, h, values) of each distinct window with its placeholders' values."""
+    """(key, form, h, pos, values) of each window with its words' placeholders and values (w, v)."""
     x = df.select(key, F.posexplode(F.array(*words_and_values(F.col(text)))).alias("form", "t"))
     n = F.size("t")
     at = F.when(n >= SHINGLE, F.sequence(F.lit(1), n - SHINGLE + 1)).otherwise(F.array().cast("array<int>"))
-    part = lambda i, field: F.transform(F.slice("t", i, SHINGLE), lambda t: t[field])
-    x = x.select(key, "form", F.explode(F.transform(at, lambda i: F.struct(F.xxhash64(part(i, "w")).alias("h"), part(i, "v").alias(values)))).alias("p"))
-    return x.select(key, "form", "p.h", f"p.{values}").distinct()
+    words = lambda i: [F.get(F.col("t"), i + (k - 1)).getField("w") for k in range(SHINGLE)]
+    x = x.select(key, "form", F.explode(F.transform(at, lambda i: F.struct(F.xxhash64(*words(i)).alias("h"), i.alias("pos"), F.slice("t", i, SHINGLE).alias(values)))).alias("p"))
+    return x.select(key, "form", "p.h", "p.pos", f"p.{values}").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

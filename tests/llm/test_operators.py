@@ -178,7 +178,11 @@ def test_leaks(spark, empty):
     got = {(r.doc_id, r.item_id) for r in leaks.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
     assert {(1, 9), (2, 9)} <= got <= {(1, 9), (2, 9), (6, 9)}
     loose = leaks.contaminated(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), items).collect()
-    assert all(r.agreeing < r.slots for r in loose)
+    assert not loose  # one value of the item became two
+    names = "Anna gave Boris 3 red kites and then Boris gave Clara 4 blue kites while Clara lent Anna 5 green kites"
+    one_name = names.replace("Boris", "Dora").replace("Clara", "Dora").replace("Anna", "Dora")
+    some = spark.createDataFrame([(1, f"{prose(9)}, {names}"), (2, f"{prose(9)}, {one_name}"), (3, f"{names} {prose(5)}. {names}"), (3, f"x, {names}")], "doc_id long, text string")
+    assert {r.doc_id for r in leaks.contaminated(some, spark.createDataFrame([(1, "see, " + names)], "item_id long, text string")).collect()} == {1, 3}
     assert leaks.contaminated(empty, items).count() == 0
 
 
@@ -195,6 +199,38 @@ def test_leaks_of_renamed_short_sentences(spark):
     assert got == {(d, 1 if d == 900 else d // 100) for d, _ in rows if d}
 
 
+def test_leaks_against_plain_windows(spark):
+    """Shares of all documents against a nested loop over template windows; long texts, repeated rows, clashing columns, broadcast or not."""
+    import re
+
+    name, number = re.compile(r"(?<=[a-z,] )[A-Z][a-z]+"), re.compile(r"[0-9][0-9.,:/]*")
+
+    def grams(text):
+        x = number.sub(" qnum ", name.sub(" qname ", text or ""))
+        w = re.findall("[a-z]+", x.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    items = [(i, " ".join(rng.choice([*VOCAB, "7", "Ann"]) for _ in range(rng.randint(4, 30)))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        item = rng.choice(items)[1].split()
+        cut_ = rng.randint(0, len(item))
+        rows.append((i, f"{prose(rng.randint(1, 40))} {' '.join(item[: rng.randint(cut_, len(item))])} {prose(5)}"))
+    rows += [(70, prose(20_000) + " " + items[3][1]), (71, None), (72, ""), rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit("x"), "form": F.lit(1), "item_id": F.lit(2)})
+    known = spark.createDataFrame(items, "item_id long, text string").withColumn("m", F.lit(1))
+    text = {}
+    for i, t in rows:
+        text.setdefault(i, set()).update(grams(t))
+    want = {(d, i) for d, g in text.items() for i, t in items if grams(t) and len(g & grams(t)) >= 0.5 * len(grams(t))}
+    for most in (leaks.MAX_BROADCAST, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(leaks, "MAX_BROADCAST", most)
+            assert {tuple(r) for r in leaks._meet(df.select("doc_id", "text"), known.withColumnRenamed("text", "item")).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leaks.contaminated(df, known).collect()} == want
+    assert leaks.contaminated(df, known.where("false")).count() == 0
+
+
 def test_toxicity(spark, empty):
     rows, labels = [], []
     for i in range(600):
