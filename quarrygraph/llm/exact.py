@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import FILTER_BITS, cut, table, with_filter
+from quarrygraph.llm.common import bits_for, cut, hot_join, table, with_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX = 64
@@ -21,32 +21,44 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, bits: int = FILTER_BITS) -> DataFrame:
+#: Columns that exact_groups adds.
+ADDED = ("__sha", "keep_id", "group_size", "kept")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, bits: int | None = None) -> DataFrame:
     """docs with __sha (null for a text known to be unique, unless digest_all), keep_id, group_size and kept.
 
     Texts are equal when identical after lower-casing A-Z; null is empty. Of equal texts the largest id stays. Rows that
     repeat an id count in group_size each and share one decision; a null id stays only if its group has no other. An
-    empty table gives no rows. Other columns pass through.
+    empty table gives no rows. Other columns pass through under any name but those four, which are refused. bits sets
+    the size of the filters, else the number of their keys does.
     """
-    size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
-    sizes = docs.select(size.alias("__len"))
-    lengths = cut(sizes.groupBy("__len").count().where("count > 1").select("__len"), "exact-lengths")
-    x = docs.withColumn("__len", size)
-    start = F.xxhash64(F.col("__len"), normalised(F.substring(F.col(text_col), 1, PREFIX)))
-    by_length = with_filter(x, lengths, "__len", "__more", bits).withColumn("__head", F.when(F.col("__more"), start))
+    own = docs.columns
+    if taken := set(own) & set(ADDED):
+        raise ValueError(f"columns {sorted(taken)} are those that exact_groups adds")
+    x = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(own)])
+    key, text = (f"__c{own.index(c)}" for c in (id_col, text_col))
+    x = x.withColumn("__len", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
+    lengths = cut(x.groupBy("__len").count().where("count > 1").select("__len"), "exact-lengths")
+    start = F.xxhash64(F.col("__len"), normalised(F.substring(F.col(text), 1, PREFIX)))
+    by_length = with_filter(x, lengths, "__len", "__more", bits or bits_for(lengths.count())).withColumn("__head", F.when(F.col("__more"), start))
     heads = cut(by_length.where("__more").groupBy("__head").count().where("count > 1").select("__head"), "exact-heads")
-    full = F.sha2(normalised(F.col(text_col)), 256)
-    y = with_filter(by_length, heads, "__head", "__same", bits)
+    full = F.sha2(normalised(F.col(text)), 256)
+    y = with_filter(by_length, heads, "__head", "__same", bits or bits_for(heads.count())).drop("__len", "__more", "__head")
     y = y.withColumn("__sha", full if digest_all else F.when(F.col("__same"), full))
-    groups = y.where("__same").groupBy(F.col("__sha").alias("__key")).agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    # only rows that may have a partner need the join, and of a hot group each task's rows join one summed row
-    z = y.join(cut(groups, "exact-groups"), F.when(F.col("__same"), F.col("__sha")) == F.col("__key"), "left")
-    keep = F.when(F.col("__n").isNull(), F.col(id_col)).otherwise(F.col("__keep"))
+    groups = y.where("__same").groupBy("__sha").agg(F.max(key).alias("__keep"), F.count(F.lit(1)).alias("n"))
+    groups = cut(groups.where("n > 1"), "exact-groups")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # rows without a partner need no join; of the others a hot group's rows take its one row from a broadcast
+    alone = y.where("not __same").select(*y.columns, F.lit(None).cast(docs.schema[id_col].dataType).alias("__keep"), F.lit(None).cast("long").alias("__n"))
+    met = hot_join(y.where("__same"), groups.select("__sha", "__keep", F.col("n").alias("__n")), "__sha", groups.select("__sha", "n"), total)
+    z = alone.union(met.select(alone.columns))
+    keep = F.when(F.col("__n").isNull(), F.col(key)).otherwise(F.col("__keep"))
     z = z.withColumns({"keep_id": keep, "group_size": F.coalesce(F.col("__n"), F.lit(1)).cast("long")})
-    return z.withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col))).drop("__len", "__more", "__head", "__same", "__key", "__keep", "__n")
+    return z.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(own)], "__sha", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col(key)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = FILTER_BITS) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """The rows of docs that stay, with docs' own columns.
 
     Only ids and hashes of rows that go are gathered; a row whose id cannot be among them stays without any join, so its
@@ -57,7 +69,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, text = (f"__c{own.index(c)}" for c in (id_col, text_col))
     gone = exact_groups(inner.select(key, text), key, text, bits=bits).where("not kept").select(F.col(key).alias("__id"), F.col("__sha").alias("__s"))
     gone = cut(gone.distinct().withColumn("__h", F.xxhash64("__id")), "exact-gone")
-    x = with_filter(inner.withColumn("__h", F.xxhash64(key)), gone.select("__h"), "__h", "__may", bits)
+    x = with_filter(inner.withColumn("__h", F.xxhash64(key)), gone.select("__h"), "__h", "__may", bits or bits_for(gone.count()))
     y = gone.select("__id", "__s")
     same = F.col(key).eqNullSafe(F.col("__id")) & (F.sha2(normalised(F.col(text)), 256) == F.col("__s"))
     stay = x.where("not __may").select(*inner.columns).union(x.where("__may").join(y, same, "left_anti").select(*inner.columns))

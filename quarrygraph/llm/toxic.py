@@ -48,7 +48,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
     share = {c: min(1.0, max_train / 2 / k) for c, k in n.items()}
     roll = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     of = lambda c: F.lit(share.get(c, 1.0))
-    picked = y.where(roll < F.when(F.col("y") == 1, of(1.0)).otherwise(of(0.0))).withColumn("weight", F.when(F.col("y") == 1, 1 / of(1.0)).otherwise(1 / of(0.0))).limit(2 * max_train)
+    picked = y.where(roll < F.when(F.col("y") == 1, of(1.0)).otherwise(of(0.0))).withColumn("weight", F.when(F.col("y") == 1, 1 / of(1.0)).otherwise(1 / of(0.0))).orderBy(roll, "doc_id").limit(2 * max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * max_train rows are broadcast
     return cut(rows.select("text", "y", "weight").mapInArrow(_word_rows, "y double, weight double, words array<string>"), "toxic-rows")
 
@@ -95,7 +95,9 @@ def fit(rows: DataFrame, penalty: float = 5.0, ridge: float = 1.0) -> dict[str,
 
 
 def score(docs: DataFrame, model: dict[str, float], text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 behind its own columns; null and empty texts have the bias's; any doc_id, repeated rows and an empty table pass."""
+    """docs with a score from 0 to 1 behind its own columns, none of which may have its name; null and empty texts have the bias's; any doc_id, repeated rows and an empty table pass."""
+    if out in docs.columns:
+        raise ValueError(f"docs has a column {out} already: name another with out")
     weights, bias = {k: v for k, v in model.items() if k}, model[""]
     schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
     at = docs.columns.index(text_col)

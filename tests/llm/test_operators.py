@@ -153,8 +153,32 @@ def test_personal_data(spark, empty):
     assert private.personal_data(empty).count() == 0
 
 
+def test_personal_data_against_plain_patterns(spark):
+    """Base spans of random texts against the patterns as they are written, very long and repeated texts, clashing columns."""
+    import re
+
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def good(kind, x):
+        d = re.sub("[^0-9]", "", x)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in x.split("."))
+        if kind == "card":
+            luhn = sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(d)))
+            return 14 <= len(d) <= 19 and luhn % 10 == 0
+        return kind == "email" or 10 <= len(d) <= 15
+
+    pieces = ["a.b@c-d.ef", "x@y", "1.2.3.4", "300.1.1.1", "4539 1488 0343 6467", "4539148803436468", "+1 (234) 555-0199", "+12", "é", "@", ".", "-", " ", "12345678901234", "99.9.9.9.9"]
+    rows = [(i, "".join(rng.choice(pieces) + rng.choice(["", " ", ",", "x"]) for _ in range(rng.randint(0, 30)))) for i in range(200)]
+    rows += [(300, prose(60_000) + " u@v.w"), (301, rows[0][1]), (301, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"base": F.lit(1), "kind": F.lit("k")})
+    want = sorted((i, sorted((m.start(), m.end(), k) for k, p in kinds.items() for m in re.finditer(p, t) if good(k, m[0]))) for i, t in rows)
+    got = sorted((r.doc_id, sorted((int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0]) for x in r.base)) for r in private.personal_data(df).collect())
+    assert got == want
+
+
 def test_exact(spark, docs, empty):
-    got = {r.doc_id: r for r in exact.exact_groups(docs.drop("__len"), digest_all=True).collect()}
+    got = {r.doc_id: r for r in exact.exact_groups(docs, digest_all=True).collect()}
     groups = {}
     for i, t in DOCS:
         groups.setdefault(brute.lower(t), []).append(i)
@@ -162,6 +186,9 @@ def test_exact(spark, docs, empty):
         for i in ids:
             r = got[i]
             assert (r.keep_id, r.group_size, r.kept, r["__sha"]) == (max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest())
+    assert exact.exact_groups(docs).columns == [*docs.columns, *exact.ADDED]
+    with pytest.raises(ValueError, match="kept"):
+        exact.exact_groups(docs.withColumn("kept", F.lit(1)))
     kept = exact.deduplicate(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {max(x) for x in groups.values()}
     assert exact.deduplicate(empty).count() == 0
@@ -247,6 +274,14 @@ def test_toxicity(spark, empty):
     assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in held) >= 0.97 * len(held) and 0 <= got[900] == got[901] < 0.5
     free = toxic.fit(toxic.training_rows(docs, labels, 10_000), penalty=0.0)
     assert abs(model["women"] - model["men"]) < abs(free["women"] - free["men"])
+    with pytest.raises(ValueError, match="score"):
+        toxic.score(docs.withColumn("score", F.lit(1)), model)
+    odd = spark.createDataFrame([(None, rows[0][1] + " friend" * 300_000), (7, rows[1][1]), (7, rows[1][1]), (8, "IDIOT, idiot? women")], "doc_id long, text string").withColumn("y", F.lit(1))
+    import math
+
+    for r in toxic.score(odd, model).collect():  # against a plain sum
+        z = model[""] + sum(model.get(w, 0.0) for w in toxic.words(r.text))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.y == 1
     assert toxic.score(empty, model).count() == 0 and toxic.fitted(empty, labels) == {"": -3.0}
 
 
@@ -256,6 +291,23 @@ def test_language(spark, empty):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in language.predict(docs, language.dictionaries(docs.where("doc_id % 3 <> 1"))).collect()}
     assert all(got[i].lang_pred == rows[i][2] for i in range(200)) and got[300].lang_pred == got[301].lang_pred == "und"
+    known = language.dictionaries(docs.where("doc_id % 3 <> 1"))
+    import zstandard
+
+    def plain(text):  # against a plain loop
+        sizes = {}
+        for k, d in known.items():
+            data = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data.precompute_compress(level=3)
+            coder, raw = zstandard.ZstdCompressor(level=3, dict_data=data, write_checksum=False, write_content_size=False), text.lower().encode()
+            sizes[k] = sum(len(coder.compress(raw[i : i + language.BLOCK])) for i in range(0, len(raw), language.BLOCK))
+        return min(sorted(sizes), key=sizes.get)
+
+    long = [(1, rows[0][1] + " " + " ".join(words["de"]) * 3000), (1, rows[1][1]), (1, rows[1][1]), (None, rows[2][1])]
+    odd = spark.createDataFrame(long, "doc_id long, text string").withColumns({"lang": F.lit("xx"), "score": F.lit(9)})
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in language.predict(odd, known).collect()) == sorted((i or 0, plain(t)) for i, t in long)
+    tie = language.predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), {"b": b"same", "a": b"same"}).first()
+    assert tie.lang_pred == "a" and tie.rejected
     assert language.predict(empty, {}).count() == 0 and language.predict(docs, {}).where("lang_pred = 'und'").count() == len(rows)
 
 
@@ -467,6 +519,6 @@ def test_deduplicate_decides_by_id_and_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "text as __s", "doc_id as __id")
     key = lambda x: sorted(map(str, x.collect()))
     want = exact.exact_groups(df).where("kept").select(df.columns)
-    for bits in (1 << 15, exact.FILTER_BITS):
+    for bits in (1 << 15, None):
         assert key(exact.deduplicate(df, bits=bits)) == key(want)
     assert exact.deduplicate(df.where("false")).columns == df.columns and exact.deduplicate(df.where("false")).count() == 0
