@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrygraph.llm import exact, jaccard, leaks, packing, toxic
-from quarrygraph.llm.common import cut, fresh_path, table
+from quarrygraph.llm.common import cut, drop_since, fresh_path, table, without, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +27,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest doc_id stays."""
     groups = jaccard.similar_groups(docs, 5, 80)
     drop = cut(groups.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-near")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, drop, "doc_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = leaks.contaminated(docs, table(spark, sf_dir, "benchmark"))
     drop = cut(found.select("doc_id").distinct(), "pipeline-leaks")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, drop, "doc_id")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        at = fresh_path(spark, "pipeline-" + name.replace(" ", "-"))
+        at, mark = fresh_path(spark, "pipeline-" + name.replace(" ", "-")), written()
         stage(spark, docs, sf_dir).write.parquet(at)
+        drop_since(spark, mark)  # the stage's own tables
         docs = spark.read.parquet(at)
     return docs
