@@ -44,13 +44,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that cut has written in this process, oldest first.
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """The same rows read from a table written to the shared folder: lineage ends there, and lost executors lose nothing."""
     at = fresh_path(df.sparkSession, name)
     df.write.parquet(at)
+    _written.append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def written() -> int:
+    """How many tables cut has written so far: what drop_since takes."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Delete the tables that cut has written since: only once what was made from them is itself written."""
+    jvm = spark.sparkContext._jvm
+    for at in _written[mark:]:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[mark:]
+
+
 def text_arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, end to end, and their n + 1 offsets; null is empty."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
@@ -187,6 +206,12 @@ def with_filter(df: DataFrame, keys: DataFrame, key: str, flag: str, bits: int)
     return joined.withColumn(flag, F.coalesce(on, F.lit(False))).drop("__b", "__m", "__y")
 
 
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose 64-bit key is not among ids (key); only rows that may be are shuffled. Null keys stay."""
+    marked = with_filter(df, ids, key, "__may", bits_for(ids.count()))
+    return marked.where("not __may").select(df.columns).union(marked.where("__may").select(df.columns).join(ids.select(key), key, "left_anti").select(df.columns))
+
+
 # ---- hot keys ------------------------------------------------------------------------------------------------
 
 #: A key is hot from this many rows on, if they are also more than one in HOT_SHARE of all: under HOT_SHARE keys can be.

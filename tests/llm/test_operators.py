@@ -493,11 +493,18 @@ def test_pipeline_stages(spark, tmp_path):
     item = " ".join(f"w{i}q" for i in range(30)).replace("0", "a").replace("1", "b").replace("2", "c")
     rows = [(i, t, "en", "s", len(t or "")) for i, t in DOCS] + [(500, f"{prose(20)} {item} {prose(20)}", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows += [(600 + i, f"{prose(12)} {'idiot' if i % 3 == 0 else 'friend'} {prose(5)}", "en", "s", 9) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(i, 1, 0) for i in range(20)] + [(600 + i, 1, int(i % 3 == 0)) for i in range(300)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs_next = common.cut(stage(spark, docs, str(tmp_path)), "t")
         assert docs_next.columns == docs.columns
+        if stage is corpus_pipeline.toxicity:  # the same model as a plain sum
+            model = toxic.fitted(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+            stay = {r.doc_id for r in docs.collect() if model[""] + sum(model.get(w, 0.0) for w in toxic.words(r.text or "")) < 0}
+            assert {r.doc_id for r in docs_next.collect()} == stay and 600 not in stay and 601 in stay
         if stage is corpus_pipeline.exact_duplicates:
             best = {}
             for r in docs.collect():
@@ -509,7 +516,27 @@ def test_pipeline_stages(spark, tmp_path):
         if stage is corpus_pipeline.decontamination:
             assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in docs_next.collect()} == {500}
         docs = docs_next
-    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {r.doc_id for r in docs.collect()}
+    pieces = {}
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for r in docs.collect():
+        ids, at = reference_ids(r.text, 1), 0
+        for start, length, crc in sorted(pieces.pop(r.doc_id)):
+            assert start == at and crc == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[start : start + length]))
+            at += length
+        assert at == len(ids)
+    assert not pieces
+
+
+def test_without_and_drop(spark):
+    mark = common.written()
+    df = spark.createDataFrame([(i, "x") for i in range(50)] + [(None, "n")], "doc_id long, t string")
+    ids = common.cut(spark.range(0, 50, 7).select(F.col("id").alias("doc_id")), "t")
+    assert {r.doc_id for r in common.without(df, ids, "doc_id").collect()} == {None} | {i for i in range(50) if i % 7}
+    common.drop_since(spark, mark)
+    assert common.written() == mark
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        ids.count()
 
 
 def test_deduplicate_decides_by_id_and_text(spark):
