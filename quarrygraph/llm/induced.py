@@ -16,8 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from quarrygraph.llm.common import mix, prefix_hash, span_hash
-
 #: Items that a step holds in memory: beyond it arrays are files, queues spill and names are sorted by recursion.
 MEMORY = 1 << 22
 
@@ -95,14 +93,10 @@ def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
 
 
 def smaller_types(t: np.ndarray) -> np.ndarray:
-    """Which suffixes are smaller than their successor (S); the last one is."""
-    s = np.ones(len(t), bool)
-    differ = t[:-1] != t[1:]
-    last = np.flatnonzero(differ)  # a run of equal characters has the type of its last
-    run = np.searchsorted(last, np.arange(len(t) - 1))
-    up = np.append(t[last] < t[last + 1], True)
-    s[:-1] = up[run]
-    return s
+    """Which suffixes are smaller than their successor (S); the last one is. A run of equal characters has the type of its last."""
+    last = np.append(np.flatnonzero(t[1:] != t[:-1]), len(t) - 1)
+    up = np.append(t[last[:-1]] < t[last[:-1] + 1], True)
+    return np.repeat(up, np.diff(np.append(-1, last)))
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -125,6 +119,10 @@ def names_of(t: np.ndarray, star: np.ndarray) -> np.ndarray:
         for j in range(k, k + per):
             at = np.minimum(star[i] + j, len(t) - 1)
             key = (key << np.int64(bits)) | np.where(j < length[i], t[at], pad)
+        if not k:
+            rank = _dense(key)
+            i = np.flatnonzero(length >= per)
+            continue
         # only substrings that reach here compare; their groups split, and later ranks move up by what was added
         order = np.lexsort((key, rank[i]))
         r, x = rank[i][order], key[order]
@@ -244,15 +242,24 @@ def joined(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _common(t: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of the suffixes a and b, at most cap and not beyond their strings, by hashes of spans and bisection."""
-    h = prefix_hash(mix(t.astype(np.uint64) + np.uint64(1)))
-    hi = np.minimum(np.minimum(room[a], room[b]), cap).astype(np.int64)
-    lo = np.zeros(len(a), np.int64)
-    while len(a) and (lo < hi).any():
-        mid = (lo + hi + 1) // 2
-        same = span_hash(h, a, a + mid) == span_hash(h, b, b + mid)
-        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-    return lo
+    """Common prefixes of the suffixes a and b, at most cap and not beyond their strings, seven characters at a time."""
+    padded = np.append(t, np.zeros(7, t.dtype)).astype(np.uint64)
+    word = np.zeros(len(t), np.uint64)
+    for j in range(7):
+        word = (word << np.uint64(9)) | padded[j : len(t) + j]
+    most = np.minimum(np.minimum(room[a], room[b]), cap).astype(np.int64)
+    out, at, i = most.copy(), 0, np.flatnonzero(most > 0)
+    while len(i):
+        differ = word[a[i] + at] ^ word[b[i] + at]
+        differ &= ~(differ >> np.uint64(1))  # the highest bit stays, and no run of ones rounds up to the next
+        met = differ != 0
+        j = i[met]
+        # the first of the word's characters that differs, from its highest bit
+        out[j] = np.minimum(most[j], at + 6 - (np.frexp(differ[met].astype(np.float64))[1] - 1) // 9)
+        at += 7
+        i = i[~met]
+        i = i[most[i] > at]
+    return out
 
 
 def _run(t: np.ndarray, at: int, cap: int) -> int:

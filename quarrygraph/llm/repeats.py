@@ -1,10 +1,9 @@
 """Operator 9: removal of repeated 100-byte strings, exactly, over all documents, by external induced sorting of suffixes.
 
 Shards: of each window of 100 bytes its smallest 32-gram is the anchor, so equal windows have equal anchors at equal
-places. A run of windows with one anchor on the same side of their middle is a block of at most 134 bytes; its windows
-share 66 bytes, the block's key. Blocks whose key occurs once hold no repeat. Equal blocks are one row before anything
-is sorted (the later ones go whole), and the distinct blocks of a key go to one shard; a key with very many is split by
-all bytes that windows at near places share. Each task then sorts all
+places, and a run of windows with one anchor is a block of at most 168 bytes. Blocks whose anchor occurs once hold no
+repeat. Equal blocks are one row before anything is sorted (the later ones go whole), and the distinct blocks of an
+anchor go to one shard; an anchor with very many is split by the bytes that its windows share. Each task then sorts all
 suffixes of its shards' blocks (induced.py): suffixes whose common prefix with the one before reaches 100 bytes form a
 class, of which the earliest window stays.
 """
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import HOT_ROWS, HOT_SHARE, bits_for, bounded_batches, byte_values, chunks, cut, hot_join, in_filter, key_filter_array, mix, prefix_hash, span_hash, table, with_filter
+from quarrygraph.llm.common import HOT_ROWS, HOT_SHARE, bits_for, bounded_batches, byte_values, chunks, cut, hot_join, in_filter, key_filter_array, mix, powers, prefix_hash, span_hash, table, with_filter
 from quarrygraph.llm.induced import repeated
 
 #: Bytes of an anchor; bytes of a text that are looked at together; bytes of blocks that are sorted together (more only where one key holds more).
@@ -27,41 +26,44 @@ ANCHOR, _PIECE, SHARD = 32, 4 << 20, 4 << 20
 PLACES = 9
 
 def blocks(data: np.ndarray, offs: np.ndarray, width: int = 100, q: int = ANCHOR):
-    """(document, first window's start in it, windows, anchor's place in the first window, key, block hash, absolute start), all arrays.
-
-    A block's windows have one anchor, and all of them either more or at most half of their other bytes in front of it;
-    so they share that half beside the anchor too, and the key is the hash of both.
-    """
+    """(document, first window's start in it, windows, anchor's place in the first window, anchor hash, block hash, absolute start), all arrays."""
     n = len(data)
     out = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64)]
     if n < width:
         return out
     h = prefix_hash(byte_values(data))
-    at = np.arange(n - q + 1)
-    x = (span_hash(h, at, at + q) & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)  # ties go to the left
+    _, down = powers(n + 1)
+    low = np.uint64((1 << 24) - 1)
+    x = mix((h[q:] - h[: n - q + 1]) * down[: n - q + 1])
+    x |= low
+    x ^= low - np.arange(n - q + 1, dtype=np.uint64)  # ties go to the left: the place is in the low bits
     w, k = width - q + 1, 1
     while 2 * k <= w:
         x = np.minimum(x[:-k], x[k:])
         k *= 2
     if w > k:
         x = np.minimum(x[: len(x) - (w - k)], x[w - k :])
+    p = (x & low).astype(np.int64)  # of each window its anchor
     size = np.diff(offs)
-    valid = np.zeros(n + 1, np.int32)
+    edge = np.zeros(len(p) + 1, np.int8)  # windows within one document
     long = size >= width
-    np.add.at(valid, offs[:-1][long], 1)
-    np.add.at(valid, offs[1:][long] - width + 1, -1)
-    s = np.flatnonzero(np.cumsum(valid)[: len(x)])
-    if not len(s):
+    np.add.at(edge, offs[:-1][long], 1)
+    np.add.at(edge, offs[1:][long] - width + 1, -1)
+    valid = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    new = np.empty(len(p), bool)
+    new[0] = True
+    np.not_equal(p[1:], p[:-1], out=new[1:])
+    new |= edge[:-1] != 0
+    turn = np.append(np.flatnonzero(new), len(p))
+    count = np.diff(turn)
+    lo = turn[:-1]
+    on = valid[lo]
+    lo, count = lo[on], count[on]
+    if not len(lo):
         return out
-    p = (x[s] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    half = (width - q) // 2
-    front = p - s > half
-    new = np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1) | (front[1:] != front[:-1])])
-    first = np.flatnonzero(new)
-    lo, anchor, front = s[first], p[first], front[first]
-    count = np.diff(np.append(first, len(s)))
+    anchor = p[lo]
     doc = np.searchsorted(offs, lo, "right") - 1
-    key = span_hash(h, np.where(front, anchor - half, anchor), np.where(front, anchor + q, anchor + width - half))
+    key = span_hash(h, anchor, anchor + q)
     block = mix(span_hash(h, lo, lo + count - 1 + width) + (anchor - lo).astype(np.uint64))
     return [doc, lo - offs[doc], count, anchor - lo, key, block, lo]
 
@@ -95,7 +97,7 @@ def _places(ids, rids, doc, start):
 
 
 def _blocks(width, wanted, bits):
-    """Blocks with a repeated key: the key, the block's hash (of bytes and anchor's place), where it is, its windows."""
+    """Blocks with a repeated anchor: the anchor, the block's hash (of bytes and anchor's place), where it is, its windows."""
 
     def run(batches):
         for ids, rids, data, offs, base in _pieces(batches, width):
@@ -111,7 +113,7 @@ def _blocks(width, wanted, bits):
 
 
 def _bytes(width, wanted, bits, hot):
-    """The bytes of the wanted blocks, by shard key: the block's key, or where it is hot some of the anchor's places and the bytes that windows with these places share."""
+    """The bytes of the wanted blocks, by shard key: the anchor, or where it is hot also some of its places and the bytes that windows with these places share."""
 
     def run(batches):
         for ids, rids, data, offs, base in _pieces(batches, width):
@@ -215,7 +217,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     several = by_block.where("m > 1").select("block")
     again = with_filter(found, several, "block", "maybe", bits_for(several.count())).where("maybe").select("block", "doc", "rid", "s", "n")
     whole = _not_first(_later(again, by_block, total), width)
-    # distinct blocks of keys that have several
+    # distinct blocks of anchors that have several
     kinds = cut(by_block.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeats-kinds")
     n_kinds = kinds.agg(F.sum("n")).first()[0] or 0
     hot = [r.h for r in kinds.where(F.col("n") > max(HOT_ROWS, n_kinds // HOT_SHARE)).select("h").collect()]  # fewer than HOT_SHARE
