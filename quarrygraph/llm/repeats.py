@@ -133,9 +133,9 @@ def _bytes(width, wanted, bits, hot):
                 h = prefix_hash(byte_values(data))
                 anchor = lo[row] + place[row]
                 core = span_hash(h, np.where(on, anchor - g * PLACES, anchor), np.where(on, anchor - (g * PLACES + PLACES - 1) + width, anchor + ANCHOR))
-                doc, start, lo, count, key, block = doc[row], start[row] + begin, lo[row] + begin, stop - begin + 1, key[row], block[row]
+                doc, start, lo, count, place, key, block = doc[row], start[row] + begin, lo[row] + begin, stop - begin + 1, place[row] - begin, key[row], block[row]
                 key = np.where(on, mix(core + g.astype(np.uint64)), key)
-                own = mix(span_hash(h, lo, lo + count - 1 + width) + (place[row] - begin).astype(np.uint64))
+                own = mix(span_hash(h, lo, lo + count - 1 + width) + place.astype(np.uint64))
                 block, split = np.where(on, own, block), on
             total = count - 1 + width
             begin = np.cumsum(total) - total
@@ -143,32 +143,59 @@ def _bytes(width, wanted, bits, hot):
             at = pa.array(doc)
             cut_ = pa.py_buffer(np.append(begin, total.sum()).astype(np.int32))
             held = pa.Array.from_buffers(pa.binary(), len(lo), [None, cut_, pa.py_buffer(flat)])
-            cols = [pa.array(key.view(np.int64)), pa.array(block.view(np.int64)), ids.take(at), rids.take(at), pa.array(start + base[doc]), pa.array(count, pa.int32()), held, pa.array(split)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "block", "doc", "rid", "s", "n", "bytes", "split"])
+            cols = [pa.array(key.view(np.int64)), pa.array(block.view(np.int64)), ids.take(at), rids.take(at), pa.array(start + base[doc]), pa.array(count, pa.int32()), pa.array(place, pa.int32()), held, pa.array(split)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "block", "doc", "rid", "s", "n", "place", "bytes", "split"])
 
     return run
 
 
+def may_repeat(key: np.ndarray, data: np.ndarray, offs: np.ndarray, count: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of the windows of each block that may equal a window of another block of its key: a window has at least half of its other bytes on one side of the anchor, so that half and the anchor must occur twice."""
+    h = prefix_hash(byte_values(data))
+    half = (width - ANCHOR) // 2
+    anchor = offs[:-1] + place
+    split = np.clip(place - half, 0, count)  # windows before it have more than half in front
+
+    def twice(has, begin, end):
+        on = np.flatnonzero(has)
+        x = mix(span_hash(h, begin[on], end[on]) ^ mix(key[on].view(np.uint64)))
+        _, where, k = np.unique(x, return_inverse=True, return_counts=True)
+        out = np.zeros(len(has), bool)
+        out[on] = k[where] > 1
+        return out
+
+    front = twice(split > 0, anchor - half, anchor + ANCHOR)
+    behind = twice(split < count, anchor, anchor + width - half)
+    return np.where(front, 0, split), np.where(behind, count, split)
+
+
 def _sorted(width):
     """Blocks by shard key to the intervals of windows that an earlier block of the key has. Memory holds the blocks of one sort, and of these suffixes beyond induced.MEMORY wait on disk."""
 
     def found(batches):
         rows = pa.Table.from_batches(batches).combine_chunks()
         doc, rid, s = (rows.column(i).combine_chunks() for i in (1, 2, 3))
-        col = rows.column(5).combine_chunks()
+        key, count, place = (rows.column(i).combine_chunks().to_numpy().astype(np.int64) for i in (0, 4, 5))
+        col = rows.column(6).combine_chunks()
         data, offs = np.frombuffer(col.buffers()[2], np.uint8), np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset).astype(np.int64)
         data, offs = data[offs[0] : offs[-1]], offs - offs[0]
+        first, end = may_repeat(key, data, offs, count, place, width)
+        kept = np.flatnonzero(first < end)
+        size = end[kept] - first[kept] - 1 + width
+        begin = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(kept)), size)
+        k = np.arange(len(row)) - begin[row]
+        data = data[(offs[:-1][kept] + first[kept])[row] + k]
+        take = pa.array(kept)
+        doc, rid, s = doc.take(take), rid.take(take), s.to_numpy(zero_copy_only=False)[kept] + first[kept]
         where = [x.to_numpy(zero_copy_only=False) for x in (rid, doc.fill_null(0), doc.is_valid())]
         by = np.lexsort(where)
         new = np.append(False, np.any([x[by][1:] != x[by][:-1] for x in where], axis=0))[: len(by)]
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(new)
-        row = np.repeat(np.arange(len(by)), np.diff(offs))
-        k = np.arange(len(data)) - offs[:-1][row]
-        s = s.to_numpy(zero_copy_only=False)
-        dup = repeated(data, offs, (rank[row] << 40) + s[row] + k, width)
-        edge = np.flatnonzero(dup & ((k == 0) | ~np.append(False, dup[:-1])))
-        stop = np.flatnonzero(dup & np.append(~dup[1:] | (k[1:] == 0), True))
+        dup = repeated(data, np.append(begin, len(data)), (rank[row] << 40) + s[row] + k, width) if len(kept) else np.zeros(0, bool)
+        edge = np.flatnonzero(dup & ((k == 0) | ~np.append(False, dup[:-1])[: len(dup)]))
+        stop = np.flatnonzero(dup & np.append(~dup[1:] | (k[1:] == 0), True)[: len(dup)])
         r = pa.array(row[edge])
         return pa.RecordBatch.from_arrays([doc.take(r), rid.take(r), pa.array(s[row[edge]] + k[edge]), pa.array(s[row[edge]] + k[stop] + width)], names=["doc", "rid", "a", "b"])
 
@@ -225,7 +252,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     bits = bits_for(n_kinds)
     wanted = spark.sparkContext.broadcast(key_filter_array(mixed, "w", bits))
     hot = spark.sparkContext.broadcast(np.array(hot, np.int64).view(np.uint64))
-    parts = x.mapInArrow(_bytes(width, wanted, bits, hot), "key long, block long, doc long, rid long, s long, n int, bytes binary, split boolean")
+    parts = x.mapInArrow(_bytes(width, wanted, bits, hot), "key long, block long, doc long, rid long, s long, n int, place int, bytes binary, split boolean")
     if len(hot.value):
         parts = cut(parts, "repeats-parts")
         again = parts.where("split")
@@ -235,7 +262,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         firsts = again.where(F.col("first").isNull() | F.struct("doc", "rid", "s").eqNullSafe(F.col("first"))).select(parts.columns)
         parts = parts.where("not split").union(firsts)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts.select("key", "doc", "rid", "s", "n", "bytes").repartition(n, "key").sortWithinPartitions("key")
+    parts = parts.select("key", "doc", "rid", "s", "n", "place", "bytes").repartition(n, "key").sortWithinPartitions("key")
     return whole.union(parts.mapInArrow(_sorted(width), "doc long, rid long, a long, b long"))
 
 

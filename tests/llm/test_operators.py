@@ -447,6 +447,33 @@ def test_repeats_of_hot_anchors(spark, monkeypatch):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, size), (1, size), (2, size)]
 
 
+def test_windows_that_may_repeat():
+    """What is left out equals no other window of its key."""
+    import numpy as np
+
+    for trial in range(20):
+        base = bytes(rng.choice(b"abcdef") for _ in range(168))
+        blocks_, keys, counts, places = [], [], [], []
+        for _ in range(30):
+            x = bytearray(base)
+            for _ in range(rng.randint(0, 3)):
+                x[rng.choice([*range(68), *range(100, 168)])] = rng.choice(b"xyz")
+            first = rng.randint(0, 60)
+            n = rng.randint(1, 69 - first)
+            blocks_.append(bytes(x[first : first + n + 99]))
+            keys.append(rng.randint(0, 1))
+            counts.append(n)
+            places.append(68 - first)
+        offs = np.cumsum([0] + [len(x) for x in blocks_])
+        lo, hi = repeats.may_repeat(np.array(keys), np.frombuffer(b"".join(blocks_), np.uint8), offs, np.array(counts), np.array(places), 100)
+        seen = {}
+        for i, x in enumerate(blocks_):
+            for k in range(counts[i]):
+                seen.setdefault((keys[i], x[k : k + 100]), []).append((i, k))
+        for at in seen.values():
+            assert len(at) == 1 or all(lo[i] <= k < hi[i] for i, k in at)
+
+
 def test_repeats_in_texts_of_several_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "_PIECE", 700)
     passage = prose(60)
