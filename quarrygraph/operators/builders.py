@@ -454,3 +454,31 @@ def chosen_chains(total: DataFrame, limit: int = 1) -> DataFrame:
     x = total.withColumn("__p", place)
     reason = F.when(F.col("participants") < 3, "fewer than three participants").when(F.col("__p") > limit, "beyond the limit of sequences")
     return x.select("chain", reason.isNull().alias("drawn"), reason.alias("reason"))
+
+
+# ---- specs ---------------------------------------------------------------------------------------------------
+
+#: How diagram texts call the shapes of boxes; others are plain units.
+TEXT_SHAPES = {"cylinder": "store", "diamond": "decision", "stadium": "terminal", "lean_r": "channel", "lean_l": "channel", "circle": "external"}
+
+
+def assembled(view: View, renderer: str, direction: str = "LR") -> DataFrame:
+    """(view, spec): each view as the JSON that diagrams.render takes: boxes by id, arrows by ends; a view is bounded by its limits."""
+    node = F.struct("id", "label", P.looked_up(TEXT_SHAPES, F.col("shape"), "unit").alias("shape"), "group")
+    edge = F.struct("src", "dst", "label", "async")
+    n = view.boxes.groupBy("view").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    e = view.arrows.groupBy("view").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    x = n.join(e, "view", "left").select("view", F.struct(F.lit(renderer).alias("renderer"), F.lit(direction).alias("direction"), "nodes", F.coalesce("edges", F.array().cast(e.schema["edges"].dataType)).alias("edges")).alias("s"))
+    return x.select("view", F.to_json("s").alias("spec"))
+
+
+def signatures(specs: DataFrame) -> DataFrame:
+    """(view, hash): content hashes of specs; what did not change keeps its hash."""
+    return specs.select("view", F.sha2("spec", 256).alias("hash"))
+
+
+def with_tiers(candidates: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates (view, tier, order) within the cap by tier, order and view, and (view, reason) of the rest."""
+    place = F.row_number().over(Window.orderBy("tier", "order", "view"))  # one row a view
+    x = candidates.withColumn("__p", place)
+    return x.where(F.col("__p") <= cap).drop("__p"), skipped(x.where(F.col("__p") > cap), F.col("view"), "beyond the limit of views")

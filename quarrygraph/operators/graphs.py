@@ -44,12 +44,64 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
             return label.select("v", F.col("c").alias("component"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _strong_groups(src, dst) -> dict:
+    """Vertex to the smallest vertex of its strong component, by one depth-first walk with a stack of open paths."""
+    near: dict = {}
+    for a, b in zip(src, dst, strict=True):
+        near.setdefault(a, []).append(b)
+    seen: dict = {}
+    group: dict = {}
+    path, bounds = [], []
+    for root in near:
+        walk = [] if root in seen else [(root, iter(near[root]))]
+        while walk:
+            v, rest = walk[-1]
+            if v not in seen:
+                seen[v] = len(seen)
+                path.append(v)
+                bounds.append(seen[v])
+            w = next(rest, None)
+            if w is None:
+                walk.pop()
+                if bounds[-1] == seen[v]:
+                    bounds.pop()
+                    members = [path.pop()]
+                    while members[-1] != v:
+                        members.append(path.pop())
+                    group |= dict.fromkeys(members, min(members))
+            elif w not in seen:
+                walk.append((w, iter(near.get(w, ()))))
+            elif w not in group:
+                while bounds[-1] > seen[w]:
+                    bounds.pop()
+    return group
+
+
+def strong_components(edges: DataFrame, group: int = 50_000) -> DataFrame:
     """(v, component): components of more than one vertex or with a loop, named by their smallest vertex.
 
-    Vertices without a way in or out are trimmed until none is left; then colours (smallest vertex that reaches) spread
-    forwards, and what reaches a colour's root backwards within the colour is a component; repeat on the rest.
+    Up to group distinct edges are walked in one task; more of them stay tables: vertices without a way in or out are
+    trimmed until none is left; then colours (smallest vertex that reaches) spread forwards, and what reaches a colour's
+    root backwards within the colour is a component; repeat on the rest.
     """
+    distinct = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    if distinct.count() <= group:
+        kind = dict(edges.dtypes)["src"]
+
+        def walk(batches):
+            rows = list(batches)
+            if rows:
+                x = pd.concat(rows)
+                got = _strong_groups(x.src, x.dst)
+                loops = set(x.src[x.src == x.dst])
+                size: dict = {}
+                for c in got.values():
+                    size[c] = size.get(c, 0) + 1
+                out = [(v, c) for v, c in got.items() if size[c] > 1 or v in loops]
+                yield pd.DataFrame(out, columns=["v", "component"])
+
+        return distinct.coalesce(1).mapInPandas(walk, f"v {kind}, component {kind}")
+    edges = distinct
     loops = edges.where("src = dst").select(F.col("src").alias("v")).distinct()
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found = loops.withColumn("component", F.col("v")).limit(0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.operators.graphs import cut
+from quarrygraph.operators.graphs import cut, strong_components
 
 # Kinds of nodes and edges, what they count as, and how they are drawn and named.
 NODE_KINDS = ["module", "package", "class", "function", "service", "worker", "ros_node", "api_endpoint", "ui_component", "datastore", "db_entity", "event_channel", "topic", "ros_service", "ros_action", "tf_frame", "external_service", "library", "config", "algorithm", "data_artifact", "deployment_unit", "state"]
@@ -237,6 +237,10 @@ def lane_problems(laned: DataFrame, edges: DataFrame, max_edges: int = 20) -> Da
     out = count(e.where(~allowed), "lane pair not allowed")
     out = out.union(count(pair.where("k > 1 and not (k = 2 and ways = 2 and quiet)"), "more than one edge between two units"))
     out = out.union(count(e, "too many edges").where(F.col("n") > max_edges))
+    soft = F.col("src_lane").isin("async", "external") | F.col("dst_lane").isin("async", "external")
+    at = lambda end: F.concat_ws("\u0001", "view", end)
+    ring = strong_components(e.where(~soft).select(at("src").alias("src"), at("dst").alias("dst"))).select(F.split_part("v", F.lit("\u0001"), F.lit(1)).alias("view"))
+    out = out.union(count(ring, "forward edges form a cycle"))
     served = laned.where("lane = 'service'").select("view").distinct()
     return out.union(laned.select("view").distinct().join(served, "view", "left_anti").select("view", F.lit("no service lane").alias("reason"), F.lit(1).cast("long").alias("n")))
 
@@ -310,3 +314,54 @@ def ranked_subsystems(nodes: DataFrame, edges: DataFrame, cap: int) -> DataFrame
     y = own.join(cross, "subsystem", "left").select("subsystem", "components", F.coalesce("crossing", F.lit(0)).alias("crossing"))
     place = F.row_number().over(Window.orderBy(-(F.col("components") + F.col("crossing")), "subsystem")) - 1  # one row a subsystem
     return y.withColumn("place", place).withColumn("drawn", F.col("place") < cap)
+
+
+def lane_styles(laned: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges (view, src, dst) with style: dotted where an end is async or external, else solid; (view, id, lacks) is what one_sided tells of services."""
+    x = edges
+    for end in ("src", "dst"):
+        x = x.join(laned.select("view", F.col("id").alias(end), F.col("lane").alias(f"__{end}")), ["view", end], "left")
+    soft = F.col("__src").isin("async", "external") | F.col("__dst").isin("async", "external")
+    return x.select(*edges.columns, F.when(F.coalesce(soft, F.lit(False)), "dotted").otherwise("solid").alias("style"))
+
+
+def one_sided(laned: DataFrame, edges: DataFrame) -> DataFrame:
+    """(view, id, lacks): services without an edge in or out."""
+    s = laned.where("lane = 'service'").select("view", "id")
+    for end, name in (("dst", "input"), ("src", "output")):
+        s = s.join(edges.select("view", F.col(end).alias("id"), F.lit(True).alias(name)).distinct(), ["view", "id"], "left")
+    lacks = F.array_compact(F.array(F.when(F.col("input").isNull(), F.lit("input")), F.when(F.col("output").isNull(), F.lit("output"))))
+    return s.select("view", "id", lacks.alias("lacks")).where("size(lacks) > 0")
+
+
+def nested_groups(groups: DataFrame, deepest: int = 2, steps: int = 16) -> DataFrame:
+    """(view, id, parent, depth) of groups (view, id, parent) nested at most deepest: a deeper one hangs on its ancestor at that depth; unknown parents and circles are cut to the top."""
+    g = groups.join(groups.select("view", F.col("id").alias("parent"), F.lit(True).alias("__known")), ["view", "parent"], "left")
+    g = g.select("view", "id", F.when(F.col("__known") & (F.col("parent") != F.col("id")), F.col("parent")).alias("parent"))
+    level = g.where("parent is null").select("view", "id", F.lit(None).cast("string").alias("parent"), F.lit(1).alias("depth"), F.array("id").alias("way"))
+    placed = level
+    for _ in range(steps):
+        level = cut(g.join(level.select("view", F.col("id").alias("parent"), "depth", "way"), ["view", "parent"]).select("view", "id", F.get("way", F.least(F.size("way"), F.lit(deepest - 1)) - 1).alias("parent"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.array("id")).alias("way")), "groups")
+        if not level.limit(1).count():
+            break
+        placed = placed.union(level)
+    rest = g.join(placed.select("view", "id"), ["view", "id"], "left_anti").select("view", "id", F.lit(None).cast("string").alias("parent"), F.lit(1).alias("depth"))
+    return placed.select("view", "id", "parent", F.least("depth", F.lit(deepest)).alias("depth")).union(rest)
+
+
+def view_slug(prefix: str, name: Column) -> Column:
+    """A view's id: its prefix and the name without the prefixes that ids bear (sub:, flow-, algo-)."""
+    bare = F.regexp_replace(F.lower(name), r"^(sub:|flow[-:]|algo[-:])", "")
+    out = F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.concat(F.lit(f"{prefix}-"), F.when(out == "", "x").otherwise(out))
+
+
+def long_labels(rows: DataFrame, most: int = 48) -> DataFrame:
+    """(view, n): how many labels of a view are longer than most."""
+    return rows.where(F.length("label") > most).groupBy("view").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sets_of(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, in_a, in_b) of two tables of ids: union, difference and intersection are filters of it."""
+    x, y = (df.select("id").distinct().withColumn(c, F.lit(True)) for df, c in ((a, "in_a"), (b, "in_b")))
+    return x.join(y, "id", "full").select("id", F.coalesce("in_a", F.lit(False)).alias("in_a"), F.coalesce("in_b", F.lit(False)).alias("in_b"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.operators import builders as B
-from quarrygraph.operators import findings, impact
+from quarrygraph.operators import findings, impact, validator
 from quarrygraph.operators import projection as P
 from quarrygraph.plans.registry import query
 from quarrygraph.sources import logs
@@ -238,6 +238,18 @@ def subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.subtree(n, 8).groupBy(F.col("above").alias("id")).agg(F.count(F.lit(1)).alias("below"), F.max("steps").alias("depth"))
 
 
+@query(f"""WITH {_MODEL} SELECT 'unknown-parent' AS rule, 'error' AS severity, count(*) AS n FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM n) HAVING count(*) > 0
+UNION ALL SELECT 'unknown-end', 'error', count(*) FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e) WHERE v NOT IN (SELECT id FROM n WHERE kind <> 'config') HAVING count(*) > 0
+UNION ALL SELECT 'unknown-subsystem', 'error', count(*) FROM n WHERE kind <> 'config' AND subsystem IN ('sub:3', 'sub:7') HAVING count(*) > 0
+UNION ALL SELECT 'node-without-evidence', 'warning', count(*) FROM n WHERE kind <> 'config' HAVING count(*) > 0 UNION ALL SELECT 'edge-without-evidence', 'warning', count(*) FROM e HAVING count(*) > 0""")
+def model_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules broken by the model without its settings and two of its subsystems, and with no evidence at all."""
+    n, e, s = model(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    parts = {"nodes": n.where("kind <> 'config'").withColumn("evidence", none), "edges": e.withColumn("evidence", none), "subsystems": s.where("id not in ('sub:3', 'sub:7')")}
+    return validator.summary(validator.problems(parts))
+
+
 def _drawn(view: B.View) -> DataFrame:
     """A view's boxes and arrows as rows of one table."""
     none = F.lit(None).cast("string")
@@ -288,3 +300,13 @@ def entity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
     ids = c.select(F.col("src").alias("id")).union(t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id")))
     return B.entity_parts(ids, c)[0]
+
+
+@query()
+def rendered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the overview, the infrastructure and the data flow, through their own check."""
+    from quarrygraph.functions import diagrams
+
+    m = model(spark, sf_dir)
+    specs = [B.assembled(v, "flowchart") for v in (B.overview(*m)[0], B.infrastructure(*m), B.data_flow(*m)[0])]
+    return diagrams.gated(specs[0].union(specs[1]).union(specs[2]))

@@ -90,3 +90,25 @@ def inventory(files: DataFrame, rules: list[str] = (), max_bytes: int = 1_000_00
     """(path, size, language, analyzed, test, reason) of files (path, size, content)."""
     p = F.col("path")
     return files.select("path", "size", language(p).alias("language"), F.coalesce(language(p).isin(ANALYZED), F.lit(False)).alias("analyzed"), is_test(p).alias("test"), left_out(p, F.col("size"), F.col("content"), rules, max_bytes).alias("reason"))
+
+
+def tracked(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """files that a listing of tracked and untracked paths (path) names; paths that are listed but gone have no row, and one listed twice is one file."""
+    return files.join(listed.select("path").distinct(), "path", "left_semi")
+
+
+def pruned(files: DataFrame) -> DataFrame:
+    """(folder, files): folders that are left out by name, the topmost of a path, and how many files lie in them."""
+    parts = F.split("path", "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(folders), F.lit(1))), lambda i: F.get(folders, i - 1).isin(EXCLUDED_DIRS))
+    at = F.get(first, F.lit(0))
+    return files.where(at.isNotNull()).groupBy(F.array_join(F.slice(parts, 1, at), "/").alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def revision(spark: SparkSession, commit: str, branch: str | None, dirty: bool, remote: str | None) -> DataFrame:
+    """One row (revision, short, branch, dirty, remote) of what is known about a tree, the address without its login."""
+    from quarrygraph.functions.names import remote as bare
+
+    row = spark.createDataFrame([(commit, branch, dirty, remote)], "revision string, branch string, dirty boolean, remote string")
+    return row.select("revision", F.substring("revision", 1, 12).alias("short"), "branch", "dirty", bare(F.col("remote")).alias("remote"))

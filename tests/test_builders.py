@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrygraph.functions import redaction
 from quarrygraph.functions import text as T
 from quarrygraph.operators import builders as B
-from quarrygraph.operators import findings, impact, joins
+from quarrygraph.operators import findings, impact, joins, validator
 from quarrygraph.operators import projection as P
 from quarrygraph.sources import logs
 
@@ -87,6 +87,21 @@ def test_lanes(spark):
     assert {r.reason for r in P.lane_problems(laned, e.union(e.where("dst = 'd'")), 1).where("view = 'v'").collect()} == {"more than one edge between two units", "too many edges"}
 
 
+def test_lanes_groups_and_sets(spark):
+    laned = spark.createDataFrame([("v", "a", "service"), ("v", "b", "service"), ("v", "q", "async"), ("w", "a", "service"), ("w", "b", "service")], "view string, id string, lane string")
+    e = spark.createDataFrame([("v", "a", "b"), ("v", "a", "q"), ("v", "q", "a"), ("w", "a", "b"), ("w", "b", "a")], "view string, src string, dst string")
+    assert {(r.view, r.reason) for r in P.lane_problems(laned, e).collect()} == {("w", "forward edges form a cycle"), ("w", "more than one edge between two units")}
+    assert {(r.src, r.dst): r.style for r in P.lane_styles(laned, e).where("view = 'v'").collect()} == {("a", "b"): "solid", ("a", "q"): "dotted", ("q", "a"): "dotted"}
+    assert [(r.view, r.id, r.lacks) for r in P.one_sided(laned, e).collect()] == [("v", "b", ["output"])]
+    g = spark.createDataFrame([("v", "a", None), ("v", "b", "a"), ("v", "c", "b"), ("v", "d", "c"), ("v", "e", "gone"), ("v", "x", "y"), ("v", "y", "x")], "view string, id string, parent string")
+    assert {r.id: (r.parent, r.depth) for r in P.nested_groups(g).collect()} == {"a": (None, 1), "b": ("a", 2), "c": ("a", 2), "d": ("a", 2), "e": (None, 1), "x": (None, 1), "y": (None, 1)}
+    names = spark.createDataFrame([("sub:My Part",), ("flow-x",), ("--",)], "n string")
+    assert [r.s for r in names.select(P.view_slug("view", F.col("n")).alias("s")).collect()] == ["view-my-part", "view-x", "view-x"]
+    both = P.sets_of(spark.createDataFrame([("a",), ("b",), ("a",)], "id string"), spark.createDataFrame([("b",), ("c",)], "id string"))
+    assert {(r.id, r.in_a, r.in_b) for r in both.collect()} == {("a", True, False), ("b", True, True), ("c", False, True)}
+    assert [(r.view, r.n) for r in P.long_labels(spark.createDataFrame([("v", "x" * 49), ("v", "x")], "view string, label string")).collect()] == [("v", 1)]
+
+
 def arrows(v):
     return {(r.src, r.dst) for r in v.arrows.collect()}
 
@@ -117,6 +132,18 @@ def test_views(spark):
     assert B.robot_graph(n, e, s).boxes.count() == 0 and B.overview(n.where("false"), e.where("false"), s.where("false"))[0].boxes.count() == 0
 
 
+def test_specs_are_rendered(spark):
+    from quarrygraph.functions import diagrams
+
+    v, _ = B.overview(*model(spark))
+    specs = B.assembled(v, "flowchart")
+    row = diagrams.gated(specs).first()
+    assert row.outcome == "ok" and 'subgraph webGroup["Web"]' in row.text and "-->|" in row.text
+    assert len(B.signatures(specs).first()["hash"]) == 64
+    kept, rest = B.with_tiers(spark.createDataFrame([("a", 2, 0), ("b", 1, 5), ("c", 1, 6)], "view string, tier int, order int"), 2)
+    assert {r.view for r in kept.collect()} == {"b", "c"} and [r.view for r in rest.collect()] == ["a"]
+
+
 def test_given_flows_and_stages(spark):
     n, _, s = model(spark)
     steps = spark.createDataFrame([("v", 0, "fn:a.py:main", "fn:b.py:load", "call", "one", None, "init"), ("v", 1, "fn:a.py:main", "fn:b.py:load", "async", "two", None, "init"), ("v", 2, "fn:b.py:load", "fn:b.py:save", "error", None, "bad", "runtime"), ("v", 3, "fn:b.py:load", "gone", "call", "x", None, None), ("w", 0, "fn:a.py:main", "gone", "call", "x", None, None)], "view string, pos int, src string, dst string, kind string, label string, condition string, phase string")
@@ -259,3 +286,28 @@ def test_fixed_words(spark):
     x = spark.createDataFrame([("<b>Hi</b> \U0001f600 `x`\\n  a​b <custom> \x07",), (None,)], "t string")
     assert [r.n for r in x.select(T.normalised(F.col("t")).alias("n")).collect()] == ["Hi x ab <custom>", None]
     assert {r.category: r.labels for r in redaction.tally(spark.createDataFrame([("a@b.co",), ("a@b.co 10.0.0.1",), ("x",)], "t string"), "t").collect()} == {"all": 2, "email": 2, "private_ip": 1}
+
+
+def test_validator(spark):
+    df = spark.createDataFrame
+    model = {
+        "nodes": df([("a", "A", "module", "s", None, ["v1"]), ("a", "A2", "odd", "gone", "a", ["none"]), ("b", "", "class", None, "zz", None), (None, "N", "class", None, None, [])], "id string, name string, kind string, subsystem string, parent string, evidence array<string>"),
+        "subsystems": df([("s", "")], "id string, name string"),
+        "edges": df([("e:calls:a>b", "a", "b", "calls", "init", ["v1"]), ("e:x", "a", "q", "jumps", "late", []), ("e:imports:a>a", "a", "a", "imports", None, ["v1"])], "id string, src string, dst string, kind string, phase string, evidence array<string>"),
+        "evidence": df([("v1", "f", 1, 2, "confirmed", "ast"), ("v2", None, 3, 2, "sure", "web")], "id string, file string, line_start int, line_end int, status string, source string"),
+        "steps": df([("f", 0, "a", "nope", "hop")], "flow string, pos int, src string, dst string, kind string"),
+        "stages": df([("d", "nope", "middle")], "flow string, node string, role string"),
+        "algorithm_stages": df([("g", "1", "step"), ("g", "2", "leap")], "algorithm string, id string, kind string"),
+        "algorithm_links": df([("g", "1", "3")], "algorithm string, src string, dst string"),
+        "states": df([("m", "on", False), ("m", "off", False)], "machine string, state string, initial boolean"),
+        "transitions": df([("m", "on", "broken")], "machine string, src string, dst string"),
+        "entities": df([("t",), ("t",)], "id string"),
+        "relations": df([("t", "u")], "src string, dst string"),
+    }
+    got = {(r.rule, r.severity): r.n for r in validator.summary(validator.problems(model)).collect()}
+    want = "duplicate-node unknown-node-kind unknown-subsystem unknown-parent unknown-edge-kind unknown-phase edge-id edge-to-itself unknown-end unknown-status unknown-source line-range unknown-evidence unknown-step-kind step-of-no-node unknown-role stage-of-no-node unknown-stage-kind transition-of-no-stage transition-of-no-state initial-state relation-of-no-entity duplicate-entity node-without-id node-without-name subsystem-without-name evidence-without-file own-parent".split()
+    assert {r for r, s in got if s == "error"} == set(want) and {r for r, s in got if s == "warning"} == {"node-without-evidence", "edge-without-evidence"}
+    assert got["node-without-evidence", "warning"] == 2
+    sound = {"nodes": model["nodes"].where("id = 'a' and kind = 'module'"), "evidence": model["evidence"].where("id = 'v1'")}
+    assert validator.problems(sound, strict=True).count() == 0
+    assert validator.problems({"nodes": model["nodes"].where("id = 'b'")}, strict=True).where("rule = 'node-without-evidence' and severity = 'error'").count() == 1

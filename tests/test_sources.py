@@ -93,3 +93,16 @@ def test_entries_subsystems_and_brief(spark):
     edges = spark.createDataFrame([("mod:pkg/i.js", "mod:src/app/cli.py", "calls"), ("mod:pkg/i.js", "x", "imports")], "src string, dst string, kind string")
     b = {(r.section, r.name): r.n for r in M.brief(nodes, edges, found).collect()}
     assert b["node", "module"] == 2 and b["hub", "mod:pkg/i.js"] == 1 and b["build", "pyproject"] == 1
+
+
+def test_tracked_pruned_revision(spark):
+    from quarrygraph.sources import inventory as I
+
+    f = spark.createDataFrame([("a.py",), ("web/node_modules/x/y.js",), ("web/node_modules/z.js",), ("dist/build/o.js",), ("b/test/c.go",)], "path string")
+    assert {r.path for r in I.tracked(f, spark.createDataFrame([("a.py",), ("a.py",), ("gone.py",)], "path string")).collect()} == {"a.py"}
+    assert {(r.folder, r.files) for r in I.pruned(f).collect()} == {("web/node_modules", 2), ("dist", 1)}
+    r = I.revision(spark, "0123456789abcdef", "main", True, "https://u:p@h/x.git").first()
+    assert r.short == "0123456789ab" and "u:p" not in r.remote and r.dirty
+    rows = spark.createDataFrame([("x/conftest.py", 1, b"a"), ("p.proto", 1, b"a"), ("q_pb2_grpc.py", 1, b"a"), ("m.mts", 1, b"a"), ("k.go", 1, b"a"), ("a.test.tsx", 1, b"a")], "path string, size long, content binary")
+    got = {r.path: (r.language, r.analyzed, r.test, r.reason) for r in I.inventory(rows).collect()}
+    assert got == {"x/conftest.py": ("python", True, True, None), "p.proto": ("protobuf", False, False, None), "q_pb2_grpc.py": ("python", True, False, "generated"), "m.mts": ("typescript", True, False, None), "k.go": ("go", False, False, None), "a.test.tsx": ("typescript", True, True, None)}
