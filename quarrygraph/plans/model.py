@@ -129,7 +129,10 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).region.select(i.alias("id"), F.sha2(i, 256).alias("signature"))
 
 
-@query()
+@query("""WITH p AS (SELECT CAST(page_id AS VARCHAR) AS doc, coalesce(html, '') AS html FROM pages)
+SELECT doc, 'all' AS id, 'SECTION' AS type, CAST(NULL AS VARCHAR) AS parent, true AS top FROM p
+UNION ALL SELECT DISTINCT doc, replace(id, '&amp;', '&'), 'A', 'all', false FROM (SELECT doc, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS id FROM p)""")
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements with ids in every page's markup, read tolerantly."""
-    return trees.elements(Tables(spark, sf_dir).pages.select(F.col("page_id").cast("string").alias("doc"), F.col("html").alias("text")))
+    """Every page's markup in a section, its links' addresses as ids, read tolerantly."""
+    text = F.concat(F.lit('<section id="all">'), F.replace(F.coalesce("html", F.lit("")), F.lit("<a href="), F.lit("<a id=")), F.lit("</section>"))
+    return trees.elements(Tables(spark, sf_dir).pages.select(F.col("page_id").cast("string").alias("doc"), text.alias("text"))).select("doc", "id", "type", "parent", "top")

@@ -167,11 +167,12 @@ def joined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.joined_labels(first.withColumnRenamed("o_orderpriority", "label"), ["o_custkey"], "label", "o_orderkey")
 
 
-@query(f"""WITH {_MODEL} SELECT id FROM n WHERE kind IN ('module', 'class', 'datastore') AND id NOT IN (SELECT src FROM e UNION SELECT dst FROM e) AND id NOT IN (SELECT parent FROM n WHERE parent IS NOT NULL) AND id NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 25)""")
+@query(f"""WITH {_MODEL} SELECT id FROM n WHERE kind IN ('module', 'class', 'datastore') AND id NOT IN (SELECT src FROM e WHERE kind IN ('triggers', 'depends_on') UNION SELECT dst FROM e WHERE kind IN ('triggers', 'depends_on')) AND id NOT IN (SELECT parent FROM n WHERE parent IS NOT NULL) AND id NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 25)""")
 def orphan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e, _ = model(spark, sf_dir)
+    """Nodes that nothing triggers or depends on, that hold nothing and that no large part names."""
     named = Tables(spark, sf_dir).part.where("p_size > 25").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
-    return findings.orphans(n, e, named, ["module", "class", "datastore"]).select("id")
+    return findings.orphans(n, e.where("kind in ('triggers', 'depends_on')"), named, ["module", "class", "datastore"]).select("id")
 
 
 @query("""WITH r AS (SELECT 'c' || o_custkey AS id, o_orderkey AS source, CASE WHEN o_orderstatus = 'F' THEN 'class' WHEN o_orderstatus = 'O' THEN 'function' END AS kind, o_orderpriority AS name FROM orders)
