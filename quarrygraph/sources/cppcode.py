@@ -13,6 +13,7 @@ from quarrygraph.sources.scanner import scanned
 ENDINGS = ["c", "h", "cc", "cpp", "cxx", "hh", "hpp", "hxx"]
 # Words in front of a bracket that are no calls.
 KEYWORDS = "if for while switch return catch sizeof decltype static_assert dynamic_cast reinterpret_cast const_cast static_cast defined else do new delete".split()
+# The forms that are looked for.
 TABLE = [
     (fact, re.compile(pattern, re.M))
     for fact, pattern in [

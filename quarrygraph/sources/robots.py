@@ -21,6 +21,7 @@ INTERFACES = {
     "declare_parameter": ("config_dependency", "config", 0, None),
     "create_timer": ("triggers", "timer", 0, 1),
 }
+# The forms of the same in C++.
 _T = r"<\s*(?P<detail>[\w:]+)[^>]*>"
 CPP = [
     (fact, re.compile(pattern))
