@@ -161,6 +161,31 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTES[data]
 
 
+# ---- runs of bytes -------------------------------------------------------------------------------------------
+
+#: A-Z in lower case, every other byte as it is.
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
+
+
+def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true bytes; none crosses the bounds offs of a text."""
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[offs] = True
+    begin, stop = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1] | edge[1:-1]
+    stop[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(begin), np.flatnonzero(stop) + 1
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans [start, end) of UTF-8 bytes as an array of strings."""
+    size = end - start
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    flat = data[np.arange(at[-1]) + np.repeat(start - at[:-1], size)]
+    return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])
+
+
 # ---- key filters ---------------------------------------------------------------------------------------------
 
 #: Bits of a key filter: at least 2^23 (1 MB), 16 for each key up to 2^27 (16 MB, the most that is ever broadcast).

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrygraph.llm import exact, jaccard, language, leaks, packing, private, repeats, tokens, toxic, warc
+from quarrygraph.llm import divergence, exact, jaccard, language, leaks, packing, passages, private, repeats, spelling, tokens, toxic, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": warc.query,
     "op9_repeats": repeats.query,
     "op10_token_files": tokens.query,
+    "op11_divergence": divergence.query,
+    "op12_passages": passages.query,
+    "op13_spelling": spelling.query,
 }
 
-SQL = {"op3_exact_dedup": exact.SQL, "op8_warc": warc.SQL}
+SQL = {"op3_exact_dedup": exact.SQL, "op8_warc": warc.SQL, "op11_divergence": divergence.SQL, "op12_passages": passages.SQL}

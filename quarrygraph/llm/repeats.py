@@ -25,13 +25,13 @@ ANCHOR, _PIECE, SHARD = 32, 4 << 20, 4 << 20
 #: Places of the anchor in a window that go together where an anchor is split.
 PLACES = 9
 
-def blocks(data: np.ndarray, offs: np.ndarray, width: int = 100, q: int = ANCHOR):
-    """(document, first window's start in it, windows, anchor's place in the first window, anchor hash, block hash, absolute start), all arrays."""
+def blocks(data: np.ndarray, offs: np.ndarray, width: int = 100, q: int = ANCHOR, h: np.ndarray | None = None):
+    """(document, first window's start in it, windows, anchor's place in the first window, anchor hash, block hash, absolute start), all arrays. h: prefix hashes of the data, where it is not bytes."""
     n = len(data)
     out = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64)]
     if n < width:
         return out
-    h = prefix_hash(byte_values(data))
+    h = prefix_hash(byte_values(data)) if h is None else h
     _, down = powers(n + 1)
     low = np.uint64((1 << 24) - 1)
     x = mix((h[q:] - h[: n - q + 1]) * down[: n - q + 1])
