@@ -24,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_spelling": spelling.query,
 }
 
-SQL = {"op3_exact_dedup": exact.SQL, "op8_warc": warc.SQL, "op11_divergence": divergence.SQL, "op12_passages": passages.SQL}
+SQL = {"op3_exact_dedup": exact.SQL, "op8_warc": warc.SQL, "op11_divergence": divergence.SQL, "op12_passages": passages.SQL, "op13_spelling": spelling.SQL}

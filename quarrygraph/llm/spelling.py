@@ -166,3 +166,29 @@ def variants(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
+
+
+def _nibbles() -> list[int]:
+    """The CRC-32 table for four bits."""
+    return [int(x) for x in _CRC[np.arange(16) * 16]]
+
+
+SQL = rf"""
+WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+u AS (SELECT run, hex(id || ':' || run) AS x, count(*) AS k FROM r WHERE length(run) >= {LEAST} GROUP BY ALL),
+b AS (SELECT run, k, list_transform(range(0, len(x)), lambda j: strpos('0123456789ABCDEF', substr(x, j + 2 - 2 * (j % 2), 1)) - 1) AS x FROM u),
+h AS (SELECT run, k, xor(list_reduce(x, lambda a, v: xor(list_extract({_nibbles()}, (xor(a, v) & 15) + 1), a >> 4), 4294967295), 4294967295) AS h FROM b),
+c AS (SELECT CASE WHEN h % {CUT} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, length(word) AS l, sum(k)::BIGINT AS n FROM c WHERE length(word) >= {LEAST} GROUP BY word HAVING sum(k) >= {OFTEN}),
+i AS (SELECT word, l, unnest(range(1, l + 1)) AS i FROM w),
+d AS (SELECT word, l, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM i),
+p AS (SELECT a.word AS x, b.word AS y FROM d a JOIN d b ON a.l = b.l AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT w.word, d.word FROM w JOIN d ON w.word = d.rest UNION SELECT d.word, w.word FROM w JOIN d ON w.word = d.rest),
+m AS (SELECT x, y, a.n AS nx, b.n AS ny, row_number() OVER (PARTITION BY x ORDER BY b.n DESC, y) AS k FROM p JOIN w a ON a.word = x JOIN w b ON b.word = y),
+f AS (SELECT x AS word, y AS form, ny AS form_n FROM m WHERE k = 1 AND ny >= {TIMES} * nx),
+s AS (SELECT word, form AS root, 1 AS step FROM f UNION ALL SELECT s.word, f.form, step + 1 FROM s JOIN f ON f.word = s.root),
+t AS (SELECT word, arg_max(root, step) AS root FROM s GROUP BY word),
+q AS (SELECT x AS word, count(*) AS n_near FROM m GROUP BY x)
+SELECT w.word, f.form, coalesce(t.root, w.word) AS root, w.n, coalesce(q.n_near, 0)::BIGINT AS n_near, f.form_n
+FROM w LEFT JOIN f USING (word) LEFT JOIN t USING (word) LEFT JOIN q USING (word)
+"""
