@@ -77,12 +77,106 @@ def _strong_groups(src, dst) -> dict:
     return group
 
 
-def strong_components(edges: DataFrame, group: int = 50_000) -> DataFrame:
+#: Edges up to which strong components are walked in one task; steps that one job takes where vertices are reached.
+WALKED, HOPS = 50_000, 2
+
+
+def _numbered(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids, edges): vertices with 64-bit ids (v, id), and the edges as ids (s, d). Ids are hashes; another salt is taken until none meet."""
+    names = cut(e.select(F.explode(F.array("src", "dst")).alias("v")).distinct())
+    n = names.count()
+    salt = 0
+    while names.select(F.xxhash64("v", F.lit(salt)).alias("id")).distinct().count() < n:
+        salt += 1
+    ids = names.select("v", F.xxhash64("v", F.lit(salt)).alias("id"))
+    return ids, e.select(F.xxhash64("src", F.lit(salt)).alias("s"), F.xxhash64("dst", F.lit(salt)).alias("d"))
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges without those of vertices that have no way in or none out: one layer, as tails get short by contraction."""
+    return cut(e.join(e.select(F.col("d").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("d")).distinct(), "d", "left_semi").select("s", "d"))
+
+
+def _contracted(e: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, via): a vertex with one way in and one out gives way to an edge from the one to the other, unless a
+    neighbour of that kind goes first by hash: no two that go are neighbours. via (x, s, d): gone vertices with their ends."""
+    way_in = e.groupBy(F.col("d").alias("x")).agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    way_out = e.groupBy(F.col("s").alias("x")).agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    thin = cut(way_in.join(way_out, "x").withColumn("p", F.xxhash64("x", F.lit(turn))))
+    rank = lambda c: thin.select(F.col("x").alias(c), F.struct(F.col("p"), F.col("x")).alias("p" + c))
+    own = F.struct("p", "x")
+    x = thin.join(rank("s"), "s", "left").join(rank("d"), "d", "left")
+    via = cut(x.where((F.col("ps").isNull() | (own < F.col("ps"))) & (F.col("pd").isNull() | (own < F.col("pd")))).select("x", "s", "d"))
+    gone = via.select("x")
+    rest = e.join(gone.withColumnRenamed("x", "s"), "s", "left_anti").join(gone.withColumnRenamed("x", "d"), "d", "left_anti").select("s", "d")
+    return cut(rest.union(via.where("s <> d").select("s", "d")).distinct()), via
+
+
+def _spread_least(e: DataFrame, colour: DataFrame) -> DataFrame:
+    """(v, c): the least colour of all vertices that reach v, HOPS edges a job; in a job only vertices whose colour fell in the one before pass it on."""
+    moved = colour.withColumn("moved", F.lit(True))
+    while True:
+        x = moved.withColumn("was", F.col("c"))
+        for _ in range(HOPS):
+            into = e.join(x.where("moved").select(F.col("v").alias("s"), "c"), "s").groupBy(F.col("d").alias("v")).agg(F.min("c").alias("m"))
+            x = x.join(into, "v", "left").select("v", F.least("c", "m").alias("c"), "was", (F.col("m") < F.col("c")).alias("moved")).fillna(False, ["moved"])
+        x = cut(x)
+        if not x.where("c <> was").limit(1).count():
+            return x.select("v", "c")
+        moved = x.select("v", "c", (F.col("c") != F.col("was")).alias("moved"))
+
+
+def _strong_wide(e: DataFrame) -> DataFrame:
+    """(v, component) of edges (s, d) without loops: rounds of trimming, contraction of chains, and reach from many pivots at once.
+
+    Pivots: the least colour that reaches a vertex spreads forwards; its vertex is the pivot, and what reaches the pivot
+    backwards within the colour is its component. Colours are the vertices' ids turned by another number each round.
+    Chains are put back in the end: a vertex of a chain is in its ends' component if they share one.
+    """
+    found, vias, turn = None, [], 0
+    e = cut(e.where("s <> d").distinct())
+    while True:
+        n = None
+        while n is None or e.count() < 0.9 * n:  # while it pays
+            n = e.count()
+            e, via = _contracted(_trimmed(e), turn := turn + 1)
+            vias.append(via)
+        if not e.limit(1).count():
+            break
+        vertices = e.select(F.explode(F.array("s", "d")).alias("v")).distinct()
+        colour = _spread_least(e, cut(vertices.withColumn("c", F.col("v").bitwiseXOR(F.xxhash64(F.lit(turn))))))
+        side = lambda c, k: colour.select(F.col("v").alias(c), F.col("c").alias(k))  # noqa: E731, B023
+        inner = cut(e.join(side("s", "c"), "s").join(side("d", "k"), "d").where("c = k").select("s", "d"))
+        pivots = cut(colour.where(F.col("v").bitwiseXOR(F.xxhash64(F.lit(turn))) == F.col("c")).select("v"))
+        reach = last = pivots
+        while last.limit(1).count():
+            more = step = last
+            for _ in range(HOPS):
+                step = inner.join(step.select(F.col("v").alias("d")), "d", "left_semi").select(F.col("s").alias("v")).distinct()
+                more = more.union(step)
+            last = cut(more.distinct().join(reach, "v", "left_anti"))
+            reach = cut(reach.union(last))
+        got = reach.join(colour, "v").select("v", F.col("c").alias("component"))
+        got = cut(got.join(colour.join(pivots, "v").select("c", F.col("v").alias("p")).withColumnRenamed("c", "component"), "component").select("v", F.col("p").alias("component")))
+        found = got if found is None else found.union(got)
+        done = got.select("v")
+        e = cut(e.join(done.select(F.col("v").alias("s")), "s", "left_anti").join(done.select(F.col("v").alias("d")), "d", "left_anti").select("s", "d"))
+    for via in reversed(vias):  # a later chain's vertex may be an earlier one's end
+        if found is None:
+            found = via.select(F.col("x").alias("v"), F.col("x").alias("component")).where("false")
+        of = lambda c: found.select(F.col("v").alias(c), F.col("component").alias("c" + c))  # noqa: E731, B023
+        x = via.join(of("s"), "s", "left").join(of("d"), "d", "left").select("x", F.coalesce("cs", "s").alias("cs"), F.coalesce("cd", "d").alias("cd"))
+        back = x.where("cs = cd").select(F.col("x").alias("v"), F.col("cs").alias("component"))
+        # an end whose own chain closes on it is a component by these alone
+        ends = via.where("s = d").select(F.col("s").alias("v")).distinct().join(found.select("v"), "v", "left_anti").withColumn("component", F.col("v"))
+        found = cut(found.union(back).union(ends))
+    return found
+
+
+def strong_components(edges: DataFrame, group: int = WALKED) -> DataFrame:
     """(v, component): components of more than one vertex or with a loop, named by their smallest vertex.
 
-    Up to group distinct edges are walked in one task; more of them stay tables: vertices without a way in or out are
-    trimmed until none is left; then colours (smallest vertex that reaches) spread forwards, and what reaches a colour's
-    root backwards within the colour is a component; repeat on the rest.
+    Up to group distinct edges are walked in one task; more of them stay tables. Edges with a null end count for nothing.
     """
     distinct = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     if distinct.count() <= group:
@@ -101,41 +195,93 @@ def strong_components(edges: DataFrame, group: int = 50_000) -> DataFrame:
                 yield pd.DataFrame(out, columns=["v", "component"])
 
         return distinct.coalesce(1).mapInPandas(walk, f"v {kind}, component {kind}")
-    edges = distinct
-    loops = edges.where("src = dst").select(F.col("src").alias("v")).distinct()
-    e = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    found = loops.withColumn("component", F.col("v")).limit(0)
-    while True:
-        while True:  # trim
-            n = e.count()
-            e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            if e.count() == n:
-                break
-        if not n:
-            break
-        colour = cut(e.select(F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("c", F.col("v")))
-        while True:
-            into = e.join(colour, F.col("src") == F.col("v")).groupBy("dst").agg(F.min("c").alias("m"))
-            x = cut(colour.join(into, F.col("v") == F.col("dst"), "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))
-            colour = x.select("v", "c")
-            if not x.where("c <> old").limit(1).count():
-                break
-        inner = e.join(colour.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
-        inner = cut(inner.select("src", "dst", F.col("cs").alias("c")))
-        reach = cut(colour.where("v = c"))
-        while True:
-            more = inner.join(reach.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"), "c").distinct().join(reach, ["v", "c"], "left_anti")
-            more = cut(more)
-            if not more.limit(1).count():
-                break
-            reach = cut(reach.union(more))
-        found = cut(found.union(reach.select("v", F.col("c").alias("component"))))
-        done = reach.select("v")
-        e = cut(e.join(done.select(F.col("v").alias("src")), "src", "left_anti").join(done.select(F.col("v").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    sized = found.join(found.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("v", "component")
+    loops = distinct.where("src = dst").select(F.col("src").alias("v")).distinct()
+    ids, e = _numbered(distinct.where("src <> dst"))
+    found = _strong_wide(e).withColumnRenamed("v", "id").join(ids, "id").select("v", F.col("component").alias("of"))
+    names = found.groupBy("of").agg(F.min("v").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = cut(found.join(names, "of").select("v", "component"))
     return sized.union(loops.join(sized, "v", "left_anti").withColumn("component", F.col("v")))
 
 
+class _Order:
+    """A topological order of the arrows taken so far, mended between the ends of a new arrow that runs against it."""
+
+    def __init__(self):
+        self.at, self.out, self.into, self.whole = {}, {}, {}, True
+
+    def _walk(self, start, near, on):
+        seen, todo = {start}, [start]
+        while todo:
+            new = [w for w in near.get(todo.pop(), ()) if w not in seen and on(w)]
+            seen.update(new)
+            todo += new
+        return seen
+
+    def closes(self, a, b, anyway: bool) -> bool:
+        """Whether b reaches a by the arrows so far; if not, or anyway, a -> b is one of them from now on."""
+        at = self.at
+        for v in (a, b):
+            at.setdefault(v, len(at))
+        low, high = at[b], at[a]
+        back = a == b
+        if not back and not self.whole:
+            back = a in self._walk(b, self.out, lambda _: True)
+        elif not back and low < high:
+            ahead = self._walk(b, self.out, lambda w: at[w] <= high)
+            back = a in ahead
+            if not back:
+                moved = [*sorted(self._walk(a, self.into, lambda w: at[w] >= low), key=at.get), *sorted(ahead, key=at.get)]
+                at.update(zip(moved, sorted(at[v] for v in moved), strict=True))
+        if anyway or not back:
+            self.whole &= not back or a == b  # an arrow that closes a cycle leaves no order
+            self.out.setdefault(a, []).append(b)
+            self.into.setdefault(b, []).append(a)
+        return back and not anyway
+
+
+def _backward(batches):
+    import pyarrow as pa
+
+    order = last = None
+    for batch in batches:
+        part, view, pos, src, dst, anyway = (batch.column(i).to_pylist() for i in range(6))
+        back = []
+        for i, p in enumerate(part):
+            if (p, view[i]) != last:
+                order, last = _Order(), (p, view[i])
+            back.append(order.closes(src[i], dst[i], anyway[i]))
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(back, pa.bool_())], names=["view", "pos", "back"])
+
+
+def backward_arrows(arrows: DataFrame, large: int = 10_000, group: int = WALKED) -> DataFrame:
+    """(view, pos, back) of arrows (view, pos, src, dst) taken view by view in order of pos: back where the arrow would close a cycle of those taken before, and so isn't taken.
+
+    An arrow to its own start is back. Where arrows have a column anyway, those with true are taken whatever they close
+    and never back. All views go in one pass over partitions sorted by view and pos, with one view's order of vertices in
+    memory. Of a view of more than large arrows only those inside a strong component can close a cycle; the others are
+    decided without order, and each component goes by itself.
+    """
+    x = arrows.select("view", "pos", "src", "dst", *([F.coalesce("anyway", F.lit(False)).alias("anyway")] if "anyway" in arrows.columns else [F.lit(False).alias("anyway")]))
+    kinds = dict(x.dtypes)
+    shape = f"view {kinds['view']}, pos {kinds['pos']}, back boolean"
+    n = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = x.groupBy("view").agg(F.count(F.lit(1)).alias("n"))
+    wide = cut(sizes.where(F.col("n") > large).select("view"))
+    rest, free = x.withColumn("part", F.lit(None).cast("string")), None
+    if wide.limit(1).count():
+        big = cut(x.join(wide, "view", "left_semi"))
+        name = lambda c: F.concat(F.length(F.col("view").cast("string")), F.lit(":"), F.col("view").cast("string"), F.col(c).cast("string"))
+        named = big.withColumns({"a": name("src"), "b": name("dst")})
+        of = strong_components(named.select(F.col("a").alias("src"), F.col("b").alias("dst")), group)
+        named = named.join(of.select(F.col("v").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("v").alias("b"), F.col("component").alias("cb")), "b", "left")
+        named = cut(named.withColumn("part", F.when(F.col("ca") == F.col("cb"), F.col("ca"))))
+        free = named.where("part is null").select("view", "pos", F.lit(False).alias("back"))
+        rest = rest.join(wide, "view", "left_anti").select(rest.columns).union(named.where("part is not null").select(rest.columns))
+    ordered = rest.select("part", "view", "pos", "src", "dst", "anyway").repartition(n, "view", "part").sortWithinPartitions("view", "part", "pos")
+    out = ordered.mapInArrow(_backward, shape)
+    return out if free is None else out.union(free)
+
+
 def is_acyclic(edges: DataFrame) -> bool:
     """Whether peeling vertices without a way in leaves no edge."""
     e = cut(edges.select("src", "dst").distinct())

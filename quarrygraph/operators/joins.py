@@ -74,6 +74,31 @@ def nearest_pairs(a: DataFrame, b: DataFrame, on: str, at: str, key: str, within
     return z.withColumns({"__a": rank("a_id", "b_id"), "__b": rank("b_id", "a_id")}).where("__a = 1 and __b = 1").select("a_id", "b_id", "gap")
 
 
+def consumed_pairs(rows: DataFrame, on: list[str], at: str, role: str, first: str, within, tie: list | None = None) -> DataFrame:
+    """rows with pair (null or the number of the pair in its group) and mate: the row's partner as a struct of rows' columns.
+
+    Rows of a group come in order of at (then tie); each role has one waiting place, which the newest row of the role
+    takes; when both are taken at most within apart, they pair and both places are empty. A row that waits while others
+    of the other role come too far away for it is too far for all that follow, so a pair is always two rows next to each
+    other: of unlike roles, near, the former not paired itself. In a run of such steps every other one pairs, so two
+    passes of windows over the sorted group say it all, and no task holds a group.
+    """
+    order = Window.partitionBy(*on).orderBy(at, *(tie or []))
+    is_first = F.col(role) == first
+    own = F.struct(*rows.columns)
+    x = rows.withColumns({"__before": F.lag(own).over(order), "__k": F.row_number().over(order), "__f": is_first})
+    step = (F.lag("__f").over(order) != F.col("__f")) & (F.abs(F.col(at) - F.lag(at).over(order)) <= within)
+    x = x.withColumn("__step", F.coalesce(step, F.lit(False)))
+    # a run of steps begins behind the last row that is none
+    x = x.withColumn("__start", F.max(F.when(~F.col("__step"), F.col("__k"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("__pair", F.col("__step") & ((F.col("__k") - F.col("__start")) % 2 == 1))
+    x = x.withColumns({"__next": F.lead("__pair").over(order), "__after": F.lead(own).over(order)})
+    number = F.sum(F.col("__pair").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    pair = F.when(F.col("__pair"), number).when(F.col("__next"), number + 1)
+    mate = F.when(F.col("__pair"), F.col("__before")).when(F.col("__next"), F.col("__after"))
+    return x.withColumns({"pair": pair, "mate": mate}).select(*rows.columns, "pair", "mate")
+
+
 def unique_match(rows: DataFrame, dim: DataFrame, id_col: str, value: str, *stages: list[str]) -> DataFrame:
     """(id_col, value, stage): the first stage (list of key columns) under which exactly one row of dim matches; else null and 0."""
     out = rows

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 LANGUAGES = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "java": "java", "kt": "kotlin", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "swift": "swift", "scala": "scala", "m": "objective-c", "lua": "lua", "r": "r", "jl": "julia", "dart": "dart", "ex": "elixir", "exs": "elixir", "sh": "shell", "bash": "shell", "sql": "sql", "proto": "protobuf", "msg": "ros-interface", "srv": "ros-interface", "action": "ros-interface", "vue": "vue", "svelte": "svelte"}
 ANALYZED = ["python", "javascript", "typescript", "c", "cpp"]
 # Folders, extensions and names that are left out; folders and names of tests.
-EXCLUDED_DIRS = ".git .hg .svn node_modules bower_components vendor third_party __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox .nox .venv venv env .eggs dist build out target .next .nuxt .svelte-kit .turbo .cache coverage htmlcov .gradle .idea .vscode install log .diagram-codebase".split()
+EXCLUDED_DIRS = ".git .hg .svn node_modules bower_components vendor third_party __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox .nox .venv venv env .eggs dist build out target .next .nuxt .svelte-kit .turbo .cache coverage htmlcov .gradle .idea .vscode install log".split()
 BINARY = "png jpg jpeg gif bmp ico svg webp pdf zip gz tgz bz2 xz 7z tar jar war so dylib dll exe o a lib pyc class bin dat db sqlite sqlite3 pt pth onnx h5 npy npz pkl parquet bag mcap pcd ply mp3 mp4 wav mov avi ttf otf woff woff2".split()
 LOCKFILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Cargo.lock", "uv.lock"]
 GENERATED = ["_pb2.py", "_pb2_grpc.py", ".min.js", ".bundle.js", ".generated."]
@@ -71,11 +71,11 @@ def is_test(path: Column) -> Column:
     return folder | name(path).rlike(TEST_NAMES)
 
 
-def left_out(path: Column, size: Column, content: Column, rules: list[str] = (), max_bytes: int = 1_000_000) -> Column:
-    """The first reason that applies, null for files that stay."""
+def left_out(path: Column, size: Column, content: Column, rules: list[str] = (), max_bytes: int = 1_000_000, own: list[str] = ()) -> Column:
+    """The first reason that applies, null for files that stay. own: folders that a run itself writes."""
     folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     return (
-        F.when(F.arrays_overlap(folders, F.array(*map(F.lit, EXCLUDED_DIRS))), "excluded directory")
+        F.when(F.arrays_overlap(folders, F.array(*map(F.lit, [*EXCLUDED_DIRS, *own]))), "excluded directory")
         .when(ignored(path, list(rules)), "excluded by rule")
         .when(extension(path).isin(BINARY), "binary")
         .when(name(path).isin(LOCKFILES), "lockfile")
@@ -86,10 +86,10 @@ def left_out(path: Column, size: Column, content: Column, rules: list[str] = (),
     )
 
 
-def inventory(files: DataFrame, rules: list[str] = (), max_bytes: int = 1_000_000) -> DataFrame:
+def inventory(files: DataFrame, rules: list[str] = (), max_bytes: int = 1_000_000, own: list[str] = ()) -> DataFrame:
     """(path, size, language, analyzed, test, reason) of files (path, size, content)."""
     p = F.col("path")
-    return files.select("path", "size", language(p).alias("language"), F.coalesce(language(p).isin(ANALYZED), F.lit(False)).alias("analyzed"), is_test(p).alias("test"), left_out(p, F.col("size"), F.col("content"), rules, max_bytes).alias("reason"))
+    return files.select("path", "size", language(p).alias("language"), F.coalesce(language(p).isin(ANALYZED), F.lit(False)).alias("analyzed"), is_test(p).alias("test"), left_out(p, F.col("size"), F.col("content"), rules, max_bytes, own).alias("reason"))
 
 
 def tracked(files: DataFrame, listed: DataFrame) -> DataFrame:
@@ -97,11 +97,11 @@ def tracked(files: DataFrame, listed: DataFrame) -> DataFrame:
     return files.join(listed.select("path").distinct(), "path", "left_semi")
 
 
-def pruned(files: DataFrame) -> DataFrame:
+def pruned(files: DataFrame, own: list[str] = ()) -> DataFrame:
     """(folder, files): folders that are left out by name, the topmost of a path, and how many files lie in them."""
     parts = F.split("path", "/")
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(folders), F.lit(1))), lambda i: F.get(folders, i - 1).isin(EXCLUDED_DIRS))
+    first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(folders), F.lit(1))), lambda i: F.get(folders, i - 1).isin([*EXCLUDED_DIRS, *own]))
     at = F.get(first, F.lit(0))
     return files.where(at.isNotNull()).groupBy(F.array_join(F.slice(parts, 1, at), "/").alias("folder")).agg(F.count(F.lit(1)).alias("files"))
 

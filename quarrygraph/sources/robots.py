@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.names import topic
+from quarrygraph.operators import joins
 from quarrygraph.sources.scanner import scanned
 
 # Calls that make interfaces: edge kind, kind of the other end, place of the name among the arguments, of the callback.
@@ -79,24 +80,15 @@ def owned(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def frames(rows: DataFrame, within: int = 15) -> DataFrame:
-    """(path, parent, child, line): parent and child frames set on the same variable at most within lines apart, each used once, nearest first."""
-    a = rows.where("fact = 'parent_frame'").select("path", F.col("target").alias("var"), F.col("name").alias("parent"), F.col("line").alias("la"))
-    b = rows.where("fact = 'child_frame'").select("path", F.col("target").alias("var"), F.col("name").alias("child"), F.col("line").alias("lb"))
-
-    def pair(key, left, right):
-        import pandas as pd
-
-        taken, out = set(), []
-        spare = list(right.itertuples(index=False))
-        for p in left.sort_values("la").itertuples(index=False):
-            near = [(abs(c.lb - p.la), c.lb, i) for i, c in enumerate(spare) if i not in taken and abs(c.lb - p.la) <= within]
-            if near:
-                i = min(near)[2]
-                taken.add(i)
-                out.append((p.path, p.parent, spare[i].child, p.la))
-        return pd.DataFrame(out, columns=["path", "parent", "child", "line"])
-
-    return a.groupBy("path", "var").cogroup(b.groupBy("path", "var")).applyInPandas(pair, "path string, parent string, child string, line int")
+    """(path, parent, child, line): parent and child frames set on one variable at most within lines apart.
+
+    By line (one line: parent first) each variable keeps its last parent and its last child that wait; as soon as both do, they pair, and both
+    are used up. line is the earlier of the two. Names lose slashes in front.
+    """
+    x = rows.where("fact in ('parent_frame', 'child_frame') and name is not null").select("path", F.col("target").alias("var"), "line", "fact", F.regexp_replace("name", "^/+", "").alias("name"))
+    x = joins.consumed_pairs(x, ["path", "var"], "line", "fact", "parent_frame", within, [F.desc("fact"), "name"])
+    x = x.where("fact = 'child_frame' and pair is not null")
+    return x.select("path", F.col("mate.name").alias("parent"), F.col("name").alias("child"), F.least("line", "mate.line").alias("line"))
 
 
 def launched(calls: DataFrame, files: DataFrame) -> DataFrame:
