@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrygraph.operators import joins
-from quarrygraph.operators.projection import EDGE_KINDS, NODE_KINDS, PHASES
+from quarrygraph.operators.projection import EDGE_KINDS, NODE_KINDS, PHASES, climbed
 
 
 def sources_in_order(files: DataFrame, scan: str) -> DataFrame:
@@ -79,16 +79,22 @@ def merged_edges(rows: DataFrame) -> DataFrame:
     return x.withColumns({"id": F.concat(F.lit("e:"), "kind", F.lit(":"), "src", F.lit(">"), "dst"), "payload": F.array_sort("payload")})
 
 
-def built_nodes(nodes: DataFrame, subsystems: DataFrame, rounds: int = 4) -> DataFrame:
-    """nodes with parents and subsystems that exist: unknown ones are nulled, then a subsystem comes from the parent (rounds up), else from the longest path that holds the file."""
+# Kinds that lie across subsystems and never take one from where they are.
+ACROSS = ["topic", "event_channel", "datastore", "external_service", "tf_frame", "db_entity", "ros_service", "ros_action", "deployment_unit"]
+
+
+def built_nodes(nodes: DataFrame, subsystems: DataFrame) -> DataFrame:
+    """nodes with parents and subsystems that exist: unknown ones are nulled; then a node without a subsystem has its
+    parent's, whatever that comes from, else that of the longest path that holds its file. Kinds that lie ACROSS neither
+    take nor pass on one that isn't said. In a circle of parents each has its own file's."""
     n = nodes.join(nodes.select(F.col("id").alias("parent"), F.lit(True).alias("__p")), "parent", "left").withColumn("parent", F.when(F.col("__p"), F.col("parent")))
     n = n.join(subsystems.select(F.col("id").alias("subsystem"), F.lit(True).alias("__s")), "subsystem", "left").withColumn("subsystem", F.when(F.col("__s"), F.col("subsystem"))).select(nodes.columns)
-    for _ in range(rounds):
-        above = n.where("subsystem is not null").select(F.col("id").alias("parent"), F.col("subsystem").alias("__s"))
-        n = n.join(above, "parent", "left").withColumn("subsystem", F.coalesce("subsystem", "__s")).select(nodes.columns)
     paths = subsystems.select(F.col("id").alias("__sub"), F.explode("paths").alias("__path")).select("__sub", F.regexp_replace("__path", "/+$", "").alias("__path"))
-    by_path = joins.longest_prefix(n.where("subsystem is null and file is not null"), "id", "file", paths, "__path", "__sub")
-    return n.join(by_path, "id", "left").withColumn("subsystem", F.coalesce("subsystem", "__sub")).select(nodes.columns)
+    across = F.col("kind").isin(ACROSS)
+    by_path = joins.longest_prefix(n.where(F.col("subsystem").isNull() & ~across & F.col("file").isNotNull()), "id", "file", paths, "__path", "__sub")
+    own = n.join(by_path, "id", "left").select("id", F.col("parent").alias("up"), (F.col("subsystem").isNotNull() | across | F.col("parent").isNull()).alias("ends"), F.coalesce("subsystem", "__sub").alias("val"))
+    above = climbed(own).select("id", F.col("val").alias("__above"))
+    return n.join(above, "id", "left").withColumn("subsystem", F.coalesce("subsystem", F.when(~across, F.col("__above")))).select(nodes.columns)
 
 
 def renamed(edges: DataFrame, to: DataFrame, keys: list[str] = ("src", "dst", "kind")) -> DataFrame:
@@ -108,12 +114,16 @@ def orphans(nodes: DataFrame, edges: DataFrame, referred: DataFrame, kinds: list
 
 
 def foreign_keys(entities: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(src, dst, via): attributes (entity, name, references) whose reference names an entity (id, name, pos): as it is, in lower case or with an s; the first entity by pos. Unknown references and references to itself are left out."""
+    """(src, dst, via): one-to-many relations from the entity that an attribute (entity, name, references) refers to, to the entity that has it.
+
+    A reference names an entity (id, name, pos) as it is, in lower case or with an s; the first entity by pos is meant.
+    An entity may refer to itself; unknown references give nothing, and the same relation said twice is one.
+    """
     table = F.regexp_extract("references", r"^([^.(]+)", 1)
-    a = attributes.where("references is not null").select("entity", F.col("name").alias("via"), F.explode(F.array_distinct(F.array(table, F.lower(table), F.concat(table, F.lit("s"))))).alias("__name"))
-    hit = a.join(entities.select(F.col("id").alias("dst"), F.lower("name").alias("__lower"), F.col("name").alias("__said"), "pos"), F.col("__name") == F.col("__said"))
-    best = hit.groupBy("entity", "via").agg(F.min_by("dst", "pos").alias("dst"))
-    return best.where("dst <> entity").select(F.col("entity").alias("src"), "dst", "via")
+    a = attributes.where("references is not null").select("entity", F.col("name").alias("via"), "references", F.explode(F.array_distinct(F.array(table, F.lower(table), F.concat(table, F.lit("s"))))).alias("__name"))
+    hit = a.join(entities.select(F.col("id").alias("src"), F.col("name").alias("__said"), "pos"), F.col("__name") == F.col("__said"))
+    best = hit.groupBy("entity", "via", "references").agg(F.min_by("src", "pos").alias("src"))
+    return best.select("src", F.col("entity").alias("dst"), "via").distinct()
 
 
 def entities(scanned: DataFrame, given: DataFrame) -> DataFrame:

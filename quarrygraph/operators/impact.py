@@ -76,7 +76,7 @@ def subtree(nodes: DataFrame, depth: int = 64) -> DataFrame:
     return near.union(ways.where("id <> above"))
 
 
-def subtree_text(nodes: DataFrame, depth: int = 8) -> DataFrame:
+def subtree_text(nodes: DataFrame, depth: int = 64) -> DataFrame:
     """(id, text): the texts of a node (id, parent, text) and of all below it, by depth and id."""
     said = subtree(nodes.select("id", "parent"), depth).join(nodes.select("id", "text"), "id").where("text <> ''")
     x = said.groupBy("above").agg(F.array_sort(F.collect_list(F.struct("steps", "id", "text"))).alias("l"))

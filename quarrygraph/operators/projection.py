@@ -49,17 +49,31 @@ def tagged(tag: str) -> Column:
 # ---- structure -----------------------------------------------------------------------------------------------
 
 
-def module_of(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, module): the nearest module on the way up the parents, itself where there is none; a way longer than depth or in a circle finds none."""
-    up = nodes.select(F.col("id").alias("at"), F.col("kind").alias("k"), F.col("parent").alias("next"))
-    level = nodes.select("id", F.col("id").alias("at"))
-    found = None
-    for _ in range(depth):
-        met = level.join(up, "at").select("id", "at", "k", "next")
-        hit = met.where("k = 'module'").select("id", F.col("at").alias("module"))
-        found = hit if found is None else found.union(hit)
-        level = met.where("k <> 'module' and next is not null and next <> id").select("id", F.col("next").alias("at"))
-    return cut(nodes.select("id").join(found, "id", "left").select("id", F.coalesce("module", "id").alias("module")), "modules")
+def climbed(steps: DataFrame) -> DataFrame:
+    """(id, at, val) of steps (id, up, ends, val), one row an id: the first on the way up from id, itself included, that
+    ends it, and the last val on that way that isn't null.
+
+    Ways double, so rounds are the logarithm of the longest, which has no bound. A way that runs out without an end, or
+    in a circle, has a null at; in a circle val is the own one. An unknown up is no way.
+    """
+    x = cut(steps.select("id", F.when(F.col("ends"), F.col("id")).when(F.col("up") != F.col("id"), F.col("up")).alias("at"), F.coalesce("ends", F.lit(False)).alias("done"), "val", F.col("val").alias("own")), "climb")
+    rounds = max(1, x.count()).bit_length() + 1
+    for _ in range(rounds):
+        open_ = x.where("not done and at is not null")
+        if not open_.limit(1).count():
+            break
+        y = x.select(F.col("id").alias("at"), F.col("at").alias("__at"), F.col("done").alias("__done"), F.col("val").alias("__val"))
+        far = open_.join(y, "at", "left").select("id", F.col("__at").alias("at"), F.coalesce("__done", F.lit(False)).alias("done"), F.coalesce("__val", "val").alias("val"), "own")
+        x = cut(x.where("done or at is null").select("id", "at", "done", "val", "own").union(far), "climb")
+    circle = ~F.col("done") & F.col("at").isNotNull()
+    return x.select("id", F.when(F.col("done"), F.col("at")).alias("at"), F.when(circle, F.col("own")).otherwise(F.col("val")).alias("val"))
+
+
+def module_of(nodes: DataFrame) -> DataFrame:
+    """(id, module): the nearest module on the way up the parents, itself where there is none or the way is a circle."""
+    none = F.lit(None).cast("string")
+    up = climbed(nodes.select("id", F.col("parent").alias("up"), (F.col("kind") == "module").alias("ends"), none.alias("val")))
+    return up.select("id", F.coalesce("at", "id").alias("module"))
 
 
 def handlers(edges: DataFrame) -> DataFrame:
@@ -68,7 +82,7 @@ def handlers(edges: DataFrame) -> DataFrame:
 
 
 def units(nodes: DataFrame, edges: DataFrame, level: str) -> DataFrame:
-    """(id, unit) at level subsystem, module or symbol. Above symbols an endpoint is what handles it; what cuts across stays itself; a module that is one robot node's file is that node."""
+    """(id, unit) at level subsystem, module or symbol. Above symbols an endpoint is what handles it, through as many endpoints as hand on; what cuts across stays itself; a module that is one robot node's file is that node."""
     n = nodes.select("id", "kind", "subsystem", "file").join(module_of(nodes), "id")
     if level == "symbol":
         return n.select("id", F.col("id").alias("unit"))
@@ -78,7 +92,9 @@ def units(nodes: DataFrame, edges: DataFrame, level: str) -> DataFrame:
     at_module = F.when(own | F.col("kind").isin(OWN_AT_MODULE), F.col("id")).otherwise(F.coalesce("robot", "module"))
     at_subsystem = F.when(own, F.col("id")).otherwise(F.coalesce("subsystem", "module"))
     x = cut(n.select("id", "kind", (at_module if level == "module" else at_subsystem).alias("unit")), "units")
-    to = handlers(edges).join(x.select(F.col("id").alias("handler"), F.col("unit").alias("handled")), "handler").select(F.col("endpoint").alias("id"), "handled")
+    by = x.select("id", (F.col("kind") == "api_endpoint").alias("api")).join(handlers(edges).select(F.col("endpoint").alias("id"), F.col("handler").alias("up")), "id", "left")
+    last = climbed(by.select("id", "up", (~F.col("api") | F.col("up").isNull()).alias("ends"), F.lit(None).cast("string").alias("val")))
+    to = last.where("at <> id").join(x.select(F.col("id").alias("at"), F.col("unit").alias("handled")), "at").select("id", "handled")
     x = x.join(to, "id", "left")
     return x.select("id", F.when(F.col("kind") == "api_endpoint", F.coalesce("handled", "unit")).otherwise(F.col("unit")).alias("unit"))
 
@@ -334,14 +350,14 @@ def one_sided(laned: DataFrame, edges: DataFrame) -> DataFrame:
     return s.select("view", "id", lacks.alias("lacks")).where("size(lacks) > 0")
 
 
-def nested_groups(groups: DataFrame, deepest: int = 2, steps: int = 16) -> DataFrame:
+def nested_groups(groups: DataFrame, deepest: int = 2) -> DataFrame:
     """(view, id, parent, depth) of groups (view, id, parent) nested at most deepest: a deeper one hangs on its ancestor at that depth; unknown parents and circles are cut to the top."""
     g = groups.join(groups.select("view", F.col("id").alias("parent"), F.lit(True).alias("__known")), ["view", "parent"], "left")
     g = g.select("view", "id", F.when(F.col("__known") & (F.col("parent") != F.col("id")), F.col("parent")).alias("parent"))
     level = g.where("parent is null").select("view", "id", F.lit(None).cast("string").alias("parent"), F.lit(1).alias("depth"), F.array("id").alias("way"))
     placed = level
-    for _ in range(steps):
-        level = cut(g.join(level.select("view", F.col("id").alias("parent"), "depth", "way"), ["view", "parent"]).select("view", "id", F.get("way", F.least(F.size("way"), F.lit(deepest - 1)) - 1).alias("parent"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.array("id")).alias("way")), "groups")
+    while True:  # a circle is never reached from the top
+        level = cut(g.join(level.select("view", F.col("id").alias("parent"), "depth", "way"), ["view", "parent"]).select("view", "id", F.get("way", F.least(F.size("way"), F.lit(deepest - 1)) - 1).alias("parent"), (F.col("depth") + 1).alias("depth"), F.slice(F.concat("way", F.array("id")), 1, deepest).alias("way")), "groups")
         if not level.limit(1).count():
             break
         placed = placed.union(level)

@@ -197,15 +197,21 @@ def admitted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.admitted_edges(f, n, e).select("l_orderkey", "l_linenumber", "reason")
 
 
-@query("""WITH a AS (SELECT 'c' || c_custkey AS entity, n_name AS ref FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 's' || s_suppkey, lower(n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-SELECT a.entity AS src, 'n' || min(n_nationkey) AS dst, 'home' AS via FROM a JOIN nation ON n_name IN (a.ref, lower(a.ref), a.ref || 's') GROUP BY a.entity""")
+@query("""WITH e AS (SELECT 'n' || n_nationkey AS id, n_name AS name, n_nationkey AS pos FROM nation UNION ALL SELECT 'r' || r_regionkey, lower(r_name) || 's', 100 + r_regionkey FROM region),
+a AS (SELECT 'c' || c_custkey AS entity, 'home' AS via, n_name AS ref FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 's' || s_suppkey, 'home', lower(n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'n' || n_nationkey, 'within', lower(r_name) FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || n_nationkey, 'heir', n_name FROM nation)
+SELECT min_by(id, pos) AS src, entity AS dst, via FROM a JOIN e ON name IN (ref, lower(ref), ref || 's') GROUP BY entity, via""")
 def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers refer to nations by name, suppliers by lower-case names, which none has."""
+    """Customers refer to nations by name, suppliers by lower-case names, which none has, nations to regions without their s and to themselves."""
     t = Tables(spark, sf_dir)
-    e = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos"))
-    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), "c_custkey").alias("entity"), F.lit("home").alias("name"), F.col("n_name").alias("references"))
-    s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey"), F.lit("home"), F.lower("n_name"))
-    return findings.foreign_keys(e, c.union(s))
+    name = lambda c, k: F.concat(F.lit(c), k)
+    e = t.nation.select(name("n", "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("pos"))
+    e = e.union(t.region.select(name("r", "r_regionkey"), F.concat(F.lower("r_name"), F.lit("s")), F.lit(100) + F.col("r_regionkey")))
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(name("c", "c_custkey").alias("entity"), F.lit("home").alias("name"), F.col("n_name").alias("references"))
+    s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(name("s", "s_suppkey"), F.lit("home"), F.lower("n_name"))
+    w = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(name("n", "n_nationkey"), F.lit("within"), F.lower("r_name"))
+    h = t.nation.select(name("n", "n_nationkey"), F.lit("heir"), "n_name")
+    return findings.foreign_keys(e, c.union(s).union(w).union(h))
 
 
 @query("""SELECT changed, files, round(changed / files, 3) AS churn, false AS build, CASE WHEN changed = 0 THEN 'none' WHEN round(changed / files, 3) >= 0.4 THEN 'full' ELSE 'partial' END AS mode

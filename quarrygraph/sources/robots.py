@@ -48,21 +48,23 @@ def _argument(place: str, kind: str) -> Column:
 
 
 def declared(calls: DataFrame, cpp: DataFrame) -> DataFrame:
-    """(path, line, name): declarations of nodes: the name that a Python class hands up, or that C++ gives."""
+    """(path, line, name, cls): declarations of nodes: the name that a Python class hands up, with the class, or that C++ gives."""
     up = calls.where("fact = 'call' and target in ('super().__init__', 'Node.__init__', 'Node', 'rclpy.create_node', 'rclpy.node.Node')").withColumn("name", _argument("0", "'string'"))
-    return up.where("name is not null").select("path", "line", "name").union(cpp.where("fact = 'node'").select("path", "line", "name")).distinct()
+    up = in_class(up.where("name is not null").select("path", "line", "name", "owner"), calls).select("path", "line", "name", "cls")
+    return up.union(cpp.where("fact = 'node'").select("path", "line", "name", F.lit(None).cast("string"))).distinct()
 
 
 def interfaces(calls: DataFrame, cpp: DataFrame) -> DataFrame:
-    """(path, line, kind, other, name, callback): calls that make interfaces, of facts of Python files (pycode) and C++ files (cpp_facts); names are absolute."""
+    """(path, line, kind, other, name, callback, cls): calls that make interfaces, with the class that they are in, of facts of Python files (pycode) and C++ files (cpp_facts); names are absolute."""
     out = None
     for word, (kind, other, place, callback) in INTERFACES.items():
         py = calls.where((F.col("fact") == "call") & (F.substring_index("target", ".", -1) == word))
         name = _argument(str(place), "'string'") if other != "timer" else F.coalesce(_argument("0", "'value', 'name'"), F.lit("timer"))
         back = _argument(str(callback), "'name', 'call'") if callback is not None else F.lit(None).cast("string")
-        rows = py.select("path", "line", F.lit(kind).alias("kind"), F.lit(other).alias("other"), name.alias("name"), back.alias("callback"))
-        rows = rows.union(cpp.where(F.col("fact") == word).select("path", "line", F.lit(kind), F.lit(other), "name", "target"))
+        rows = py.select("path", "line", F.lit(kind).alias("kind"), F.lit(other).alias("other"), name.alias("name"), back.alias("callback"), "owner")
+        rows = rows.union(cpp.where(F.col("fact") == word).select("path", "line", F.lit(kind), F.lit(other), "name", "target", F.lit("")))
         out = rows if out is None else out.union(rows)
+    out = in_class(out, calls).drop("owner")
     absolute = F.when(F.col("other").isin("topic", "ros_service", "ros_action"), topic(F.col("name"), F.lit(""))).otherwise(F.col("name"))
     return out.where("name is not null").withColumn("name", absolute)
 
@@ -72,13 +74,32 @@ def cpp_facts(files: DataFrame) -> DataFrame:
 
 
 def owned(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rows (path, line, ...) with node: the last node declared at or before the line in the file, else the file's first."""
-    n = nodes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "name"))).alias("__n"))  # declarations of one file
+    """rows (path, line, ...) with node, the node that owns them; files without nodes give no rows.
+
+    Where rows have a class (cls) and nodes say theirs, the node of that class owns the row; a class that is no node's
+    owns nothing in a file of several nodes (node is null). Else the last node declared at or before the line, else the
+    file's first.
+    """
+    own = F.col("cls") if "cls" in nodes.columns else F.lit(None).cast("string")
+    n = nodes.select("path", "line", "name", own.alias("cls")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "name", "cls"))).alias("__n"))  # declarations of one file
     before = F.filter("__n", lambda d: d["line"] <= F.col("line"))
     node = F.coalesce(F.try_element_at(before, F.lit(-1))["name"], F.try_element_at("__n", F.lit(1))["name"])
+    if "cls" in rows.columns:
+        same = F.try_element_at(F.filter("__n", lambda d: d["cls"] == F.col("cls")), F.lit(1))["name"]
+        node = F.when(F.col("cls").isNull(), node).when(same.isNotNull(), same).when(F.size("__n") == 1, node)
     return rows.join(n, "path").withColumn("node", node).drop("__n")
 
 
+def in_class(rows: DataFrame, calls: DataFrame) -> DataFrame:
+    """rows (path, owner, ...) with cls, the class of the file that owner is or lies in (null: none), of facts of Python files."""
+    classes = calls.where("fact = 'class'").select("path", F.concat_ws(".", F.nullif("owner", F.lit("")), "name").alias("cls")).distinct()
+    parts = F.split("owner", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    x = rows.select("path", "owner").distinct().select("path", "owner", F.explode(above).alias("cls"))
+    deepest = x.join(classes, ["path", "cls"]).groupBy("path", "owner").agg(F.max_by("cls", F.length("cls")).alias("cls"))
+    return rows.join(deepest, ["path", "owner"], "left")
+
+
 def frames(rows: DataFrame, within: int = 15) -> DataFrame:
     """(path, parent, child, line): parent and child frames set on one variable at most within lines apart.
 

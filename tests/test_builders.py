@@ -183,7 +183,7 @@ def test_findings(spark):
     assert [(x.id, x.label, x.phase, x.payload, x.evidence) for x in r] == [("e:calls:a>b", "x", "init", ["o", "p"], ["e1", "e2"])]
     nn = spark.createDataFrame([("m", "m", "module", None, "none", None, "web/x/m.py"), ("f", "f", "function", "gone", "m", None, None), ("g", "g", "function", "sub:core", None, None, None), ("h", "h", "function", None, "g", None, None)], n.schema)
     built = {r.id: (r.parent, r.subsystem) for r in findings.built_nodes(nn, s).collect()}
-    assert built == {"m": (None, "sub:web"), "f": ("m", None), "g": (None, "sub:core"), "h": ("g", "sub:core")}
+    assert built == {"m": (None, "sub:web"), "f": ("m", "sub:web"), "g": (None, "sub:core"), "h": ("g", "sub:core")}
     ren = findings.renamed(spark.createDataFrame([("a", "b", "calls", 1), ("c", "b", "calls", 2), ("a", "c", "calls", 3)], "src string, dst string, kind string, n int"), spark.createDataFrame([("c", "a")], "old string, new string"))
     assert [(r.src, r.dst, r.n) for r in ren.collect()] == [("a", "b", 1)]
     parts = spark.createDataFrame([("s", 0, 0, "mod:a.py", False), ("s", 1, 0, "mod:a.py", False), ("s", 1, 1, "gone", False), ("s", 1, 2, None, True), ("s", 1, 3, None, False)], "structure string, source int, pos int, node string, refused boolean")

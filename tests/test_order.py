@@ -103,3 +103,38 @@ def test_strong_components_in_tables(spark):
     assert {tuple(r) for r in graphs.strong_components(df, 0).collect()} == plain_strong(pairs)
     assert graphs.strong_components(spark.createDataFrame(path("p", 20), "src string, dst string"), 0).count() == 0
     assert {tuple(r) for r in graphs.strong_components(spark.createDataFrame(cycle("q", 9), "src string, dst string"), 0).collect()} == {(f"q{i}", "q0") for i in range(9)}
+
+
+def test_ways_up_have_no_bound(spark):
+    from quarrygraph.operators import findings
+    from quarrygraph.operators import projection as P
+
+    shape = "id string, name string, kind string, subsystem string, parent string, tags array<string>, file string"
+    deep = [("m", "m", "module", None, None, None, "core/m.py")] + [(f"x{i}", "x", "function", None, f"x{i - 1}" if i else "m", None, None) for i in range(40)]
+    odd = [("c1", "c", "class", None, "c2", None, "web/c.py"), ("c2", "c", "class", None, "c1", None, None), ("lone", "l", "function", None, "gone", None, None), ("db", "d", "datastore", None, "m", None, "core/m.py"), ("under", "u", "function", None, "db", None, "web/u.py")]
+    n = spark.createDataFrame(deep + odd, shape)
+    of = {r.id: r.module for r in P.module_of(n).collect()}
+    assert all(of[f"x{i}"] == "m" for i in range(40)) and (of["c1"], of["c2"], of["lone"], of["under"]) == ("c1", "c2", "lone", "m")
+    subs = spark.createDataFrame([("sub:core", ["core"]), ("sub:web", ["web/"])], "id string, paths array<string>")
+    built = {r.id: r.subsystem for r in findings.built_nodes(n, subs).collect()}
+    assert all(built[f"x{i}"] == "sub:core" for i in range(40)) and (built["db"], built["under"], built["c1"], built["c2"], built["lone"]) == (None, "sub:web", "sub:web", None, None)
+    e = spark.createDataFrame([("api:1", "api:2", "handles", "e1"), ("api:2", "x9", "handles", "e2"), ("api:3", "api:4", "handles", "e3"), ("api:4", "api:3", "handles", "e4")], "src string, dst string, kind string, id string")
+    apis = spark.createDataFrame([(f"api:{i}", "a", "api_endpoint", None, None, None, None) for i in range(1, 5)], shape)
+    unit = {r.id: r.unit for r in P.units(n.union(apis), e, "module").collect()}
+    assert [unit[f"api:{i}"] for i in range(1, 5)] == ["m", "m", "api:3", "api:4"]
+    groups = spark.createDataFrame([("v", f"g{i}", f"g{i - 1}" if i else None) for i in range(30)], "view string, id string, parent string")
+    assert {r.id: r.parent for r in P.nested_groups(groups).collect()} == {"g0": None} | {f"g{i}": "g0" for i in range(1, 30)}
+
+
+def test_relations_run_from_what_is_referred_to(spark):
+    from quarrygraph.operators import findings
+
+    entities = spark.createDataFrame([("u", "users", 0), ("p", "posts", 1), ("p2", "posts", 2), ("e", "employee", 3)], "id string, name string, pos int")
+    attributes = spark.createDataFrame([("p", "author_id", "users.id"), ("p", "post", "post"), ("e", "manager_id", "Employee"), ("e", "x", "none"), ("e", "y", None), ("e", "manager_id", "employee")], "entity string, name string, references string")
+    assert {tuple(r) for r in findings.foreign_keys(entities, attributes).collect()} == {("u", "p", "author_id"), ("p", "p", "post"), ("e", "e", "manager_id")}
+
+
+def test_owner_by_class(spark):
+    nodes = spark.createDataFrame([("a", 1, "one", "A"), ("a", 9, "two", "B"), ("b", 5, "only", "C")], "path string, line int, name string, cls string")
+    rows = spark.createDataFrame([("a", 20, "A"), ("a", 3, "B"), ("a", 20, "Helper"), ("a", 20, None), ("b", 1, "Helper"), ("c", 1, None)], "path string, line int, cls string")
+    assert {(r.path, r.line, r.cls): r.node for r in robots.owned(rows, nodes).collect()} == {("a", 20, "A"): "one", ("a", 3, "B"): "two", ("a", 20, "Helper"): None, ("a", 20, None): "two", ("b", 1, "Helper"): "only"}
