@@ -3,9 +3,13 @@
 Numbers, units behind numbers, and names (capitalised words inside a sentence) become typed placeholders; other words
 lose case and punctuation. A capitalised word at the beginning of a sentence may be a name or not: one form of the
 template has it as a word, so that case may change, and one as a name unless it is a function word. Windows of five
-words of both forms, one at each word, are hash-joined with the benchmark's, and a pair's shared windows are counted.
-For the few pairs that share enough, the windows are aligned by their places and slots are checked: what one value of
-the item's placeholder became in the document must be one value throughout, as in a re-parameterised question.
+words of both forms, one at each word, are hash-joined with the benchmark's. A window of placeholders alone says nothing
+and isn't the benchmark's. As a document must share half of an item's windows, it shares one of the half that fewest
+items have: only these find candidates. The candidates' windows are met with their places, each window of an item at its
+first place there, and each goes with the place in the document that most others lie along with. Then slots are checked:
+what one value of the item's placeholder became in the document must be one value throughout, and another value of the
+kind another one, as in a re-parameterised question. An item without a window of its own (few words, or numbers alone)
+is found word by word and value by value only.
 """
 
 from __future__ import annotations
@@ -13,12 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import bits_for, cut, table, with_filter
+from quarrygraph.llm.common import bits_for, cut, hot_join, table, with_filter
 
 #: Words of a window, the share of an item's windows that a document must have, and of slots that must agree.
 SHINGLE, SHARE, AGREE = 5, 0.5, 0.8
-#: The benchmark's windows are broadcast up to so many; beyond, documents' windows that may be among them are shuffled to them.
+#: The benchmark's rarest windows are broadcast up to so many; beyond, documents' windows that may be among them are shuffled to them.
 MAX_BROADCAST = 500_000
+#: Words from which an item without windows of its own is looked for inside of documents; shorter ones must be all that a document says.
+LEAST = 3
+PLACEHOLDERS = ["qname", "qnum", "qunit"]
 UNITS = "mm cm km m kg mg g lbs lb oz ml l inches inch feet foot miles mile meters metres meter metre seconds second minutes minute hours hour days day weeks week years year dollars euros cents percent".split()
 _NUMBER = r"[0-9][0-9.,:/]*"
 # a capital first, then what stands in front of it: most places fail at once
@@ -68,50 +75,104 @@ def words_and_values(text: Column) -> list[Column]:
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share, slots, agreeing) for each document that holds a benchmark item, verbatim or re-parameterised.
 
-    share: of the item's distinct template windows, those in the document, at least SHARE, in the form that shares more. Of the item's placeholder
-    values in shared windows (slots), at least AGREE became one value in the document each, and no two names one name. Null and empty texts hold
-    nothing and are held by nothing; so are items of fewer than SHINGLE words. Rows that repeat an id are taken
+    share: of the item's distinct template windows that have a word, those in the document, at least SHARE, in the form that shares more. Of the item's
+    placeholder values in shared windows (slots), at least AGREE became one value in the document each, and no two names or numbers one. Items of
+    fewer than SHINGLE words or without a word are found where all their words and values stand as they are (share 1, no slots), those of fewer
+    than LEAST words only as a whole document. Null and empty texts hold nothing and are held by nothing. Rows that repeat an id are taken
     together; rows with null ids are not reported. Empty tables give no rows; other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    items = cut(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item_id is not null"), "leaks-items")
-    pairs = cut(_meet(docs, items), "leaks-pairs")
-    found = with_filter(docs, pairs.select("doc_id"), "doc_id", "maybe", bits_for(pairs.count())).where("maybe").select("doc_id", "text")
-    found = found.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    ww = cut(_slots(items, "item_id", "item", "iv"), "leaks-item-windows")
-    dw = cut(_slots(found, "doc_id", "text", "dv").join(ww.select("form", "h").distinct(), ["form", "h"], "left_semi"), "leaks-windows")
-    total = ww.groupBy("item_id", "form").agg(F.countDistinct("h").alias("all"))
-    both = cut(pairs.join(ww.withColumnRenamed("pos", "ip"), "item_id").join(dw.withColumnRenamed("pos", "dp"), ["doc_id", "form", "h"]), "leaks-shared")
+    docs, items = _read(docs, items)
+    both, own = _shared(docs, items)
     key = ["doc_id", "item_id", "form"]
-    share = both.groupBy(*key).agg(F.countDistinct("h").alias("k")).join(total, ["item_id", "form"]).withColumn("share", F.col("k") / F.col("all"))
+    share = both.groupBy(*key).agg((F.countDistinct("ip") / F.first("all")).alias("share")).where(F.col("share") >= SHARE)
     # each window of the item at the place in the document that most of its windows lie along with
     along = both.withColumn("off", F.col("dp") - F.col("ip"))
     along = along.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*key, "off")))
     best = along.groupBy(*key, "ip").agg(F.min_by(F.struct("iv", "dv"), F.struct(-F.col("n"), "off")).alias("x"))
     value = best.select(*key, F.explode(F.arrays_zip("x.iv", "x.dv")).alias("x")).where("x.iv.v <> ''").select(*key, F.col("x.iv.w").alias("kind"), F.col("x.iv.v").alias("iv"), F.col("x.dv.v").alias("dv"))
     slot = value.groupBy(*key, "kind", "iv").agg(F.min("dv").alias("dv"), (F.countDistinct("dv") == 1).alias("one"))
-    # of several names that became one name, one agrees; numbers may meet
-    agree = F.when(F.col("one"), F.when(F.col("kind") == "qname", F.struct("kind", F.lit("").alias("iv"), "dv")).otherwise(F.struct("kind", "iv", "dv")))
-    slot = slot.groupBy(*key).agg(F.count(F.lit(1)).alias("slots"), F.countDistinct(agree).alias("agreeing"))
-    out = share.where(F.col("share") >= SHARE).join(slot, key, "left").fillna(0, ["slots", "agreeing"])
+    # of several values of a kind that became one, one agrees
+    slot = slot.groupBy(*key).agg(F.count(F.lit(1)).alias("slots"), F.countDistinct(F.when(F.col("one"), F.struct("kind", "dv"))).alias("agreeing"))
+    out = share.join(slot, key, "left").fillna(0, ["slots", "agreeing"])
     out = out.where(F.col("agreeing") >= AGREE * F.col("slots")).groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "slots", "agreeing")).alias("b"))
-    return out.select("doc_id", "item_id", "b.share", "b.slots", "b.agreeing")
+    out = out.select("doc_id", "item_id", "b.share", "b.slots", "b.agreeing")
+    rest = cut(items.join(own.select("item_id").distinct(), "item_id", "left_anti"), "leaks-literal")
+    return out.union(_verbatim(docs, rest)) if rest.limit(1).count() else out
+
+
+def _read(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return docs, cut(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text" if "text" in items.columns else "item").alias("item")).where("item_id is not null"), "leaks-items")
 
 
 def _meet(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of which one form of the item shares enough windows with the document."""
-    known = _window_rows(items, "item_id", "item").distinct()
-    one = F.when(F.col("form") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array("form"))
-    known = cut(known.select("item_id", F.explode(one).alias("of"), "h").distinct(), "leaks-join")
-    total = known.groupBy("item_id", "of").agg(F.count(F.lit(1)).alias("all"))
-    w, held = _window_rows(docs, "doc_id", "text"), known.count()
-    if held <= MAX_BROADCAST:
-        known = F.broadcast(known)
-    else:
-        w = with_filter(w, known.select("h"), "h", "maybe", bits_for(held)).where("maybe").drop("maybe")
-    hit = w.join(known, "h").where("form = 2 or form = of").select("doc_id", "item_id", "of", "h").distinct()
-    counted = hit.groupBy("doc_id", "item_id", "of").agg(F.count(F.lit(1)).alias("k")).join(total, ["item_id", "of"])
-    return counted.where(F.col("k") >= SHARE * F.col("all")).select("doc_id", "item_id").distinct()
+    both, _ = _shared(*_read(docs, items))
+    share = both.groupBy("doc_id", "item_id", "form").agg((F.countDistinct("ip") / F.first("all")).alias("share"))
+    return share.where(F.col("share") >= SHARE).select("doc_id", "item_id").distinct()
+
+
+def _listed(rows: DataFrame, right: DataFrame) -> DataFrame:
+    """rows (h, ...) with each of right's (h, ...) by h as x: right as one list a window, so that hot windows of rows stay where they are."""
+    lists = right.groupBy("h").agg(F.collect_list(F.struct(*[c for c in right.columns if c != "h"])).alias("l"))
+    rows = cut(with_filter(rows, right, "h", "maybe", bits_for(right.count())).where("maybe").drop("maybe"), "leaks-rows")
+    met = hot_join(rows, lists, "h", rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")), rows.count()).where("l is not null")
+    return met.select(*rows.columns, F.explode("l").alias("x"))
+
+
+def _candidates(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(doc_id, item_id): documents that have one of an item's rarest windows (own: item_id, form, h), of which a document that shares enough can't miss all."""
+    often = own.select("item_id", "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("item_id", "form").orderBy("often", "h"))
+    held = F.count(F.lit(1)).over(Window.partitionBy("item_id", "form"))
+    rare = own.select("item_id", "form", "h").distinct().join(often, "h").withColumns({"rank": rank, "all": held})
+    rare = cut(rare.where(F.col("rank") <= F.col("all") - F.ceil(SHARE * F.col("all")) + 1).select("h", "item_id").distinct(), "leaks-rare")
+    w = _window_rows(docs, "doc_id", "text").select("doc_id", "h")
+    if rare.count() <= MAX_BROADCAST:
+        return w.join(F.broadcast(rare), "h").select("doc_id", "item_id").distinct()
+    return _listed(w.distinct(), rare).select("doc_id", "x.item_id").distinct()
+
+
+def _shared(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shared, own): the windows that candidates share (doc_id, item_id, form, dp, dv, ip, iv, all), each at all its places in the document and its
+    first one in the item, of all the item's; and the items' windows (item_id, form, h, ip, iv)."""
+    words = F.filter("iv", lambda t: ~t["w"].isin(PLACEHOLDERS))
+    own = _slots(items, "item_id", "item", "iv").where(F.size(words) > 0)
+    own = cut(own.groupBy("item_id", "form", "h").agg(F.min_by(F.struct("pos", "iv"), "pos").alias("x")).select("item_id", "form", "h", F.col("x.pos").alias("ip"), "x.iv"), "leaks-own")
+    pairs = cut(_candidates(docs, own), "leaks-candidates")
+    ids = pairs.select("doc_id").distinct()
+    found = with_filter(docs, ids, "doc_id", "maybe", bits_for(ids.count())).where("maybe").select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    held = own.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("all"))
+    mine = own.join(pairs.select("item_id").distinct(), "item_id", "left_semi").join(held, ["item_id", "form"])
+    mine = cut(mine.select(F.xxhash64("form", "h").alias("h"), "item_id", "ip", "iv", "all"), "leaks-item-windows")
+    theirs = _slots(found, "doc_id", "text", "dv").select("doc_id", "form", F.xxhash64("form", "h").alias("h"), F.col("pos").alias("dp"), "dv")
+    met = _listed(theirs, mine).select("doc_id", "x.item_id", "form", "dp", "dv", "x.ip", "x.iv", "x.all")
+    return cut(met.join(pairs, ["doc_id", "item_id"], "left_semi"), "leaks-shared"), own
+
+
+def _verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same columns for items that have no window of their own: all runs of their words and values, of SHINGLE or fewer, are the document's."""
+    literal = lambda t: F.when(t["v"] != "", t["v"]).otherwise(t["w"])
+    said = lambda c: F.transform(words_and_values(F.col(c))[0], literal)
+    x = cut(items.select("item_id", said("item").alias("t")).where("size(t) > 0").withColumn("n", F.when(F.size("t") < LEAST, 0).otherwise(F.least(F.size("t"), F.lit(SHINGLE)))), "leaks-words")
+    sizes = [r.n for r in x.select("n").distinct().collect()]  # 0 and LEAST to SHINGLE: four at most
+
+    def runs(df, n):
+        if not n:
+            return df.select(df.columns[0], F.xxhash64(F.lit(n), "t").alias("h"))
+        at = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return df.select(df.columns[0], F.explode(F.transform(at, lambda i: F.xxhash64(F.lit(n), F.slice("t", i, n)))).alias("h")).distinct()
+
+    d = docs.select("doc_id", said("text").alias("t"))
+    out = None
+    for n in sizes:
+        own = cut(runs(x.where(F.col("n") == n).select("item_id", "t"), n).distinct(), "leaks-runs")
+        held = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("all"))
+        hit = _listed(runs(d, n), own.join(held, "item_id").select("h", "item_id", "all"))
+        got = hit.groupBy("doc_id", "x.item_id", "x.all").agg(F.countDistinct("h").alias("k")).where("k = all").select("doc_id", "item_id")
+        out = got if out is None else out.union(got)
+    zero = F.lit(0).cast("long")
+    return out.distinct().select("doc_id", "item_id", F.lit(1.0).alias("share"), zero.alias("slots"), zero.alias("agreeing"))
 
 
 def _slots(df: DataFrame, key: str, text: str, values: str) -> DataFrame:

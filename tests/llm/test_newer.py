@@ -224,3 +224,41 @@ def test_near_pairs_of_crowded_segments(spark, monkeypatch):
     got = spelling.near_pairs(spark.createDataFrame([(w, 2) for w in words], "word string, n long")).collect()
     want = {tuple(sorted((x, y))) for x, ys in plain_near(words).items() for y in ys}
     assert len(got) == len(want) and {tuple(sorted((r.x, r.y))) for r in got} == want
+
+
+# ---- 4, what the first rounds got wrong ------------------------------------------------------------------------------
+
+
+def test_leaks_ask_for_words_and_for_one_value_each(spark):
+    """Tables of numbers are no copies of one another, numbers go one to one, items of few words are found as they are, repeats don't multiply."""
+    from quarrygraph.llm import leaks
+
+    numbers = " ".join(map(str, range(1, 41)))
+    counted = "first 3 then 5 later 8 boxes and 9 bags with 4 lids near 6 carts"
+    items = [(1, numbers), (2, "what is quantum chromodynamics"), (3, "yes"), (4, counted), (5, "red 7 red 7 red 7 red 7 red 7 red 7"), (6, "a b c"), (7, None), (8, "")]
+    rows = [
+        (10, " ".join(str(900 + 7 * i) for i in range(60))),
+        (11, "1 " * 40),
+        (12, f"so {numbers} end"),
+        (20, "tell me: What is quantum chromodynamics? no"),
+        (21, "what is quantum physics and chromodynamics"),
+        (30, "Yes!"),
+        (31, "yes and no"),
+        (40, prose(20) + " " + counted.replace("3", "13").replace("5", "15").replace("8", "18").replace("9", "19").replace("4", "14").replace("6", "16")),
+        (41, prose(20) + " first 2 then 2 later 2 boxes and 2 bags with 2 lids near 2 carts"),
+        (50, "red 8 " * 3000),
+        (60, "a, b c"),
+        (61, None),
+        (62, ""),
+        (63, "a b"),
+    ]
+    df = spark.createDataFrame([*rows, rows[0], (None, counted)], "doc_id long, text string").withColumns({"h": F.lit(1), "x": F.lit("x")})
+    known = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks.contaminated(df, known).collect()}
+    assert set(got) == {(12, 1), (20, 2), (30, 3), (40, 4), (50, 5), (60, 6)}
+    assert (got[40, 4].share, got[40, 4].slots, got[40, 4].agreeing) == (1.0, 6, 6)
+    both, _ = leaks._shared(*leaks._read(df, known))
+    assert both.where("doc_id = 50").count() <= 3 * 6000  # places in the document, not times those in the item
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(leaks, "MAX_BROADCAST", 0)
+        assert {(r.doc_id, r.item_id) for r in leaks.contaminated(df, known).collect()} == set(got)
