@@ -163,7 +163,8 @@ def subsystem_views(nodes: DataFrame, edges: DataFrame, subsystems: DataFrame, c
     skips = skips.union(skipped(drawn.join(ids.select("view").distinct(), "view", "left_anti").union(drawn.join(lone, "view", "left_semi").select("view", "subsystem")), F.col("view"), "fewer than two connected modules"))
     arrow, ids = arrow.join(lone, "view", "left_anti"), ids.join(lone, "view", "left_anti")
     arrow, ids = graphs.cut(arrow, "arrows"), graphs.cut(ids, "units")
-    parts = graphs.cut(module_parts(ids.where("own").select("view", "id"), nodes, max_nodes), "parts")
+    bases = drawn.join(subsystems.select(F.col("id").alias("subsystem"), F.get("paths", F.lit(0)).alias("base")), "subsystem").select("view", "base")
+    parts = graphs.cut(module_parts(ids.where("own").select("view", "id"), nodes, max_nodes, arrow, bases), "parts")
     split = parts.groupBy("view").agg(F.max("part").alias("__last")).where("__last > 0").select("view")
     named = lambda v, p: F.concat(v, F.lit("-part-"), (p + 1).cast("string"))
     p_own = parts.join(split, "view", "left_semi")
@@ -178,26 +179,35 @@ def subsystem_views(nodes: DataFrame, edges: DataFrame, subsystems: DataFrame, c
     return View(box, arrow, skips)
 
 
-def module_parts(ids: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(view, id, part): modules (view, id) of a view beyond size in parts: folders in order, filled up to size; a folder beyond size is cut in order."""
-    folder = F.regexp_replace(F.coalesce("file", "id"), r"/?[^/]*$", "")
-    x = ids.join(nodes.select("id", "file"), "id", "left").select("view", "id", folder.alias("folder"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("view"))
-    x = x.withColumn("n", n).withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("view", "folder").orderBy("id")) - 1) / size))
-    groups = x.groupBy("view", "n", "folder", "chunk").agg(F.count(F.lit(1)).alias("k"))
+def module_parts(ids: DataFrame, nodes: DataFrame, size: int, arrows_: DataFrame | None = None, bases: DataFrame | None = None) -> DataFrame:
+    """(view, id, part): modules (view, id) of views beyond size in parts, all views in one pass.
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["folder", "chunk"])
-        part, used, out = 0, 0, []
-        for k in pdf.k:
-            if used and used + k > size:
-                part, used = part + 1, 0
-            used += k
-            out.append(part)
-        return pdf[["view", "folder", "chunk"]].assign(part=out)
-
-    filled = groups.where(f"n > {size}").groupBy("view").applyInPandas(fill, "view string, folder string, chunk long, part int")
-    return x.join(filled, ["view", "folder", "chunk"], "left").select("view", "id", F.coalesce("part", F.lit(0)).alias("part"))
+    A module's folder is the first below its view's base path (view, base). If a view has two folders or more and each
+    fits, they are packed, larger ones first, each into the first part with room; else the parts are communities of the
+    view's arrows (view, src, dst). Views within size are one part.
+    """
+    x = ids.select("view", "id").distinct().join(nodes.select("id", F.coalesce("file", "id").alias("file")), "id", "left")
+    n = x.groupBy("view").agg(F.count(F.lit(1)).alias("n"))
+    x = x.join(n, "view")
+    x = (x if bases is None else x.join(bases.select("view", F.regexp_replace(F.coalesce("base", F.lit("")), "^/+|/+$", "").alias("base")), "view", "left")).withColumn("base", F.coalesce("base", F.lit("")) if bases is not None else F.lit(""))
+    inside = (F.col("base") != "") & F.startswith("file", F.concat("base", F.lit("/")))
+    rel = F.when(inside, F.expr("substring(file, length(base) + 2)")).otherwise(F.coalesce("file", "id"))
+    x = graphs.cut(x.withColumn("folder", F.when(rel.contains("/"), F.substring_index(rel, "/", 1)).otherwise(".")).select("view", "id", "folder", "n"), "split")
+    beyond = x.where(F.col("n") > size)
+    folders = beyond.groupBy("view", "folder").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("grp"))
+    even = folders.groupBy("view").agg(F.count(F.lit(1)).alias("k"), F.max("members").alias("most")).where((F.col("k") >= 2) & (F.col("most") <= size)).select("view")
+    even = graphs.cut(even, "split")
+    filled = graphs.first_fit_by(folders.join(even, "view", "left_semi").select("view", "grp", "members"), size)
+    filled = filled.join(folders.select("view", "grp", "folder"), ["view", "grp"]).select("view", "folder", F.col("bin").alias("part"))
+    by_folder = beyond.join(filled, ["view", "folder"]).select("view", "id", F.col("part").cast("int").alias("part"))
+    rest = beyond.join(even, "view", "left_anti").select("view", F.col("id").alias("v"))
+    out = x.where(F.col("n") <= size).select("view", "id", F.lit(0).alias("part")).union(by_folder)
+    if not rest.limit(1).count():
+        return out
+    near = rest.select("view", F.col("v").alias("src")).limit(0).withColumn("dst", F.lit("")) if arrows_ is None else arrows_.select("view", "src", "dst")
+    end = lambda c: rest.select("view", F.col("v").alias(c))
+    near = near.join(end("src"), ["view", "src"], "left_semi").join(end("dst"), ["view", "dst"], "left_semi")
+    return out.union(graphs.communities(rest, near, size).select("view", F.col("v").alias("id"), F.col("part").cast("int").alias("part")))
 
 
 # ---- flows ---------------------------------------------------------------------------------------------------

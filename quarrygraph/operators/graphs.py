@@ -390,66 +390,116 @@ def _runs(got: DataFrame, size: int) -> DataFrame:
     return x.join(held, ["label", "range"]).select("v", "label", F.floor(place / size).alias("part"))
 
 
-def label_communities(edges: DataFrame, rounds: int = 20, size: int = 25, group: int = 50_000) -> DataFrame:
-    """(v, community): asynchronous label propagation, exact because updates never leave a component; distinct edges only. Components of up to group edges are one group each, larger ones spread over all tasks.
+class _Fold:
+    """Communities in order: one of one or two members joins the smallest so far (of several the first) if it has room."""
+
+    def __init__(self, size: int):
+        self.size, self.sizes, self.n = size, [], 0
+
+    def take(self, members: int) -> int:
+        if members <= 2 and self.sizes and self.sizes[0][0] + members <= self.size:
+            held, place = self.sizes[0]
+            heapq.heapreplace(self.sizes, (held + members, place))
+            return place
+        heapq.heappush(self.sizes, (members, self.n))
+        self.n += 1
+        return self.n - 1
+
+
+class _Bins:
+    """Bins by the room that they have left, so that the first one with room is found in as many steps as there are sizes."""
+
+    def __init__(self, size: int):
+        self.by_room, self.n = [[] for _ in range(size + 1)], 0
+
+    def take(self, members: int) -> int:
+        fit = [(bins[0], room) for room, bins in enumerate(self.by_room) if room >= members and bins]
+        if fit:
+            place, room = min(fit)
+            heapq.heappop(self.by_room[room])
+        else:
+            place, room = self.n, len(self.by_room) - 1
+            self.n += 1
+        heapq.heappush(self.by_room[room - members], place)
+        return place
+
+
+def placed(rows: DataFrame, view: str, order: list, made, out: str) -> DataFrame:
+    """rows (view, members, ...) with out, the place that a view's row gets after those before it in order.
+
+    Partitions sorted by view stream through: memory holds the places of one view, not its rows. Sequential within a view
+    by definition; views go apart.
+    """
+    names, kinds = rows.columns, ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+
+    def run(batches):
+        state = last = None
+        for pdf in batches:
+            got = []
+            for key, members in zip(pdf[view], pdf["members"], strict=True):
+                if state is None or key != last:
+                    state, last = made(), key
+                got.append(state.take(int(members)))
+            yield pdf.assign(**{out: got})[[*names, out]]
 
-    Communities beyond size are cut into runs of that many members in order; a community is named by its first member.
-    Those of one or two members then join, largest first, the currently smallest community if it has room. That fold is
-    sequential by definition: one row a community, not its members, goes to its one task.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, view).sortWithinPartitions(view, *order).mapInPandas(run, f"{kinds}, {out} long")
+
+
+def communities(nodes: DataFrame, edges: DataFrame, size: int = 25, rounds: int = 20, group: int = 50_000) -> DataFrame:
+    """(view, v, community, part): asynchronous label propagation in the graphs of many views at once, of nodes (view, v) and distinct edges (view, src, dst).
+
+    Labels beyond size members are cut into runs of that many in order. By falling size of the label, then its first
+    member, those of one or two members join the currently smallest community if it has room. A community is named by the
+    first member of the run that it began with; part is its place in that order. A view of up to group edges is one
+    group; of larger ones each component is, and a component beyond group spreads over all tasks.
     """
-    comp = weak_components(edges)
-    x = cut(edges.select("src", "dst").distinct().join(comp, F.col("src") == F.col("v")).select("component", "src", "dst"))
-    kind = dict(edges.dtypes)["src"]
+    name = lambda c: F.concat(F.length(F.col("view").cast("string")), F.lit(":"), F.col("view").cast("string"), F.lit("/"), F.col(c).cast("string"))
+    own = cut(nodes.select("view", "v").distinct().withColumn("id", name("v")))
+    e = cut(edges.select("view", "src", "dst").distinct().select("view", name("src").alias("src"), name("dst").alias("dst")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         label = _spread(pdf, rounds)
-        return pd.DataFrame({"v": list(label), "label": list(label.values())})
-
-    large = cut(x.groupBy("component").count().where(F.col("count") > group).select("component"))
-    got = x.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, f"v {kind}, label {kind}")
-    if large.limit(1).count():
-        got = got.union(_spread_wide(x.join(large, "component", "left_semi"), rounds))
-    got = cut(_runs(got, size).select("v", F.min("v").over(Window.partitionBy("label", "part")).alias("community")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["n", "community"], ascending=[False, True])
-        heap = [(n, i, c) for i, (c, n) in enumerate(zip(rows.community, rows.n, strict=True)) if n > 2]
-        heapq.heapify(heap)
-        into = {c: c for _, _, c in heap}
-        for i, (c, n) in enumerate(zip(rows.community, rows.n, strict=True)):
-            if n > 2:
-                continue
-            if heap and heap[0][0] + n <= size:
-                m, j, d = heapq.heappop(heap)
-                into[c] = d
-                heapq.heappush(heap, (m + n, j, d))
-            else:
-                into[c] = c
-                heapq.heappush(heap, (n, i, c))
-        return pd.DataFrame({"community": list(into), "target": list(into.values())})
-
-    sizes = got.groupBy("community").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(1))
-    target = sizes.groupBy("all").applyInPandas(fold, f"community {kind}, target {kind}")
-    return got.join(target, "community").select("v", F.col("target").alias("community"))
+        return pd.DataFrame({"id": list(label), "label": list(label.values())})
 
+    wide = cut(e.groupBy("view").count().where(F.col("count") > group).select("view"))
+    got = e.join(wide, "view", "left_anti").groupBy("view").applyInPandas(run, "id string, label string")
+    if wide.limit(1).count():
+        x = e.join(wide, "view", "left_semi").select("src", "dst")
+        x = cut(x.join(weak_components(x), F.col("src") == F.col("v")).select("component", "src", "dst"))
+        large = cut(x.groupBy("component").count().where(F.col("count") > group).select("component"))
+        got = got.union(x.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, "id string, label string"))
+        if large.limit(1).count():
+            got = got.union(_spread_wide(x.join(large, "component", "left_semi"), rounds).select("v", "label"))
+    every = own.join(got, "id", "left").select("view", F.col("id").alias("v"), F.coalesce("label", "id").alias("label"))
+    runs = cut(_runs(every, size).join(every.select("view", "v"), "v"))
+    whole = runs.groupBy("label").agg(F.count(F.lit(1)).alias("whole"), F.min("v").alias("first"))
+    piece = runs.groupBy("view", "label", "part").agg(F.count(F.lit(1)).alias("members"), F.min("v").alias("head"))
+    kept = cut(placed(piece.join(whole, "label").select("view", "label", "part", "members", "head", "whole", "first"), "view", [F.desc("whole"), "first", "part"], lambda: _Fold(size), "at"))
+    named = kept.groupBy("view", "at").agg(F.min_by("head", F.struct(-F.col("whole"), "first", "part")).alias("to"))
+    out = runs.select("v", "label", "part").join(kept.select("view", "label", "part", "at"), ["label", "part"]).join(named, ["view", "at"])
+    plain = own.select("id", "view", F.col("v").alias("own"))
+    out = out.select(F.col("v").alias("id"), "to", "at").join(plain, "id").join(plain.select(F.col("id").alias("to"), F.col("own").alias("community")), "to")
+    return out.select("view", F.col("own").alias("v"), "community", F.col("at").alias("part"))
 
-def first_fit(groups: DataFrame, size: int) -> DataFrame:
-    """(grp, bin): groups (grp, members) by falling size, cut above size, each into the first bin with room. Sequential by definition: only one row a group goes to the one task."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        room, out = [], []
-        pieces = [(min(size, n - k), g, k) for g, n in zip(pdf.grp, pdf.members, strict=True) for k in range(0, n, size)]
-        for n, g, k in sorted(pieces, key=lambda p: (-p[0], p[1], p[2])):
-            b = next((i for i, r in enumerate(room) if r >= n), None)
-            if b is None:
-                b = len(room)
-                room.append(size)
-            room[b] -= n
-            out.append((g, k, n, b))
-        return pd.DataFrame(out, columns=["grp", "start", "members", "bin"])
-
-    kind = dict(groups.dtypes)["grp"]
-    return groups.select("grp", "members", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, f"grp {kind}, start long, members long, bin long")
+def label_communities(edges: DataFrame, rounds: int = 20, size: int = 25, group: int = 50_000) -> DataFrame:
+    """(v, community) of one graph, as communities finds them."""
+    x = edges.select(F.lit("").alias("view"), "src", "dst")
+    nodes = x.select("view", F.explode(F.array("src", "dst")).alias("v"))
+    return communities(nodes, x, size, rounds, group).select("v", "community")
+
+
+def first_fit_by(groups: DataFrame, size: int) -> DataFrame:
+    """(view, grp, start, members, bin): groups (view, grp, members) of each view by falling size, cut above size, each into the view's first bin with room."""
+    x = groups.where("members > 0").select("view", "grp", F.col("members").alias("__all"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("members").cast("long") - 1, F.lit(size).cast("long"))).alias("start"))
+    x = x.select("view", "grp", "start", F.least(F.lit(size), F.col("__all") - F.col("start")).cast("long").alias("members"))
+    return placed(x, "view", [F.desc("members"), "grp", "start"], lambda: _Bins(size), "bin")
+
+
+def first_fit(groups: DataFrame, size: int) -> DataFrame:
+    """(grp, start, members, bin) of one lot of groups (grp, members). Sequential by definition: one row a piece goes to the one task, which keeps a bin's room."""
+    return first_fit_by(groups.select(F.lit("").alias("view"), "grp", "members"), size).drop("view")
 
 
 def quotient_fallback(edges: DataFrame, weak: str) -> DataFrame:

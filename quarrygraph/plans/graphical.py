@@ -74,3 +74,24 @@ def consumed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).where("event_type in ('view', 'click')").select("user_id", "event_id", "event_type", "us")
     x = joins.consumed_pairs(e, ["user_id"], "us", "event_type", "view", _DAY, ["event_id"]).where("pair is not null and event_type = 'view'")
     return x.select(F.col("event_id").alias("view_id"), F.col("mate.event_id").alias("click_id"))
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT view, src AS grp, count(*) AS m FROM ({_MOVES}) GROUP BY view, src),
+c AS (SELECT view, grp, m, unnest(range(0, m, 4)) AS start FROM g), q AS (SELECT view, grp, start, least(4, m - start) AS n FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY n DESC, grp, start) AS k FROM q),
+s AS (SELECT view, 0::BIGINT AS k, []::BIGINT[] AS rooms, NULL::BIGINT AS bin FROM (SELECT DISTINCT view FROM p)
+  UNION ALL SELECT view, k, CASE WHEN b IS NULL THEN list_append(rooms, 4 - n) ELSE list_concat(list_slice(rooms, 1, b - 1), [rooms[b] - n], list_slice(rooms, b + 1, len(rooms))) END, coalesce(b - 1, len(rooms))
+  FROM (SELECT p.view, p.k, p.n, s.rooms, nullif(coalesce(list_position(list_transform(s.rooms, lambda r: r >= p.n), true), 0), 0) AS b FROM s JOIN p ON p.view = s.view AND p.k = s.k + 1))
+SELECT view, grp, start, n AS members, bin FROM p JOIN s USING (view, k)""")
+def packed_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's line items by brand, packed first-fit into bins of four; the SQL keeps each customer's rooms as a list."""
+    t = Tables(spark, sf_dir)
+    x = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return graphs.first_fit_by(x.groupBy(F.col("o_custkey").alias("view"), F.col("p_brand").alias("grp")).agg(F.count(F.lit(1)).alias("members")), 4)
+
+
+@query()
+def brand_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of each customer's brand graph, all customers at once; tested against a plain loop."""
+    e = moves(spark, sf_dir).select("view", "src", "dst").distinct()
+    return graphs.communities(e.select("view", F.explode(F.array("src", "dst")).alias("v")), e, size=6)
