@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate, pairwise
+from string import ascii_letters, digits
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,7 +18,8 @@ from pyspark.sql.types import ArrayType, StringType
 MAX_ID, MAX_PARTICIPANT, MAX_LABEL = 32, 24, 80
 SWAPS = ('";|\\<>%', "' //‹›％")
 _SOURCE_EXT = re.compile(r"\.(py|js|jsx|ts|tsx|c|cc|cpp|h|hpp|go|rs|java)$", re.I)
-_WORDS = re.compile(r"[A-Za-z0-9]+")
+_ALNUM = {*ascii_letters, *digits}
+_SPACES = {i: " " for i in range(128) if chr(i) not in _ALNUM}
 
 
 def stable_id(*parts: Column) -> Column:
@@ -68,27 +72,28 @@ def line_of(text: Column, offset: Column) -> Column:
     return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
 
 
-def _folded(x: str) -> str:
-    return unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode()
+def _ascii(x: str) -> str:
+    return "".join(filter(str.isascii, unicodedata.normalize("NFKD", x)))
+
+
+def _title(x: str) -> str:
+    """Letters and digits of an ASCII text, each that follows none of them as a capital; all else as spaces."""
+    return "".join(c.upper() if before not in _ALNUM else c if c in _ALNUM else " " for before, c in pairwise(f" {x}")).translate(_SPACES)
 
 
 def camel(x: str, cap: int = MAX_ID) -> str:
-    head, *tail = _WORDS.findall(_folded(x)) or ["n"]
-    out = head[:1].lower() + head[1:] + "".join(w[:1].upper() + w[1:] for w in tail)
-    out = out if out[0].isalpha() else "n" + out
-    return out if len(out) <= cap else out[: cap - 6] + hashlib.sha1(x.encode()).hexdigest()[:6]
+    run = _title(_ascii(x)).replace(" ", "") or "n"
+    run = run[0].lower() + run[1:] if run[0] not in digits else f"n{run}"
+    mark = hashlib.sha1(x.encode()).hexdigest()[:6]
+    return run if len(run) <= cap else f"{run[: cap - len(mark)]}{mark}"
 
 
 def pascal(x: str, cap: int = MAX_PARTICIPANT) -> str:
-    text = _folded(x).strip()
-    bare = _SOURCE_EXT.sub("", text)
-    out = ""
-    for w in _WORDS.findall(bare) or _WORDS.findall(text):
-        if out and len(out) + len(w) > cap:
-            break
-        out += w[:1].upper() + w[1:]
-    out = out[:cap]
-    return out if not out or out[0].isalpha() else "P" + out
+    plain = _ascii(x).strip()
+    words = _title(_SOURCE_EXT.sub("", plain)).split() or _title(plain).split()
+    ends = [*accumulate(map(len, words))]  # as many words as the cap holds, one at least
+    run = "".join(words[: max(1, bisect_right(ends, cap))])[:cap]
+    return f"P{run}" if run[:1] in {*digits} else run
 
 
 @F.pandas_udf(StringType())
