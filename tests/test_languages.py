@@ -109,3 +109,15 @@ def test_robots(spark):
     assert {(r.path, r.executable, r.name) for r in launches.collect()} == {("robot/go.launch.py", "talker", "t1"), ("robot/go.launch.py", "tool", None), ("robot/x.launch", "talker", None)}
     built = spark.createDataFrame([("robot", "talker", "robot/talker.py")], "package string, executable string, file string")
     assert {(r.path, r.node) for r in robots.started(launches, built, nodes).collect()} == {("robot/go.launch.py", "talker"), ("robot/go.launch.py", "tool"), ("robot/x.launch", "talker")}
+
+
+def test_tokens():
+    from quarrygraph.sources import tokens as T
+
+    ts = T.tokens('a.b("}", x) // {\n  /* ( */ f = `t\n${1}` => {\n}')
+    assert [(t.kind[0], t.text) for t in ts] == [("w", "a"), ("s", "."), ("w", "b"), ("s", "("), ("q", "}"), ("s", ","), ("w", "x"), ("s", ")"), ("w", "f"), ("s", "="), ("q", "t\n${1}"), ("s", "=>"), ("s", "{"), ("s", "}")]
+    assert [ts[i].line for i in (0, 8, 11, 13)] == [1, 2, 3, 4]
+    assert ts[3].mate == 7 and ts[7].mate == 3 and [t.text for t in ts if t.leads] == ["a", "f", "}"]
+    open_ = T.tokens("f(( a")
+    assert all(t.mate is None for t in open_) and not list(T.found("x", "f(( a", [("c", (T.word(), T.whole("(")))]))
+    assert T.tokens("") == []
