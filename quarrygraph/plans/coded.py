@@ -1,13 +1,13 @@
-"""Resolution of names over code that is derived from the tables: a module for each nation, and one for each customer that uses it."""
+"""Resolution of names over code that is derived from the tables (a module for each nation, and one for each customer that uses it), and a log made of events."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.operators import receivers, resolution
+from quarrygraph.operators import graphs, receivers, resolution
 from quarrygraph.plans.registry import query
-from quarrygraph.sources import pycode
+from quarrygraph.sources import eventlog, pycode
 from quarrygraph.sources.tables import Tables
 
 _NATION = """class Base:
@@ -71,3 +71,15 @@ SELECT m || '.py' AS path, '0' AS slot, n || '.Base.act' AS symbol FROM c UNION
 def callback_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions handed to calls: through an attribute's type, through partial, by name."""
     return receivers.callback_targets(*code(spark, sf_dir)).select("path", "slot", "symbol")
+
+
+@query("SELECT event_id::VARCHAR AS id, epoch_us(ts) / 1000000.0 AS ts, event_type = 'error' AS limited FROM events WHERE epoch_us(ts) >= (SELECT median(epoch_us(ts)) FROM events)")
+def recent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events appended to a log by type, and the later half read back: files that end before are not opened."""
+    import uuid
+
+    e = Tables(spark, sf_dir).events.select(F.col("event_id").cast("string").alias("tool_use_id"), (F.expr("unix_micros(cast(ts as timestamp))") / 1_000_000).alias("ts"), F.col("event_type").alias("event"), (F.col("event_type") == "error").alias("rate_limited"))
+    at = f"{graphs.shared(spark)}/log-{uuid.uuid4().hex}"
+    eventlog.append(e.repartitionByRange(8, "ts"), at)
+    since = e.agg(F.median("ts")).first()[0]
+    return eventlog.read(spark, at, since).select(F.col("tool_use_id").alias("id"), "ts", F.col("rate_limited").alias("limited"))
