@@ -18,7 +18,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from quarrygraph.plans import coded, flagship, graphical, model, modelled, relational, wider  # noqa: F401
+    from quarrygraph.plans import coded, flagship, graphical, model, modelled, relational, running, wider  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
