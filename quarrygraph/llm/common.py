@@ -7,6 +7,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -44,30 +45,60 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables that cut has written in this process, oldest first.
-_written: list[str] = []
+#: Where the tables that cut writes are noted, oldest first: with whoever holds them, else in one list of the process.
+_holder: ContextVar[list[str]] = ContextVar("holder")
+_holder.set([])
+
+
+class Held:
+    """The tables that cut writes within this context, and no others: with Held() as own: ...; own.drop(spark)."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Held:
+        self._before = _holder.set(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _holder.reset(self._before)
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete them: only once what was made from them is itself written."""
+        _delete(spark, self.paths)
+
+
+def _delete(spark: SparkSession, paths: list[str], mark: int = 0) -> None:
+    jvm = spark.sparkContext._jvm
+    for at in paths[mark:]:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del paths[mark:]
+
+
+def _held() -> list[str]:
+    held = _holder.get(None)
+    if held is None:  # another thread
+        _holder.set(held := [])
+    return held
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """The same rows read from a table written to the shared folder: lineage ends there, and lost executors lose nothing."""
     at = fresh_path(df.sparkSession, name)
+    _held().append(at)
     df.write.parquet(at)
-    _written.append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def written() -> int:
-    """How many tables cut has written so far: what drop_since takes."""
-    return len(_written)
+    """How many tables whoever holds the next ones has written so far: what drop_since takes."""
+    return len(_held())
 
 
 def drop_since(spark: SparkSession, mark: int) -> None:
-    """Delete the tables that cut has written since: only once what was made from them is itself written."""
-    jvm = spark.sparkContext._jvm
-    for at in _written[mark:]:
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del _written[mark:]
+    """Delete the holder's tables since: only once what was made from them is itself written."""
+    _delete(spark, _held(), mark)
 
 
 def text_arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

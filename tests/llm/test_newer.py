@@ -262,3 +262,18 @@ def test_leaks_ask_for_words_and_for_one_value_each(spark):
     with pytest.MonkeyPatch.context() as m:
         m.setattr(leaks, "MAX_BROADCAST", 0)
         assert {(r.doc_id, r.item_id) for r in leaks.contaminated(df, known).collect()} == set(got)
+
+
+def test_tables_belong_to_who_holds_them(spark):
+    from quarrygraph.llm import common
+
+    with common.Held() as one:
+        a = common.cut(spark.range(3), "held-a")
+        with common.Held() as two:
+            b = common.cut(spark.range(4), "held-b")
+        two.drop(spark)
+        assert a.count() == 3 and len(one.paths) == 1 and not two.paths
+        with pytest.raises(Exception, match="(?i)not.*exist|FileNotFound|No such"):
+            b.count()
+    one.drop(spark)
+    assert not one.paths
