@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrygraph.llm import exact, jaccard, leaks, packing, toxic
-from quarrygraph.llm.common import cut, drop_since, fresh_path, table, without, written
+from quarrygraph.llm.common import Held, cut, fresh_path, table, without
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        at, mark = fresh_path(spark, "pipeline-" + name.replace(" ", "-")), written()
-        stage(spark, docs, sf_dir).write.parquet(at)
-        drop_since(spark, mark)  # the stage's own tables
+        at = fresh_path(spark, "pipeline-" + name.replace(" ", "-"))
+        with Held() as own:  # the stage's own tables
+            stage(spark, docs, sf_dir).write.parquet(at)
+        own.drop(spark)
         docs = spark.read.parquet(at)
     return docs
