@@ -243,10 +243,9 @@ def executions(nodes: DataFrame, edges: DataFrame, subsystems: DataFrame, limit:
     held = seen.groupBy(F.col("root").alias("view")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("v")).alias("ids"))
     few = skipped(held.where("n < 4"), F.col("view"), "fewer than four components")
     chosen = graphs.cut(distinct_views(held.where("n >= 4").withColumn("rank", F.struct(-F.col("n"), "view")), "ids", "rank"), "chosen")
-    row = F.row_number().over(Window.orderBy("rank"))  # one row an entry point
-    kept = chosen.where("accepted").withColumn("__r", row)
-    skips = few.union(skipped(chosen.where("not accepted"), F.col("view"), "overlaps an earlier view")).union(skipped(kept.where(F.col("__r") > limit), F.col("view"), "beyond the limit of derived views"))
-    kept = kept.where(F.col("__r") <= limit).select("view")
+    kept = graphs.cut(chosen.where("accepted").orderBy("rank").limit(limit).select("view"), "kept")
+    late = chosen.where("accepted").join(kept, "view", "left_anti")
+    skips = few.union(skipped(chosen.where("not accepted"), F.col("view"), "overlaps an earlier view")).union(skipped(late, F.col("view"), "beyond the limit of derived views"))
     box = boxes(seen.select(F.col("root").alias("view"), F.col("v").alias("id")).join(kept, "view", "left_semi"), nodes, subsystems)
     first = F.col("id") == F.col("view")
     box = box.withColumns({"pinned": first, "shape": F.when(first, "stadium").otherwise(F.col("shape"))})
@@ -258,21 +257,30 @@ def executions(nodes: DataFrame, edges: DataFrame, subsystems: DataFrame, limit:
 
 
 def distinct_views(rows: DataFrame, ids: str, rank: str, above: float = 0.8) -> DataFrame:
-    """rows (one a view) with accepted: in order of rank, whether a view's ids overlap no accepted one's by a Jaccard above the bound. Sequential over views, of which there are few; ids are bounded by a view's limit."""
+    """rows (one a view) with accepted: in order of rank, whether a view's ids overlap no accepted one's by a Jaccard above the bound.
 
-    def walk(batches):
-        held = []
-        for pdf in batches:
-            out = []
-            for x in pdf["__ids"]:
-                x = set(x)
-                ok = all(len(x & y) / len(x | y) <= above if x | y else False for y in held)
-                held += [x] if ok else []
-                out.append(ok)
-            yield pdf.drop(columns="__ids").assign(accepted=out)
-
-    key = rows.select("view", F.col(ids).alias("__ids"), F.col(rank).alias("__rank")).coalesce(1).sortWithinPartitions("__rank").select("view", "__ids")
-    return rows.join(key.mapInPandas(walk, "view string, accepted boolean"), "view")
+    Views of equal ids are one with the first of them, and the later ones are out. Others meet by one of their rarest ids,
+    so many that views above the bound can't miss each other there. Then rounds decide all views at once whose earlier
+    neighbours are decided: one with an accepted neighbour is out, one without is accepted. No task sees all views.
+    """
+    x = rows.select("view", F.array_sort(F.array_distinct(F.col(ids))).alias("__ids"), F.col(rank).alias("__rank"))
+    first = graphs.cut(x.groupBy("__ids").agg(F.min(F.struct("__rank", "view")).alias("f")).select(F.col("f.view").alias("view"), F.col("f.__rank").alias("__rank"), "__ids"), "views")
+    one = first.select("view", F.explode("__ids").alias("id"), F.size("__ids").alias("n"))
+    often = one.groupBy("id").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("view").orderBy("often", "id"))
+    rare = one.join(often, "id").withColumn("p", place).where(F.col("p") <= F.col("n") - F.floor(above * F.col("n") - 1e-9)).select("view", "id", "n")
+    meets = rare.select(F.col("view").alias("a"), "id", F.col("n").alias("na")).join(rare.select(F.col("view").alias("b"), "id", F.col("n").alias("nb")), "id").where((F.col("a") != F.col("b")) & (F.least("na", "nb") > above * F.greatest("na", "nb"))).select("a", "b").distinct()
+    side = lambda c: first.select(F.col("view").alias(c), F.col("__ids").alias("i" + c), F.col("__rank").alias("r" + c))
+    both = F.size(F.array_intersect("ia", "ib"))
+    near = meets.join(side("a"), "a").join(side("b"), "b").where(both > above * (F.size("ia") + F.size("ib") - both)).where(F.struct("ra", "a") < F.struct("rb", "b"))
+    near = graphs.cut(near.select("a", F.col("b").alias("view")), "overlaps")  # a before view
+    state = graphs.cut(first.select("view", F.lit(None).cast("boolean").alias("accepted")), "accepted")
+    while state.where("accepted is null").limit(1).count():
+        before = near.join(state.select(F.col("view").alias("a"), F.col("accepted").alias("was")), "a").groupBy("view").agg(F.max("was").alias("any"), F.count_if(F.col("was").isNull()).alias("open"))
+        x2 = state.join(before, "view", "left")
+        verdict = F.when(F.coalesce("any", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        state = graphs.cut(x2.select("view", F.coalesce("accepted", verdict).alias("accepted")), "accepted")
+    return rows.join(state, "view", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
 def flow_steps(steps: DataFrame, nodes: DataFrame, subsystems: DataFrame, max_nodes: int = 25, max_edges: int = 30) -> View:
@@ -394,7 +402,7 @@ def request_chains(nodes: DataFrame, edges: DataFrame, depth: int = 4, max_messa
 
     A chain starts at a request edge, or at an endpoint that none requests but that is handled; then it walks depth
     first from the handler over calls and the data edges of each function in order, to a depth. Participants are units
-    at module level. Only what a handler reaches within the depth goes to the walk, one chain a group.
+    at module level. Only what a handler reaches within the depth goes to its walk, which is joined to all that ask for it.
     """
     of = P.units(nodes, edges, "module")
     handled = P.handlers(edges)
@@ -409,29 +417,35 @@ def request_chains(nodes: DataFrame, edges: DataFrame, depth: int = 4, max_messa
     unit = lambda k: of.select(F.col("id").alias(k), F.col("unit").alias(f"{k}_unit"))
     local = reach.select(F.col("root").alias("handler"), F.col("v").alias("src")).join(walkable, "src").join(unit("src"), "src").join(unit("dst"), "dst").join(names.select(F.col("id").alias("dst"), F.col("name").alias("dst_name")), "dst")
     rows = local.groupBy("handler").agg(F.array_sort(F.collect_list(F.struct("src", "at", "dst", "kind", "label", "src_unit", "dst_unit", "dst_name"))).alias("edges"))
-    s = starts.join(rows, "handler", "left").join(names.select(F.col("id").alias("endpoint"), F.col("name").alias("endpoint_name")), "endpoint")
+    # what a handler leads to is walked once, whoever asks for it
+    told = graphs.cut(rows.mapInPandas(lambda it: _walked(it, depth), "handler string, pos int, src string, dst string, label string, kind string"), "walks")
+    held = told.groupBy("handler").agg(F.max("pos").alias("last"))
+    s = starts.join(held, "handler", "left").join(names.select(F.col("id").alias("endpoint"), F.col("name").alias("endpoint_name")), "endpoint")
     for end in ("client", "endpoint", "handler"):
         s = s.join(unit(end), end, "left")
-    schema = "chain string, pos int, src string, dst string, label string, kind string"
-    messages = s.select("chain", "client", "client_unit", "endpoint", "endpoint_name", "handler", "handler_unit", "endpoint_unit", "edges").mapInPandas(lambda it: _walked(it, depth), schema)
+    asks = F.col("client").isNotNull()
+    caller = F.when(asks, F.col("client_unit")).otherwise(F.col("endpoint"))
+    target = F.when(F.col("handler").isNotNull(), F.col("handler_unit")).when(asks, F.col("endpoint_unit")).otherwise(F.col("endpoint"))
+    s = graphs.cut(s.select("chain", "handler", caller.alias("caller"), target.alias("target"), F.when(asks, F.col("endpoint_name")).otherwise("handled by").alias("said"), F.coalesce("last", F.lit(0)).alias("last")), "chains")
+    messages = s.select("chain", F.lit(0).alias("pos"), F.col("caller").alias("src"), F.col("target").alias("dst"), F.col("said").alias("label"), F.lit("sync").alias("kind"))
+    messages = messages.union(s.join(told, "handler").select("chain", "pos", "src", "dst", "label", "kind"))
+    messages = messages.union(s.select("chain", F.col("last") + 1, "target", "caller", F.lit("response"), F.lit("reply")))
     total = messages.groupBy("chain").agg(F.count(F.lit(1)).alias("messages"), (F.size(F.array_union(F.collect_set("src"), F.collect_set("dst")))).alias("participants"))
     total = total.withColumn("omitted", F.greatest(F.col("messages") - max_messages, F.lit(0)))
     return messages.where(F.col("pos") < max_messages), total
 
 
 def _walked(batches, depth: int):
+    """The messages that follow a handler's call, from 1: calls and data edges in order, depth first, a function once."""
     for pdf in batches:
         out = []
-        for row in pdf.itertuples(index=False):
+        for handler, edges in zip(pdf.handler, pdf.edges, strict=True):
             told = []
             beside: dict = {}
-            for e in row.edges if row.edges is not None else ():
+            for e in edges:
                 beside.setdefault(e["src"], []).append(e)
-            caller = row.client_unit if row.client else row.endpoint
-            target = row.handler_unit if row.handler else (row.endpoint_unit if row.client else row.endpoint)
-            told.append((caller, target, row.endpoint_name if row.client else "handled by", "sync"))
             seen: set = set()
-            todo = [("visit", row.handler, 0)] if row.handler else []
+            todo = [("visit", handler, 0)]
             while todo:  # a stack of visits and of messages that come after what a call leads to
                 what, at, level = todo.pop()
                 if what == "tell":
@@ -453,16 +467,15 @@ def _walked(batches, depth: int):
                 told.append((me, you, at["label"] or P.VERBS.get(at["kind"], at["kind"]), "async" if at["kind"] == "publishes" else "sync"))
                 if at["kind"] in ("db_read", "external_call", "api_request", "service_call"):
                     told.append((you, me, "rows" if at["kind"] == "db_read" else "response", "reply"))
-            told.append((target, caller, "response", "reply"))
-            out += [(row.chain, i, *m) for i, m in enumerate(told)]
-        yield pd.DataFrame(out, columns=["chain", "pos", "src", "dst", "label", "kind"])
+            out += [(handler, i, *m) for i, m in enumerate(told, 1)]
+        yield pd.DataFrame(out, columns=["handler", "pos", "src", "dst", "label", "kind"])
 
 
 def chosen_chains(total: DataFrame, limit: int = 1) -> DataFrame:
     """(chain, drawn, reason): chains with at least three participants, those with most participants and messages first."""
-    place = F.row_number().over(Window.orderBy(F.desc(F.col("participants") >= 3), F.desc("participants"), F.desc("messages"), "chain"))  # one row a chain
-    x = total.withColumn("__p", place)
-    reason = F.when(F.col("participants") < 3, "fewer than three participants").when(F.col("__p") > limit, "beyond the limit of sequences")
+    first = total.where("participants >= 3").orderBy(F.desc("participants"), F.desc("messages"), "chain").limit(limit)
+    x = total.join(first.select("chain", F.lit(True).alias("__first")), "chain", "left")
+    reason = F.when(F.col("participants") < 3, "fewer than three participants").when(F.col("__first").isNull(), "beyond the limit of sequences")
     return x.select("chain", reason.isNull().alias("drawn"), reason.alias("reason"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.operators import builders as B
-from quarrygraph.operators import findings, impact, validator
+from quarrygraph.operators import findings, graphs, impact, validator
 from quarrygraph.operators import projection as P
 from quarrygraph.plans.registry import query
 from quarrygraph.sources import logs
@@ -257,6 +257,11 @@ def model_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validator.summary(validator.problems(parts))
 
 
+def held_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The model as written tables: builders look at it many times."""
+    return tuple(graphs.cut(x, "model") for x in model(spark, sf_dir))
+
+
 def _drawn(view: B.View) -> DataFrame:
     """A view's boxes and arrows as rows of one table."""
     none = F.lit(None).cast("string")
@@ -266,37 +271,37 @@ def _drawn(view: B.View) -> DataFrame:
 
 @query()
 def overview_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(B.overview(*model(spark, sf_dir))[0])
+    return _drawn(B.overview(*held_model(spark, sf_dir))[0])
 
 
 @query()
 def subsystem_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(B.subsystem_views(*model(spark, sf_dir)))
+    return _drawn(B.subsystem_views(*held_model(spark, sf_dir)))
 
 
 @query()
 def data_flow_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(B.data_flow(*model(spark, sf_dir))[0])
+    return _drawn(B.data_flow(*held_model(spark, sf_dir))[0])
 
 
 @query()
 def execution_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(B.executions(*model(spark, sf_dir)))
+    return _drawn(B.executions(*held_model(spark, sf_dir)))
 
 
 @query()
 def infrastructure_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(B.infrastructure(*model(spark, sf_dir)))
+    return _drawn(B.infrastructure(*held_model(spark, sf_dir)))
 
 
 @query()
 def dependency_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(B.dependencies(*model(spark, sf_dir)))
+    return _drawn(B.dependencies(*held_model(spark, sf_dir)))
 
 
 @query()
 def request_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e, _ = model(spark, sf_dir)
+    n, e, _ = held_model(spark, sf_dir)
     return B.request_chains(n, e)[0]
 
 
@@ -314,6 +319,6 @@ def rendered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of the overview, the infrastructure and the data flow, through their own check."""
     from quarrygraph.functions import diagrams
 
-    m = model(spark, sf_dir)
+    m = held_model(spark, sf_dir)
     specs = [B.assembled(v, "flowchart") for v in (B.overview(*m)[0], B.infrastructure(*m), B.data_flow(*m)[0])]
     return diagrams.gated(specs[0].union(specs[1]).union(specs[2]))

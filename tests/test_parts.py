@@ -88,3 +88,18 @@ def test_module_parts(spark):
     for r in B.module_parts(ids, nodes, 6, arrows, bases).collect():
         got.setdefault((r.view, r.part), set()).add(r.id.removeprefix("mod:").rpartition("/")[0 if r.view == "v" else 2])
     assert got == {("v", 0): {"src/app/b", "src/app"}, ("v", 1): {"src/app/a", "src/app/c"}, ("w", 0): {f"{i}.py" for i in (0, 1, 2, 3, 8)}, ("w", 1): {f"{i}.py" for i in (4, 5, 6, 7)}, ("s", 0): {"a.py", "b.py"}}
+
+
+def test_distinct_views_against_a_loop(spark):
+    rng, rows = random.Random(5), []
+    for i in range(60):
+        base = rng.choice([list(range(12)), list(range(5, 25)), list(range(100, 104)), []])
+        ids = {x for x in base if rng.random() > 0.06} | {rng.randrange(200) for _ in range(rng.choice([0, 0, 1]))}
+        rows.append((f"v{i:02}", [f"n{x}" for x in ids], (-len(ids), f"v{i:02}")))
+    held, want = [], {}
+    for view, ids, _ in sorted(rows, key=lambda r: r[2]):
+        x = set(ids)
+        want[view] = all(bool(x | y) and len(x & y) / len(x | y) <= 0.8 for y in held)
+        held += [x] if want[view] else []
+    df = spark.createDataFrame(rows, "view string, ids array<string>, rank struct<n int, v string>")
+    assert {r.view: r.accepted for r in B.distinct_views(df, "ids", "rank").collect()} == want
