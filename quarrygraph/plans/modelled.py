@@ -305,7 +305,13 @@ def request_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.request_chains(n, e)[0]
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT 'n' || n_nationkey AS id, n_nationkey AS k FROM nation UNION ALL SELECT 'c' || c_custkey, c_nationkey FROM customer),
+g AS (SELECT id, min(id) OVER (PARTITION BY k) AS grp, (row_number() OVER (PARTITION BY k ORDER BY id) - 1) // 20 * 20 AS start FROM m), q AS (SELECT grp, start, count(*) AS n FROM g GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (ORDER BY n DESC, grp, start) AS i FROM q),
+s AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS rooms, NULL::BIGINT AS bin
+  UNION ALL SELECT i, CASE WHEN b IS NULL THEN list_append(rooms, 20 - n) ELSE list_concat(list_slice(rooms, 1, b - 1), [rooms[b] - n], list_slice(rooms, b + 1, len(rooms))) END, coalesce(b - 1, len(rooms))
+  FROM (SELECT p.i, p.n, s.rooms, nullif(coalesce(list_position(list_transform(s.rooms, lambda r: r >= p.n), true), 0), 0) AS b FROM s JOIN p ON p.i = s.i + 1))
+SELECT id, bin AS part FROM g JOIN p USING (grp, start) JOIN s USING (i)""")
 def entity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations with their customers as entities in parts of at most 20."""
     t = Tables(spark, sf_dir)
