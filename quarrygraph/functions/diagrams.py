@@ -1,18 +1,19 @@
-"""Diagram texts: rendering of views and an independent check of texts, each diagram on its own.
+"""Diagram texts: rendering of views, each diagram on its own, and a check of one text.
 
-A diagram is small by the limits of readability, so one Arrow UDF over whole specs is the right size for it.
+A diagram is small by the limits of readability, so one Arrow UDF over whole specs is the right size to render it. Texts of
+many diagrams are checked in tables (operators/lint.py); lint says the same of one text, without Spark.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarrygraph.functions.names import camel, pascal
 
@@ -323,7 +324,7 @@ def lint(text: str, renderer: str, limits: tuple[int, int] = (25, 30)) -> list[I
 
 
 def gate(spec: dict) -> tuple[str | None, str, list[Issue]]:
-    """(text, outcome, issues): the text if it has no error, else that of the plain flowchart of an architecture, else none and why."""
+    """(text, outcome, issues) of one spec, as gated says it of many."""
     tries = [spec] + ([{**spec, "renderer": "flowchart"}] if spec.get("renderer") == "architecture" else [])
     issues: list[Issue] = []
     for n, s in enumerate(tries):
@@ -334,25 +335,34 @@ def gate(spec: dict) -> tuple[str | None, str, list[Issue]]:
         issues = lint(text, s["renderer"])
         if not any(i[0] == "error" for i in issues):
             return text, "fallback" if n else "ok", issues
-    return None, "dropped: " + ", ".join(sorted(Counter(i[1] for i in issues if i[0] == "error"))), issues
+    return None, "dropped: " + ", ".join(sorted({i[1] for i in issues if i[0] == "error"})), issues
 
 
-def linted(texts: DataFrame) -> DataFrame:
-    """(view, severity, rule, line) of texts (view, renderer, text); a null text is an empty one."""
+@F.pandas_udf(StringType())
+def rendered(specs: pd.Series) -> pd.Series:
+    """The text of a spec as JSON; null where it lacks what a text needs."""
 
-    def each(batches):
-        for pdf in batches:
-            rows = [(v, *i) for v, r, t in zip(pdf.view, pdf.renderer, pdf.text) for i in lint(t, r)]
-            yield pd.DataFrame(rows, columns=["view", "severity", "rule", "line"]).astype({"line": "int32"})
+    def each(x):
+        try:
+            return render(json.loads(x))
+        except (KeyError, TypeError):
+            return None
 
-    return texts.select("view", "renderer", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "view string, severity string, rule string, line int")
+    return specs.map(each, na_action="ignore")
 
 
-def gated(specs: DataFrame) -> DataFrame:
-    """(view, text, outcome) of specs (view, spec), spec as JSON."""
+def linted(texts: DataFrame) -> DataFrame:
+    """(view, severity, rule, line) of texts (view, renderer, text), by the checks in tables (operators/lint.py)."""
+    from quarrygraph.operators import lint as tables
 
-    def each(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(v, *gate(json.loads(s))[:2]) for v, s in zip(pdf.view, pdf.spec)], columns=["view", "text", "outcome"])
+    return tables.linted(texts)
+
+
+def gated(specs: DataFrame) -> DataFrame:
+    """(view, text, outcome) of specs (view, spec), spec as JSON: the text if it has no error, else that of the plain flowchart of an architecture, else none and why."""
+    from quarrygraph.operators import lint as tables
 
-    return specs.select("view", "spec").mapInPandas(each, "view string, text string, outcome string")
+    own = specs.select("view", "spec", F.get_json_object("spec", "$.renderer").alias("renderer"))
+    plain = own.where("renderer = 'architecture'").select("view", F.lit(1).alias("turn"), F.lit("flowchart").alias("renderer"), F.regexp_replace("spec", r'"renderer"\s*:\s*"architecture"', '"renderer": "flowchart"').alias("spec"))
+    tries = own.select("view", F.lit(0).alias("turn"), "renderer", "spec").union(plain)
+    return tables.gate(tries.select("view", "turn", "renderer", rendered("spec").alias("text")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.operators import graphs, joins
+from quarrygraph.operators import graphs, joins, lint
 from quarrygraph.plans.registry import query
 from quarrygraph.plans.relational import events
 from quarrygraph.sources.tables import Tables
@@ -95,3 +95,17 @@ def brand_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of each customer's brand graph, all customers at once; tested against a plain loop."""
     e = moves(spark, sf_dir).select("view", "src", "dst").distinct()
     return graphs.communities(e.select("view", F.explode(F.array("src", "dst")).alias("v")), e, size=6)
+
+
+@query(f"""WITH m AS (SELECT view, pos, replace(src, 'Brand#', CASE WHEN view % 5 = 0 THEN 'B_' ELSE 'B' END) AS a, replace(dst, 'Brand#', CASE WHEN view % 5 = 0 THEN 'B_' ELSE 'B' END) AS b FROM ({_MOVES}) WHERE dst IS NOT NULL),
+n AS (SELECT view, name, min(pos) AS pos FROM (SELECT view, a AS name, pos FROM m UNION ALL SELECT view, b, pos FROM m) GROUP BY ALL)
+SELECT view::VARCHAR AS view, 'warning' AS severity, 'duplicate-edge' AS rule, (pos + 1)::INTEGER AS line FROM (SELECT *, row_number() OVER (PARTITION BY view, a, b ORDER BY pos) AS k FROM m) WHERE k > 1
+UNION ALL SELECT DISTINCT view::VARCHAR, 'error', 'underscore-id', (pos + 1)::INTEGER FROM n WHERE name LIKE '%\\_%' ESCAPE '\\'
+UNION ALL SELECT view::VARCHAR, 'warning', 'density', 0 FROM (SELECT view, count(*) AS e FROM m GROUP BY view) JOIN (SELECT view, count(*) AS k FROM n GROUP BY view) USING (view) WHERE e > 30 OR k > 25""")
+def flow_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's moves between brands as a flow text, and what is wrong with it."""
+    name = lambda c: F.regexp_replace(c, "Brand#", F.when(F.col("view") % 5 == 0, "B_").otherwise("B"))
+    line = F.concat(F.lit("  "), name(F.col("src")), F.lit(" --> "), name(F.col("dst")))
+    texts = moves(spark, sf_dir).groupBy("view").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
+    text = F.concat(F.lit("flowchart LR\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    return lint.linted(texts.select(F.col("view").cast("string").alias("view"), F.lit("flowchart").alias("renderer"), text.alias("text")))
