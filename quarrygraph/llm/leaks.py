@@ -113,9 +113,9 @@ def _meet(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _listed(rows: DataFrame, right: DataFrame) -> DataFrame:
-    """rows (h, ...) with each of right's (h, ...) by h as x: right as one list a window, so that hot windows of rows stay where they are."""
+    """rows (h, ...), each once, with each of right's (h, ...) by h as x: right as one list a window, so that hot windows of rows stay where they are. Only rows whose h may be right's are shuffled."""
     lists = right.groupBy("h").agg(F.collect_list(F.struct(*[c for c in right.columns if c != "h"])).alias("l"))
-    rows = cut(with_filter(rows, right, "h", "maybe", bits_for(right.count())).where("maybe").drop("maybe"), "leaks-rows")
+    rows = cut(with_filter(rows, right, "h", "maybe", bits_for(right.count())).where("maybe").drop("maybe").distinct(), "leaks-rows")
     met = hot_join(rows, lists, "h", rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")), rows.count()).where("l is not null")
     return met.select(*rows.columns, F.explode("l").alias("x"))
 
@@ -130,7 +130,7 @@ def _candidates(docs: DataFrame, own: DataFrame) -> DataFrame:
     w = _window_rows(docs, "doc_id", "text").select("doc_id", "h")
     if rare.count() <= MAX_BROADCAST:
         return w.join(F.broadcast(rare), "h").select("doc_id", "item_id").distinct()
-    return _listed(w.distinct(), rare).select("doc_id", "x.item_id").distinct()
+    return _listed(w, rare).select("doc_id", "x.item_id").distinct()
 
 
 def _shared(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +161,7 @@ def _verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
         if not n:
             return df.select(df.columns[0], F.xxhash64(F.lit(n), "t").alias("h"))
         at = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return df.select(df.columns[0], F.explode(F.transform(at, lambda i: F.xxhash64(F.lit(n), F.slice("t", i, n)))).alias("h")).distinct()
+        return df.select(df.columns[0], F.explode(F.transform(at, lambda i: F.xxhash64(F.lit(n), F.slice("t", i, n)))).alias("h"))
 
     d = docs.select("doc_id", said("text").alias("t"))
     out = None
@@ -182,7 +182,7 @@ def _slots(df: DataFrame, key: str, text: str, values: str) -> DataFrame:
     at = F.when(n >= SHINGLE, F.sequence(F.lit(1), n - SHINGLE + 1)).otherwise(F.array().cast("array<int>"))
     words = lambda i: [F.get(F.col("t"), i + (k - 1)).getField("w") for k in range(SHINGLE)]
     x = x.select(key, "form", F.explode(F.transform(at, lambda i: F.struct(F.xxhash64(*words(i)).alias("h"), i.alias("pos"), F.slice("t", i, SHINGLE).alias(values)))).alias("p"))
-    return x.select(key, "form", "p.h", "p.pos", f"p.{values}").distinct()
+    return x.select(key, "form", "p.h", "p.pos", f"p.{values}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
