@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quarrygraph.operators import receivers, resolution
 from quarrygraph.sources import pycode
 
@@ -49,3 +51,9 @@ def test_methods_of_classes_that_extend_each_other(spark):
 def test_callback_targets(spark):
     got = {(r.slot, r.text, r.symbol) for r in receivers.callback_targets(*made(spark, {"cb.py": FILES["cb.py"], "x.py": "import cb\ncb.reg(cb.handler)\n"})).collect()}
     assert got == {("0", "handler", "cb.handler"), ("1", "self.on", "cb.W.on"), ("2", "handler", "cb.handler"), ("3", "w.on", "cb.W.on"), ("0", "cb.handler", "cb.handler")}
+
+
+def test_files_of_one_part_are_read_by_many_tasks(spark):
+    files = spark.range(64, numPartitions=1).select(F.concat("id", F.lit(".py")).alias("path"), F.lit("x = f()\n").alias("text"))
+    got = pycode.facts(files).where("fact = 'call'").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(got) >= 4 and sum(r["count"] for r in got) == 64
