@@ -6,10 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rolling_count(at_micros: str, window_s: int, part: list[str] | None = None) -> Column:
-    """Events in (t - window, t], the event itself and others at its time included."""
-    w = Window.partitionBy(*(part or [])).orderBy(at_micros).rangeBetween(-window_s * 1_000_000 + 1, 0)
-    return F.count(F.lit(1)).over(w)
+def rolling_counts(rows: DataFrame, at_micros: str, window_s: int, part: list[str] | None = None) -> DataFrame:
+    """rows with used: the rows in (t - window, t], the row itself and others at its time included. Running sums count them, so that a row costs no more where many share its window. Rows without a time are left out.
+
+    Time is cut into blocks as long as the window, and a block is what a task orders: what came in the block before has
+    all entered there and leaves here, a window later.
+    """
+    width = window_s * 1_000_000
+    keys = [*(part or []), "__block"]
+    come = rows.where(F.col(at_micros).isNotNull()).withColumns({"__block": F.floor(F.col(at_micros) / width), "__at": F.col(at_micros)})
+    both = F.explode(F.array(F.lit(1), F.lit(-1))).alias("__step")
+    x = come.select("*", both).withColumns({"__at": F.when(F.col("__step") < 0, F.col("__at") + width).otherwise(F.col("__at")), "__block": F.when(F.col("__step") < 0, F.col("__block") + 1).otherwise(F.col("__block"))})
+    so_far = Window.partitionBy(*keys).orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum(F.when(F.col("__step") < 0, 1).otherwise(0)).over(Window.partitionBy(*keys))
+    return x.withColumn("used", before + F.sum("__step").over(so_far)).where("__step > 0").select(*rows.columns, "used")
 
 
 def streaks(rows: DataFrame, key: str, order: list[str], failed: Column, base: int = 30, cap: int = 900) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrygraph.operators import graphs, joins
+from quarrygraph.operators import budgets, graphs, joins
 from quarrygraph.sources import robots
 
 
@@ -138,3 +138,16 @@ def test_owner_by_class(spark):
     nodes = spark.createDataFrame([("a", 1, "one", "A"), ("a", 9, "two", "B"), ("b", 5, "only", "C")], "path string, line int, name string, cls string")
     rows = spark.createDataFrame([("a", 20, "A"), ("a", 3, "B"), ("a", 20, "Helper"), ("a", 20, None), ("b", 1, "Helper"), ("c", 1, None)], "path string, line int, cls string")
     assert {(r.path, r.line, r.cls): r.node for r in robots.owned(rows, nodes).collect()} == {("a", 20, "A"): "one", ("a", 3, "B"): "two", ("a", 20, "Helper"): None, ("a", 20, None): "two", ("b", 1, "Helper"): "only"}
+
+
+def test_rolling_counts_without_a_frame_that_slides(spark):
+    """Ties, edges of windows, times before zero and parts against a plain loop; no frame is counted anew for each row."""
+    rng = random.Random(3)
+    times = [rng.randrange(-25, 60) * 500_000 for _ in range(120)] + [None]
+    rows = [(i, "ab"[i % 2], t) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "id long, who string, us long")
+    for part in (None, ["who"]):
+        got = budgets.rolling_counts(df, "us", 5, part)
+        want = {i: sum(u is not None and t - 5_000_000 < u <= t and (not part or w == v) for _, v, u in rows) for i, w, t in rows if t is not None}
+        assert {r.id: r.used for r in got.collect()} == want and got.columns == ["id", "who", "us", "used"]
+        assert "specifiedwindowframe(RangeFrame, -" not in got._jdf.queryExecution().toString()
