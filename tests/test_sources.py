@@ -106,3 +106,13 @@ def test_tracked_pruned_revision(spark):
     rows = spark.createDataFrame([("x/conftest.py", 1, b"a"), ("p.proto", 1, b"a"), ("q_pb2_grpc.py", 1, b"a"), ("m.mts", 1, b"a"), ("k.go", 1, b"a"), ("a.test.tsx", 1, b"a")], "path string, size long, content binary")
     got = {r.path: (r.language, r.analyzed, r.test, r.reason) for r in I.inventory(rows).collect()}
     assert got == {"x/conftest.py": ("python", True, True, None), "p.proto": ("protobuf", False, False, None), "q_pb2_grpc.py": ("python", True, False, "generated"), "m.mts": ("typescript", True, False, None), "k.go": ("go", False, False, None), "a.test.tsx": ("typescript", True, True, None)}
+
+
+def test_trees_hand_on_pieces_of_a_batch():
+    """A batch of many documents comes out in pieces, with the same rows in order."""
+    import pandas as pd
+
+    pdf = pd.DataFrame({"doc": [str(i) for i in range(50)], "text": [f"<page id='p'>{''.join(f'<a id={k} name=n{i}>' for k in range(100))}</page>" for i in range(50)]})
+    got = list(trees._elements([pdf, pdf[:0]]))
+    assert max(map(len, got)) <= trees.PIECE + 101 and len(got) > 4
+    assert [tuple(r) for r in pd.concat(got)[["doc", "id"]].values] == [(str(i), k) for i in range(50) for k in ("p", *map(str, range(100)))]
