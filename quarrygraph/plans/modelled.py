@@ -51,10 +51,13 @@ def model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     c = t.customer.select(text("c", "c_custkey"), "c_name", _pick(_CUSTOMER_KINDS, F.col("c_custkey") % 4), text("sub:", "c_nationkey"), home, F.array_compact(F.array(_pick(_TAGS, F.col("c_custkey") % 7))), none)
     p = t.part.select(text("p", "p_partkey"), "p_name", _pick(_PART_KINDS, F.col("p_partkey") % 5), none, none, no_tags, none)
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    odd = F.col("l_linenumber") % 2 == 1
-    lines = lines.select(_pick(_LINE_KINDS, F.col("l_linenumber") - 1).alias("kind"), text("c", "o_custkey").alias("src"), F.when(odd, text("p", "l_partkey")).otherwise(text("s", "l_suppkey")).alias("dst"), F.when(F.col("l_returnflag") == "R", "returned").otherwise("").alias("label"), F.when(F.col("l_linestatus") == "O", "confirmed").otherwise("static_inferred").alias("status"), F.col("l_orderkey").alias("line"))
-    handled = t.customer.where("c_custkey % 4 = 3").select(F.lit("handles"), text("c", "c_custkey"), home, F.lit(""), F.lit("confirmed"), F.lit(0).cast("long"))
-    e = lines.union(handled).groupBy("kind", "src", "dst").agg(F.max("label").alias("label"), F.max("status").alias("status"), F.min("line").alias("line"))
+    # grouped as numbers, so that nothing is sorted for it; words are put to the groups
+    n, odd = F.col("l_linenumber"), F.col("l_linenumber") % 2 == 1
+    lines = lines.groupBy(F.when(n.between(1, len(_LINE_KINDS)), n.cast("int") - 1).alias("k"), odd.alias("odd"), F.col("o_custkey").alias("c"), F.when(odd, F.col("l_partkey")).otherwise(F.col("l_suppkey")).alias("to"))
+    lines = lines.agg(F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("returned"), F.max(F.when(F.col("l_linestatus") == "O", 0).otherwise(1)).alias("inferred"), F.min("l_orderkey").alias("line"))
+    lines = lines.select(_pick(_LINE_KINDS, F.col("k")).alias("kind"), text("c", "c").alias("src"), F.when(F.col("odd"), text("p", "to")).otherwise(text("s", "to")).alias("dst"), F.when(F.col("returned") == 1, "returned").otherwise("").alias("label"), F.when(F.col("inferred") == 1, "static_inferred").otherwise("confirmed").alias("status"), "line")
+    handled = t.customer.where("c_custkey % 4 = 3").select(F.lit("handles"), text("c", "c_custkey"), home, F.lit(""), F.lit("confirmed"), F.lit(0).cast("long")).distinct()
+    e = lines.union(handled)
     e = e.withColumns({"id": F.concat(F.lit("e:"), "kind", F.lit(":"), "src", F.lit(">"), "dst"), "file": F.lit("orders"), "phase": F.lit("unknown")})
     subs = t.nation.select(text("sub:", "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.array(text("n", "n_nationkey")).alias("paths"))
     return s.union(c).union(p), e, subs
