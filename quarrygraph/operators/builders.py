@@ -44,26 +44,56 @@ def arrows(edges: DataFrame, of: DataFrame, by: list[str] = ()) -> DataFrame:
     Noise kinds draw no arrow, but imports do where no other edge links the pair either way; they are weak. The label is
     the payload-like label of the most frequent kind, the status the strongest.
     """
-    by = list(by)
     u = lambda end: of.select(F.col("id").alias(end), F.col("unit").alias(f"__{end}"))
-    x = edges.join(u("src"), "src").join(u("dst"), "dst").where("__src <> __dst").where(~F.col("kind").isin("inherits", "config_dependency"))
+    x = edges.join(u("src"), "src").join(u("dst"), "dst")
+    return linked(x.select(*by, F.col("__src").alias("src"), F.col("__dst").alias("dst"), "kind", "label", "status"), by)
+
+
+#: What makes an edge between units an arrow.
+DRAWN = "src <> dst and kind not in ('inherits', 'config_dependency')"
+
+
+def linked(x: DataFrame, by: list[str] = ()) -> DataFrame:
+    """arrows of edges (by, src, dst, kind, label, status) whose ends are units. Pairs are counted once, as a table; only weak ones look for a strong one the other way."""
+    by = list(by)
     rank = P.looked_up({k: str(v) for k, v in RANKS.items()}, F.col("status"), "4").cast("int")
-    x = x.select(*by, F.col("__src").alias("src"), F.col("__dst").alias("dst"), "kind", "label", rank.alias("r"))
-    kinds = x.groupBy(*by, "src", "dst", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("r"), F.min(F.nullif("label", F.lit(""))).alias("label"))
+    x = x.where(DRAWN).select(*by, "src", "dst", "kind", F.nullif("label", F.lit("")).alias("label"), rank.alias("r"))
+    # counts by hash, then each pair's few rows in one place and order for both steps over them
+    x = x.groupBy(*by, "src", "dst", "kind", "label").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("r")).repartition(*by, "src", "dst")
+    kinds = x.groupBy(*by, "src", "dst", "kind").agg(F.sum("n").alias("n"), F.min("r").alias("r"), F.min("label").alias("label"))
     weak = F.col("kind") == "imports"
     pair = kinds.groupBy(*by, "src", "dst").agg(
-        F.min_by(F.struct("kind", "label"), F.struct(weak, -F.col("n"), "kind")).alias("top"), F.sum(F.when(~weak, F.col("n")).otherwise(0)).alias("strong"), F.sum("n").alias("n"), F.min(F.when(~weak, F.col("r"))).alias("r"), F.min("r").alias("any_r"), F.bool_and(weak | F.col("kind").isin(P.ASYNC)).alias("async")
+        F.min(F.struct(weak.alias("weak"), (-F.col("n")).alias("few"), "kind", "label")).alias("top"), F.sum(F.when(~weak, F.col("n")).otherwise(0)).alias("strong"), F.sum("n").alias("n"), F.min(F.when(~weak, F.col("r"))).alias("r"), F.min("r").alias("any_r"), F.bool_and(weak | F.col("kind").isin(P.ASYNC)).alias("async")
     )
-    back = pair.where("strong > 0").select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("__back"))
-    y = pair.join(back, [*by, "src", "dst"], "left").where("strong > 0 or __back is null").withColumn("weak", F.col("strong") == 0)
+    pair = graphs.cut(pair, "pairs")
+    back = pair.where("strong > 0").select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    soft = pair.where("strong = 0")
+    back = back.join(soft.select(*by, "src", "dst"), [*by, "src", "dst"], "left_semi")
+    y = pair.where("strong > 0").union(soft.join(back, [*by, "src", "dst"], "left_anti").select(pair.columns)).withColumn("weak", F.col("strong") == 0)
     status = F.element_at(F.array(*map(F.lit, RANKS)), F.coalesce("r", "any_r") + 1)
     label = F.coalesce("top.label", P.looked_up(P.VERBS, F.col("top.kind")), "top.kind")
     y = y.select(*by, "src", "dst", label.alias("label"), F.when(F.col("weak"), F.col("n")).otherwise(F.col("strong")).alias("weight"), "weak", status.alias("status"), (F.col("async") & ~F.col("weak")).alias("async"))
-    return graphs.cut(y, "arrows")
+    return y
+
+
+#: Edges on which a view's size is looked at first: what is beyond a limit there is beyond it on all edges.
+SHOWN = 10_000
+
+
+def drawn_units(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """(id): the units that arrows of edges have as their ends; a weak arrow that isn't drawn has the ends of the strong one."""
+    u = lambda end: of.select(F.col("id").alias(end), F.col("unit").alias(f"__{end}"))
+    x = edges.select("src", "dst", "kind").join(u("src"), "src").join(u("dst"), "dst").select("kind", F.col("__src").alias("src"), F.col("__dst").alias("dst"))
+    return P.ends(x.where(DRAWN))
+
+
+def beyond(edges: DataFrame, ids_of, most: int) -> bool:
+    """Whether ids_of(edges) has more than most rows, where more edges never give fewer of them. All edges are asked only where some don't tell."""
+    return any(ids_of(e).limit(most + 1).count() > most for e in (edges.limit(SHOWN), edges))
 
 
 def boxes(ids: DataFrame, nodes: DataFrame, subsystems: DataFrame) -> DataFrame:
-    """(view, id, kind, label, shape, category, group, pinned) of (view, id): modules by their shortest telling path."""
+    """(view, id, kind, label, shape, category, group, pinned) of (view, id), pinned where they say so: modules by their shortest telling path."""
     modules = nodes.where("kind = 'module'").select(F.lit("m").alias("all"), "id", F.coalesce("file", "name").alias("path"))
     short = graphs.cut(views.suffix_labels(modules, "all", "id", "path").select("id", "label"), "labels")
     named = P.labels(ids.select("id").distinct(), nodes, subsystems, short)
@@ -71,7 +101,7 @@ def boxes(ids: DataFrame, nodes: DataFrame, subsystems: DataFrame) -> DataFrame:
     own = nodes.select("id", "tags")
     x = ids.join(named, "id").join(own, "id", "left").join(traits, "id", "left")
     kind = F.when(F.col("kind").isin(P.CHANNELS), F.lit("channel")).otherwise(F.col("kind"))
-    x = x.select("view", "id", kind.alias("kind"), "label", P.shape().alias("shape"), F.when(F.col("kind") == "subsystem", F.coalesce("__c", F.lit("app"))).otherwise(P.category()).alias("category"), P.looked_up(P.GROUPS, F.col("kind")).alias("group"), F.lit(False).alias("pinned"))
+    x = x.select("view", "id", kind.alias("kind"), "label", P.shape().alias("shape"), F.when(F.col("kind") == "subsystem", F.coalesce("__c", F.lit("app"))).otherwise(P.category()).alias("category"), P.looked_up(P.GROUPS, F.col("kind")).alias("group"), (F.col("pinned") if "pinned" in ids.columns else F.lit(False)).alias("pinned"))
     return graphs.cut(x, "boxes")
 
 
@@ -95,8 +125,8 @@ def overview(nodes: DataFrame, edges: DataFrame, subsystems: DataFrame, low: int
     deployed = nodes.where("kind = 'deployment_unit'").limit(2).count()
     if deployed == 2:
         e = e.where(~F.col("kind").isin(DEPLOYMENT))
-    drawable = P.significant(nodes.where(F.col("kind").isin(*P.SYMBOLS, "module") & F.col("subsystem").isNotNull()), edges)
-    level = "subsystem" if drawable.select("subsystem").distinct().limit(3).count() == 3 else "module"
+    inner = nodes.where(F.col("kind").isin(*P.SYMBOLS, "module") & F.col("subsystem").isNotNull())
+    level = "subsystem" if beyond(edges, lambda x: P.significant(inner, x).select("subsystem").distinct(), 2) else "module"
 
     def at(name):
         a = arrows(e, P.units(nodes, edges, name)).withColumn("view", F.lit("overview"))
@@ -133,32 +163,44 @@ def subsystem_views(nodes: DataFrame, edges: DataFrame, subsystems: DataFrame, c
     skips = skipped(few, F.col("id"), "fewer than two components with relationships").union(skipped(late, F.col("subsystem"), "beyond the limit of subsystem views"))
     home = nodes.select("id", "subsystem", "kind").join(drawn, "subsystem")
 
-    def at(level: str, inside: DataFrame):
-        of = P.units(nodes, edges, level)
-        outer = F.coalesce("subsystem", "module")
-        away = nodes.select("id", "kind", "subsystem").join(P.module_of(nodes), "id").select("id", F.when(F.col("kind").isin(*P.CROSS_CUTTING, "config"), F.col("id")).otherwise(outer).alias("away"), "subsystem")
-        mark = lambda end: inside.select("view", F.col("id").alias(end), F.lit(True).alias(f"__{end}"))
-        touched = edges.select("id", "src", "dst").join(mark("src"), "src").select("view", "id").union(edges.select("id", "src", "dst").join(mark("dst"), "dst").select("view", "id")).distinct()
-        x = edges.join(touched, "id")
+    # what both levels need of a node, put to the edges once: a node lies in one view at most
+    symbols = P.significant(home.where(F.col("kind").isin(P.SYMBOLS)).select("id", "view"), edges).select("id", F.lit(True).alias("symbol"))
+    own = F.col("kind").isin(*P.CROSS_CUTTING, "config")
+    info = nodes.select("id", "kind", "subsystem").join(P.module_of(nodes), "id").join(P.units(nodes, edges, "module"), "id").join(home.select("id", "view"), "id", "left").join(symbols, "id", "left")
+    info = graphs.cut(info.select("id", F.struct("view", "subsystem", F.coalesce("symbol", F.lit(False)).alias("symbol"), (F.col("view").isNotNull() & (F.col("kind") != "config")).alias("module"), "unit", F.when(own, F.col("id")).otherwise(F.coalesce("subsystem", "module")).alias("away")).alias("of")), "info")
+    both = edges.select("src", "dst", "kind", "label", "status")
+    for end in ("src", "dst"):
+        both = both.join(info.select(F.col("id").alias(end), F.col("of").alias(f"{end}_of")), end)
+    both = graphs.cut(both.where("src_of.view is not null or dst_of.view is not null"), "touched")
+
+    def at(both: DataFrame, level: str) -> DataFrame:
+        """Edges of each view (view, kind, label, status, src, dst, s_in, d_in) by the units of their ends at level."""
+        inside = lambda end: F.col(f"{end}_of.{level}")
+        view = lambda end: F.when(inside(end), F.col(f"{end}_of.view"))
+        x = both.withColumn("view", F.explode(F.array_distinct(F.array_compact(F.array(view("src"), view("dst"))))))
         for end in ("src", "dst"):
-            x = x.join(mark(end), ["view", end], "left").join(of.select(F.col("id").alias(end), F.col("unit").alias(f"{end}_unit")), end).join(away.select(F.col("id").alias(end), F.col("away").alias(f"{end}_away"), F.col("subsystem").alias(f"{end}_sub")), end)
+            unit = F.col(end) if level == "symbol" else F.col(f"{end}_of.unit")
+            x = x.withColumns({f"{end}_in": inside(end) & F.col(f"{end}_of.view").eqNullSafe(F.col("view")), f"{end}_unit": unit})
         # of the same subsystem but not drawn: left out
-        x = x.where("(__src and __dst) or not (src_sub <=> dst_sub) or src_unit = src_away or dst_unit = dst_away")
-        x = x.select("view", "kind", "label", "status", F.when(F.col("__src"), F.col("src_unit")).otherwise(F.col("src_away")).alias("src"), F.when(F.col("__dst"), F.col("dst_unit")).otherwise(F.col("dst_away")).alias("dst"), F.col("__src").isNotNull().alias("s_in"), F.col("__dst").isNotNull().alias("d_in"))
-        x = graphs.cut(x, "touched")
-        same = x.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("unit", F.col("id"))
-        a = arrows(x, same, ["view"])
-        ids = a.select("view", F.explode(F.array("src", "dst")).alias("id")).distinct()
-        own = x.where("s_in").select("view", F.col("src").alias("id")).union(x.where("d_in").select("view", F.col("dst").alias("id"))).distinct()
-        return a, ids.join(own.withColumn("__own", F.lit(True)), ["view", "id"], "left").select("view", "id", F.coalesce("__own", F.lit(False)).alias("own"))
-
-    symbols = P.significant(home.where(F.col("kind").isin(P.SYMBOLS)).select("id", "view"), edges)
-    arrow_s, ids_s = at("symbol", symbols)
-    fits = ids_s.groupBy("view").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("own")).where(f"n <= {max_nodes} and own >= 2").select("view")
-    modules = home.where("kind <> 'config'").join(fits, "view", "left_anti").select("view", "id")
-    arrow_m, ids_m = at("module", modules)
-    arrow = arrow_s.join(fits, "view", "left_semi").union(arrow_m)
-    ids = ids_s.join(fits, "view", "left_semi").union(ids_m)
+        x = x.where("(src_in and dst_in) or not (src_of.subsystem <=> dst_of.subsystem) or src_unit = src_of.away or dst_unit = dst_of.away")
+        end = lambda e: F.when(F.col(f"{e}_in"), F.col(f"{e}_unit")).otherwise(F.col(f"{e}_of.away"))
+        return x.select("view", "kind", "label", "status", end("src").alias("src"), end("dst").alias("dst"), F.col("src_in").alias("s_in"), F.col("dst_in").alias("d_in"))
+
+    def drawn_ids(x: DataFrame) -> DataFrame:
+        """(view, id, own) of the ends of arrows; own where any edge has it inside."""
+        one = F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("s_in").alias("own")), F.struct(F.col("dst").alias("id"), F.col("d_in").alias("own"))))
+        x = x.select("view", F.expr(DRAWN).alias("shown"), one.alias("e"))
+        return x.groupBy("view", F.col("e.id").alias("id")).agg(F.max(F.col("e.own")).alias("own"), F.max(F.coalesce("shown", F.lit(False))).alias("shown")).where("shown").select("view", "id", "own")
+
+    # a view with too many symbols on a part of its edges has too many on all
+    crowded = graphs.cut(drawn_ids(at(both.limit(SHOWN), "symbol")).groupBy("view").count().where(F.col("count") > max_nodes).select("view"), "crowded")
+    x_s = at(both, "symbol").join(F.broadcast(crowded), "view", "left_anti")
+    ids_s = graphs.cut(drawn_ids(x_s), "ids")
+    fits = graphs.cut(ids_s.groupBy("view").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("own")).where(f"n <= {max_nodes} and own >= 2").select("view"), "fits")
+    arrow_s = linked(x_s.join(F.broadcast(fits), "view", "left_semi"), ["view"])
+    x_m = at(both, "module").join(F.broadcast(fits), "view", "left_anti")
+    arrow = arrow_s.union(linked(x_m, ["view"]))
+    ids = graphs.cut(ids_s.join(fits, "view", "left_semi").union(drawn_ids(x_m)), "ids")
     lone = ids.groupBy("view").agg(F.count_if("own").alias("own")).where("own < 2").select("view")
     skips = skips.union(skipped(drawn.join(ids.select("view").distinct(), "view", "left_anti").union(drawn.join(lone, "view", "left_semi").select("view", "subsystem")), F.col("view"), "fewer than two connected modules"))
     arrow, ids = arrow.join(lone, "view", "left_anti"), ids.join(lone, "view", "left_anti")
@@ -173,7 +215,7 @@ def subsystem_views(nodes: DataFrame, edges: DataFrame, subsystems: DataFrame, c
     cut_ids = cut.select("view", F.explode(F.array("src", "dst")).alias("id")).distinct().join(p_own.select(named(F.col("view"), F.col("part")).alias("view"), "id", F.lit(True).alias("__own")), ["view", "id"], "left").select("view", "id", F.coalesce("__own", F.lit(False)).alias("own"))
     arrow = arrow.join(split, "view", "left_anti").select(cut.columns).union(cut)
     ids = ids.join(split, "view", "left_anti").union(cut_ids)
-    box = boxes(ids.select("view", "id"), nodes, subsystems).drop("pinned").join(ids.select("view", "id", F.col("own").alias("pinned")), ["view", "id"])
+    box = boxes(ids.select("view", "id", F.col("own").alias("pinned")), nodes, subsystems)
     box = box.withColumn("category", F.when(~F.col("pinned") & ~F.col("kind").isin(*P.CROSS_CUTTING, "channel"), "context").otherwise(F.col("category")))
     box, arrow, _ = fitted(box, arrow, max_nodes, max_edges)
     return View(box, arrow, skips)
@@ -220,11 +262,12 @@ def data_flow(nodes: DataFrame, edges: DataFrame, subsystems: DataFrame, max_nod
     read = F.col("kind") == "db_read"
     e = e.select("id", F.when(read, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(read, F.col("src")).otherwise(F.col("dst")).alias("dst"), "kind", "label", "status")
     for level in ("symbol", "module", "subsystem"):
-        arrow = arrows(e, P.units(nodes, edges, level)).withColumn("view", F.lit("dataflow"))
-        ids = arrow.select("view", F.explode(F.array("src", "dst")).alias("id")).distinct()
-        n = ids.limit(max_nodes + 1).count()
-        if n <= max_nodes:
+        of = graphs.cut(P.units(nodes, edges, level), "units")
+        if level == "subsystem" or not beyond(e, lambda x: drawn_units(x, of), max_nodes):  # noqa: B023
             break
+    arrow = arrows(e, of).withColumn("view", F.lit("dataflow"))
+    ids = arrow.select("view", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    n = ids.limit(4).count()
     skips = skipped(ids.select("view").distinct().where(F.lit(n < 4)), F.col("view"), "fewer than four components move data")
     box, arrow, _ = fitted(boxes(ids.where(F.lit(n >= 4)), nodes, subsystems), arrow.where(F.lit(n >= 4)), max_nodes, max_edges)
     role = views.flow_ends(arrow.select("view", "src", "dst")).withColumnRenamed("node", "id")

@@ -26,13 +26,15 @@ def suffix_labels(rows: DataFrame, group: str, key: str, path: str, rounds: int
 
 def collapse_channels(edges: DataFrame, channels: DataFrame) -> DataFrame:
     """edges (view, src, dst, weight, weak) with channels (view, id) replaced by edges from each producer to each consumer, self pairs left out."""
-    c = channels.select("view", "id")
-    into = edges.join(c.select("view", F.col("id").alias("dst")), ["view", "dst"], "left_semi")
-    out = edges.join(c.select("view", F.col("id").alias("src")), ["view", "src"], "left_semi")
-    direct = edges.join(c.select("view", F.col("id").alias("src")), ["view", "src"], "left_anti").join(c.select("view", F.col("id").alias("dst")), ["view", "dst"], "left_anti")
-    through = into.select("view", "src", F.col("dst").alias("ch"), "weight").join(out.select("view", F.col("src").alias("ch"), "dst"), ["view", "ch"])
-    both = direct.select("view", "src", "dst", "weight", "weak").union(through.where("src <> dst").select("view", "src", "dst", "weight", F.lit(False)))
-    return both.groupBy("view", "src", "dst").agg(F.sum("weight").alias("weight"), F.bool_and("weak").alias("weak")).join(c.select("view", F.col("id").alias("src")), ["view", "src"], "left_anti").join(c.select("view", F.col("id").alias("dst")), ["view", "dst"], "left_anti")
+    # both ends are marked once; all else tells by the marks
+    e = edges.select("view", "src", "dst", "weight", "weak")
+    for end in ("src", "dst"):
+        e = e.join(channels.select("view", F.col("id").alias(end), F.lit(True).alias(f"__{end}")).distinct(), ["view", end], "left")
+    e = graphs.cut(e.fillna(False, ["__src", "__dst"]), "marked")
+    into = e.where("__dst and not __src").select("view", "src", F.col("dst").alias("ch"), "weight")
+    through = into.join(e.where("__src and not __dst").select("view", F.col("src").alias("ch"), "dst"), ["view", "ch"])
+    both = e.where("not __src and not __dst").select("view", "src", "dst", "weight", "weak").union(through.where("src <> dst").select("view", "src", "dst", "weight", F.lit(False)))
+    return both.groupBy("view", "src", "dst").agg(F.sum("weight").alias("weight"), F.bool_and("weak").alias("weak"))
 
 
 def _inside(edges: DataFrame, units: DataFrame) -> DataFrame:
@@ -49,12 +51,13 @@ def fit(units: DataFrame, edges: DataFrame, max_nodes: int = 25, max_edges: int
     degree go (pinned first, then degree, label, id), then edges go, weak ones first, then by weight. notes: (view,
     step, n). The limits are the feature; what they leave out is counted.
     """
-    size = lambda: F.count(F.lit(1)).over(Window.partitionBy("view"))
     notes = []
 
     def drop(kind: Column, step: str):
         nonlocal units
-        marked = units.withColumn("__drop", (size() > max_nodes) & kind & ~F.col("pinned"))
+        # sizes by counts: a window over a view would put all of it into one task
+        large = F.broadcast(units.groupBy("view").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_nodes).select("view", F.lit(True).alias("__large")))
+        marked = units.join(large, "view", "left").withColumn("__drop", F.coalesce(F.col("__large") & kind & ~F.col("pinned"), F.lit(False))).drop("__large").select(*units.columns, "__drop")
         gone = marked.where("__drop").select("view", "id")
         notes.append(gone.groupBy("view").agg(F.count(F.lit(1)).alias("n")).select("view", F.lit(step).alias("step"), "n"))
         units = marked.where("not __drop").drop("__drop")
@@ -63,8 +66,8 @@ def fit(units: DataFrame, edges: DataFrame, max_nodes: int = 25, max_edges: int
     drop(F.col("kind") == "config", "settings left out")
     edges = edges.select("view", "src", "dst", "weight", "weak")
     channels = drop(F.col("kind") == "channel", "channels drawn as direct edges")
-    edges = _inside(collapse_channels(edges, channels), units)
-    ends = edges.select("view", F.col("src").alias("id")).union(edges.select("view", F.col("dst").alias("id")))
+    edges = graphs.cut(_inside(collapse_channels(edges, channels), units), "inside")
+    ends = edges.select("view", F.explode(F.array("src", "dst")).alias("id"))
     degree = ends.groupBy("view", "id").agg(F.count(F.lit(1)).alias("__deg"))
     ranked = units.join(degree, ["view", "id"], "left").fillna(0, ["__deg"])
     rank = F.row_number().over(Window.partitionBy("view").orderBy(F.desc("pinned"), F.desc("__deg"), "label", "id"))

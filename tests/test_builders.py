@@ -132,6 +132,17 @@ def test_views(spark):
     assert B.robot_graph(n, e, s).boxes.count() == 0 and B.overview(n.where("false"), e.where("false"), s.where("false"))[0].boxes.count() == 0
 
 
+def test_levels_are_chosen_before_arrows_are_made(spark, monkeypatch):
+    none = None
+    n = spark.createDataFrame([(f"f{i}", "f", "function", f"sub:{i % 2}", none, none, none) for i in range(40)], "id string, name string, kind string, subsystem string, parent string, tags array<string>, file string")
+    e = spark.createDataFrame([(f"e{i}", f"f{i}", f"f{i + 1}", "publishes", "", "runtime", "confirmed", none, none) for i in range(39)], "id string, src string, dst string, kind string, label string, phase string, status string, file string, line int")
+    subs = spark.createDataFrame([("sub:0", "s0", []), ("sub:1", "s1", [])], "id string, name string, paths array<string>")
+    made, plain = [], B.arrows
+    monkeypatch.setattr(B, "arrows", lambda *a: made.append(1) or plain(*a))
+    view, level = B.data_flow(n, e, subs)
+    assert (level, len(made)) == ("subsystem", 1) and view.skips.count() == 1
+
+
 def test_specs_are_rendered(spark):
     from quarrygraph.functions import diagrams
 

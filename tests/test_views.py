@@ -65,6 +65,13 @@ def test_fit(spark):
     assert a.count() == len(units) and b.count() == 5 and notes.count() == 0
 
 
+def test_sizes_of_views_are_no_windows(spark):
+    u = spark.createDataFrame([("v", "a", "code", "A", False)], "view string, id string, kind string, label string, pinned boolean")
+    e = spark.createDataFrame([("v", "a", "a", 1, False)], "view string, src string, dst string, weight int, weak boolean")
+    said = views.fit(u, e)[0]._jdf.queryExecution().analyzed().toString().lower()
+    assert "row_number() windowspec" in said and "count(1) windowspec" not in said
+
+
 def test_view_parts(spark):
     t = spark.createDataFrame([("v", "a", "b"), ("v", "b", "c"), ("v", "b", "b"), ("v", "d", "d")], "view string, src string, dst string")
     initial = spark.createDataFrame([("v", "a")], "view string, state string")
