@@ -276,6 +276,15 @@ def test_spans_in_pieces(spark):
         assert {r.pid: (r.sid, r.depth) for r in joins.innermost_span(p, "pid", "at", s, "sid", "s", "e", "g", width).collect()} == want
 
 
+def test_redaction_hands_on_pieces():
+    import pandas as pd
+
+    texts = pd.Series(["mail a@b.org", None, "plain"] * 400)
+    got = list(redaction.redacted.func(iter([texts])))
+    assert max(map(len, got)) <= redaction.PIECE and len(got) > 1
+    assert [tuple(r) for r in pd.concat(got).itertuples(index=False)] == [redaction.redact(x) for x in texts]
+
+
 def test_fixed_words(spark):
     t = spark.createDataFrame([("/users/{id}/",), ("users//<int:x>?q=1",), ("/a/:b/${c}",), ("",)], "u string")
     assert [r.r for r in t.select(T.route(F.col("u")).alias("r")).collect()] == ["/users/{}", "/users/{}", "/a/{}/{}", "/"]
