@@ -93,8 +93,7 @@ def packed_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def brand_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of each customer's brand graph, all customers at once; tested against a plain loop."""
-    e = moves(spark, sf_dir).select("view", "src", "dst").distinct()
-    return graphs.communities(e.select("view", F.explode(F.array("src", "dst")).alias("v")), e, size=6)
+    return graphs.communities(None, moves(spark, sf_dir).select("view", "src", "dst"), size=6)
 
 
 @query(f"""WITH m AS (SELECT view, pos, replace(src, 'Brand#', CASE WHEN view % 5 = 0 THEN 'B_' ELSE 'B' END) AS a, replace(dst, 'Brand#', CASE WHEN view % 5 = 0 THEN 'B_' ELSE 'B' END) AS b FROM ({_MOVES}) WHERE dst IS NOT NULL),
