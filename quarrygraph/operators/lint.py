@@ -37,12 +37,16 @@ def _trim(x: Column) -> Column:
     return F.regexp_replace(x, r"\A\s+|\s+\z", "")
 
 
+def _spoken(texts: DataFrame) -> DataFrame:
+    """texts (view, renderer, text) with their statements l, an array of (line, said): nothing is shuffled to number them."""
+    raw = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), _trim(F.regexp_replace(_trim(x), ";+\\z", "")).alias("said")))
+    return texts.select("view", "renderer", F.filter(raw, lambda x: (x["said"] != "") & ~x["said"].startswith("%%")).alias("l"))
+
+
 def statements(texts: DataFrame) -> DataFrame:
     """(view, renderer, line, n, said) of texts (view, renderer, text): lines from 1 without blanks around and ends of statements; comments and empty lines are none. n counts a text's statements from 1."""
-    x = texts.select("view", "renderer", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "raw"))
-    x = x.select("view", "renderer", (F.col("at") + 1).alias("line"), _trim(F.regexp_replace(_trim(F.col("raw")), ";+\\z", "")).alias("said"))
-    x = x.where("said <> '' and said not like '\\%\\%%'")
-    return x.withColumn("n", F.row_number().over(Window.partitionBy("view").orderBy("line")))
+    x = _spoken(texts).select("view", "renderer", F.posexplode("l").alias("at", "x"))
+    return x.select("view", "renderer", "x.line", (F.col("at") + 1).alias("n"), "x.said")
 
 
 def _issue(rows: DataFrame, severity: str, rule: str, line: Column | None = None) -> DataFrame:
@@ -74,11 +78,11 @@ def _dense(every: DataFrame, nodes: DataFrame, edges: DataFrame, limits: tuple[i
     return _issue(x, "warning", "density", F.lit(0))
 
 
-def _headers(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(views whose statements can be checked, issues) by first statements."""
+def _headers(spoken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts whose statements can be checked (view, renderer, l), issues) by first statements."""
     words = F.split("said", r"\s+")
     expected = F.create_map(*[F.lit(x) for kv in HEADERS.items() for x in kv])[F.col("renderer")]
-    head = rows.where("n = 1").withColumns({"w": words, "expected": expected})
+    head = spoken.where("size(l) > 0").select("view", "renderer", "l", F.col("l")[0]["line"].alias("line"), F.col("l")[0]["said"].alias("said")).withColumns({"w": words, "expected": expected})
     first, flow = F.get("w", F.lit(0)), F.col("expected") == "flowchart"
     old_state = (first == "stateDiagram") & (F.col("renderer") == "state")
     graph = (first == "graph") & flow
@@ -88,23 +92,26 @@ def _headers(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     wrong_way = right & flow & ((F.size("w") > 2) | ((F.size("w") == 2) & ~F.get("w", F.lit(1)).isin(*DIRECTIONS)))
     not_lr = right & flow & (F.col("renderer") == "architecture") & ~F.coalesce(F.get("w", F.lit(1)) == "LR", F.lit(False))
     issues = _told(head, ("error", "front-matter", front), ("warning", "header", old_state), ("error", "header", graph | other | wrong_way | (right & ~flow & (F.size("w") > 1))), ("error", "arch-direction", not_lr))
-    empty = texts.select("view").join(head.select("view"), "view", "left_anti")
-    return head.where(~front & ~other).select("view", "renderer"), issues.union(_issue(empty, "error", "header", F.lit(0)))
+    return head.where(~front & ~other).select("view", "renderer", "l"), issues.union(_issue(spoken.where("size(l) = 0"), "error", "header", F.lit(0)))
 
 
 def _flow(rows: DataFrame, every: DataFrame, limits: tuple[int, int]) -> DataFrame:
-    word = F.lower(F.get(F.split("said", r"\s+"), F.lit(0)))
+    word = F.lower(F.regexp_extract("said", r"\A\S*", 0))
     box = F.regexp_extract("said", r"\Asubgraph\s+([\w-]+)", 1)
     x = rows.withColumns({"word": word, "box": F.when(word == "subgraph", box)})
     ends = (F.col("said") == "end") & (F.col("word") != "subgraph")
-    x, nested = _nested(x, F.when(F.col("box") != "", 1).when(ends, -1).otherwise(0), "end", "unbalanced-end", "unclosed-subgraph")
-    issues = [nested, _issue(x.where("box = ''"), "error", "subgraph")]
-    boxes = x.where("box <> ''").groupBy("view", F.col("box").alias("name")).agg(F.min("line").alias("at"))
-    styled = x.where(F.col("word").isin("style", "class")).select("view", "line", F.explode(F.split(F.get(F.split("said", r"\s+"), F.lit(1)), ",")).alias("name"))
+    # what is no node or link is a small table of its own: rules over it don't read all statements again
+    few = cut(x.where(F.col("word").isin("subgraph", "style", "class") | ends), "lint-groups")
+    step = F.when(F.col("box") != "", 1).when(ends, -1).otherwise(0)
+    _, nested = _nested(few.where(step != 0), step, "end", "unbalanced-end", "unclosed-subgraph")
+    issues = [nested, _issue(few.where("box = ''"), "error", "subgraph")]
+    boxes = cut(few.where("box <> ''").groupBy("view", F.col("box").alias("name")).agg(F.min("line").alias("at")), "lint-boxes")
+    styled = few.where(F.col("word").isin("style", "class")).select("view", "line", F.explode(F.split(F.get(F.split("said", r"\s+"), F.lit(1)), ",")).alias("name"))
     # nodes and links, quoted texts aside
     said = x.where(~F.col("word").isin("subgraph", "style", "class", "direction", "classdef", "linkstyle", "click") & ~ends)
-    parts = F.split(F.regexp_replace("said", '"[^"]*"', '""'), LINK, -1)
-    names = F.transform(parts, lambda p: F.transform(F.split(p, " & ", -1), lambda q: _group(_trim(q), NODE, 1)))
+    # a line holds no line feed, so it can stand for what parts are split at: a form to split at is compiled anew for each text, one to replace once
+    parts = F.split(F.regexp_replace(F.regexp_replace("said", '"[^"]*"', '""'), LINK, "\n"), "\n", -1)
+    names = F.transform(parts, lambda p: F.transform(F.split(F.replace(p, F.lit(" & "), F.lit("\n")), "\n", -1), lambda q: _group(_trim(q), NODE, 1)))
     said = cut(said.select("view", "line", names.alias("ends")).withColumn("fine", ~F.exists("ends", lambda e: F.exists(e, lambda n: n == ""))), "lint-flow")
     issues.append(_issue(said.where("not fine"), "error", "flow-syntax"))
     seen = said.where("fine").select("view", "line", F.explode(F.flatten("ends")).alias("name"))
@@ -230,14 +237,16 @@ def _erd(rows: DataFrame, every: DataFrame, limits: tuple[int, int]) -> DataFram
 
 def linted(texts: DataFrame, limits: tuple[int, int] = LIMITS) -> DataFrame:
     """(view, severity, rule, line) of texts (view, renderer, text), one a view: each issue once; line 0 is the whole text. A null text is an empty one."""
-    texts = cut(texts.select("view", "renderer", "text"), "lint-texts")
-    rows = cut(statements(texts), "lint-statements")
-    checked, issues = _headers(rows, texts)
-    body = cut(rows.where("n > 1").join(checked.select("view"), "view", "left_semi"), "lint-bodies")
+    spoken = cut(_spoken(texts), "lint-texts")
+    checked, issues = _headers(spoken)
+    every = cut(checked.select("view", "renderer"), "lint-views")
+    known = {r.renderer for r in every.where(F.col("renderer").isin(*HEADERS)).select("renderer").distinct().collect()}
+    body = cut(checked.select("view", "renderer", F.posexplode("l").alias("at", "x")).where("at > 0").select("view", "renderer", "x.line", (F.col("at") + 1).alias("n"), "x.said"), "lint-bodies")
     out = [issues]
     for renderers, check in ((("flowchart", "architecture"), _flow), (("sequence",), _sequence), (("state",), _state), (("erd",), _erd)):
-        mine = F.col("renderer").isin(*renderers)
-        out.append(check(body.where(mine), checked.where(mine).select("view"), limits))
+        if known.intersection(renderers):  # a check of no text at all still writes and reads its tables
+            mine = F.col("renderer").isin(*renderers)
+            out.append(check(body.where(mine), every.where(mine).select("view"), limits))
     return reduce(DataFrame.union, out).distinct()
 
 

@@ -45,3 +45,18 @@ def test_gate(spark):
     got = {r.view: (r.text, r.outcome) for r in lint.gate(spark.createDataFrame(rows, "view string, turn int, renderer string, text string")).collect()}
     assert got == {"one": (good, "ok"), "two": (good, "fallback"), "three": (good, "ok"), "four": (None, "dropped: reserved-id, underscore-id"), "five": (None, "dropped: unmade")}
     assert lint.gate(spark.createDataFrame(rows, "view string, turn int, renderer string, text string").where("false")).count() == 0
+
+
+def test_only_what_occurs_is_checked(spark, monkeypatch):
+    """Checks of renderers without a text don't run; a statement's parts and numbers are told without numbering rows over a view."""
+    ran = []
+    for name in ("_flow", "_sequence", "_state", "_erd"):
+        check = getattr(lint, name)
+        monkeypatch.setattr(lint, name, lambda *a, check=check, name=name: ran.append(name) or check(*a))
+    text = "%% note\nflowchart LR\n  A1 & B1 -->|said| C1;\n\n  subgraph S\n  C1 -- > D1\n  A1 --> C1\n  end\n  end"
+    rows = [("a", "flowchart", text), ("b", "architecture", None), ("c", "flowchart", " ;\n%%")]
+    df = spark.createDataFrame(rows, "view string, renderer string, text string")
+    got = {tuple(r) for r in lint.linted(df).collect()}
+    assert got == {("a", "error", "flow-syntax", 6), ("a", "warning", "duplicate-edge", 7), ("a", "error", "unbalanced-end", 9), ("b", "error", "header", 0), ("c", "error", "header", 0)}
+    assert ran == ["_flow"]
+    assert "Window" not in lint.statements(df)._jdf.queryExecution().toString()
