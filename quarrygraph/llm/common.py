@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -64,8 +65,10 @@ class Held:
         _holder.reset(self._before)
 
     def drop(self, spark: SparkSession) -> None:
-        """Delete them: only once what was made from them is itself written."""
+        """Delete them: only once what was made from them is itself written. Shuffle files that nothing refers to any more go with them."""
         _delete(spark, self.paths)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # Spark's cleaner removes a shuffle's files once its plan is collected; by itself that is every half hour
 
 
 def _delete(spark: SparkSession, paths: list[str], mark: int = 0) -> None:

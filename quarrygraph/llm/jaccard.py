@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import bits_for, bounded_batches, byte_values, chunks, components, cut, hot_join, in_filter, key_filter_array, mix, prefix_hash, span_hash, table, with_filter
+from quarrygraph.llm.common import Held, bits_for, bounded_batches, byte_values, chunks, components, cut, hot_join, in_filter, key_filter_array, mix, prefix_hash, span_hash, table, with_filter
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -270,16 +270,23 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(docs.mapInArrow(_rows(n, percent), _ROW), "jaccard-rows")
+    with Held() as keyed:  # rows with their keys, of which only the entries and the rows without keys stay
+        every = cut(docs.mapInArrow(_rows(n, percent), _ROW), "jaccard-rows")
+    rows = cut(every.select("doc_id", "v", "n", *MAPS), "jaccard-slim")
     firsts = rows.where("v is not null and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"))
     firsts = cut(firsts, "jaccard-firsts")
     # one row a set: rows whose set is single pass by; the others' copies are met once, before they are shuffled
-    own = [c for c in rows.columns if c != "doc_id"]
+    own = [c for c in every.columns if c != "doc_id"]
     several = firsts.where("n > 1").select("v")
-    marked = with_filter(rows.where("v is not null and doc_id is not null"), several, "v", "maybe", bits_for(several.count()))
-    copies = marked.where("maybe").groupBy("v").agg(F.first(F.struct(*own[1:])).alias("x")).select("v", *[f"x.{c}" for c in own[1:]])
-    single = marked.where("not maybe").select(*own).union(cut(copies, "jaccard-copies"))
-    entries = cut(shared_slices(single).withColumn("c", F.col("v")), "jaccard-entries")
+    with keyed:
+        marked = with_filter(every.where("v is not null and doc_id is not null"), several, "v", "maybe", bits_for(several.count()))
+        copies = marked.where("maybe").groupBy("v").agg(F.first(F.struct(*own[1:])).alias("x")).select("v", *[f"x.{c}" for c in own[1:]])
+        single = marked.where("not maybe").select(*own).union(cut(copies, "jaccard-copies"))
+        shared = shared_slices(single).withColumn("c", F.col("v"))
+    attributes = cut(single.select("v", "n", *MAPS), "jaccard-maps")
+    entries = cut(shared, "jaccard-entries")
+    del every, marked, copies, single, shared
+    keyed.drop(spark)
     blocks = _blocks(entries, 0, "jaccard-round")
     found = cut(blocks.select("v").distinct(), "jaccard-found")
     ids = found.join(firsts, "v").select("doc")
@@ -287,7 +294,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     wanted = spark.sparkContext.broadcast(key_filter_array(ids, "doc", bits))  # at most MOST_BITS
     sets = docs.where("doc_id is not null").mapInArrow(_sets(n, wanted, bits), "v long, s array<long>")
     sets = cut(sets.join(found, "v", "left_semi").dropDuplicates(["v"]), "jaccard-sets")
-    attributes = cut(single.join(found, "v", "left_semi").select("v", "n", *MAPS), "jaccard-attributes")
+    attributes = cut(attributes.join(found, "v", "left_semi"), "jaccard-attributes")
     # small blocks: all pairs; larger ones: each row with the pivot
     lists = blocks.where(f"k <= {SMALL}").groupBy("h").agg(F.sort_array(F.collect_list("v")).alias("l"))
     two = F.explode(F.expr("flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as p, y as v))))")).alias("t")
@@ -303,11 +310,11 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rest = _blocks(_labelled(entries, links), ROUNDS, "jaccard-rest")
     if rest.limit(1).count():
         spread = F.ceil(F.col("k") / STRIP).cast("int")
-        # one side lies outside the pivot's component, which may hold nearly all of a block
-        x = rest.where("c <> oc").select("h", "v", "c", "oc", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
-        y = rest.select(F.col("h").alias("g"), F.col("v").alias("w"), F.col("c").alias("d"), F.pmod(F.xxhash64("v"), spread).cast("int").alias("at"))
         side = lambda k, e: attributes.select(F.col("v").alias(k), *[F.col(c).alias(c + e) for c in ("n", *MAPS)])
-        x, y = x.join(side("v", "a"), "v"), y.join(side("w", "b"), "w")
+        # one side lies outside the pivot's component, which may hold nearly all of a block; a row gets its maps before it is repeated for the strips
+        x = rest.where("c <> oc").join(side("v", "a"), "v").withColumn("salt", F.explode(F.sequence(F.lit(0), spread - 1)))
+        y = rest.select(F.col("h").alias("g"), F.col("v").alias("w"), F.col("c").alias("d"), F.pmod(F.xxhash64("v"), spread).cast("int").alias("at")).join(side("w", "b"), "w")
+        x = x.select("h", "salt", "v", "c", "oc", *[c + "a" for c in ("n", *MAPS)])
         on = (F.col("h") == F.col("g")) & (F.col("salt") == F.col("at")) & (F.col("c") != F.col("d")) & ((F.col("d") == F.col("oc")) | (F.col("v") < F.col("w")))
         pairs = x.join(y, on & F.expr(_close(percent))).select(F.col("v").alias("p"), F.col("w").alias("v"))
         links = links.union(_multiplied(pairs, attributes, sets, percent, parts))

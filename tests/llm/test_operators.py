@@ -388,6 +388,14 @@ def test_jaccard_families(spark):
     assert [(r.doc_id, r.component_id) for r in jaccard.similar_groups(twice, 3, 90).orderBy("doc_id").collect()] == [(7, 7), (7, 7), (7, 7), (9, 7)]
 
 
+def test_jaccard_keeps_no_keys(docs):
+    """The rows with their slices' keys, most of what the join writes, are gone once its entries are written; the result is read without them."""
+    with common.Held() as own:
+        got = jaccard.similar_groups(docs, 5, 80)
+    assert any("jaccard-slim" in p for p in own.paths) and not any("jaccard-rows" in p or "jaccard-keys" in p for p in own.paths)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.jaccard(DOCS, 5, 80)
+
+
 def test_hot_join(spark):
     """Keys above and below the bound, keys without a row, null keys."""
     left = spark.range(3000).selectExpr("case when id < 1200 then 7 when id < 1900 then 8 when id < 1905 then null else id end as key", "id")
