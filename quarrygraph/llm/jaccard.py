@@ -28,8 +28,9 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _STEP = np.uint64(0x2545F4914F6CDD1D)
-#: Columns of a set's 256-bit parity map. Two sets differ in at least as many n-grams as their maps do in bits: a bound that discards pairs before they are multiplied.
-MAPS = ("m0", "m1", "m2", "m3")
+#: Columns of a set's 1,024-bit parity map. Two sets differ in at least as many n-grams as their maps do in bits: a bound
+#: that discards pairs before they are multiplied. Maps of 256 bits let through pairs that differ in half as much again as they may.
+MAPS = tuple(f"m{i}" for i in range(16))
 #: Rows of a block whose pairs are all formed at once, and rounds of pivots for larger ones before all remaining pairs of different components are formed.
 SMALL, ROUNDS = 8, 2
 #: Rows that one task multiplies with a pivot, and rows of a block from which its remaining pairs are spread over tasks.
@@ -72,7 +73,7 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
 
 
-def _parity(mixed: np.ndarray, bits: int = 8) -> np.ndarray:
+def _parity(mixed: np.ndarray, bits: int = 10) -> np.ndarray:
     """The set's parity map of 2^bits bits: how often each place is hit, modulo 2."""
     hit = np.bincount((mixed >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.packbits(hit.astype(np.uint8) & 1).view(np.int64)
@@ -114,26 +115,25 @@ def _vertex(mixed: np.ndarray) -> int:
     return int(mix(mix(mixed.sum(dtype=np.uint64, keepdims=True)) ^ np.bitwise_xor.reduce(mixed, keepdims=True) ^ np.uint64(len(mixed))).view(np.int64)[0])
 
 
-_ROW = "doc_id long, v long, n long, " + ", ".join(f"{m} long" for m in MAPS) + ", e1 int, k1 array<long>, e2 int, k2 array<long>"
+_ROW = "doc_id long, v long, n long, e1 int, k1 array<long>, e2 int, k2 array<long>"
+_SET = "v long, n long, " + ", ".join(f"{m} long" for m in MAPS) + ", s array<long>"
 
 
 def _rows(n: int, percent: int):
     def run(batches):
         for batch, data, offs in chunks(batches):
-            v, size, maps, spare, keys = [], [], [], ([], []), ([], [])
+            v, size, spare, keys = [], [], ([], []), ([], [])
             for x in shingle_sets(data, offs, n):
                 m = mix(x)
                 size.append(len(x))
                 v.append(_vertex(m) if len(x) else None)
-                maps.append(_parity(m))
                 got = slice_keys(m, percent) if len(x) else []
                 for i in (0, 1):
                     e, k = got[i] if i < len(got) else (0, m[:0])
                     spare[i].append(e)
                     keys[i].append(k)
-            maps = [pa.array(c) for c in np.array(maps, np.int64).reshape(-1, 4).T.copy()]
-            cols = [batch.column(0), pa.array(v, pa.int64()), pa.array(size, pa.int64()), *maps, pa.array(spare[0], pa.int32()), _lists(keys[0]), pa.array(spare[1], pa.int32()), _lists(keys[1])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "v", "n", *MAPS, "e1", "k1", "e2", "k2"])
+            cols = [batch.column(0), pa.array(v, pa.int64()), pa.array(size, pa.int64()), pa.array(spare[0], pa.int32()), _lists(keys[0]), pa.array(spare[1], pa.int32()), _lists(keys[1])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "v", "n", "e1", "k1", "e2", "k2"])
 
     return run
 
@@ -147,7 +147,10 @@ def _sets(n: int, wanted, bits: int):
                 parts = [data[offs[i] : offs[i + 1]] for i in keep]
                 at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
                 sets = [x for x in shingle_sets(np.concatenate(parts), at, n) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([_vertex(mix(x)) for x in sets], pa.int64()), _lists(sets)], names=["v", "s"])
+                mixed = [mix(x) for x in sets]
+                maps = np.array([_parity(m) for m in mixed], np.int64).reshape(-1, len(MAPS)).T.copy()
+                cols = [pa.array([_vertex(m) for m in mixed], pa.int64()), pa.array([len(m) for m in mixed], pa.int64()), *map(pa.array, maps), _lists(sets)]
+                yield pa.RecordBatch.from_arrays(cols, names=["v", "n", *MAPS, "s"])
 
     return run
 
@@ -272,7 +275,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Held() as keyed:  # rows with their keys, of which only the entries and the rows without keys stay
         every = cut(docs.mapInArrow(_rows(n, percent), _ROW), "jaccard-rows")
-    rows = cut(every.select("doc_id", "v", "n", *MAPS), "jaccard-slim")
+    rows = cut(every.select("doc_id", "v", "n"), "jaccard-slim")
     firsts = rows.where("v is not null and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"))
     firsts = cut(firsts, "jaccard-firsts")
     # one row a set: rows whose set is single pass by; the others' copies are met once, before they are shuffled
@@ -283,7 +286,6 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         copies = marked.where("maybe").groupBy("v").agg(F.first(F.struct(*own[1:])).alias("x")).select("v", *[f"x.{c}" for c in own[1:]])
         single = marked.where("not maybe").select(*own).union(cut(copies, "jaccard-copies"))
         shared = shared_slices(single).withColumn("c", F.col("v"))
-    attributes = cut(single.select("v", "n", *MAPS), "jaccard-maps")
     entries = cut(shared, "jaccard-entries")
     del every, marked, copies, single, shared
     keyed.drop(spark)
@@ -292,9 +294,9 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     ids = found.join(firsts, "v").select("doc")
     bits = bits_for(found.count())
     wanted = spark.sparkContext.broadcast(key_filter_array(ids, "doc", bits))  # at most MOST_BITS
-    sets = docs.where("doc_id is not null").mapInArrow(_sets(n, wanted, bits), "v long, s array<long>")
+    sets = docs.where("doc_id is not null").mapInArrow(_sets(n, wanted, bits), _SET)
     sets = cut(sets.join(found, "v", "left_semi").dropDuplicates(["v"]), "jaccard-sets")
-    attributes = cut(attributes.join(found, "v", "left_semi"), "jaccard-attributes")
+    attributes = cut(sets.select("v", "n", *MAPS), "jaccard-attributes")
     # small blocks: all pairs; larger ones: each row with the pivot
     lists = blocks.where(f"k <= {SMALL}").groupBy("h").agg(F.sort_array(F.collect_list("v")).alias("l"))
     two = F.explode(F.expr("flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as p, y as v))))")).alias("t")

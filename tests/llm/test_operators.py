@@ -388,6 +388,23 @@ def test_jaccard_families(spark):
     assert [(r.doc_id, r.component_id) for r in jaccard.similar_groups(twice, 3, 90).orderBy("doc_id").collect()] == [(7, 7), (7, 7), (7, 7), (9, 7)]
 
 
+def test_jaccard_templates_that_do_not_link(spark):
+    """Texts of one template that agree in slices but differ in more than they may: parity maps rule nearly all pairs out before products."""
+    draw, rows = random.Random(11), []
+    words = [draw.choice(VOCAB) for _ in range(400)]
+    for i in range(30):
+        own = list(words)
+        for k in range(6):
+            own[draw.randrange(60 * k + 5, 60 * k + 60)] = f"own{i}x{k}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with common.Held() as own:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df, 5, 80).collect()}
+    assert got == brute.jaccard(rows, 5, 80)
+    assert any("jaccard-rest" in p for p in own.paths)
+    assert sum(spark.read.parquet(p).count() for p in own.paths if "jaccard-strips" in p) < len(rows)
+
+
 def test_jaccard_keeps_no_keys(docs):
     """The rows with their slices' keys, most of what the join writes, are gone once its entries are written; the result is read without them."""
     with common.Held() as own:
