@@ -49,8 +49,9 @@ def backward_arrows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE e AS ({_LINKED}), r AS (SELECT view, a, b FROM e UNION SELECT r.view, r.a, e.b FROM r JOIN e ON r.view = e.view AND r.b = e.a)
 SELECT x.a AS v, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.view = y.view AND x.a = y.b AND x.b = y.a GROUP BY x.a""")
 def strong_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strong components of all line items' brand graph, by the form that stays in tables at any size."""
-    return graphs.strong_components(linked_brands(spark, sf_dir), group=0)
+    """Strong components of all line items' brand graph: each customer's part of it by itself, as no edge leaves it."""
+    x = graphs.strong_by_view(moves(spark, sf_dir).where("flag = next_flag").select("view", "src", "dst"))
+    return x.select(*[F.concat_ws(":", F.col("view"), c).alias(c) for c in ("v", "component")])
 
 
 @query(f"""WITH RECURSIVE e AS ({_LINKED}), u AS (SELECT view, a, b FROM e UNION SELECT view, b, a FROM e), r AS (SELECT view, a, a AS b FROM u UNION SELECT r.view, r.a, u.b FROM r JOIN u ON r.view = u.view AND r.b = u.a)

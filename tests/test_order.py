@@ -105,6 +105,25 @@ def test_strong_components_in_tables(spark):
     assert {tuple(r) for r in graphs.strong_components(spark.createDataFrame(cycle("q", 9), "src string, dst string"), 0).collect()} == {(f"q{i}", "q0") for i in range(9)}
 
 
+def test_strong_components_of_views(spark):
+    """Views of one another's names, walked or in tables; null views and ends count for nothing."""
+    draw = random.Random(17)
+    rows = [(k, f"n{draw.randrange(9)}", f"n{draw.randrange(9)}") for k in (1, 2, 12) for _ in range(12 * k)] + [(None, "a", "a"), (1, None, "n1"), (2, "n1", None), (3, "x", "y"), (4, "z", "z")]
+    want = {(k, *x) for k in (1, 2, 12, 4) for x in plain_strong({(a, b) for v, a, b in rows if v == k and a and b})}
+    df = spark.createDataFrame(rows, "view long, src string, dst string")
+    for group in (0, 20, 1000):
+        assert {tuple(r) for r in graphs.strong_by_view(df, group).collect()} == want
+
+
+def test_strong_brands_walks_customers_apart(spark, monkeypatch):
+    """No customer of the small tables has so many edges that its components are tables."""
+    from quarrygraph.plans import graphical
+
+    monkeypatch.setattr(graphs, "_strong_wide", None)
+    assert graphical.strong_brands(spark, "/root/testdata/sf0.001").count() > 0
+
+
+
 def test_ways_up_have_no_bound(spark):
     from quarrygraph.operators import findings
     from quarrygraph.operators import projection as P
