@@ -281,18 +281,19 @@ def executions(nodes: DataFrame, edges: DataFrame, subsystems: DataFrame, limit:
     entries = P.entry_points(nodes).select(F.col("id").alias("v"))
     e = edges.where(F.col("kind").isin(*FOLLOWED, *ENDS)).select("src", "dst", "kind", F.struct(F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), "id").alias("at"))
     e = graphs.cut(e, "edges")
-    seen, out = graphs.bounded_trace(e, entries, depth, max_nodes, ENDS)
-    seen, out = graphs.cut(seen, "seen"), graphs.cut(out, "out")
+    seen = graphs.bounded_trace(e, entries, depth, max_nodes, ENDS)[0]  # a written table
     held = seen.groupBy(F.col("root").alias("view")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("v")).alias("ids"))
     few = skipped(held.where("n < 4"), F.col("view"), "fewer than four components")
     chosen = graphs.cut(distinct_views(held.where("n >= 4").withColumn("rank", F.struct(-F.col("n"), "view")), "ids", "rank"), "chosen")
     kept = graphs.cut(chosen.where("accepted").orderBy("rank").limit(limit).select("view"), "kept")
     late = chosen.where("accepted").join(kept, "view", "left_anti")
     skips = few.union(skipped(chosen.where("not accepted"), F.col("view"), "overlaps an earlier view")).union(skipped(late, F.col("view"), "beyond the limit of derived views"))
-    box = boxes(seen.select(F.col("root").alias("view"), F.col("v").alias("id")).join(kept, "view", "left_semi"), nodes, subsystems)
+    drawn = graphs.cut(seen.join(F.broadcast(kept.withColumnRenamed("view", "root")), "root", "left_semi"), "seen")  # at most limit roots: only their edges are looked up
+    out = graphs.trace_edges(e, F.broadcast(drawn), depth)
+    box = boxes(drawn.select(F.col("root").alias("view"), F.col("v").alias("id")), nodes, subsystems)
     first = F.col("id") == F.col("view")
     box = box.withColumns({"pinned": first, "shape": F.when(first, "stadium").otherwise(F.col("shape"))})
-    a = out.where("cut is null").join(kept.withColumnRenamed("view", "root"), "root", "left_semi").groupBy(F.col("root").alias("view"), "src", "dst").agg(F.count(F.lit(1)).alias("weight"), F.min("kind").alias("kind"), F.bool_and(F.col("kind").isin(P.ASYNC)).alias("async"))
+    a = out.where("cut is null").groupBy(F.col("root").alias("view"), "src", "dst").agg(F.count(F.lit(1)).alias("weight"), F.min("kind").alias("kind"), F.bool_and(F.col("kind").isin(P.ASYNC)).alias("async"))
     label = F.when(F.col("kind") == "calls", "").otherwise(P.looked_up(P.VERBS, F.col("kind"), ""))
     a = a.where("src <> dst").select("view", "src", "dst", label.alias("label"), "weight", F.lit(False).alias("weak"), F.lit("unknown").alias("status"), "async")
     box, a, _ = fitted(box, a, max_nodes, max_edges)

@@ -289,7 +289,8 @@ def data_flow_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def execution_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(B.executions(*held_model(spark, sf_dir)))
+    n, e, s = model(spark, sf_dir)
+    return _drawn(B.executions(graphs.cut(n, "model"), e, graphs.cut(s, "model")))  # edges are read once, and only the kinds that are followed
 
 
 @query()

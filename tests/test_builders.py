@@ -106,6 +106,24 @@ def arrows(v):
     return {(r.src, r.dst) for r in v.arrows.collect()}
 
 
+def test_executions_look_up_edges_of_kept_views_only(spark, monkeypatch):
+    """Three entry points with a view each; the edges of the one within the limit are looked up, not those of all traces."""
+    from quarrygraph.operators import graphs
+
+    seen, plain = [], graphs.trace_edges
+    monkeypatch.setattr(graphs, "trace_edges", lambda edges, nodes, depth: seen.append(nodes) or plain(edges, nodes, depth))
+    row = lambda v, tags: (v, v, "function", "sub:x", None, tags, "x.py")
+    nodes = [row(f"{k}{i}", ["entrypoint"] if not i else None) for k in "abc" for i in range(6)]
+    calls = [(f"{k}{i}", f"{k}{i + 1}", "calls", f"{k}{i}", "x.py", i) for k in "abc" for i in range(5 if k == "b" else 4)]
+    n = spark.createDataFrame(nodes, "id string, name string, kind string, subsystem string, parent string, tags array<string>, file string")
+    e = spark.createDataFrame(calls, "src string, dst string, kind string, id string, file string, line int")
+    s = spark.createDataFrame([("sub:x", "x", ["x.py"])], "id string, name string, paths array<string>")
+    x = B.executions(n, e, s)
+    assert {(r.view, r.src, r.dst) for r in x.arrows.collect()} == {("b0", f"b{i}", f"b{i + 1}") for i in range(5)}
+    assert {r.root for r in seen[-1].collect()} == {"b0"}
+    assert {r.view for r in x.skips.collect()} == {"a0", "c0"}
+
+
 def test_views(spark):
     n, e, s = model(spark)
     o, level = B.overview(n, e, s)
